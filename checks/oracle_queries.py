@@ -159,3 +159,269 @@ UNION ALL
 SELECT 'states' AS scope, round({BAD}, 6) AS pct_bad, count(*) AS n_rows FROM rg""",
                                    "v_orders", "v_order_reviews", "v_order_items", "v_products", "v_customers",
                                    extra=[RP, RO, RG]))
+
+
+# ================================================================ batch 2
+NUM = ["total_items_price", "total_freight_value", "payment_installments", "payment_value", "n_items",
+       "delivery_time_days", "estimated_delivery_days", "delivery_delay_days", "review_count"]
+CAT = ["payment_type", "customer_state", "product_category_name_english"]
+CLU = ["total_items_price", "total_freight_value", "payment_value", "n_items", "delivery_time_days",
+       "delivery_delay_days"]
+MONEY = ["total_items_price", "total_freight_value", "payment_value"]
+
+
+def is_test(k: str = "order_id") -> str:
+    return f"((({k} % 2147483647) * 2654435761 + 42) % 4294967296) % 10000 < 2000"
+
+
+def hb(k: str, seed: int, buckets: int) -> str:
+    return f"((({k} % 2147483647) * 2654435761 + {seed}) % 4294967296) % {buckets}"
+
+
+SUP = ("sup", "SELECT order_id, " + ", ".join(NUM + CAT)
+       + ", CAST(review_binary AS INTEGER) AS label FROM md WHERE review_binary IS NOT NULL")
+NUMD = ("numd", "SELECT order_id, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUM) + " FROM md")
+TRN = ("trn", f"SELECT * FROM numd WHERE NOT ({is_test()})")
+
+
+def rnd_all(cols):
+    return ", ".join(r6(c) for c in cols)
+
+
+add("supervised_xy", model_sql("SELECT * REPLACE (" + rnd_all(
+    ["total_items_price", "total_freight_value", "payment_value", "delivery_time_days", "estimated_delivery_days",
+     "delivery_delay_days"]) + ") FROM sup", extra=[SUP]))
+add("class_counts", model_sql("SELECT label, count(*) AS n FROM sup GROUP BY label", extra=[SUP]))
+
+CF0 = ("cf0", "SELECT order_id, " + ", ".join(
+    (f"CASE WHEN {c} IS NULL THEN NULL ELSE ln(1 + greatest(CAST({c} AS DOUBLE), 0.0)) END AS {c}" if c in MONEY
+     else f"CAST({c} AS DOUBLE) AS {c}") for c in CLU) + " FROM md")
+CQ = ("cq", "SELECT " + ", ".join(f"quantile_cont({c}, [0.01, 0.99]) AS q_{c}" for c in CLU) + " FROM cf0")
+CF = ("cf", "SELECT order_id, " + ", ".join(f"least(greatest({c}, q_{c}[1]), q_{c}[2]) AS {c}" for c in CLU)
+      + " FROM cf0, cq WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in CLU))
+add("cluster_features", model_sql(f"SELECT order_id, {rnd_all(CLU)} FROM cf", extra=[CF0, CQ, CF]))
+WQ = ("wq", "SELECT " + ", ".join(f"quantile_cont({c}, [0.01, 0.99]) AS q_{c}" for c in NUM) + " FROM numd")
+add("winsorize", model_sql("SELECT order_id, " + ", ".join(
+    f"round(CASE WHEN {c} IS NULL THEN NULL ELSE least(greatest({c}, q_{c}[1]), q_{c}[2]) END, 6) AS {c}"
+    for c in NUM) + " FROM numd, wq", extra=[NUMD, WQ]))
+ZS = ("zs", "SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in CLU) + " FROM cf")
+add("standardize", model_sql("SELECT order_id, " + ", ".join(
+    f"round(({c} - m_{c}) / CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN 1.0 ELSE s_{c} END, 6) AS {c}" for c in CLU)
+    + " FROM cf, zs", extra=[CF0, CQ, CF, ZS]))
+MED = ("med", "SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in NUM) + " FROM trn")
+add("impute_median", model_sql("SELECT order_id, " + ", ".join(
+    f"round(coalesce({c}, m_{c}), 6) AS {c}" for c in NUM) + " FROM numd, med", extra=[NUMD, TRN, MED]))
+CATD = ("catd", "SELECT order_id, " + ", ".join(CAT) + " FROM md")
+CTRN = ("ctrn", f"SELECT * FROM catd WHERE NOT ({is_test()})")
+MODES = [(f"mode_{c}", f"""SELECT v FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM ctrn
+WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY n DESC, v LIMIT 1""") for c in CAT]
+add("impute_mode", model_sql("SELECT order_id, " + ", ".join(
+    f"coalesce({c}, (SELECT v FROM mode_{c})) AS {c}" for c in CAT) + " FROM catd", extra=[CATD, CTRN] + MODES))
+MM = ("mm", "SELECT " + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in NUM) + " FROM trn")
+add("minmax_scale", model_sql("SELECT order_id, " + ", ".join(
+    f"round(CASE WHEN hi_{c} = lo_{c} THEN CASE WHEN {c} IS NOT NULL THEN 0.0 END "
+    f"ELSE ({c} - lo_{c}) / (hi_{c} - lo_{c}) END, 6) AS {c}" for c in NUM) + " FROM numd, mm",
+    extra=[NUMD, TRN, MM]))
+LEV = [(f"lev_{c}", f"""SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS slot
+FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM ctrn WHERE {c} IS NOT NULL)""") for c in CAT]
+add("one_hot", model_sql("\nUNION ALL\n".join(
+    f"SELECT d.order_id, '{c}' AS feature, l.slot FROM catd d LEFT JOIN lev_{c} l ON CAST(d.{c} AS VARCHAR) = l.v"
+    for c in CAT), extra=[CATD, CTRN] + LEV))
+SMM = ("smm", "SELECT " + ", ".join(f"min(CAST({c} AS DOUBLE)) AS lo_{c}, max(CAST({c} AS DOUBLE)) AS hi_{c}"
+                                    for c in NUM) + " FROM sup")
+SSC = ("ssc", "SELECT " + ", ".join(
+    f"CASE WHEN hi_{c} = lo_{c} THEN CASE WHEN {c} IS NOT NULL THEN 0.0 END "
+    f"ELSE (CAST({c} AS DOUBLE) - lo_{c}) / (hi_{c} - lo_{c}) END AS {c}" for c in NUM) + " FROM sup, smm")
+add("variance_filter", model_sql("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, round(var_pop({c}), 6) AS variance, var_pop({c}) > 0.0001 AS kept FROM ssc"
+    for c in NUM), extra=[SUP, SMM, SSC]))
+add("train_test_split", model_sql(f"SELECT order_id, {is_test()} AS is_test FROM sup", extra=[SUP]))
+add("cv_folds", model_sql(f"SELECT order_id, CAST({hb('order_id', 7, 3)} AS INTEGER) AS fold FROM sup "
+                          f"WHERE NOT ({is_test()})", extra=[SUP]))
+add("sample_n", model_sql(f"SELECT order_id, round(review_score, 6) AS review_score FROM md "
+                          f"ORDER BY {hb('order_id', 42, 4294967296)}, order_id LIMIT 1000"))
+add("class_weights", model_sql(f"""SELECT label, n_c, round(CAST(n AS DOUBLE) / (k * n_c), 6) AS weight
+FROM (SELECT label, count(*) AS n_c FROM sup WHERE NOT ({is_test()}) GROUP BY label) c,
+     (SELECT count(*) AS n, count(DISTINCT label) AS k FROM sup WHERE NOT ({is_test()})) t""", extra=[SUP]))
+
+GX = ("gx", "SELECT order_id, label, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUM)
+      + " FROM sup WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in NUM))
+GTR = ("gtr", f"SELECT * FROM gx WHERE NOT ({is_test()})")
+GTE = ("gte", f"SELECT * FROM gx WHERE {is_test()}")
+GV = ("gv", "SELECT 0.0001 * greatest(" + ", ".join(f"var_pop({c})" for c in NUM) + ") AS eps FROM gtr")
+GS = ("gs", "SELECT label AS c, count(*) AS n, " + ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in NUM)
+      + " FROM gtr GROUP BY label")
+GSS = ("gss", "SELECT c, ln(CAST(n AS DOUBLE) / (SELECT count(*) FROM gtr)) AS lp, " + ", ".join(
+    f"m_{c}, greatest(v_{c} + eps, 0.0001) AS v_{c}" for c in NUM) + " FROM gs, gv")
+GLL = ("gll", "SELECT t.order_id, t.label, s.c, s.lp - 0.5 * (" + " + ".join(
+    f"ln(2 * pi() * s.v_{c})" for c in NUM) + ") - (" + " + ".join(
+    f"(t.{c} - s.m_{c}) * (t.{c} - s.m_{c}) / (2 * s.v_{c})" for c in NUM) + ") AS ll FROM gte t, gss s")
+add("gaussian_nb", model_sql("SELECT order_id, label, CAST(arg_max(c, ll) AS DOUBLE) AS prediction "
+                             "FROM gll GROUP BY order_id, label", extra=[SUP, GX, GTR, GTE, GV, GS, GSS, GLL]))
+
+# ---------------------------------------------------------------- rule predictions
+RC = ("rc", """SELECT 'late' AS model, 0 AS ordinal, order_id, CAST(review_binary AS INTEGER) AS label,
+  CASE WHEN coalesce(delivery_delay_days > 0, false) THEN 0 ELSE 1 END AS prediction FROM md WHERE review_binary IS NOT NULL
+UNION ALL
+SELECT 'slow', 1, order_id, CAST(review_binary AS INTEGER),
+  CASE WHEN coalesce(delivery_time_days > 20, false) THEN 0 ELSE 1 END FROM md WHERE review_binary IS NOT NULL
+UNION ALL
+SELECT 'majority', 2, order_id, CAST(review_binary AS INTEGER), 1 FROM md WHERE review_binary IS NOT NULL""")
+CM = ("cm", "SELECT model, label, prediction, count(*) AS n FROM rc GROUP BY model, label, prediction")
+CLS = ("cls", "SELECT DISTINCT model, c FROM (SELECT model, label AS c FROM cm UNION ALL SELECT model, prediction FROM cm)")
+GRID = ("grid", """SELECT a.model, a.c AS label, b.c AS prediction, coalesce(cm.n, 0) AS n
+FROM cls a JOIN cls b ON a.model = b.model
+LEFT JOIN cm ON cm.model = a.model AND cm.label = a.c AND cm.prediction = b.c""")
+PER = ("per", """SELECT model, c, tp, pp, support,
+  CASE WHEN pp > 0 THEN CAST(tp AS DOUBLE) / pp ELSE 0.0 END AS precision,
+  CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0.0 END AS recall
+FROM (SELECT model, c,
+  (SELECT sum(n) FROM grid g WHERE g.model = cls.model AND g.label = cls.c AND g.prediction = cls.c) AS tp,
+  (SELECT sum(n) FROM grid g WHERE g.model = cls.model AND g.prediction = cls.c) AS pp,
+  (SELECT sum(n) FROM grid g WHERE g.model = cls.model AND g.label = cls.c) AS support FROM cls)""")
+PERF = ("perf", """SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
+  ELSE 0.0 END AS f1_score FROM per""")
+REP = ("rep", """SELECT model, CAST(c AS VARCHAR) AS class, precision, recall, f1_score, CAST(support AS BIGINT) AS support
+FROM perf
+UNION ALL
+SELECT model, 'accuracy', NULL, NULL, CAST(sum(tp) AS DOUBLE) / sum(support), CAST(sum(support) AS BIGINT)
+FROM perf GROUP BY model
+UNION ALL
+SELECT model, 'macro avg', avg(precision), avg(recall), avg(f1_score), CAST(sum(support) AS BIGINT) FROM perf GROUP BY model
+UNION ALL
+SELECT model, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+  sum(f1_score * support) / sum(support), CAST(sum(support) AS BIGINT) FROM perf GROUP BY model""")
+MET = ("met", """SELECT model, max(ordinal) AS ordinal,
+  max(CASE WHEN class = 'accuracy' THEN f1_score END) AS accuracy,
+  max(CASE WHEN class = 'weighted avg' THEN precision END) AS precision_weighted,
+  max(CASE WHEN class = 'weighted avg' THEN recall END) AS recall_weighted,
+  max(CASE WHEN class = 'weighted avg' THEN f1_score END) AS f1_weighted,
+  max(CASE WHEN class = '0' THEN recall END) AS recall_0
+FROM rep JOIN (SELECT DISTINCT model, ordinal FROM rc) USING (model) GROUP BY model""")
+RULES = [RC, CM, CLS, GRID, PER, PERF, REP, MET]
+add("confusion_matrix", model_sql("""SELECT label, prediction, n,
+  round(CASE WHEN sum(n) OVER (PARTITION BY label) > 0 THEN CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY label)
+        ELSE 0.0 END * 100.0, 6) AS row_pct,
+  CASE WHEN label = 0 AND prediction = 0 THEN 'TN' WHEN label = 0 AND prediction = 1 THEN 'FP'
+       WHEN label = 1 AND prediction = 0 THEN 'FN' WHEN label = 1 AND prediction = 1 THEN 'TP' END AS cell
+FROM grid WHERE model = 'late'""", extra=RULES))
+add("classification_report", model_sql("SELECT class, " + rnd_all(["precision", "recall", "f1_score"])
+                                       + ", support FROM rep WHERE model = 'late'", extra=RULES))
+add("report_long", model_sql("""SELECT class, 'precision' AS metric, round(precision, 6) AS value FROM rep
+WHERE model = 'late' AND class NOT IN ('accuracy', 'macro avg', 'weighted avg')
+UNION ALL
+SELECT class, 'recall', round(recall, 6) FROM rep
+WHERE model = 'late' AND class NOT IN ('accuracy', 'macro avg', 'weighted avg')""", extra=RULES))
+add("classification_metrics", model_sql("SELECT model, " + rnd_all(
+    ["accuracy", "precision_weighted", "recall_weighted", "f1_weighted", "recall_0"]) + " FROM met", extra=RULES))
+add("metric_matrix", model_sql("SELECT model, " + rnd_all(
+    ["accuracy", "precision_weighted", "recall_weighted", "f1_weighted"]) + " FROM met", extra=RULES))
+add("best_model", model_sql("""SELECT 'accuracy' AS criterion, arg_min(model, (-accuracy, ordinal)) AS model,
+  round(max(accuracy), 6) AS value FROM met
+UNION ALL
+SELECT 'recall_0', arg_min(model, (-recall_0, ordinal)), round(max(recall_0), 6) FROM met""", extra=RULES))
+
+RR = ("rr", """SELECT order_id, review_score AS y,
+  CAST(4.0 AS DOUBLE) - CAST(0.2 AS DOUBLE) * coalesce(delivery_delay_days, 0.0) AS p FROM md
+WHERE review_score IS NOT NULL""")
+RES = ("res", """SELECT y AS y_true, least(greatest(p, 1.0), 5.0) AS y_pred, y - least(greatest(p, 1.0), 5.0) AS residual,
+  CAST(least(greatest(round_even(y, 0), 1.0), 5.0) AS INTEGER) AS y_true_bucket FROM rr""")
+
+
+def reg_sql(y: str, p: str, src: str) -> str:
+    return f"""SELECT round(avg(abs({y} - {p})), 6) AS mae, round(sqrt(avg(({y} - {p}) * ({y} - {p}))), 6) AS rmse,
+  round(CASE WHEN count(*) * var_pop({y}) <> 0 THEN 1 - sum(({y} - {p}) * ({y} - {p})) / (count(*) * var_pop({y}))
+        ELSE 0.0 END, 6) AS r2, count(*) AS n FROM {src} WHERE {y} IS NOT NULL AND {p} IS NOT NULL"""
+
+
+add("regression_metrics", model_sql(reg_sql("y", "p", "rr"), extra=[RR]))
+add("parity_metrics", model_sql(reg_sql("yc", "pc", "(SELECT least(greatest(y, 1.0), 5.0) AS yc, "
+                                                    "least(greatest(p, 1.0), 5.0) AS pc FROM rr)"), extra=[RR]))
+add("clip_pred", model_sql("""SELECT order_id, round(p, 6) AS prediction,
+  round(least(greatest(p, 1.0), 5.0), 6) AS prediction_clipped FROM rr""", extra=[RR]))
+add("residual_bins", model_sql("""SELECT bin, round(1.0 + (bin - 1) * 0.25, 6) AS bin_left,
+  round(1.0 + (bin - 1) * 0.25 + 0.25, 6) AS bin_right,
+  round((CASE WHEN bin = 1 THEN 0.999 ELSE 1.0 + (bin - 1) * 0.25 END + (1.0 + (bin - 1) * 0.25) + 0.25) / 2, 6)
+    AS bin_center, round(mean_res, 6) AS mean_res, round(std_res, 6) AS std_res, n
+FROM (SELECT CAST(greatest(ceil((y_pred - 1.0) / 0.25), 1) AS INTEGER) AS bin, avg(residual) AS mean_res,
+  stddev_samp(residual) AS std_res, count(*) AS n FROM res WHERE y_pred IS NOT NULL GROUP BY 1)
+WHERE std_res IS NOT NULL AND mean_res IS NOT NULL""", extra=[RR, RES]))
+
+
+def box_sql(src: str, value: str, by: str) -> str:
+    return f"""SELECT d.{by}, count(*) AS n, round(any_value(q.q1), 6) AS q1, round(any_value(q.median), 6) AS median,
+  round(any_value(q.q3), 6) AS q3,
+  round(min(CASE WHEN d.v >= q.lo AND d.v <= q.hi THEN d.v END), 6) AS whisker_low,
+  round(max(CASE WHEN d.v >= q.lo AND d.v <= q.hi THEN d.v END), 6) AS whisker_high,
+  sum(CASE WHEN d.v >= q.lo AND d.v <= q.hi THEN 0 ELSE 1 END) AS n_outliers
+FROM (SELECT {by}, CAST({value} AS DOUBLE) AS v FROM {src} WHERE {value} IS NOT NULL) d
+JOIN (SELECT {by}, q1, median, q3, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (
+  SELECT {by}, quantile_cont(CAST({value} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({value} AS DOUBLE), 0.5) AS median,
+  quantile_cont(CAST({value} AS DOUBLE), 0.75) AS q3 FROM {src} WHERE {value} IS NOT NULL GROUP BY {by})) q
+ON d.{by} = q.{by} GROUP BY d.{by}"""
+
+
+add("residuals_by_score", model_sql(box_sql("res", "residual", "y_true_bucket").replace(
+    "SELECT d.y_true_bucket,", "SELECT CAST(d.y_true_bucket AS INTEGER) AS y_true_bucket,"), extra=[RR, RES]))
+add("density_2d", model_sql("""SELECT CAST(least(floor((least(greatest(y_true, 1.0), 5.0) - 1.0) * 30 / 4.0), 29) AS INTEGER) AS ix,
+  CAST(least(floor((least(greatest(y_pred, 1.0), 5.0) - 1.0) * 30 / 4.0), 29) AS INTEGER) AS iy, count(*) AS n
+FROM res WHERE y_true IS NOT NULL AND y_pred IS NOT NULL GROUP BY 1, 2""", extra=[RR, RES]))
+add("pred_distribution", model_sql("""SELECT y_true_bucket, count(y_pred) AS n, round(min(y_pred), 6) AS min,
+  round(quantile_cont(y_pred, 0.25), 6) AS q1, round(quantile_cont(y_pred, 0.5), 6) AS median,
+  round(quantile_cont(y_pred, 0.75), 6) AS q3, round(max(y_pred), 6) AS max FROM res GROUP BY y_true_bucket""",
+                                   extra=[RR, RES]))
+add("stars", model_sql("""SELECT order_id, round(p, 6) AS prediction,
+  CAST(least(greatest(round_even(p, 0), 1.0), 5.0) AS INTEGER) AS stars_n,
+  repeat('★', CAST(least(greatest(round_even(p, 0), 1.0), 5.0) AS INTEGER)) AS stars FROM rr""", extra=[RR]))
+
+# ---------------------------------------------------------------- descriptive
+add("mean_ci", with_views("""SELECT delayed, n, round(mean, 6) AS mean,
+  round(mean - 1.959963984540054 * std / sqrt(n), 6) AS ci_low, round(mean + 1.959963984540054 * std / sqrt(n), 6) AS ci_high
+FROM (SELECT coalesce(d > 0, false) AS delayed, count(s) AS n, avg(s) AS mean, stddev_samp(s) AS std FROM ro GROUP BY 1)""",
+                          "v_orders", "v_order_reviews", extra=[RO]))
+add("box_stats", with_views(box_sql("dr", "delivery_delay_days", "review_score"),
+                            "v_orders", "v_order_reviews", extra=[FIRST_REVIEW, ("dr", f"""
+SELECT o.order_id, CAST(f.review_score AS DOUBLE) AS review_score, {DELAY} AS delivery_delay_days
+FROM v_orders o JOIN first_review f ON o.order_id = f.order_id
+WHERE {DELAY} IS NOT NULL AND f.review_score IS NOT NULL""")]))
+add("feature_defaults", model_sql("\nUNION ALL\n".join(
+    [f"""SELECT '{c}' AS feature, 'numeric' AS kind, round(quantile_cont(CAST({c} AS DOUBLE), 0.01), 6) AS min,
+  round(quantile_cont(CAST({c} AS DOUBLE), 0.99), 6) AS max, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS value,
+  CAST(NULL AS VARCHAR) AS category FROM md""" for c in NUM]
+    + [f"""SELECT * FROM (SELECT DISTINCT '{c}' AS feature, 'categorical' AS kind, CAST(NULL AS DOUBLE) AS min,
+  CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS value, CAST({c} AS VARCHAR) AS category FROM md
+  WHERE {c} IS NOT NULL ORDER BY category LIMIT 50)""" for c in CAT])))
+
+# The short-name replacements, in order (same table as the library's).
+SHORT = [("product_category_name_english", "cat"), ("product_category_name", "cat"), ("payment_type", "pay"),
+         ("customer_state", "state"), ("delivery_delay_days", "delay_days"), ("estimated_delivery_days", "eta_days"),
+         ("delivery_time_days", "deliv_days"), ("total_items_price", "items_price"), ("total_freight_value", "freight"),
+         ("payment_installments", "installments"), ("payment_value", "pay_value"), ("cat__", "cat_"), ("num__", ""),
+         (" ", "_")]
+
+
+def _short(expr: str) -> str:
+    for a, b in SHORT:
+        expr = f"replace({expr}, '{a}', '{b}')"
+    return expr
+
+
+add("short_feature_name", model_sql(f"SELECT feature, {_short('feature')} AS feature_short FROM names", extra=[(
+    "names", "\nUNION ALL\n".join([f"SELECT 'num__{c}' AS feature" for c in NUM] + [
+        f"SELECT DISTINCT 'cat__{c}_' || CAST({c} AS VARCHAR) AS feature FROM md WHERE {c} IS NOT NULL"
+        for c in CAT]))]))
+RCL = ("rcl", """SELECT *, CASE WHEN n_items >= 6 THEN 2 WHEN total_items_price >= 200000 THEN 0 ELSE 1 END AS cluster
+FROM md""")
+add("cluster_names", model_sql("""SELECT order_id, cluster, CASE cluster WHEN 0 THEN 'Alto Valor (1 produto, adiantado)'
+  WHEN 1 THEN 'Baixo Valor (adiantado, 1 produto)' WHEN 2 THEN 'Multi-produtos (médio)' END AS cluster_name FROM rcl""",
+                               extra=[RCL]))
+SUMC = ["total_items_price", "total_freight_value", "payment_value", "n_items", "delivery_time_days",
+        "delivery_delay_days", "review_score"]
+add("cluster_summary", model_sql("SELECT cluster, " + ",\n  ".join(
+    f"round(avg(CAST({c} AS DOUBLE)), 6) AS {c}_mean, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS {c}_median, "
+    f"round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS {c}_std, round(min(CAST({c} AS DOUBLE)), 6) AS {c}_min, "
+    f"round(max(CAST({c} AS DOUBLE)), 6) AS {c}_max, count({c}) AS {c}_count" for c in SUMC)
+    + " FROM rcl WHERE cluster IS NOT NULL GROUP BY cluster", extra=[RCL]))
+add("cluster_ranking", model_sql("""SELECT cluster, round(avg(review_score), 6) AS mean_score, count(*) AS n,
+  round((SELECT avg(review_score) FROM rcl WHERE cluster IS NOT NULL AND review_score IS NOT NULL), 6) AS global_mean
+FROM rcl WHERE cluster IS NOT NULL AND review_score IS NOT NULL GROUP BY cluster""", extra=[RCL]))

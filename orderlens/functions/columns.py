@@ -96,12 +96,11 @@ def score_bucket(c, lo: int = 1, hi: int = 5) -> Column:
 def hash_bucket(key, seed: int = 42, buckets: int = 100) -> Column:
     """Deterministic bucket of a non-negative integer key in [0, buckets).
 
-    ``(key * 2654435761 + seed) mod 2^32 mod buckets`` — a multiplicative
-    hash computed in BIGINT without overflow for keys below ~3.4e9, portable
-    to any SQL engine, and independent of partitioning (unlike ``rand``).
-    String keys are first mapped through ``xxhash64``.
+    ``((key mod (2^31−1)) * 2654435761 + seed) mod 2^32 mod buckets`` — a
+    multiplicative hash that never overflows BIGINT, portable to any SQL
+    engine, and independent of partitioning (unlike ``rand``).
     """
-    k = col_(key)
+    k = col_(key) % F.lit(2147483647)  # keeps the product inside BIGINT for any key
     return ((k * F.lit(2654435761) + F.lit(seed)) % F.lit(4294967296)) % F.lit(buckets)
 
 

@@ -215,3 +215,268 @@ def q_overall_bad_rate(spark, sf_dir):
     b = drivers.overall_bad_rate_states(c["order_reviews"], c["orders"]).select(
         F.lit("states").alias("scope"), "pct_bad", "n_rows")
     return rnd(a.unionByName(b))
+
+
+# ================================================================ batch 2: features, prep, metrics
+from ..functions import stars as _stars, score_bucket as _score_bucket  # noqa: E402
+from ..operators import features as feat, metrics as met, prep, segments, split  # noqa: E402
+from . import rules  # noqa: E402
+
+NUM = feat.NUMERIC_FEATURES
+CAT = feat.CATEGORICAL_FEATURES
+
+
+def sup(spark, sf_dir, target="review_binary"):
+    return feat.supervised_xy(model_df(spark, sf_dir), target)
+
+
+def train_part(df):
+    return split.with_split(df).filter(~F.col("is_test")).drop("is_test")
+
+
+@query("supervised_xy")
+def q_supervised_xy(spark, sf_dir):
+    return rnd(sup(spark, sf_dir))
+
+
+@query("class_counts")
+def q_class_counts(spark, sf_dir):
+    from ..operators.profile import class_counts
+    return class_counts(sup(spark, sf_dir), "label")
+
+
+@query("cluster_features")
+def q_cluster_features(spark, sf_dir):
+    return rnd(feat.cluster_features(model_df(spark, sf_dir)))
+
+
+@query("winsorize")
+def q_winsorize(spark, sf_dir):
+    md = model_df(spark, sf_dir).select("order_id", *[F.col(c).cast("double").alias(c) for c in NUM])
+    return rnd(feat.winsorize(md, NUM))
+
+
+@query("standardize")
+def q_standardize(spark, sf_dir):
+    cf = feat.cluster_features(model_df(spark, sf_dir))
+    cols = feat.CLUSTER_FEATURES
+    return rnd(prep.StandardScaler(inputCols=cols).fit(cf).transform(cf))
+
+
+@query("impute_median")
+def q_impute_median(spark, sf_dir):
+    md = model_df(spark, sf_dir).select("order_id", *[F.col(c).cast("double").alias(c) for c in NUM])
+    m = prep.MedianImputer(inputCols=NUM).fit(train_part(md))
+    return rnd(m.transform(md))
+
+
+@query("impute_mode")
+def q_impute_mode(spark, sf_dir):
+    md = model_df(spark, sf_dir).select("order_id", *CAT)
+    return prep.ModeImputer(inputCols=CAT).fit(train_part(md)).transform(md)
+
+
+@query("minmax_scale")
+def q_minmax_scale(spark, sf_dir):
+    md = model_df(spark, sf_dir).select("order_id", *[F.col(c).cast("double").alias(c) for c in NUM])
+    return rnd(prep.MinMaxScaler(inputCols=NUM).fit(train_part(md)).transform(md))
+
+
+@query("one_hot")
+def q_one_hot(spark, sf_dir):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    md = model_df(spark, sf_dir).select("order_id", *CAT)
+    m = Pipeline(stages=prep.one_hot_stages(CAT)).fit(train_part(md))
+    t = m.transform(md)
+    frames = []
+    for c in CAT:
+        pos = F.array_position(vector_to_array(F.col(f"{c}__oh")), 1.0)
+        frames.append(t.select("order_id", F.lit(c).alias("feature"),
+                               F.when(pos > 0, pos - 1).cast("int").alias("slot")))
+    return segments.union_all(frames)
+
+
+@query("variance_filter")
+def q_variance_filter(spark, sf_dir):
+    x = sup(spark, sf_dir).select(*[F.col(c).cast("double").alias(c) for c in NUM])
+    v = prep.population_variances(prep.MinMaxScaler(inputCols=NUM).fit(x).transform(x), NUM)
+    return rnd(v.withColumn("kept", F.col("variance") > 1e-4))
+
+
+@query("train_test_split")
+def q_train_test_split(spark, sf_dir):
+    return split.with_split(sup(spark, sf_dir)).select("order_id", "is_test")
+
+
+@query("cv_folds")
+def q_cv_folds(spark, sf_dir):
+    return split.with_folds(train_part(sup(spark, sf_dir)), 3).select("order_id", "fold")
+
+
+@query("sample_n")
+def q_sample_n(spark, sf_dir):
+    return split.sample_n(model_df(spark, sf_dir), 1000).select("order_id", "review_score")
+
+
+@query("class_weights")
+def q_class_weights(spark, sf_dir):
+    return rnd(split.class_weights(train_part(sup(spark, sf_dir)), "label"))
+
+
+@query("gaussian_nb")
+def q_gaussian_nb(spark, sf_dir):
+    from pyspark.ml.feature import VectorAssembler
+    from ..operators.models import GaussianNB
+    x = sup(spark, sf_dir).dropna(subset=NUM)
+    x = VectorAssembler(inputCols=NUM, outputCol="features").transform(
+        x.select("order_id", "label", *[F.col(c).cast("double").alias(c) for c in NUM]))
+    s = split.with_split(x)
+    m = GaussianNB().fit(s.filter(~F.col("is_test")))
+    return m.transform(s.filter(F.col("is_test"))).select("order_id", "label", "prediction")
+
+
+# ---------------------------------------------------------------- metrics on rule predictions
+def rule_cls(spark, sf_dir, model=None):
+    r = rules.rule_classifications(model_df(spark, sf_dir))
+    return r.filter(F.col("model") == model) if model else r
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf_dir):
+    return rnd(met.confusion_matrix(rule_cls(spark, sf_dir, "late")))
+
+
+@query("classification_report")
+def q_classification_report(spark, sf_dir):
+    return rnd(met.classification_report(rule_cls(spark, sf_dir, "late")))
+
+
+@query("report_long")
+def q_report_long(spark, sf_dir):
+    return rnd(met.report_long(met.classification_report(rule_cls(spark, sf_dir, "late"))))
+
+
+def rule_metric_rows(spark, sf_dir):
+    frames = []
+    for i, name in enumerate(rules.RULE_CLASSIFIERS):
+        m = met.classification_metrics(rule_cls(spark, sf_dir, name))
+        frames.append(m.select(F.lit(name).alias("model"), F.lit(i).alias("ordinal"), "*"))
+    return segments.union_all(frames)
+
+
+@query("classification_metrics")
+def q_classification_metrics(spark, sf_dir):
+    return rnd(rule_metric_rows(spark, sf_dir).drop("ordinal"))
+
+
+@query("metric_matrix")
+def q_metric_matrix(spark, sf_dir):
+    cols = ["accuracy", "precision_weighted", "recall_weighted", "f1_weighted"]
+    long = rule_metric_rows(spark, sf_dir).unpivot(["model"], cols, "metric", "value")
+    return rnd(reshape.metric_matrix(long, "model", "metric", "value", cols))
+
+
+@query("best_model")
+def q_best_model(spark, sf_dir):
+    rows = rule_metric_rows(spark, sf_dir)
+    a = reshape.arg_best(rows, "accuracy").select(F.lit("accuracy").alias("criterion"), "model",
+                                                  F.col("accuracy").alias("value"))
+    b = reshape.arg_best(rows, "recall_0").select(F.lit("recall_0").alias("criterion"), "model",
+                                                  F.col("recall_0").alias("value"))
+    return rnd(a.unionByName(b))
+
+
+def rule_reg(spark, sf_dir):
+    return rules.rule_regression(model_df(spark, sf_dir))
+
+
+@query("regression_metrics")
+def q_regression_metrics(spark, sf_dir):
+    return rnd(met.regression_metrics(rule_reg(spark, sf_dir)))
+
+
+@query("parity_metrics")
+def q_parity_metrics(spark, sf_dir):
+    return rnd(met.parity_metrics(rule_reg(spark, sf_dir)))
+
+
+@query("clip_pred")
+def q_clip_pred(spark, sf_dir):
+    return rnd(feat.clip_pred(rule_reg(spark, sf_dir)).select("order_id", "prediction", "prediction_clipped"))
+
+
+@query("residual_bins")
+def q_residual_bins(spark, sf_dir):
+    return rnd(feat.residual_bins(rule_reg(spark, sf_dir)))
+
+
+@query("residuals_by_score")
+def q_residuals_by_score(spark, sf_dir):
+    return rnd(feat.residuals_by_score(rule_reg(spark, sf_dir)))
+
+
+@query("density_2d")
+def q_density_2d(spark, sf_dir):
+    r = feat.residual_frame(rule_reg(spark, sf_dir))
+    return feat.density_2d(r, "y_true", "y_pred")
+
+
+@query("pred_distribution")
+def q_pred_distribution(spark, sf_dir):
+    return rnd(feat.pred_distribution(rule_reg(spark, sf_dir)))
+
+
+@query("stars")
+def q_stars(spark, sf_dir):
+    r = rule_reg(spark, sf_dir)
+    return rnd(r.select("order_id", "prediction", _score_bucket("prediction").alias("stars_n"),
+                        _stars("prediction").alias("stars")))
+
+
+# ---------------------------------------------------------------- descriptive
+@query("mean_ci")
+def q_mean_ci(spark, sf_dir):
+    from ..functions import late_flag
+    c = cat(spark, sf_dir)
+    ro = drivers.reviews_with_delay(c["order_reviews"], c["orders"]).withColumn(
+        "delayed", late_flag("delivery_delay_days"))
+    return rnd(profile.mean_ci(ro, "review_score", ["delayed"]))
+
+
+@query("box_stats")
+def q_box_stats(spark, sf_dir):
+    c = cat(spark, sf_dir)
+    rows = drivers.delay_by_score_rows(c["order_reviews"], c["orders"])
+    return rnd(profile.box_stats(rows, "delivery_delay_days", ["review_score"]))
+
+
+@query("feature_defaults")
+def q_feature_defaults(spark, sf_dir):
+    return rnd(feat.feature_defaults(model_df(spark, sf_dir), NUM, CAT))
+
+
+@query("short_feature_name")
+def q_short_feature_name(spark, sf_dir):
+    md = model_df(spark, sf_dir)
+    frames = [spark.range(1).select(F.lit(f"num__{c}").alias("feature")) for c in NUM]
+    frames += [md.select(F.concat(F.lit(f"cat__{c}_"), F.col(c).cast("string")).alias("feature"))
+               .filter(F.col("feature").isNotNull()).distinct() for c in CAT]
+    names = segments.union_all(frames)
+    return names.select("feature", feat.short_feature_name("feature").alias("feature_short"))
+
+
+@query("cluster_names")
+def q_cluster_names(spark, sf_dir):
+    return feat.cluster_names(rules.rule_clusters(model_df(spark, sf_dir))).select("order_id", "cluster",
+                                                                                    "cluster_name")
+
+
+@query("cluster_summary")
+def q_cluster_summary(spark, sf_dir):
+    return rnd(segments.cluster_summary(rules.rule_clusters(model_df(spark, sf_dir))))
+
+
+@query("cluster_ranking")
+def q_cluster_ranking(spark, sf_dir):
+    return rnd(segments.cluster_ranking(rules.rule_clusters(model_df(spark, sf_dir))))
