@@ -11,7 +11,7 @@ import itertools
 import math
 import random
 
-from pyspark import keyword_only
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -157,12 +157,17 @@ def train_classifier(train: DataFrame, name: str, numeric: list[str], categorica
     """Fit one classifier on a supervised frame (``label`` + features).
     Balanced class weights for all but naive Bayes, as in the reference."""
     use_w = balanced and name != "naive_bayes"
-    data = with_class_weights(train, "label") if use_w else train
+    # every estimator stage scans the input: persist it once (recomputable
+    # from lineage if an executor is lost)
+    base = train.persist(StorageLevel.MEMORY_AND_DISK)
+    data = with_class_weights(base, "label") if use_w else base
     n = data.count() if name == "linear_svm" else None
     vt = 1e-4 if name == "naive_bayes" else None
     pipe = classification_pipeline(name, numeric, categorical, n_rows=n, weight="weight" if use_w else None,
                                    variance_threshold=vt, **params)
-    return pipe.fit(data)
+    model = pipe.fit(data)
+    base.unpersist()
+    return model
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -180,7 +185,7 @@ def cross_validate(train: DataFrame, name: str, numeric: list[str], categorical:
                    seed: int = 7, **params) -> DataFrame:
     """k-fold CV: fit on the other folds, score the held-out fold, metrics
     per fold, then mean and population std per metric (long form)."""
-    data = with_folds(train, k, seed=seed).cache()
+    data = with_folds(train, k, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
     per_fold = []
     for f in range(k):
         m = train_classifier(data.filter(F.col("fold") != f), name, numeric, categorical, **params)
@@ -198,18 +203,24 @@ def cross_validate(train: DataFrame, name: str, numeric: list[str], categorical:
                .select(F.lit(name).alias("model"), "metric", "mean", "std")
 
 
-# Search spaces of the randomised searches.
+# Search spaces of the randomised searches (reference names;
+# None depth → the deepest tree MLlib grows, 30).
 RF_GRID = {
-    "n_estimators": [200, 300, 500],
-    "max_depth": [10, 20, 30],
-    "min_samples_leaf": [1, 2, 4],
-    "max_features": ["sqrt", "log2"],
+    "n_estimators": [200, 300, 400],
+    "max_depth": [None, 10, 20, 30],
+    "min_samples_leaf": [1, 2, 5],
+    "max_features": ["sqrt", "log2", 0.5],
+    "class_weight": [None, "balanced", {0: 2, 1: 1}, {0: 3, 1: 1}],
 }
 GBT_GRID = {
-    "n_estimators": [200, 300, 500],
+    "n_estimators": [200, 400, 600],
+    "learning_rate": [0.03, 0.05, 0.1],
     "max_depth": [3, 5, 7],
-    "learning_rate": [0.05, 0.1, 0.2],
     "subsample": [0.8, 1.0],
+    "colsample_bytree": [0.7, 1.0],
+    "min_child_weight": [1, 3, 5],
+    "reg_lambda": [1, 2, 5],
+    "scale_pos_weight": [1, 3, 5],
 }
 
 
@@ -220,29 +231,78 @@ def sample_grid(grid: dict, n_iter: int, seed: int = 42) -> list[dict]:
     return rnd.sample(combos, min(n_iter, len(combos)))
 
 
+def _weight_name(choice) -> str:
+    if choice is None:
+        return "w_none"
+    if choice == "balanced":
+        return "weight"
+    if isinstance(choice, dict):
+        return "w_" + "_".join(f"{k}x{v}" for k, v in sorted(choice.items()))
+    return f"w_pos{choice}"  # scale_pos_weight
+
+
+def _with_weight_columns(df: DataFrame, choices: list) -> DataFrame:
+    """One weight column per class-weight choice of the grid (a search over
+    ``weightCol`` values), all literal projections."""
+    out = with_class_weights(df, "label", "weight")
+    for ch in choices:
+        name = _weight_name(ch)
+        if name in out.columns:
+            continue
+        if ch is None:
+            out = out.withColumn(name, F.lit(1.0))
+        elif isinstance(ch, dict):
+            m = F.create_map(*[x for k, v in ch.items() for x in (F.lit(float(k)), F.lit(float(v)))])
+            out = out.withColumn(name, F.coalesce(m[F.col("label").cast("double")], F.lit(1.0)))
+        else:
+            out = out.withColumn(name, F.when(F.col("label") == 1, F.lit(float(ch))).otherwise(F.lit(1.0)))
+    return out
+
+
+def _param_map(clf, name: str, p: dict) -> dict:
+    m = {}
+    for k, v in p.items():
+        if k == "n_estimators":
+            m[clf.numTrees if name == "random_forest" else clf.maxIter] = v
+        elif k == "max_depth":
+            m[clf.maxDepth] = 30 if v is None else min(v, 30)
+        elif k == "min_samples_leaf" or k == "min_child_weight":
+            m[clf.minInstancesPerNode] = v
+        elif k == "max_features":
+            m[clf.featureSubsetStrategy] = v if isinstance(v, str) else str(v)
+        elif k == "colsample_bytree":
+            m[clf.featureSubsetStrategy] = "all" if v >= 1.0 else str(v)
+        elif k == "learning_rate":
+            m[clf.stepSize] = v
+        elif k == "subsample":
+            m[clf.subsamplingRate] = v
+        elif k in ("class_weight", "scale_pos_weight"):
+            m[clf.weightCol] = _weight_name(None if v == 1 and k == "scale_pos_weight" else v)
+        # reg_lambda: no MLlib counterpart for trees, left out
+    return m
+
+
 def random_search(train: DataFrame, name: str, numeric: list[str], categorical: list[str], grid: dict,
                   n_iter: int = 10, k: int = 3, seed: int = 42, parallelism: int = 2,
                   metric: str = "accuracy") -> tuple[PipelineModel, DataFrame]:
     """Seeded sample of a grid, k-fold ``CrossValidator`` on hash folds,
-    refit on all training rows. Returns the best model and (params, mean
-    metric) rows."""
-    data = with_folds(with_class_weights(train, "label"), k, seed=seed + 1).cache()
-    clf = make_classifier(name)
+    refit on all training rows. Class-weight choices are alternative
+    ``weightCol`` columns. Weighted recall (the reference's score) equals
+    accuracy, hence the default metric. Returns the best model and
+    (params, mean metric) rows."""
+    params = sample_grid(grid, n_iter, seed)
+    choices = [p.get("class_weight", p.get("scale_pos_weight")) for p in params]
+    choices = [None if (c == 1 and "scale_pos_weight" in grid) else c for c in choices]
+    data = with_folds(_with_weight_columns(train, choices), k, seed=seed + 1).persist(StorageLevel.MEMORY_AND_DISK)
+    clf = make_classifier(name, weight="weight")
     pipe = Pipeline(stages=preprocessor(numeric, categorical).getStages() + [clf])
-    names = {"n_estimators": clf.numTrees if name == "random_forest" else getattr(clf, "maxIter", None),
-             "max_depth": clf.maxDepth, "min_samples_leaf": getattr(clf, "minInstancesPerNode", None),
-             "max_features": getattr(clf, "featureSubsetStrategy", None),
-             "learning_rate": getattr(clf, "stepSize", None), "subsample": getattr(clf, "subsamplingRate", None)}
-    maps = []
-    for p in sample_grid(grid, n_iter, seed):
-        maps.append({names[k_]: (min(v, 30) if k_ == "max_depth" else v) for k_, v in p.items()
-                     if names.get(k_) is not None})
+    maps = [_param_map(clf, name, p) for p in params]
     ev = MulticlassClassificationEvaluator(metricName=metric, labelCol="label")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol="fold",
                         parallelism=parallelism, seed=seed)
     model = cv.fit(data)
     data.unpersist()
-    rows = [(str({p.name: v for p, v in m.items()}), float(s)) for m, s in zip(maps, model.avgMetrics)]
+    rows = [(str(p), float(s)) for p, s in zip(params, model.avgMetrics)]
     res = train.sparkSession.createDataFrame(rows, f"params string, mean_{metric} double")
     return model.bestModel, res
 

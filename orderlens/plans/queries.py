@@ -480,3 +480,177 @@ def q_cluster_summary(spark, sf_dir):
 @query("cluster_ranking")
 def q_cluster_ranking(spark, sf_dir):
     return rnd(segments.cluster_ranking(rules.rule_clusters(model_df(spark, sf_dir))))
+
+
+# ================================================================ batch 3: fitted models (rows-only checks)
+from ..operators import models as mdl  # noqa: E402
+
+
+def cls_frame(spark, sf_dir):
+    """Classification input: complete rows only (as the reference), then X/y."""
+    return feat.supervised_xy(model_df(spark, sf_dir).dropna(how="any"), "review_binary")
+
+
+def reg_frame(spark, sf_dir):
+    return feat.supervised_xy(model_df(spark, sf_dir), "review_score", target_type="double")
+
+
+def _fit_predict(spark, sf_dir, name, **params):
+    x = cls_frame(spark, sf_dir)
+    tr, te = split.train_test_split(x)
+    m = mdl.train_classifier(tr, name, NUM, CAT, **params)
+    return mdl.predict(m, te, keep=["order_id", "label"])
+
+
+@query("preprocess_vector")
+def q_preprocess_vector(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark import StorageLevel
+    x = cls_frame(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    tr, _ = split.train_test_split(x)
+    m = prep.preprocessor(NUM, CAT).fit(tr)
+    return m.transform(x).select("order_id", "label", vector_to_array("features").alias("features"))
+
+
+@query("naive_bayes")
+def q_naive_bayes(spark, sf_dir):
+    return _fit_predict(spark, sf_dir, "naive_bayes")
+
+
+@query("logistic")
+def q_logistic(spark, sf_dir):
+    return _fit_predict(spark, sf_dir, "logistic")
+
+
+@query("linear_svm")
+def q_linear_svm(spark, sf_dir):
+    return _fit_predict(spark, sf_dir, "linear_svm")
+
+
+@query("random_forest")
+def q_random_forest(spark, sf_dir):
+    return _fit_predict(spark, sf_dir, "random_forest", n_estimators=200)
+
+
+@query("gbt")
+def q_gbt(spark, sf_dir):
+    # the reference's boosted-tree defaults: 300 rounds, rate 0.1, depth 6, subsample 0.8
+    return _fit_predict(spark, sf_dir, "gbt", n_estimators=300, learning_rate=0.1, max_depth=6, subsample=0.8)
+
+
+@query("cross_validate")
+def q_cross_validate(spark, sf_dir):
+    tr, _ = split.train_test_split(cls_frame(spark, sf_dir))
+    return segments.union_all([mdl.cross_validate(tr, n, NUM, CAT) for n in
+                               ("naive_bayes", "logistic", "random_forest", "linear_svm")])
+
+
+@query("random_search")
+def q_random_search(spark, sf_dir):
+    tr, te = split.train_test_split(cls_frame(spark, sf_dir))
+    best, res = mdl.random_search(tr, "random_forest", NUM, CAT, mdl.RF_GRID, n_iter=10)
+    return res
+
+
+@query("holdout_metrics")
+def q_holdout_metrics(spark, sf_dir):
+    x = cls_frame(spark, sf_dir)
+    tr, te = split.train_test_split(x)
+    rows = []
+    for i, n in enumerate(("naive_bayes", "logistic", "linear_svm", "random_forest")):
+        p = mdl.predict(mdl.train_classifier(tr, n, NUM, CAT), te, keep=["label"])
+        rows.append(met.classification_metrics(p).select(F.lit(n).alias("model"), F.lit(i).alias("ordinal"), "*"))
+    return segments.union_all(rows)
+
+
+@query("batch_score")
+def q_batch_score(spark, sf_dir):
+    """Fit on the training split, persist, reload, score every order."""
+    import os
+    from ..session import scratch_path
+    from ..sources import sinks
+    x = cls_frame(spark, sf_dir)
+    tr, _ = split.train_test_split(x)
+    m = mdl.train_classifier(tr, "logistic", NUM, CAT)
+    path = scratch_path(spark, f"models/logistic-{os.getpid()}")
+    sinks.save_model(m, path)
+    return mdl.predict(sinks.load_model(path), model_df(spark, sf_dir), keep=["order_id"])
+
+
+def _fit_reg(spark, sf_dir, ridge):
+    x = reg_frame(spark, sf_dir)
+    tr, te = split.train_test_split(x)
+    m = mdl.regression_pipeline(NUM, CAT, ridge=ridge).fit(tr)
+    return m.transform(te).select("order_id", "label", "prediction")
+
+
+@query("linear_regression")
+def q_linear_regression(spark, sf_dir):
+    return _fit_reg(spark, sf_dir, False)
+
+
+@query("ridge_regression")
+def q_ridge_regression(spark, sf_dir):
+    return _fit_reg(spark, sf_dir, True)
+
+
+def _importances(spark, sf_dir):
+    x = cls_frame(spark, sf_dir)
+    tr, _ = split.train_test_split(x)
+    m = mdl.train_classifier(tr, "random_forest", NUM, CAT, n_estimators=200)
+    imp = mdl.feature_importance(m, m.transform(tr.limit(1)))
+    return imp.withColumn("feature_short", feat.short_feature_name("feature"))
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    return drivers.top_k(_importances(spark, sf_dir), [F.desc("importance"), F.asc("feature")], 10)
+
+
+@query("importance_rest")
+def q_importance_rest(spark, sf_dir):
+    return reshape.rest_after_top(_importances(spark, sf_dir), [F.desc("importance"), F.asc("feature")], 10)
+
+
+def _kmeans(spark, sf_dir):
+    md = model_df(spark, sf_dir)
+    cf = feat.cluster_features(md)
+    model, cost = segments.kmeans_fit(cf, k=3, n_init=10, seed=42)
+    mapping = segments.spend_order(model, cf)
+    return md, cf, model, cost, mapping
+
+
+@query("kmeans_fit")
+def q_kmeans_fit(spark, sf_dir):
+    md, cf, model, cost, mapping = _kmeans(spark, sf_dir)
+    centers = model.stages[-1].clusterCenters()
+    rows = [(mapping[i], [float(v) for v in c], float(cost)) for i, c in enumerate(centers)]
+    return spark.createDataFrame(rows, "cluster int, center array<double>, training_cost double")
+
+
+@query("assign_clusters")
+def q_assign_clusters(spark, sf_dir):
+    md, cf, model, cost, mapping = _kmeans(spark, sf_dir)
+    labels = segments.assign_clusters(model, cf, mapping=mapping)
+    return segments.write_back(md.select("order_id", "review_score"), labels)
+
+
+@query("kmeans_cluster_summary")
+def q_kmeans_cluster_summary(spark, sf_dir):
+    md, cf, model, cost, mapping = _kmeans(spark, sf_dir)
+    lab = segments.write_back(md, segments.assign_clusters(model, cf, mapping=mapping))
+    return segments.cluster_summary(lab)
+
+
+@query("elbow")
+def q_elbow(spark, sf_dir):
+    return segments.elbow(feat.cluster_features(model_df(spark, sf_dir)), max_k=6)
+
+
+@query("mean_ci_bootstrap")
+def q_mean_ci_bootstrap(spark, sf_dir):
+    from ..functions import late_flag
+    c = cat(spark, sf_dir)
+    ro = drivers.reviews_with_delay(c["order_reviews"], c["orders"]).withColumn(
+        "delayed", late_flag("delivery_delay_days"))
+    return profile.mean_ci_bootstrap(ro, "review_score", ["delayed"], n_boot=200)
