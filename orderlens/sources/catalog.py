@@ -6,6 +6,7 @@ import os
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import schemas
 
@@ -15,16 +16,26 @@ class MissingTableError(FileNotFoundError):
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Typed CSV read: header, quoted multi-line fields, no inference.
+    """Typed CSV read bound by header *name* (not position).
 
-    Timestamps parse with the default ISO layout (``yyyy-MM-dd HH:mm:ss``);
-    malformed values become NULL (PERMISSIVE), like a coercing parse.
+    Columns are read as text (no inference pass), then each schema field is
+    taken from the header column of the same name with ``try_cast`` —
+    malformed values become NULL, like a coercing parse — and a field the
+    file lacks becomes a typed NULL column. Quoted multi-line fields and a
+    UTF-8 BOM before the header are handled by the reader.
     """
-    return (spark.read.schema(schema)
-            .option("header", True).option("multiLine", True)
-            .option("escape", '"').option("mode", "PERMISSIVE")
-            .option("timestampNTZFormat", "yyyy-MM-dd[ HH:mm:ss]")
-            .csv(path))
+    raw = (spark.read.option("header", True).option("multiLine", True)
+           .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+    present = set(raw.columns)
+    cols = []
+    for f in schema.fields:
+        t = f.dataType.simpleString()
+        if f.name in present:
+            c = F.col(f"`{f.name}`") if t == "string" else F.expr(f"try_cast(`{f.name}` AS {t})")
+        else:
+            c = F.lit(None).cast(f.dataType)
+        cols.append(c.alias(f.name))
+    return raw.select(*cols)
 
 
 def _try_read(reader, path):
