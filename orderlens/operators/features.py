@@ -1,8 +1,8 @@
 """Feature frames and prediction-analysis tables.
 
-Fitted statistics (quantiles, medians) are computed in ONE aggregate and
-applied as a 1-row frame cross-joined with ``broadcast`` (a single row:
-a proven size bound) so the apply step stays a narrow, codegen'd projection.
+Fitted statistics (quantiles, medians) are computed in as few aggregates as
+possible and applied as literals, so the apply step stays a narrow,
+codegen'd projection with no join.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clip, col_, finite_or_null, log1p_nonneg, nan_inf_to_zero, score_bucket
 from .profile import _quantiles, box_stats
+from .quantiles import global_quantiles
 
 # Feature lists of the supervised and clustering tasks.
 NUMERIC_FEATURES = ["total_items_price", "total_freight_value", "payment_installments", "payment_value",
@@ -45,24 +46,25 @@ def supervised_xy(df: DataFrame, target: str = "review_binary", key: str = "orde
 
 
 def quantile_bounds(df: DataFrame, columns: list[str], lower: float = 0.01, upper: float = 0.99,
-                    accuracy: int | None = None) -> DataFrame:
-    """1-row frame with ``<c>__lo`` / ``<c>__hi`` quantiles of every column
-    (NULLs skipped), all in one aggregate."""
-    aggs = [_quantiles(c, (lower, upper), accuracy).alias(f"{c}__q") for c in columns]
-    q = df.agg(*aggs)
-    return q.select(*[F.col(f"{c}__q")[i].alias(f"{c}__{s}") for c in columns for i, s in ((0, "lo"), (1, "hi"))])
+                    accuracy: int | None = None) -> dict[str, tuple]:
+    """{column: (lower quantile, upper quantile)} over non-null values.
+    Exact by default (size-checked: ``percentile`` or distributed
+    selection, see ``operators.quantiles``); ``accuracy`` → approximate."""
+    if accuracy is not None:
+        row = df.agg(*[_quantiles(c, (lower, upper), accuracy).alias(c) for c in columns]).first()
+        return {c: tuple(row[c]) if row[c] is not None else (None, None) for c in columns}
+    q = global_quantiles(df, columns, (lower, upper))
+    return {c: tuple(q[c]) for c in columns}
 
 
-def apply_clip_bounds(df: DataFrame, bounds: DataFrame, columns: list[str]) -> DataFrame:
-    """Clamp each column to its bounds (NULL kept) from a 1-row frame."""
-    j = df.crossJoin(F.broadcast(bounds))
-    return j.select(*[clip(c, F.col(f"{c}__lo"), F.col(f"{c}__hi")).alias(c) if c in columns else F.col(c)
-                      for c in df.columns])
+def apply_clip_bounds(df: DataFrame, bounds: dict[str, tuple], columns: list[str]) -> DataFrame:
+    """Clamp each column to its fitted bounds (literals; NULL kept)."""
+    return df.select(*[clip(c, *bounds[c]).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def winsorize(df: DataFrame, columns: list[str], lower: float = 0.01, upper: float = 0.99,
               accuracy: int | None = None) -> DataFrame:
-    """Per-column quantile clip (quantiles from this same frame)."""
+    """Per-column quantile clip (quantiles fitted on this same frame)."""
     return apply_clip_bounds(df, quantile_bounds(df, columns, lower, upper, accuracy), columns)
 
 
@@ -184,11 +186,14 @@ def feature_defaults(df: DataFrame, numeric: list[str], categorical: list[str],
     """Input defaults per feature: numeric → p1 (min), p99 (max), median
     (value); categorical → up to ``max_values`` distinct non-null values in
     ascending order (each a bounded top-k, never a full collect)."""
-    aggs = [_quantiles(c, (0.01, 0.99, 0.5), accuracy).alias(c) for c in numeric]
-    q = df.agg(*aggs).unpivot([], numeric, "feature", "_q")
-    num = q.select("feature", F.lit("numeric").alias("kind"), F.col("_q")[0].alias("min"),
-                   F.col("_q")[1].alias("max"), F.col("_q")[2].alias("value"),
-                   F.lit(None).cast("string").alias("category"), F.lit(None).cast("int").alias("rank"))
+    if accuracy is None:
+        q = global_quantiles(df, numeric, (0.01, 0.99, 0.5))
+        rows = [(c, "numeric", *[None if v is None else float(v) for v in q[c]]) for c in numeric]
+    else:
+        r = df.agg(*[_quantiles(c, (0.01, 0.99, 0.5), accuracy).alias(c) for c in numeric]).first()
+        rows = [(c, "numeric", *(r[c] or [None, None, None])) for c in numeric]
+    num = df.sparkSession.createDataFrame(rows, "feature string, kind string, min double, max double, value double") \
+        .select("*", F.lit(None).cast("string").alias("category"), F.lit(None).cast("int").alias("rank"))
     frames = [num]
     for c in categorical:
         top = df.select(F.col(c).cast("string").alias("category")).filter(F.col("category").isNotNull()) \

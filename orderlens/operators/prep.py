@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clip, nan_inf_to_zero
 from .profile import _quantiles
+from .quantiles import global_quantiles
 
 
 class _ColsMixin(HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
@@ -67,9 +68,14 @@ class MedianImputer(Estimator, _ColsMixin):
 
     def _fit(self, df: DataFrame) -> MedianImputerModel:
         acc = self.getOrDefault(self.accuracy) or None
-        row = df.agg(*[_quantiles(c, (0.5,), acc)[0].alias(c) for c in self.getInputCols()]).first()
-        m = self._copy_cols(MedianImputerModel())
-        return m._set(medians=_floats([row[c] for c in self.getInputCols()]))
+        cols = self.getInputCols()
+        if acc is None:
+            q = global_quantiles(df, cols, (0.5,))
+            meds = [q[c][0] for c in cols]
+        else:
+            row = df.agg(*[_quantiles(c, (0.5,), acc)[0].alias(c) for c in cols]).first()
+            meds = [row[c] for c in cols]
+        return self._copy_cols(MedianImputerModel())._set(medians=_floats(meds))
 
 
 # ---------------------------------------------------------------- mode imputer
@@ -134,9 +140,14 @@ class QuantileClipper(Estimator, _ColsMixin):
     def _fit(self, df: DataFrame) -> QuantileClipperModel:
         acc = self.getOrDefault(self.accuracy) or None
         qs = (self.getOrDefault(self.lower), self.getOrDefault(self.upper))
-        row = df.agg(*[_quantiles(c, qs, acc).alias(c) for c in self.getInputCols()]).first()
-        lows = _floats([(row[c] or [None, None])[0] for c in self.getInputCols()])
-        highs = _floats([(row[c] or [None, None])[1] for c in self.getInputCols()])
+        cols = self.getInputCols()
+        if acc is None:
+            q = global_quantiles(df, cols, qs)
+        else:
+            row = df.agg(*[_quantiles(c, qs, acc).alias(c) for c in cols]).first()
+            q = {c: row[c] or [None, None] for c in cols}
+        lows = _floats([q[c][0] for c in cols])
+        highs = _floats([q[c][1] for c in cols])
         return self._copy_cols(QuantileClipperModel())._set(lows=lows, highs=highs)
 
 

@@ -38,11 +38,29 @@ def with_folds(df: DataFrame, k: int = 3, key: str = "order_id", seed: int = 7,
     return df.withColumn(out, hash_bucket(_key_col(df, key), seed, k).cast("int"))
 
 
-def sample_n(df: DataFrame, n: int, key: str = "order_id", seed: int = 42) -> DataFrame:
-    """Exactly ``min(n, count)`` rows: the ``n`` smallest seeded key hashes
-    (a bounded top-n, merged from per-partition top-n lists)."""
+def sample_n(df: DataFrame, n: int, key: str = "order_id", seed: int = 42, slack: float = 1.05) -> DataFrame:
+    """Exactly ``min(n, count)`` rows: those with the ``n`` smallest seeded
+    key hashes (ties by key).
+
+    A plain ``orderBy(h).limit(n)`` sends every partition's top-n to one
+    task (partitions × n rows). Instead the hash threshold that keeps about
+    ``slack · n`` rows is derived from the row count (hashes are uniform on
+    [0, 2^32)), verified with one count and raised until it keeps at least
+    ``n`` rows; the final top-n then only sees ~n rows.
+    """
     h = hash_bucket(_key_col(df, key), seed, 4294967296)
-    return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
+    hashed = df.withColumn("_h", h)
+    total = df.count()
+    if n >= total:
+        return df
+    frac = min(1.0, slack * n / total)
+    while True:
+        t = min(4294967296, int(frac * 4294967296) + 1)
+        kept = hashed.filter(F.col("_h") < t)
+        if t >= 4294967296 or kept.count() >= n:
+            break
+        frac = min(1.0, frac * 1.5)
+    return kept.orderBy("_h", key).limit(n).drop("_h")
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

@@ -143,8 +143,17 @@ def test_strict_binary_target(spark):
 
 def test_quantiles_interpolate_linearly(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (8.0,)], "x double")
-    b = features.quantile_bounds(df, ["x"], 0.25, 0.75).first()
-    assert b.x__lo == 1.75 and b.x__hi == 5.0
+    assert features.quantile_bounds(df, ["x"], 0.25, 0.75)["x"] == (1.75, 5.0)
+
+
+def test_distributed_selection_equals_percentile(spark):
+    from orderlens.operators.quantiles import global_quantiles
+    rows = [(float((i * 7919) % 1000) / 7.0,) for i in range(3000)] + [(None,)]
+    df = spark.createDataFrame(rows, "x double")
+    qs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    sel = global_quantiles(df, ["x"], qs, max_exact_distinct=0, collect_limit=50, buckets=8)["x"]
+    ref = list(df.agg(F.percentile("x", qs)).first()[0])
+    assert sel == ref
 
 
 def test_nan_never_reaches_late_flag(spark):
