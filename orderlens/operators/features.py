@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clip, col_, finite_or_null, log1p_nonneg, nan_inf_to_zero, score_bucket
-from .profile import _quantiles, box_stats
+from .profile import _join_groups, _quantiles, _small_quantile_frame, box_stats
 from .quantiles import global_quantiles
 
 # Feature lists of the supervised and clustering tasks.
@@ -174,9 +174,15 @@ def pred_distribution(df: DataFrame, y: str = "label", pred: str = "prediction",
     """Distribution of clipped predictions per rounded true score:
     n, min, quartiles, max (the table behind a violin plot)."""
     r = residual_frame(df, y, pred)
+    base = [F.count("y_pred").alias("n"), F.min("y_pred").alias("min"), F.max("y_pred").alias("max")]
+    small = _small_quantile_frame(r, ["y_true_bucket"], ["y_pred"], (0.25, 0.5, 0.75), ("q1", "median", "q3")) \
+        if accuracy is None else None
+    if small is not None:
+        out = _join_groups(r.groupBy("y_true_bucket").agg(*base), small, ["y_true_bucket"])
+        return out.select("y_true_bucket", "n", "min", F.col("y_pred__q1").alias("q1"),
+                          F.col("y_pred__median").alias("median"), F.col("y_pred__q3").alias("q3"), "max")
     return r.groupBy("y_true_bucket").agg(
-        F.count("y_pred").alias("n"), F.min("y_pred").alias("min"),
-        _quantiles("y_pred", (0.25, 0.5, 0.75), accuracy).alias("_q"), F.max("y_pred").alias("max")
+        *base, _quantiles("y_pred", (0.25, 0.5, 0.75), accuracy).alias("_q")
     ).select("y_true_bucket", "n", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
              F.col("_q")[2].alias("q3"), "max")
 

@@ -17,6 +17,27 @@ from pyspark.sql import types as T
 from ..functions import col_
 
 
+def _small_quantile_frame(df: DataFrame, by: list[str], columns: list[str], qs, names):
+    """Per-group exact quantiles as a small frame (bounded groups), or None
+    when the groups are unbounded (use the lazy aggregate then)."""
+    from .quantiles import grouped_quantiles, quantile_frame
+    res = grouped_quantiles(df, by, columns, qs)
+    if res is None:
+        return None
+    types = {b: df.schema[b].dataType for b in by}
+    return F.broadcast(quantile_frame(df.sparkSession, by, types, res, columns, names))  # ≤ max_groups rows
+
+
+def _join_groups(left: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
+    """Null-safe join of per-group results on the group keys."""
+    r = small.select(*[F.col(b).alias(f"_k_{b}") for b in by], *[c for c in small.columns if c not in by])
+    cond = None
+    for b in by:
+        e = left[b].eqNullSafe(r[f"_k_{b}"])
+        cond = e if cond is None else cond & e
+    return left.join(r, cond, "left").drop(*[f"_k_{b}" for b in by])
+
+
 def _quantiles(c, qs, accuracy=None):
     c = col_(c).cast("double")
     if accuracy is None:
@@ -80,13 +101,26 @@ def describe(df: DataFrame, value: str, by: list[str] | None = None, digits: int
     skipped), optionally per group, rounded half-even to ``digits``."""
     by = by or []
     v = F.col(value).cast("double")
-    q = _quantiles(value, (0.25, 0.5, 0.75), accuracy)
-    agg = (df.groupBy(*by) if by else df).agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max"))
     r = (lambda c: F.bround(c, digits)) if digits is not None else (lambda c: c)
-    return agg.select(*by, "count", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"),
-                      r(F.col("min")).alias("min"), r(F.col("_q")[0]).alias("p25"),
+    base = [F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+            F.min(v).alias("min"), F.max(v).alias("max")]
+    tail = [r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"), r(F.col("min")).alias("min")]
+    qn = ("p25", "p50", "p75")
+    if accuracy is None and by:
+        small = _small_quantile_frame(df, by, [value], (0.25, 0.5, 0.75), qn)
+        if small is not None:
+            agg = _join_groups(df.groupBy(*by).agg(*base), small, by)
+            return agg.select(*by, "count", *tail, *[r(F.col(f"{value}__{n}")).alias(n) for n in qn],
+                              r(F.col("max")).alias("max"))
+    if accuracy is None and not by:
+        from .quantiles import global_quantiles
+        qv = global_quantiles(df, [value], (0.25, 0.5, 0.75))[value]
+        agg = df.agg(*base)
+        return agg.select("count", *tail, *[r(F.lit(x).cast("double")).alias(n) for x, n in zip(qv, qn)],
+                          r(F.col("max")).alias("max"))
+    q = _quantiles(value, (0.25, 0.5, 0.75), accuracy)
+    agg = (df.groupBy(*by) if by else df).agg(*base, q.alias("_q"))
+    return agg.select(*by, "count", *tail, r(F.col("_q")[0]).alias("p25"),
                       r(F.col("_q")[1]).alias("p50"), r(F.col("_q")[2]).alias("p75"),
                       r(F.col("max")).alias("max"))
 
@@ -96,14 +130,20 @@ def box_stats(df: DataFrame, value: str, by: list[str], whisker: float = 1.5,
     """Box-plot statistics per group: quartiles, whiskers at the most
     extreme datum within ``whisker``·IQR of the box, outlier count.
 
-    Pass 1 aggregates the quartiles per group; pass 2 joins them back (one
-    row per group — Spark broadcasts it only if measured small) and takes
-    conditional min / max / count in a single aggregate.
+    Pass 1 finds the exact quartiles per group (size-checked selection, see
+    ``operators.quantiles``); pass 2 joins them back (one row per group)
+    and takes conditional min / max / count in a single aggregate.
     """
     v = F.col(value).cast("double")
     data = df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull())
-    q = data.groupBy(*by).agg(_quantiles("_v", (0.25, 0.5, 0.75), accuracy).alias("_q"))
-    q = q.select(*by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    small = _small_quantile_frame(data, by, ["_v"], (0.25, 0.5, 0.75), ("q1", "median", "q3")) \
+        if accuracy is None else None
+    if small is not None:
+        q = small.select(*by, F.col("_v__q1").alias("q1"), F.col("_v__median").alias("median"),
+                         F.col("_v__q3").alias("q3"))
+    else:
+        q = data.groupBy(*by).agg(_quantiles("_v", (0.25, 0.5, 0.75), accuracy).alias("_q"))
+        q = q.select(*by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     q = q.withColumn("lo_fence", F.col("q1") - whisker * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + whisker * (F.col("q3") - F.col("q1")))
     j = data.join(q, by, "inner")

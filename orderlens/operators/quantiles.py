@@ -77,6 +77,10 @@ def global_quantiles(df: DataFrame, columns: list[str], qs, max_exact_distinct:
     return out
 
 
+def _cond(t: dict):
+    return t.get("where") if t.get("where") is not None else F.lit(True)
+
+
 def _select(data: DataFrame, tasks: list[dict], collect_limit: int, buckets: int) -> None:
     while True:
         active = [t for t in tasks if t["vals"] is None]
@@ -88,7 +92,7 @@ def _select(data: DataFrame, tasks: list[dict], collect_limit: int, buckets: int
             return
         small = [(i, t) for i, t in enumerate(active) if t["cnt"] <= collect_limit]
         if small:
-            parts = [data.filter(F.col(t["col"]).between(t["lo"], t["hi"]))
+            parts = [data.filter(_cond(t) & F.col(t["col"]).between(t["lo"], t["hi"]))
                      .select(F.lit(i).alias("t"), F.col(t["col"]).alias("x")) for i, t in small]
             got: dict[int, list] = {}
             frame = parts[0]
@@ -106,7 +110,7 @@ def _select(data: DataFrame, tasks: list[dict], collect_limit: int, buckets: int
         for i, t in refine:
             x = F.col(t["col"])
             b = F.least(F.floor((x - F.lit(t["lo"])) / F.lit(t["hi"] - t["lo"]) * buckets), F.lit(buckets - 1))
-            structs.append(F.when(x.between(t["lo"], t["hi"]),
+            structs.append(F.when(_cond(t) & x.between(t["lo"], t["hi"]),
                                   F.struct(F.lit(i).alias("t"), b.cast("int").alias("b"), x.alias("x"))))
         hits = data.select(F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("s"))
         hist = (hits.groupBy(F.col("s.t").alias("t"), F.col("s.b").alias("b"))
@@ -129,3 +133,92 @@ def _select(data: DataFrame, tasks: list[dict], collect_limit: int, buckets: int
             t["lo"], t["hi"] = first[2], last[3]
             t["below"] += before
             t["cnt"] = sum(row[1] for row in span)
+
+
+def _key_match(by: list[str], key: tuple):
+    cond = F.lit(True)
+    for c, v in zip(by, key):
+        cond = cond & F.col(c).eqNullSafe(F.lit(v))
+    return cond
+
+
+def grouped_quantiles(df: DataFrame, by: list[str], columns: list[str], qs, max_exact_distinct: int = 1_000_000,
+                      collect_limit: int = 50_000, buckets: int = 4096, max_groups: int = 256) -> dict:
+    """{group key tuple: {column: [quantile per q]}} over non-null values.
+
+    Same size check as :func:`global_quantiles`, per (group, column):
+    small ones use ``percentile`` (the value map of a large group is
+    masked out with NULLs), large ones distributed selection. Returns None
+    when there are more than ``max_groups`` groups: the caller then keeps a
+    lazy grouped ``percentile`` (many groups → each map holds a small share
+    of the values) instead of bringing per-group results to the driver.
+    """
+    qs = list(qs)
+    aggs = []
+    for i, c in enumerate(columns):
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
+                 F.approx_count_distinct(x).alias(f"d{i}")]
+    stats = df.groupBy(*by).agg(*aggs).limit(max_groups + 1).collect()
+    if len(stats) > max_groups:
+        return None  # unbounded number of groups: callers aggregate lazily with percentile
+    many = False
+    out: dict = {}
+    tasks = []
+    exact_cols: dict[str, list] = {c: [] for c in columns}
+    for r in stats:
+        key = tuple(r[b] for b in by)
+        out[key] = {c: [None] * len(qs) for c in columns}
+        for i, c in enumerate(columns):
+            n = r[f"n{i}"]
+            if not n:
+                continue
+            if many or r[f"d{i}"] <= max_exact_distinct:
+                exact_cols[c].append(key)
+                continue
+            for j, q in enumerate(qs):
+                h = q * (n - 1)
+                tasks.append({"col": c, "j": j, "h": h, "k0": math.floor(h), "k1": math.ceil(h), "key": key,
+                              "where": _key_match(by, key), "lo": r[f"mn{i}"], "hi": r[f"mx{i}"],
+                              "below": 0, "cnt": n, "vals": None})
+    pct = []
+    for i, c in enumerate(columns):
+        keys = exact_cols[c]
+        if not keys:
+            continue
+        x = F.col(c).cast("double")
+        if not many and len(keys) < len(stats):
+            mask = F.lit(False)
+            for k in keys:
+                mask = mask | _key_match(by, k)
+            x = F.when(mask, x)
+        pct.append(F.percentile(x, qs).alias(f"q{i}"))
+    if pct:
+        for r in df.groupBy(*by).agg(*pct).collect():
+            key = tuple(r[b] for b in by)
+            if key not in out:
+                continue
+            for i, c in enumerate(columns):
+                if f"q{i}" in r.asDict() and key in exact_cols[c] and r[f"q{i}"] is not None:
+                    out[key][c] = list(r[f"q{i}"])
+    if tasks:
+        cols = sorted({t["col"] for t in tasks})
+        data = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            _select(data, tasks, collect_limit, buckets)
+        finally:
+            data.unpersist()
+        for t in tasks:
+            out[t["key"]][t["col"]][t["j"]] = _interp(t["h"], *t["vals"])
+    return out
+
+
+def quantile_frame(spark, by: list[str], by_types: dict, result: dict, columns: list[str], names: list[str]):
+    """A small DataFrame (one row per group) from a grouped result:
+    ``by`` columns + one column per (column, quantile name)."""
+    from pyspark.sql import types as T
+    fields = [T.StructField(b, by_types[b], True) for b in by]
+    fields += [T.StructField(f"{c}__{n}", T.DoubleType(), True) for c in columns for n in names]
+    rows = [tuple(k) + tuple(None if v is None else float(v) for c in columns for v in vals[c])
+            for k, vals in result.items()]
+    return spark.createDataFrame(rows, T.StructType(fields))

@@ -167,3 +167,13 @@ def test_stars(spark, lo, hi):
     from orderlens.functions import stars
     df = spark.createDataFrame([(4.6,), (0.0,)], "p double")
     assert [r.s for r in df.select(stars("p").alias("s")).collect()] == ["★★★★★", "★"]
+
+
+def test_grouped_selection_equals_percentile(spark):
+    from orderlens.operators.quantiles import grouped_quantiles
+    rows = [(i % 3, float((i * 7919) % 1000) / 7.0) for i in range(3000)] + [(1, None)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    qs = [0.01, 0.25, 0.5, 0.99]
+    sel = grouped_quantiles(df, ["g"], ["x"], qs, max_exact_distinct=0, collect_limit=40, buckets=8)
+    ref = {r.g: list(r.q) for r in df.groupBy("g").agg(F.percentile("x", qs).alias("q")).collect()}
+    assert {k[0]: v["x"] for k, v in sel.items()} == ref
