@@ -101,11 +101,17 @@ class ModeImputer(Estimator, _ColsMixin):
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> ModeImputerModel:
-        modes = []
-        for c in self.getInputCols():
-            top = (df.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v"))
-                   .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc("v")).limit(1).collect())
-            modes.append(top[0]["v"] if top else "\0")
+        cols = self.getInputCols()
+        counts = [df.filter(F.col(c).isNotNull())
+                  .groupBy(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+                  for i, c in enumerate(cols)]
+        u = counts[0]
+        for x in counts[1:]:
+            u = u.unionByName(x)
+        # one job: per column the value with the highest count, smallest value on ties
+        best = u.groupBy("i").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v")).collect()
+        found = {r["i"]: r["v"] for r in best}
+        modes = [found.get(i, "\0") for i in range(len(cols))]
         return self._copy_cols(ModeImputerModel())._set(modes=modes)
 
 

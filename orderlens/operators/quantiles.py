@@ -38,9 +38,19 @@ def global_quantiles(df: DataFrame, columns: list[str], qs, max_exact_distinct:
                      collect_limit: int = 50_000, buckets: int = 4096) -> dict[str, list]:
     """{column: [quantile per q]} over non-null values (None when empty)."""
     qs = list(qs)
+    # the projected columns are read by several passes: materialise them once
+    # (recomputable from lineage if an executor is lost)
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _global_quantiles(df, columns, qs, max_exact_distinct, collect_limit, buckets)
+    finally:
+        df.unpersist()
+
+
+def _global_quantiles(df, columns, qs, max_exact_distinct, collect_limit, buckets):
     aggs = []
     for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
+        x = F.col(c)
         aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
                  F.approx_count_distinct(x).alias(f"d{i}")]
     st = df.agg(*aggs).first()
@@ -64,11 +74,7 @@ def global_quantiles(df: DataFrame, columns: list[str], qs, max_exact_distinct:
             h = q * (n - 1)
             tasks.append({"col": c, "j": j, "h": h, "k0": math.floor(h), "k1": math.ceil(h),
                           "lo": st[f"mn{i}"], "hi": st[f"mx{i}"], "below": 0, "cnt": n, "vals": None})
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in big]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        _select(data, tasks, collect_limit, buckets)
-    finally:
-        data.unpersist()
+    _select(df, tasks, collect_limit, buckets)
     for c in big:
         if c not in out:
             out[c] = [None] * len(qs)
@@ -154,9 +160,17 @@ def grouped_quantiles(df: DataFrame, by: list[str], columns: list[str], qs, max_
     of the values) instead of bringing per-group results to the driver.
     """
     qs = list(qs)
+    df = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _grouped_quantiles(df, by, columns, qs, max_exact_distinct, collect_limit, buckets, max_groups)
+    finally:
+        df.unpersist()
+
+
+def _grouped_quantiles(df, by, columns, qs, max_exact_distinct, collect_limit, buckets, max_groups):
     aggs = []
     for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
+        x = F.col(c)
         aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
                  F.approx_count_distinct(x).alias(f"d{i}")]
     stats = df.groupBy(*by).agg(*aggs).limit(max_groups + 1).collect()
@@ -202,12 +216,7 @@ def grouped_quantiles(df: DataFrame, by: list[str], columns: list[str], qs, max_
                 if f"q{i}" in r.asDict() and key in exact_cols[c] and r[f"q{i}"] is not None:
                     out[key][c] = list(r[f"q{i}"])
     if tasks:
-        cols = sorted({t["col"] for t in tasks})
-        data = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            _select(data, tasks, collect_limit, buckets)
-        finally:
-            data.unpersist()
+        _select(df, tasks, collect_limit, buckets)
         for t in tasks:
             out[t["key"]][t["col"]][t["j"]] = _interp(t["h"], *t["vals"])
     return out

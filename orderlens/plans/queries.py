@@ -578,9 +578,12 @@ def q_batch_score(spark, sf_dir):
 
 
 def _fit_reg(spark, sf_dir, ridge):
+    from pyspark import StorageLevel
     x = reg_frame(spark, sf_dir)
     tr, te = split.train_test_split(x)
+    tr = tr.persist(StorageLevel.MEMORY_AND_DISK)  # every estimator stage scans it
     m = mdl.regression_pipeline(NUM, CAT, ridge=ridge).fit(tr)
+    tr.unpersist()
     return m.transform(te).select("order_id", "label", "prediction")
 
 

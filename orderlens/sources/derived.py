@@ -48,17 +48,20 @@ def derived_orders(o: DataFrame) -> DataFrame:
 
 
 def derived_order_items(li: DataFrame) -> DataFrame:
-    # order_item_id: position of the line inside its order (partitioned by order)
-    w = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
-    return li.select(
-        F.col("l_orderkey").alias("order_id"),
-        F.row_number().over(w).cast("bigint").alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("seller_id"),
-        F.col("l_shipdate").alias("shipping_limit_date"),
+    # order_item_id: position of the line inside its order. The window is
+    # partitioned by the *output* key, so the exchange it needs is also the
+    # clustering every later per-order aggregate asks for (no second shuffle).
+    base = li.select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
+        F.col("l_suppkey").alias("seller_id"), F.col("l_shipdate").alias("shipping_limit_date"),
         F.col("l_extendedprice").alias("price"),
         (F.col("l_extendedprice") * F.col("l_tax")).alias("freight_value"),
-    )
+        "l_linenumber", "l_quantity")
+    w = Window.partitionBy("order_id").orderBy(
+        "l_linenumber", "product_id", "seller_id", "price", "l_quantity", "shipping_limit_date")
+    return base.select(
+        "order_id", F.row_number().over(w).cast("bigint").alias("order_item_id"),
+        "product_id", "seller_id", "shipping_limit_date", "price", "freight_value")
 
 
 def derived_order_reviews(o: DataFrame) -> DataFrame:
