@@ -64,33 +64,39 @@ def derived_order_items(li: DataFrame) -> DataFrame:
         "product_id", "seller_id", "shipping_limit_date", "price", "freight_value")
 
 
+def _one_or_two(first_cond, first, second_cond, second) -> F.Column:
+    """0–2 generated rows per input row from ONE scan (explode of a filtered
+    array) instead of a union of two scans of the same table."""
+    return F.explode(F.filter(F.array(F.when(first_cond, first), F.when(second_cond, second)),
+                              lambda x: x.isNotNull()))
+
+
 def derived_order_reviews(o: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
     score = (F.when(k % 211 == 0, F.lit(None).cast("bigint"))
              .when((k * 37) % 45 + 1 > 30 + k % 11, 1 + (k * 7) % 4)
              .otherwise(5 - ((k * 13) % 17) % 3))
-    first = o.filter(k % 19 != 0).select(
-        (k * 2).alias("review_id"), k.alias("order_id"), score.alias("review_score"),
-        F.col("o_orderdate").alias("review_creation_date"))
-    second = o.filter(k % 53 == 0).select(
-        (k * 2 + 1).alias("review_id"), k.alias("order_id"),
-        (1 + F.expr("o_orderkey div 53") % 5).cast("bigint").alias("review_score"),
-        F.col("o_orderdate").alias("review_creation_date"))
-    return first.unionByName(second)
+    first = F.struct((k * 2).alias("review_id"), score.alias("review_score"))
+    second = F.struct((k * 2 + 1).alias("review_id"),
+                      (1 + F.expr("o_orderkey div 53") % 5).cast("bigint").alias("review_score"))
+    r = o.select(k.alias("order_id"), F.col("o_orderdate").alias("review_creation_date"),
+                 _one_or_two(k % 19 != 0, first, k % 53 == 0, second).alias("r"))
+    return r.select("r.review_id", "order_id", "r.review_score", "review_creation_date")
 
 
 def derived_payments(o: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
     ptype = (F.when(k % 4 == 0, "boleto").when(k % 4 == 1, "voucher").otherwise("credit_card"))
-    first = o.filter(k % 307 != 0).select(
-        k.alias("order_id"), F.lit(1).cast("bigint").alias("payment_sequential"),
-        ptype.alias("payment_type"), (1 + k % 10).alias("payment_installments"),
-        F.when(k % 10 == 0, F.col("o_totalprice") / 2).otherwise(F.col("o_totalprice")).alias("payment_value"))
-    second = o.filter(k % 10 == 0).select(
-        k.alias("order_id"), F.lit(2).cast("bigint").alias("payment_sequential"),
-        F.lit("voucher").alias("payment_type"), F.lit(1).cast("bigint").alias("payment_installments"),
-        (F.col("o_totalprice") / 2).alias("payment_value"))
-    return first.unionByName(second)
+    first = F.struct(F.lit(1).cast("bigint").alias("payment_sequential"), ptype.alias("payment_type"),
+                     (1 + k % 10).alias("payment_installments"),
+                     F.when(k % 10 == 0, F.col("o_totalprice") / 2).otherwise(F.col("o_totalprice"))
+                     .alias("payment_value"))
+    second = F.struct(F.lit(2).cast("bigint").alias("payment_sequential"), F.lit("voucher").alias("payment_type"),
+                      F.lit(1).cast("bigint").alias("payment_installments"),
+                      (F.col("o_totalprice") / 2).alias("payment_value"))
+    p = o.select(k.alias("order_id"), _one_or_two(k % 307 != 0, first, k % 10 == 0, second).alias("p"))
+    return p.select("order_id", "p.payment_sequential", "p.payment_type", "p.payment_installments",
+                    "p.payment_value")
 
 
 def derived_customers(c: DataFrame, n: DataFrame) -> DataFrame:
