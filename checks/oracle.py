@@ -109,7 +109,8 @@ TIME_COLS = f"""{day_diff('order_delivered_customer_date', 'order_purchase_times
 
 TARGET_COLS = """CAST(coalesce(review_score >= 4, false) AS INTEGER) AS review_positive,
   CAST(coalesce(review_score <= 2, false) AS INTEGER) AS review_negative,
-  CASE WHEN review_score >= 4 THEN 1.0 WHEN review_score <= 2 THEN 0.0 END AS review_binary"""
+  CASE WHEN review_score >= 4 THEN CAST(1.0 AS DOUBLE) WHEN review_score <= 2 THEN CAST(0.0 AS DOUBLE) END
+    AS review_binary"""
 
 MODEL_CTES = BASE_CTES + [
     ("timed", f"SELECT *, {TIME_COLS} FROM base"),

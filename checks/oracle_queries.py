@@ -339,8 +339,8 @@ add("parity_metrics", model_sql(reg_sql("yc", "pc", "(SELECT least(greatest(y, 1
                                                     "least(greatest(p, 1.0), 5.0) AS pc FROM rr)"), extra=[RR]))
 add("clip_pred", model_sql("""SELECT order_id, round(p, 6) AS prediction,
   round(least(greatest(p, 1.0), 5.0), 6) AS prediction_clipped FROM rr""", extra=[RR]))
-add("residual_bins", model_sql("""SELECT bin, round(1.0 + (bin - 1) * 0.25, 6) AS bin_left,
-  round(1.0 + (bin - 1) * 0.25 + 0.25, 6) AS bin_right,
+add("residual_bins", model_sql("""SELECT bin, CAST(round(1.0 + (bin - 1) * 0.25, 6) AS DOUBLE) AS bin_left,
+  CAST(round(1.0 + (bin - 1) * 0.25 + 0.25, 6) AS DOUBLE) AS bin_right,
   round((CASE WHEN bin = 1 THEN 0.999 ELSE 1.0 + (bin - 1) * 0.25 END + (1.0 + (bin - 1) * 0.25) + 0.25) / 2, 6)
     AS bin_center, round(mean_res, 6) AS mean_res, round(std_res, 6) AS std_res, n
 FROM (SELECT CAST(greatest(ceil((y_pred - 1.0) / 0.25), 1) AS INTEGER) AS bin, avg(residual) AS mean_res,
@@ -353,7 +353,7 @@ def box_sql(src: str, value: str, by: str) -> str:
   round(any_value(q.q3), 6) AS q3,
   round(min(CASE WHEN d.v >= q.lo AND d.v <= q.hi THEN d.v END), 6) AS whisker_low,
   round(max(CASE WHEN d.v >= q.lo AND d.v <= q.hi THEN d.v END), 6) AS whisker_high,
-  sum(CASE WHEN d.v >= q.lo AND d.v <= q.hi THEN 0 ELSE 1 END) AS n_outliers
+  CAST(sum(CASE WHEN d.v >= q.lo AND d.v <= q.hi THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers
 FROM (SELECT {by}, CAST({value} AS DOUBLE) AS v FROM {src} WHERE {value} IS NOT NULL) d
 JOIN (SELECT {by}, q1, median, q3, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (
   SELECT {by}, quantile_cont(CAST({value} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({value} AS DOUBLE), 0.5) AS median,
