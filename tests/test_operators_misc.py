@@ -55,3 +55,23 @@ def test_coerce_numeric_and_timestamps(spark):
     df = spark.createDataFrame([("1.5", "2018-01-01 10:00:00"), ("x", "bad")], "a string, t string")
     out = reshape.coerce_timestamps(reshape.coerce_numeric(df, ["a"]), ["t"]).collect()
     assert out[0].a == 1.5 and out[1].a is None and out[1].t is None and out[0].t.hour == 10
+
+
+def test_rank_within_key_survives_hot_key(spark):
+    from pyspark.sql import Window
+    # one key holds ~half of the rows; the rank must equal a plain window's
+    rows = [(0 if i % 2 == 0 else i, (i * 37) % 1001, i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k long, a long, b long")
+    got = reshape.rank_within_key(df, "k", ["a", "b"], "r", hot_threshold=500, chunk_rows=300)
+    want = df.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("a", "b")))
+    assert sorted(map(tuple, got.select("k", "a", "b", "r").collect())) == \
+        sorted(map(tuple, want.select("k", "a", "b", "r").collect()))
+    # the plan numbers the hot key per (key, chunk): several chunks exist
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_chunk" in plan
+
+
+def test_rank_within_key_without_hot_keys_is_plain_window(spark):
+    df = spark.createDataFrame([(1, 2), (1, 1), (2, 5)], "k long, a long")
+    got = sorted(map(tuple, reshape.rank_within_key(df, "k", ["a"], "r").collect()))
+    assert got == [(1, 1, 1), (1, 2, 2), (2, 5, 1)]
