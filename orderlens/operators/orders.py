@@ -97,9 +97,11 @@ def base_orders(data: dict[str, DataFrame], drop_canceled_orders: bool = True,
           .join(payments_agg(data["payments"], key), key, "left")
           .join(data["customers"], "customer_id", "left"))
     products = data["products"].select(F.col("product_id").alias("first_product_id"), "product_category_name")
-    df = df.join(products, "first_product_id", "left").drop("first_product_id")
     if "product_translation" in data:
-        df = df.join(data["product_translation"], "product_category_name", "left")
+        # translate the (small) product dimension first: the order-level table
+        # then takes one join on the product key instead of two shuffles
+        products = products.join(data["product_translation"], "product_category_name", "left")
+    df = df.join(products, "first_product_id", "left").drop("first_product_id")
     lead = [c for c in orders.columns] + [c for c in ("review_score", "review_count", "n_items", "product_ids",
                                                       "total_items_price", "total_freight_value", "sellers_ids",
                                                       "payment_sequential", "payment_type", "payment_installments",
