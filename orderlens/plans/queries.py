@@ -14,8 +14,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import drivers, orders, profile, reshape
+from ..functions import score_bucket as _score_bucket
+from ..functions import stars as _stars
+from ..operators import drivers, orders, profile, reshape, split
+from ..operators import features as feat
+from ..operators import metrics as met
+from ..operators import models as mdl
+from ..operators import prep, segments
 from ..sources.derived import derived_catalog
+from . import rules
 
 DIGITS = 6
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,9 +225,6 @@ def q_overall_bad_rate(spark, sf_dir):
 
 
 # ================================================================ batch 2: features, prep, metrics
-from ..functions import stars as _stars, score_bucket as _score_bucket  # noqa: E402
-from ..operators import features as feat, metrics as met, prep, segments, split  # noqa: E402
-from . import rules  # noqa: E402
 
 NUM = feat.NUMERIC_FEATURES
 CAT = feat.CATEGORICAL_FEATURES
@@ -483,7 +487,6 @@ def q_cluster_ranking(spark, sf_dir):
 
 
 # ================================================================ batch 3: fitted models (rows-only checks)
-from ..operators import models as mdl  # noqa: E402
 
 
 def cls_frame(spark, sf_dir):

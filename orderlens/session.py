@@ -60,3 +60,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table under the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), "tables", name)
+
+
+def scale_settings(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20,
+                   max_shuffle_partitions: int = 32768) -> dict:
+    """Shuffle and scan sizing for an input of ``input_bytes`` on
+    ``total_cores`` cores: enough shuffle partitions that each holds about
+    ``target_partition_bytes`` (at least 2 per core, capped so shuffle
+    metadata stays manageable) — AQE then coalesces small ones to
+    ``advisoryPartitionSizeInBytes`` and splits skewed ones; scan splits of
+    128 MB keep a task's input well inside executor memory.
+
+    At 100 TB on 1000 executors × 8 cores this gives 32768 shuffle
+    partitions (~3 GB of raw input per partition before the partial
+    aggregation that precedes every shuffle here).
+    """
+    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(min(parts, max_shuffle_partitions)),
+        "spark.sql.files.maxPartitionBytes": str(128 << 20),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
