@@ -166,7 +166,7 @@ def mean_ci(df: DataFrame, value: str, by: list[str] | None = None, z: float = 1
     return a.select(*by, "n", "mean", (F.col("mean") - half).alias("ci_low"), (F.col("mean") + half).alias("ci_high"))
 
 
-def mean_ci_bootstrap(df: DataFrame, value: str, by: list[str], n_boot: int = 200, seed: int = 42,
+def mean_ci_bootstrap(df: DataFrame, value: str, by: list[str], n_boot: int = 1000, seed: int = 42,
                       level: float = 0.95) -> DataFrame:
     """Bootstrap interval of the mean per group.
 

@@ -650,7 +650,7 @@ def q_kmeans_cluster_summary(spark, sf_dir):
 
 @query("elbow")
 def q_elbow(spark, sf_dir):
-    return segments.elbow(feat.cluster_features(model_df(spark, sf_dir)), max_k=6)
+    return segments.elbow(feat.cluster_features(model_df(spark, sf_dir)), max_k=10)
 
 
 @query("mean_ci_bootstrap")
@@ -659,4 +659,4 @@ def q_mean_ci_bootstrap(spark, sf_dir):
     c = cat(spark, sf_dir)
     ro = drivers.reviews_with_delay(c["order_reviews"], c["orders"]).withColumn(
         "delayed", late_flag("delivery_delay_days"))
-    return profile.mean_ci_bootstrap(ro, "review_score", ["delayed"], n_boot=200)
+    return profile.mean_ci_bootstrap(ro, "review_score", ["delayed"], n_boot=1000)
