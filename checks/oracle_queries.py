@@ -425,3 +425,45 @@ add("cluster_summary", model_sql("SELECT cluster, " + ",\n  ".join(
 add("cluster_ranking", model_sql("""SELECT cluster, round(avg(review_score), 6) AS mean_score, count(*) AS n,
   round((SELECT avg(review_score) FROM rcl WHERE cluster IS NOT NULL AND review_score IS NOT NULL), 6) AS global_mean
 FROM rcl WHERE cluster IS NOT NULL AND review_score IS NOT NULL GROUP BY cluster""", extra=[RCL]))
+
+add("density_residual", model_sql("""SELECT
+  CASE WHEN e.x1 = e.x0 THEN 0 ELSE CAST(least(floor((least(greatest(y_pred, e.x0), e.x1) - e.x0) * 35 / (e.x1 - e.x0)), 34) AS INTEGER) END AS ix,
+  CASE WHEN e.y1 = e.y0 THEN 0 ELSE CAST(least(floor((least(greatest(residual, e.y0), e.y1) - e.y0) * 35 / (e.y1 - e.y0)), 34) AS INTEGER) END AS iy,
+  count(*) AS n
+FROM res, (SELECT min(y_pred) AS x0, max(y_pred) AS x1, min(residual) AS y0, max(residual) AS y1 FROM res
+           WHERE y_pred IS NOT NULL AND residual IS NOT NULL) e
+WHERE y_pred IS NOT NULL AND residual IS NOT NULL GROUP BY 1, 2""", extra=[RR, RES]))
+
+# ---------------------------------------------------------------- the column transformer (operator 88)
+CX = ("cx", "SELECT order_id, CAST(review_binary AS INTEGER) AS label, "
+      + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUM) + ", " + ", ".join(CAT)
+      + " FROM md WHERE review_binary IS NOT NULL AND " + " AND ".join(f"{c} IS NOT NULL" for c in MODEL_COLUMNS))
+CTR = ("ctr", f"SELECT * FROM cx WHERE NOT ({is_test()})")
+PM = ("pm", "SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in NUM) + " FROM ctr")
+PQ = ("pq", "SELECT " + ", ".join(f"quantile_cont(coalesce({c}, m_{c}), [0.01, 0.99]) AS q_{c}" for c in NUM)
+      + " FROM ctr, pm")
+PMODE = [(f"pmode_{c}", f"""SELECT v FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM ctr
+WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY n DESC, v LIMIT 1""") for c in CAT]
+PLEV = [(f"plev_{c}", f"""SELECT v, row_number() OVER (ORDER BY v) - 1 AS slot FROM (
+SELECT DISTINCT coalesce(CAST({c} AS VARCHAR), (SELECT v FROM pmode_{c})) AS v FROM ctr)""") for c in CAT]
+
+
+def _scaled(c: str) -> str:
+    imp, lo, hi = f"coalesce(cx.{c}, m_{c})", f"q_{c}[1]", f"q_{c}[2]"
+    return (f"CASE WHEN {hi} = {lo} THEN 0.0 "
+            f"ELSE (least(greatest({imp}, {lo}), {hi}) - {lo}) / ({hi} - {lo}) END")
+
+
+def _onehot(c: str) -> str:
+    return (f"list_transform(range((SELECT count(*) FROM plev_{c})), "
+            f"lambda i: CASE WHEN i = l_{c}.slot THEN 1.0 ELSE 0.0 END)")
+
+
+add("preprocess_vector", model_sql(
+    "SELECT cx.order_id, cx.label, list_transform(list_concat(["
+    + ", ".join(f"CAST({_scaled(c)} AS DOUBLE)" for c in NUM) + "], "
+    + ", ".join(_onehot(c) for c in CAT)
+    + "), lambda x: round(CAST(x AS DOUBLE), 6)) AS features\nFROM cx CROSS JOIN pm CROSS JOIN pq "
+    + " ".join(f"LEFT JOIN plev_{c} l_{c} ON coalesce(CAST(cx.{c} AS VARCHAR), (SELECT v FROM pmode_{c})) = l_{c}.v"
+               for c in CAT),
+    extra=[CX, CTR, PM, PQ] + PMODE + PLEV))

@@ -159,13 +159,26 @@ def residuals_by_score(df: DataFrame, y: str = "label", pred: str = "prediction"
     return box_stats(residual_frame(df, y, pred), "residual", ["y_true_bucket"])
 
 
-def density_2d(df: DataFrame, x: str, y: str, lo: float = 1.0, hi: float = 5.0, gridsize: int = 30) -> DataFrame:
-    """Counts on a gridsize × gridsize square grid over [lo, hi]² (values
-    clipped into the range first); empty cells are absent."""
-    def cell(c):
-        v = clip(c, lo, hi)
-        return F.least(F.floor((v - lo) * gridsize / (hi - lo)), F.lit(gridsize - 1)).cast("int")
+def density_2d(df: DataFrame, x: str, y: str, lo: float = 1.0, hi: float = 5.0, gridsize: int = 30,
+               data_extent: bool = False) -> DataFrame:
+    """Counts on a gridsize × gridsize grid (the table behind a hexbin).
+
+    The grid spans [lo, hi]² (values clipped into it), or with
+    ``data_extent`` each axis spans its own data min..max (one aggregate).
+    Empty cells are absent."""
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if data_extent:
+        e = d.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+        ranges = {x: (e[0], e[1]), y: (e[2], e[3])}
+    else:
+        ranges = {x: (lo, hi), y: (lo, hi)}
+
+    def cell(c):
+        a, b = ranges[c]
+        if a is None or b is None or b == a:
+            return F.lit(0)
+        v = clip(c, a, b)
+        return F.least(F.floor((v - a) * gridsize / (b - a)), F.lit(gridsize - 1)).cast("int")
     return d.groupBy(cell(x).alias("ix"), cell(y).alias("iy")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -426,6 +426,12 @@ def q_density_2d(spark, sf_dir):
     return feat.density_2d(r, "y_true", "y_pred")
 
 
+@query("density_residual")
+def q_density_residual(spark, sf_dir):
+    r = feat.residual_frame(rule_reg(spark, sf_dir))
+    return feat.density_2d(r, "y_pred", "residual", gridsize=35, data_extent=True)
+
+
 @query("pred_distribution")
 def q_pred_distribution(spark, sf_dir):
     return rnd(feat.pred_distribution(rule_reg(spark, sf_dir)))
@@ -512,7 +518,8 @@ def q_preprocess_vector(spark, sf_dir):
     x = cls_frame(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     tr, _ = split.train_test_split(x)
     m = prep.preprocessor(NUM, CAT).fit(tr)
-    return m.transform(x).select("order_id", "label", vector_to_array("features").alias("features"))
+    return m.transform(x).select("order_id", "label", F.transform(vector_to_array("features"),
+                                                                  lambda v: F.round(v, 6)).alias("features"))
 
 
 @query("naive_bayes")
