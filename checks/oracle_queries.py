@@ -467,3 +467,29 @@ add("preprocess_vector", model_sql(
     + " ".join(f"LEFT JOIN plev_{c} l_{c} ON coalesce(CAST(cx.{c} AS VARCHAR), (SELECT v FROM pmode_{c})) = l_{c}.v"
                for c in CAT),
     extra=[CX, CTR, PM, PQ] + PMODE + PLEV))
+
+# ---------------------------------------------------------------- naive Bayes pipeline (97 + 88 + 89)
+PV = ("pv", "SELECT cx.order_id, cx.label, " + is_test("cx.order_id") + " AS t, list_concat(["
+      + ", ".join(f"CAST({_scaled(c)} AS DOUBLE)" for c in NUM) + "], "
+      + ", ".join(f"list_transform({_onehot(c)}, lambda x: CAST(x AS DOUBLE))" for c in CAT)
+      + ") AS f\nFROM cx CROSS JOIN pm CROSS JOIN pq "
+      + " ".join(f"LEFT JOIN plev_{c} l_{c} ON coalesce(CAST(cx.{c} AS VARCHAR), (SELECT v FROM pmode_{c})) = l_{c}.v"
+                 for c in CAT))
+NB_CTES = [
+    ("lng", "SELECT order_id, label, t, unnest(range(len(f))) AS slot, unnest(f) AS v FROM pv"),
+    ("kept", "SELECT slot FROM lng WHERE NOT t GROUP BY slot HAVING var_pop(v) > 0.0001"),
+    ("tl", "SELECT l.* FROM lng l JOIN kept k ON l.slot = k.slot"),
+    ("eps", "SELECT 0.0001 * max(vp) AS eps FROM (SELECT slot, var_pop(v) AS vp FROM tl WHERE NOT t GROUP BY slot)"),
+    ("ncls", "SELECT label AS c, count(*) AS n FROM pv WHERE NOT t GROUP BY label"),
+    ("lp", "SELECT c, ln(CAST(n AS DOUBLE) / (SELECT sum(n) FROM ncls)) AS lp FROM ncls"),
+    ("st", """SELECT label AS c, slot, avg(v) AS mu, greatest(var_pop(v) + (SELECT eps FROM eps), 0.0001) AS var
+FROM tl WHERE NOT t GROUP BY label, slot"""),
+    ("ll", """SELECT x.order_id, x.label, s.c,
+  sum(-0.5 * ln(2 * pi() * s.var) - (x.v - s.mu) * (x.v - s.mu) / (2 * s.var)) + any_value(lp.lp) AS ll
+FROM tl x JOIN st s ON x.slot = s.slot JOIN lp ON lp.c = s.c WHERE x.t GROUP BY x.order_id, x.label, s.c"""),
+    ("llm", "SELECT *, max(ll) OVER (PARTITION BY order_id) AS m FROM ll"),
+]
+add("naive_bayes", model_sql("""SELECT order_id, label, CAST(arg_max(c, ll) AS DOUBLE) AS prediction,
+  list(round(exp(ll - m) / z, 6) ORDER BY c) AS probability
+FROM (SELECT *, sum(exp(ll - m)) OVER (PARTITION BY order_id) AS z FROM llm) GROUP BY order_id, label""",
+                             extra=[CX, CTR, PM, PQ] + PMODE + PLEV + [PV] + NB_CTES))

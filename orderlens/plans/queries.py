@@ -524,7 +524,8 @@ def q_preprocess_vector(spark, sf_dir):
 
 @query("naive_bayes")
 def q_naive_bayes(spark, sf_dir):
-    return _fit_predict(spark, sf_dir, "naive_bayes")
+    p = _fit_predict(spark, sf_dir, "naive_bayes")
+    return p.withColumn("probability", F.transform("probability", lambda v: F.round(v, 6)))
 
 
 @query("logistic")
