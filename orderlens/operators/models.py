@@ -322,7 +322,6 @@ def feature_importance(model: PipelineModel, scored_sample: DataFrame) -> DataFr
     ``scored_sample`` is any frame transformed by the model (it carries the
     vector's attribute metadata for the slot names)."""
     last = model.stages[-1]
-    feats_col = "selected" if "selected" in scored_sample.columns else "features"
     names = feature_names(scored_sample, "features")
     sel = [s for s in model.stages if hasattr(s, "getOrDefault") and s.hasParam("indices")]
     if sel:
@@ -337,6 +336,5 @@ def feature_importance(model: PipelineModel, scored_sample: DataFrame) -> DataFr
     else:
         return scored_sample.sparkSession.createDataFrame([], "feature string, importance double")
     m = min(len(names), len(imp))
-    rows = [(names[i], float(imp[i])) for i in range(m)]
-    _ = feats_col
+    rows = [(names[i], float(imp[i])) for i in range(m)]  # bounded by the number of features
     return scored_sample.sparkSession.createDataFrame(rows, "feature string, importance double")

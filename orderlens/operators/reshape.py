@@ -57,42 +57,41 @@ def metric_matrix(long: DataFrame, row: str, column: str, value: str, columns: l
 
 
 def rank_within_key(df: DataFrame, key: str, order: list[str], out: str = "rank",
-                    hot_threshold: int = 1_000_000, chunk_rows: int | None = None,
-                    sample_rows: int = 20_000, max_hot_keys: int = 1000, seed: int = 7) -> DataFrame:
+                    hot_threshold: int = 1_000_000, chunk_rows: int | None = None, max_chunks: int = 256,
+                    max_hot_keys: int = 64, sample_per_chunk: int = 64, seed: int = 7) -> DataFrame:
     """``row_number() OVER (PARTITION BY key ORDER BY order)`` that survives a
     key holding a large share of all rows.
 
-    One aggregate finds the keys with more than ``hot_threshold`` rows (at
-    most ``max_hot_keys`` can exist per threshold × keys; they reach the
-    driver). Without hot keys this is the plain window. Each hot key is cut
-    into contiguous chunks at boundary tuples taken from a sample of its
-    rows; boundaries are embedded as literals, so the chunk of a row is a
-    deterministic function of the row (the same in every branch and on
-    recomputation after executor loss). Rows are numbered per (key, chunk)
-    and shifted by the sizes of the earlier chunks of the same key; the
-    offset table has one row per (key, chunk).
+    One aggregate finds the largest keys with more than ``hot_threshold``
+    rows (at most ``max_hot_keys`` reach the driver). Without hot keys this
+    is the plain window. Each hot key is cut into at most ``max_chunks``
+    contiguous chunks at boundary tuples taken from a bounded sample of its
+    rows (``sample_per_chunk`` per chunk); the boundaries are literals, so a
+    row's chunk (the number of boundaries ≤ its tuple) is a deterministic
+    function of the row — the same in every branch and on recomputation
+    after executor loss. Rows are numbered per (key, chunk) and shifted by
+    the sizes of the earlier chunks of the same key; the offset table has
+    one row per (key, chunk).
     """
     hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_threshold)
-           .limit(max_hot_keys).collect())
-    w_plain = Window.partitionBy(key).orderBy(*order)
+           .orderBy(F.desc("_n")).limit(max_hot_keys).collect())
     if not hot:
-        return df.withColumn(out, F.row_number().over(w_plain))
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     per_chunk = chunk_rows or max(hot_threshold // 2, 1)
     tup = F.struct(*[F.col(c) for c in order])
     chunk = F.lit(0)
     for r in hot:
         k, n = r[key], r["_n"]
-        n_chunks = max(2, -(-n // per_chunk))
-        frac = min(1.0, sample_rows / n)
+        n_chunks = min(max_chunks, max(2, -(-n // per_chunk)))
+        frac = min(1.0, sample_per_chunk * n_chunks / n)
         sample = sorted((tuple(x) for x in df.filter(F.col(key) == F.lit(k)).sample(fraction=frac, seed=seed)
-                         .select(*order).collect()), key=_sort_key)
+                         .select(*order).collect()), key=_sort_key)  # ≈ sample_per_chunk × n_chunks rows
         if not sample:
             continue
         bounds = [sample[int(i * len(sample) / n_chunks)] for i in range(1, n_chunks)]
-        idx = F.lit(0)
-        for b in bounds:  # chunk = number of boundaries ≤ the row's tuple (lexicographic)
-            bt = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, b)])
-            idx = idx + F.when(tup >= bt, 1).otherwise(0)
+        arr = F.array(*[F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, b)])
+                        for b in bounds])
+        idx = F.size(F.filter(arr, lambda b: b <= tup))
         chunk = F.when(F.col(key) == F.lit(k), idx).otherwise(chunk)
     chunked = df.withColumn("_chunk", chunk)
     local = chunked.withColumn("_lr", F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(*order)))
