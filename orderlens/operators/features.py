@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clip, col_, finite_or_null, log1p_nonneg, nan_inf_to_zero, score_bucket
+from ..session import materialize
 from .profile import _join_groups, _quantiles, _small_quantile_frame, box_stats
 from .quantiles import global_quantiles
 
@@ -75,6 +76,9 @@ def cluster_features(df: DataFrame, key: str = "order_id", columns=None, accurac
     keep = [key] if key in df.columns else []
     x = df.select(*keep, *[finite_or_null(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(c) for c in cols])
     x = x.select(*keep, *[log1p_nonneg(c).alias(c) if c in MONEY_FEATURES else F.col(c) for c in cols])
+    # fitted (quantiles) then applied: materialise the narrow frame once
+    # instead of recomputing the upstream joins for each pass
+    x = materialize(x)
     return winsorize(x, cols, accuracy=accuracy).dropna(subset=cols)
 
 

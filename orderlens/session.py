@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on: UTC wall clock (timestamps are handled as
 # TIMESTAMP_NTZ, but DuckDB/pandas comparisons assume UTC), AQE for runtime
@@ -83,3 +83,12 @@ def scale_settings(input_bytes: int, total_cores: int, target_partition_bytes: i
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     }
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a frame that is read more than once (fit, then
+    apply): a reliable checkpoint in the shared ``spark.checkpoint.dir``.
+    The result survives executor loss (files, not executor memory) and is
+    not recomputed from the upstream joins."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
