@@ -215,10 +215,12 @@ def score_distribution(reviews: DataFrame, score: str = "review_score") -> DataF
 
 
 def value_counts_long(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``value_counts(dropna=False)`` of several columns as (column, value, n)."""
-    frames = [df.groupBy(F.col(c).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-              .select(F.lit(c).alias("column"), "value", "n") for c in columns]
-    return reduce(DataFrame.unionByName, frames)
+    """``value_counts(dropna=False)`` of several columns as (column, value, n):
+    one scan that emits a (column, value) struct per column and one grouped
+    count (partially aggregated), instead of one scan per column."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                                for c in columns])).alias("p")
+    return df.select(pairs).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def orders_per_month(orders: DataFrame, ts: str = "order_purchase_timestamp") -> DataFrame:

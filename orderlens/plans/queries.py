@@ -293,12 +293,11 @@ def q_one_hot(spark, sf_dir):
     md = model_df(spark, sf_dir).select("order_id", *CAT)
     m = Pipeline(stages=prep.one_hot_stages(CAT)).fit(train_part(md))
     t = m.transform(md)
-    frames = []
-    for c in CAT:
+    slots = []
+    for c in CAT:  # one scan: a (feature, slot) struct per categorical, exploded
         pos = F.array_position(vector_to_array(F.col(f"{c}__oh")), 1.0)
-        frames.append(t.select("order_id", F.lit(c).alias("feature"),
-                               F.when(pos > 0, pos - 1).cast("int").alias("slot")))
-    return segments.union_all(frames)
+        slots.append(F.struct(F.lit(c).alias("feature"), F.when(pos > 0, pos - 1).cast("int").alias("slot")))
+    return t.select("order_id", F.explode(F.array(*slots)).alias("s")).select("order_id", "s.feature", "s.slot")
 
 
 @query("variance_filter")
@@ -362,11 +361,10 @@ def q_report_long(spark, sf_dir):
 
 
 def rule_metric_rows(spark, sf_dir):
-    frames = []
-    for i, name in enumerate(rules.RULE_CLASSIFIERS):
-        m = met.classification_metrics(rule_cls(spark, sf_dir, name))
-        frames.append(m.select(F.lit(name).alias("model"), F.lit(i).alias("ordinal"), "*"))
-    return segments.union_all(frames)
+    """Metrics of every rule model from one aggregate over all predictions."""
+    counts = met.confusion_counts_by(rule_cls(spark, sf_dir), "model")
+    rows = [(name, i, *met.metrics_dict(counts[name]).values()) for i, name in enumerate(rules.RULE_CLASSIFIERS)]
+    return spark.createDataFrame(rows, "model string, ordinal int, " + met.METRICS_SCHEMA)
 
 
 @query("classification_metrics")

@@ -8,8 +8,6 @@ data, so the checked operators run over whole tables.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +26,14 @@ def _rule(name: str):
 
 
 def rule_classifications(md: DataFrame, names=None) -> DataFrame:
-    """(model, ordinal, order_id, label, prediction) for labelled rows."""
+    """(model, ordinal, order_id, label, prediction) for labelled rows: one
+    scan of the modelling table, one exploded row per rule."""
+    names = names or RULE_CLASSIFIERS
     lab = md.filter(F.col("review_binary").isNotNull())
-    frames = [lab.select(F.lit(n).alias("model"), F.lit(i).alias("ordinal"), "order_id",
-                         F.col("review_binary").cast("int").alias("label"), _rule(n).alias("prediction"))
-              for i, n in enumerate(names or RULE_CLASSIFIERS)]
-    return reduce(DataFrame.unionByName, frames)
+    preds = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.lit(i).alias("ordinal"),
+                                         _rule(n).alias("prediction")) for i, n in enumerate(names)])).alias("r")
+    return lab.select("order_id", F.col("review_binary").cast("int").alias("label"), preds) \
+              .select("r.model", "r.ordinal", "order_id", "label", "r.prediction")
 
 
 def rule_regression(md: DataFrame) -> DataFrame:
