@@ -194,6 +194,36 @@ class MinMaxScaler(Estimator, _ColsMixin):
             mins=_floats([row[f"{c}__min"] for c in cols]), maxs=_floats([row[f"{c}__max"] for c in cols]))
 
 
+# ---------------------------------------------------------------- clip + min-max in one stage
+class ClipScaler(QuantileClipper):
+    """Quantile clip followed by min-max scaling, fitted in one quantile
+    pass: after clipping to [lo, hi] the fitted minimum is exactly lo and the
+    maximum exactly hi (lo, hi are quantiles of the same data), so the
+    separate min-max fit is redundant. Output equals QuantileClipper →
+    MinMaxScaler (constant column → 0.0, NULL kept)."""
+
+    def _fit(self, df: DataFrame) -> "ClipScalerModel":
+        q = super()._fit(df)
+        m = ClipScalerModel()
+        m._set(inputCols=q.getInputCols(), outputCols=q._outs(), lows=q.getOrDefault(q.lows),
+               highs=q.getOrDefault(q.highs))
+        return m
+
+
+class ClipScalerModel(QuantileClipperModel):
+    def _transform(self, df: DataFrame) -> DataFrame:
+        out = {}
+        for i, o, lo, hi in zip(self.getInputCols(), self._outs(), self.getOrDefault(self.lows),
+                                self.getOrDefault(self.highs)):
+            if math.isnan(lo) or math.isnan(hi):
+                out[o] = F.when(F.col(i).isNotNull(), F.col(i) - F.col(i)).cast("double")
+            elif hi == lo:
+                out[o] = F.when(F.col(i).isNotNull(), F.lit(0.0))
+            else:
+                out[o] = ((clip(i, lo, hi) - F.lit(lo)) / F.lit(hi - lo)).cast("double")
+        return df.withColumns(out)
+
+
 # ---------------------------------------------------------------- standard scaler (population)
 class StandardScalerModel(Model, _ColsMixin):
     means = Param(Params._dummy(), "means", "means", TypeConverters.toListFloat)
@@ -303,14 +333,14 @@ def one_hot_stages(categorical: list[str]) -> list:
 
 def preprocessor(numeric: list[str], categorical: list[str], features_col: str = "features",
                  impute_categorical: bool = True, accuracy: int = 0) -> Pipeline:
-    """Numeric: median impute → 1–99 % quantile clip → min-max (constant → 0).
+    """Numeric: median impute → 1–99 % quantile clip → min-max (constant → 0),
+    the last two fitted together (:class:`ClipScaler`).
     Categorical: mode impute → one-hot. Assembled into one vector whose
     slot names (ML attributes) follow ``<column>`` / ``<column>_<value>``."""
     num_out = [f"{c}__num" for c in numeric]
     cat_in = [f"{c}__cat" for c in categorical] if impute_categorical else categorical
     stages = [MedianImputer(inputCols=numeric, outputCols=num_out, accuracy=accuracy),
-              QuantileClipper(inputCols=num_out, accuracy=accuracy),
-              MinMaxScaler(inputCols=num_out)]
+              ClipScaler(inputCols=num_out, accuracy=accuracy)]  # = QuantileClipper → MinMaxScaler
     if categorical:
         if impute_categorical:
             stages.append(ModeImputer(inputCols=categorical, outputCols=cat_in))

@@ -467,10 +467,11 @@ def q_feature_defaults(spark, sf_dir):
 @query("short_feature_name")
 def q_short_feature_name(spark, sf_dir):
     md = model_df(spark, sf_dir)
-    frames = [spark.range(1).select(F.lit(f"num__{c}").alias("feature")) for c in NUM]
-    frames += [md.select(F.concat(F.lit(f"cat__{c}_"), F.col(c).cast("string")).alias("feature"))
-               .filter(F.col("feature").isNotNull()).distinct() for c in CAT]
-    names = segments.union_all(frames)
+    # every feature label of the modelling table (numeric names + one per
+    # seen category), from one scan
+    labels = F.array(*[F.lit(f"num__{c}") for c in NUM],
+                     *[F.concat(F.lit(f"cat__{c}_"), F.col(c).cast("string")) for c in CAT])
+    names = md.select(F.explode(labels).alias("feature")).filter(F.col("feature").isNotNull()).distinct()
     return names.select("feature", feat.short_feature_name("feature").alias("feature_short"))
 
 

@@ -177,3 +177,12 @@ def test_grouped_selection_equals_percentile(spark):
     sel = grouped_quantiles(df, ["g"], ["x"], qs, max_exact_distinct=0, collect_limit=40, buckets=8)
     ref = {r.g: list(r.q) for r in df.groupBy("g").agg(F.percentile("x", qs).alias("q")).collect()}
     assert {k[0]: v["x"] for k, v in sel.items()} == ref
+
+
+def test_clip_scaler_equals_clipper_then_minmax(spark):
+    rows = [(float(i % 97) if i % 11 else None, 5.0) for i in range(500)] + [(1000.0, 5.0), (-50.0, 5.0)]
+    df = spark.createDataFrame(rows, "x double, k double")
+    a = prep.QuantileClipper(inputCols=["x", "k"]).fit(df).transform(df)
+    a = prep.MinMaxScaler(inputCols=["x", "k"]).fit(a).transform(a)
+    b = prep.ClipScaler(inputCols=["x", "k"]).fit(df).transform(df)
+    assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
