@@ -372,7 +372,8 @@ add("pred_distribution", model_sql("""SELECT y_true_bucket, count(y_pred) AS n,
                                    extra=[RR, RES]))
 add("stars", model_sql("""SELECT order_id, round(p, 6) AS prediction,
   CAST(least(greatest(round_even(p, 0), 1.0), 5.0) AS INTEGER) AS stars_n,
-  repeat('★', CAST(least(greatest(round_even(p, 0), 1.0), 5.0) AS INTEGER)) AS stars FROM rr""", extra=[RR]))
+  repeat('★', CAST(least(greatest(round_even(p, 0), 1.0), 5.0) AS INTEGER))
+    || repeat('☆', 5 - CAST(least(greatest(round_even(p, 0), 1.0), 5.0) AS INTEGER)) AS stars FROM rr""", extra=[RR]))
 
 # ---------------------------------------------------------------- descriptive
 add("mean_ci", with_views("""SELECT delayed, n, round(mean, 6) AS mean,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "col_", "day_diff", "weekday_mon0", "late_flag", "positive_target", "negative_target",
     "strict_binary_target", "clip", "finite_or_null", "nan_inf_to_zero", "log1p_nonneg",
-    "score_bucket", "hash_bucket", "stars", "yes_no", "not_equal_keep_null",
+    "score_bucket", "hash_bucket", "stars", "class_label", "yes_no", "not_equal_keep_null",
 ]
 
 MICROS_PER_DAY = 86_400_000_000
@@ -104,9 +104,20 @@ def hash_bucket(key, seed: int = 42, buckets: int = 100) -> Column:
     return ((k * F.lit(2654435761) + F.lit(seed)) % F.lit(4294967296)) % F.lit(buckets)
 
 
+# Display symbols and class labels of a scored order.
+FULL_STAR, EMPTY_STAR = "★", "☆"
+CLASS_LABELS = {1: "Bom (1)", 0: "Ruim (0)"}
+
+
 def stars(c, lo: int = 1, hi: int = 5) -> Column:
-    """A star string of the rounded, clamped score."""
-    return F.repeat(F.lit("★"), score_bucket(c, lo, hi))
+    """Filled stars for the rounded, clamped score, padded with empty stars to ``hi``."""
+    n = score_bucket(c, lo, hi)
+    return F.concat(F.repeat(F.lit(FULL_STAR), n), F.repeat(F.lit(EMPTY_STAR), F.lit(hi) - n))
+
+
+def class_label(pred) -> Column:
+    """Display label of a 0/1 class prediction (anything but 1 → the 0 label)."""
+    return F.when(col_(pred) == 1, F.lit(CLASS_LABELS[1])).otherwise(F.lit(CLASS_LABELS[0]))
 
 
 def yes_no(flag, yes: str = "Sim", no: str = "Não") -> Column:

@@ -161,15 +161,22 @@ def regression_job(spark: SparkSession, table_path: str, out_dir: str) -> dict:
 def score_batch(model_path: str, candidates: DataFrame, key: str = "order_id") -> DataFrame:
     """Score a DataFrame of candidate orders with a stored model; regression
     models also get the clamped value and stars."""
-    from ..functions import score_bucket, stars
+    from ..functions import class_label, score_bucket, stars
     m = sinks.load_model(model_path)
     out = models.predict(m, candidates, keep=[key])
-    if "probability" not in out.columns:
+    if "probability" not in out.columns and not _is_classifier(m):
         out = out.withColumn("prediction_clipped", features.clip("prediction", 1.0, 5.0)) \
                  .withColumn("stars_n", score_bucket("prediction")).withColumn("stars", stars("prediction"))
+    else:
+        out = out.withColumn("prediction_label", class_label("prediction"))
     return out
 
 
+def _is_classifier(model) -> bool:
+    last = model.stages[-1].__class__.__name__
+    return "Classif" in last or last in ("LinearSVCModel", "GaussianNBModel", "LogisticRegressionModel")
+
+
 def main(argv: list[str]) -> None:
     from ..session import get_spark
     spark = get_spark()

@@ -23,3 +23,7 @@ def test_jobs_end_to_end(spark, tmp_dir):
     assert "rmse" in json.loads(doc)["linear_regression"]
     scored = jobs.score_batch(os.path.join(tmp_dir, "reg", "models", "linear_regression"), spark.read.parquet(path))
     assert {"prediction_clipped", "stars"} <= set(scored.columns)
+    cls_scored = jobs.score_batch(os.path.join(tmp_dir, "cls", "models", "best_accuracy"), spark.read.parquet(path))
+    assert "prediction_label" in cls_scored.columns
+    assert {r.prediction_label for r in cls_scored.select("prediction_label").distinct().collect()} <= \
+        {"Bom (1)", "Ruim (0)"}

@@ -166,7 +166,13 @@ def test_nan_never_reaches_late_flag(spark):
 def test_stars(spark, lo, hi):
     from orderlens.functions import stars
     df = spark.createDataFrame([(4.6,), (0.0,)], "p double")
-    assert [r.s for r in df.select(stars("p").alias("s")).collect()] == ["★★★★★", "★"]
+    assert [r.s for r in df.select(stars("p").alias("s")).collect()] == ["★★★★★", "★☆☆☆☆"]
+
+
+def test_class_label(spark):
+    from orderlens.functions import class_label
+    df = spark.createDataFrame([(1.0,), (0.0,)], "p double")
+    assert [r.s for r in df.select(class_label("p").alias("s")).collect()] == ["Bom (1)", "Ruim (0)"]
 
 
 def test_grouped_selection_equals_percentile(spark):
