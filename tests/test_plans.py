@@ -17,13 +17,25 @@ def test_no_cartesian_no_python(spark, name):
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "PythonUDF" not in p
 
 
-def test_filters_and_projection_reach_scan(spark):
-    df = REGISTRY["drop_canceled"](spark, SF_SMALL)
-    s = plan(df)
-    assert "PushedFilters" in s or "pushedFilters" in s
-    # only the needed columns of orders are read
-    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string,o_orderdate" in \
-        df._jdf.queryExecution().executedPlan().toString() or "o_totalprice" not in s
+def _read_schemas(df):
+    import re
+    return set(re.findall(r"ReadSchema: (struct<[^>]*>)", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_only_needed_columns_are_read(spark):
+    # category statistics need only the order and part keys of lineitem: the
+    # item-numbering window and every other column are pruned away
+    s = _read_schemas(REGISTRY["worst_categories"](spark, SF_SMALL))
+    assert "struct<l_orderkey:bigint,l_partkey:bigint>" in s
+    assert "struct<p_partkey:bigint,p_brand:string>" in s
+    assert not any("l_extendedprice" in x or "l_tax" in x for x in s)
+    assert _read_schemas(REGISTRY["orders_per_month"](spark, SF_SMALL)) == \
+        {"struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>"}
+
+
+def test_filters_reach_scan(spark):
+    p = REGISTRY["orders_per_month"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(o_orderdate)" in p
 
 
 def test_joins_reuse_order_partitioning(spark):
