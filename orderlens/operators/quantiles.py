@@ -35,7 +35,7 @@ def _interp(h: float, v0: float, v1: float) -> float:
 
 
 def global_quantiles(df: DataFrame, columns: list[str], qs, max_exact_distinct: int = 1_000_000,
-                     collect_limit: int = 50_000, buckets: int = 4096) -> dict[str, list]:
+                     collect_limit: int = 10_000, buckets: int = 4096) -> dict[str, list]:
     """{column: [quantile per q]} over non-null values (None when empty)."""
     qs = list(qs)
     # the projected columns are read by several passes: materialise them once
@@ -149,7 +149,7 @@ def _key_match(by: list[str], key: tuple):
 
 
 def grouped_quantiles(df: DataFrame, by: list[str], columns: list[str], qs, max_exact_distinct: int = 1_000_000,
-                      collect_limit: int = 50_000, buckets: int = 4096, max_groups: int = 256) -> dict:
+                      collect_limit: int = 10_000, buckets: int = 4096, max_groups: int = 256) -> dict:
     """{group key tuple: {column: [quantile per q]}} over non-null values.
 
     Same size check as :func:`global_quantiles`, per (group, column):

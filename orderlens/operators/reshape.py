@@ -58,7 +58,7 @@ def metric_matrix(long: DataFrame, row: str, column: str, value: str, columns: l
 
 def rank_within_key(df: DataFrame, key: str, order: list[str], out: str = "rank",
                     hot_threshold: int = 1_000_000, chunk_rows: int | None = None, max_chunks: int = 256,
-                    max_hot_keys: int = 64, sample_per_chunk: int = 64, seed: int = 7) -> DataFrame:
+                    max_hot_keys: int = 64, sample_per_chunk: int = 16, seed: int = 7) -> DataFrame:
     """``row_number() OVER (PARTITION BY key ORDER BY order)`` that survives a
     key holding a large share of all rows.
 
