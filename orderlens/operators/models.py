@@ -124,15 +124,19 @@ def make_classifier(name: str, features: str = "features", label: str = "label",
         return LinearSVC(featuresCol=features, labelCol=label, regParam=1.0 / (c * max(n_rows or 1, 1)),
                          maxIter=params.get("max_iter", 100), standardization=False, **w)
     if name == "random_forest":
+        depth = params.get("max_depth")  # None = grow fully: MLlib's deepest tree, 30
         return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=params.get("n_estimators", 200),
-                                      maxDepth=min(params.get("max_depth", 12), 30),
+                                      maxDepth=30 if depth is None else min(depth, 30),
                                       featureSubsetStrategy=params.get("max_features", "sqrt"),
                                       minInstancesPerNode=params.get("min_samples_leaf", 1),
                                       seed=params.get("seed", 42), **w)
     if name == "gbt":
-        return GBTClassifier(featuresCol=features, labelCol=label, maxIter=params.get("n_estimators", 100),
-                             stepSize=params.get("learning_rate", 0.1), maxDepth=params.get("max_depth", 5),
-                             subsamplingRate=params.get("subsample", 1.0), seed=params.get("seed", 42), **w)
+        col = params.get("colsample_bytree", 0.8)
+        return GBTClassifier(featuresCol=features, labelCol=label, maxIter=params.get("n_estimators", 300),
+                             stepSize=params.get("learning_rate", 0.1), maxDepth=params.get("max_depth", 6),
+                             subsamplingRate=params.get("subsample", 0.8),
+                             featureSubsetStrategy="all" if col >= 1.0 else str(col),
+                             seed=params.get("seed", 42), **w)
     raise ValueError(f"unknown classifier {name!r}")
 
 
@@ -152,11 +156,17 @@ def classification_pipeline(name: str, numeric: list[str], categorical: list[str
     return Pipeline(stages=stages)
 
 
+# the reference balances class weights for these two only
+BALANCED_BY_DEFAULT = ("logistic", "linear_svm")
+
+
 def train_classifier(train: DataFrame, name: str, numeric: list[str], categorical: list[str],
-                     balanced: bool = True, **params) -> PipelineModel:
+                     balanced: bool | None = None, **params) -> PipelineModel:
     """Fit one classifier on a supervised frame (``label`` + features).
-    Balanced class weights for all but naive Bayes, as in the reference."""
-    use_w = balanced and name != "naive_bayes"
+    Balanced class weights by default for logistic regression and the
+    linear SVM, none for naive Bayes and the tree ensembles (as the
+    reference); ``balanced`` overrides."""
+    use_w = (name in BALANCED_BY_DEFAULT) if balanced is None else (balanced and name != "naive_bayes")
     # every estimator stage scans the input: persist it once (recomputable
     # from lineage if an executor is lost)
     base = train.persist(StorageLevel.MEMORY_AND_DISK)

@@ -544,8 +544,9 @@ def q_random_forest(spark, sf_dir):
 
 @query("gbt")
 def q_gbt(spark, sf_dir):
-    # the reference's boosted-tree defaults: 300 rounds, rate 0.1, depth 6, subsample 0.8
-    return _fit_predict(spark, sf_dir, "gbt", n_estimators=300, learning_rate=0.1, max_depth=6, subsample=0.8)
+    # the reference's boosted-tree defaults: 300 rounds, rate 0.1, depth 6, row / column sample 0.8
+    return _fit_predict(spark, sf_dir, "gbt", n_estimators=300, learning_rate=0.1, max_depth=6, subsample=0.8,
+                        colsample_bytree=0.8)
 
 
 @query("cross_validate")
