@@ -120,7 +120,12 @@ def class_label(pred) -> Column:
     return F.when(col_(pred) == 1, F.lit(CLASS_LABELS[1])).otherwise(F.lit(CLASS_LABELS[0]))
 
 
-def yes_no(flag, yes: str = "Sim", no: str = "Não") -> Column:
+# Labels of the late-delivery flag.
+YES_LABEL, NO_LABEL = "Sim", "Não"
+
+
+def yes_no(flag, yes: str = YES_LABEL, no: str = NO_LABEL) -> Column:
+    """Display label of a boolean flag (NULL → the 'no' label)."""
     return F.when(col_(flag), F.lit(yes)).otherwise(F.lit(no))
 
 
