@@ -21,6 +21,7 @@ from ..operators import features as feat
 from ..operators import metrics as met
 from ..operators import models as mdl
 from ..operators import prep, segments
+from ..session import materialize
 from ..sources.derived import derived_catalog
 from . import rules
 
@@ -256,7 +257,7 @@ def q_cluster_features(spark, sf_dir):
 
 @query("winsorize")
 def q_winsorize(spark, sf_dir):
-    md = model_df(spark, sf_dir).select("order_id", *[F.col(c).cast("double").alias(c) for c in NUM])
+    md = materialize(model_df(spark, sf_dir).select("order_id", *[F.col(c).cast("double").alias(c) for c in NUM]))
     return rnd(feat.winsorize(md, NUM))
 
 
@@ -269,20 +270,20 @@ def q_standardize(spark, sf_dir):
 
 @query("impute_median")
 def q_impute_median(spark, sf_dir):
-    md = model_df(spark, sf_dir).select("order_id", *[F.col(c).cast("double").alias(c) for c in NUM])
+    md = materialize(model_df(spark, sf_dir).select("order_id", *[F.col(c).cast("double").alias(c) for c in NUM]))
     m = prep.MedianImputer(inputCols=NUM).fit(train_part(md))
     return rnd(m.transform(md))
 
 
 @query("impute_mode")
 def q_impute_mode(spark, sf_dir):
-    md = model_df(spark, sf_dir).select("order_id", *CAT)
+    md = materialize(model_df(spark, sf_dir).select("order_id", *CAT))
     return prep.ModeImputer(inputCols=CAT).fit(train_part(md)).transform(md)
 
 
 @query("minmax_scale")
 def q_minmax_scale(spark, sf_dir):
-    md = model_df(spark, sf_dir).select("order_id", *[F.col(c).cast("double").alias(c) for c in NUM])
+    md = materialize(model_df(spark, sf_dir).select("order_id", *[F.col(c).cast("double").alias(c) for c in NUM]))
     return rnd(prep.MinMaxScaler(inputCols=NUM).fit(train_part(md)).transform(md))
 
 
@@ -290,7 +291,7 @@ def q_minmax_scale(spark, sf_dir):
 def q_one_hot(spark, sf_dir):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
-    md = model_df(spark, sf_dir).select("order_id", *CAT)
+    md = materialize(model_df(spark, sf_dir).select("order_id", *CAT))
     m = Pipeline(stages=prep.one_hot_stages(CAT)).fit(train_part(md))
     t = m.transform(md)
     slots = []
@@ -332,8 +333,8 @@ def q_gaussian_nb(spark, sf_dir):
     from pyspark.ml.feature import VectorAssembler
     from ..operators.models import GaussianNB
     x = sup(spark, sf_dir).dropna(subset=NUM)
-    x = VectorAssembler(inputCols=NUM, outputCol="features").transform(
-        x.select("order_id", "label", *[F.col(c).cast("double").alias(c) for c in NUM]))
+    x = materialize(x.select("order_id", "label", *[F.col(c).cast("double").alias(c) for c in NUM]))
+    x = VectorAssembler(inputCols=NUM, outputCol="features").transform(x)
     s = split.with_split(x)
     m = GaussianNB().fit(s.filter(~F.col("is_test")))
     return m.transform(s.filter(F.col("is_test"))).select("order_id", "label", "prediction")
