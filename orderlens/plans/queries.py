@@ -496,12 +496,13 @@ def q_cluster_ranking(spark, sf_dir):
 
 
 def cls_frame(spark, sf_dir):
-    """Classification input: complete rows only (as the reference), then X/y."""
-    return feat.supervised_xy(model_df(spark, sf_dir).dropna(how="any"), "review_binary")
+    """Classification input: complete rows only (as the reference), then X/y;
+    materialised once because training and scoring both read it."""
+    return materialize(feat.supervised_xy(model_df(spark, sf_dir).dropna(how="any"), "review_binary"))
 
 
 def reg_frame(spark, sf_dir):
-    return feat.supervised_xy(model_df(spark, sf_dir), "review_score", target_type="double")
+    return materialize(feat.supervised_xy(model_df(spark, sf_dir), "review_score", target_type="double"))
 
 
 def _fit_predict(spark, sf_dir, name, **params):
@@ -514,8 +515,7 @@ def _fit_predict(spark, sf_dir, name, **params):
 @query("preprocess_vector")
 def q_preprocess_vector(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
-    from pyspark import StorageLevel
-    x = cls_frame(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    x = cls_frame(spark, sf_dir)
     tr, _ = split.train_test_split(x)
     m = prep.preprocessor(NUM, CAT).fit(tr)
     return m.transform(x).select("order_id", "label", F.transform(vector_to_array("features"),
