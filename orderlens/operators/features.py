@@ -216,14 +216,12 @@ def feature_defaults(df: DataFrame, numeric: list[str], categorical: list[str],
         r = df.agg(*[_quantiles(c, (0.01, 0.99, 0.5), accuracy).alias(c) for c in numeric]).first()
         rows = [(c, "numeric", *(r[c] or [None, None, None])) for c in numeric]
     num = df.sparkSession.createDataFrame(rows, "feature string, kind string, min double, max double, value double") \
-        .select("*", F.lit(None).cast("string").alias("category"), F.lit(None).cast("int").alias("rank"))
+        .select("*", F.lit(None).cast("string").alias("category"))
     frames = [num]
     for c in categorical:
         top = df.select(F.col(c).cast("string").alias("category")).filter(F.col("category").isNotNull()) \
                 .distinct().orderBy("category").limit(max_values)
         frames.append(top.select(F.lit(c).alias("feature"), F.lit("categorical").alias("kind"),
                                  F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max"),
-                                 F.lit(None).cast("double").alias("value"), "category",
-                                 F.lit(None).cast("int").alias("rank")))
-    out = reduce(DataFrame.unionByName, frames)
-    return out.drop("rank")
+                                 F.lit(None).cast("double").alias("value"), "category"))
+    return reduce(DataFrame.unionByName, frames)

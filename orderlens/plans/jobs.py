@@ -9,6 +9,8 @@ reach the driver.
     python -m orderlens.plans.jobs build  <source_dir> <out_dir> [csv|parquet|derived]
     python -m orderlens.plans.jobs eda    <source_dir> <out_dir> [csv|parquet|derived]
     python -m orderlens.plans.jobs classify|cluster|regress <table_path> <out_dir>
+    python -m orderlens.plans.jobs score  <model_path> <table_path> <out_dir>
+    python -m orderlens.plans.jobs stream <model_path> <incoming_dir> <out_dir>
 """
 
 from __future__ import annotations
@@ -181,7 +183,7 @@ def main(argv: list[str]) -> None:
     from ..session import get_spark
     spark = get_spark()
     job, a, b = argv[1], argv[2], argv[3]
-    fmt = argv[4] if len(argv) > 4 else "csv"
+    fmt = argv[4] if len(argv) > 4 and job in ("build", "eda") else "csv"
     if job == "build":
         print(build_modelling_table(spark, a, b, fmt))
     elif job == "eda":
@@ -192,6 +194,12 @@ def main(argv: list[str]) -> None:
         clustering_job(spark, a, b)
     elif job == "regress":
         print(regression_job(spark, a, b))
+    elif job == "score":
+        sinks.write_table(score_batch(a, sinks.read_table(spark, b)), argv[4])
+    elif job == "stream":
+        from ..streaming.scoring import start_scoring
+        incoming = sinks.read_table(spark, b).schema  # the files' own schema
+        start_scoring(spark, b, incoming, a, argv[4], available_now=True).awaitTermination()
     else:
         raise SystemExit(__doc__)
 
