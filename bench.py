@@ -32,14 +32,21 @@ def main() -> None:
     spark = get_spark(f"local[{cpus}]", int(cpus) * 2)
     only = sys.argv[1:] or HEADLINE
     REGISTRY["table_shapes"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
-    times = {}
+    times, errors = {}, {}
     for name in only:
         t0 = time.time()
-        REGISTRY[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - t0, 3)
+        try:
+            REGISTRY[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.time() - t0, 3)
+        except Exception as e:  # noqa: BLE001 — report, keep timing the rest
+            times[name] = None
+            errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
     m = re.search(r"sf([0-9.]+)", sf_dir)
-    print(json.dumps({"metric": "headline_queries_total_time", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": float(m.group(1)) if m else sf_dir}))
+    out = {"metric": "headline_queries_total_time", "value": round(sum(v for v in times.values() if v), 3),
+           "unit": "sec", "queries": times, "sf": float(m.group(1)) if m else sf_dir}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":
