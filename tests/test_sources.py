@@ -66,3 +66,19 @@ def test_parquet_round_trip(spark, tmp_dir):
     sinks.write_table(md, p)
     back = sinks.read_table(spark, p)
     assert back.count() == md.count() and back.dtypes == md.dtypes
+
+
+def test_parquet_catalog_round_trip(spark, tmp_dir):
+    c = derived_catalog(spark, SF_SMALL)
+    for name, df in c.items():
+        df.write.mode("overwrite").parquet(os.path.join(tmp_dir, f"{name}.parquet"))
+    back = catalog.load_catalog(spark, tmp_dir, fmt="parquet")
+    assert set(back) == set(c)
+    assert back["order_items"].count() == c["order_items"].count()
+
+
+def test_keep_cancelled_orders(spark):
+    from orderlens.operators import orders
+    c = derived_catalog(spark, SF_SMALL)
+    assert orders.base_orders(c, drop_canceled_orders=False).count() == c["orders"].count()
+    assert orders.base_orders(c).count() == orders.drop_canceled(c["orders"]).count()
