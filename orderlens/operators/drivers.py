@@ -14,10 +14,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import day_diff, late_flag, yes_no
 
 
+_FIXED_WIDTH = (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DoubleType, T.FloatType, T.BooleanType,
+                T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def dedup_first(df: DataFrame, key: str, order: str, columns: list[str] | None = None) -> DataFrame:
     """One row per ``key``: the row with the lowest ``order`` value.
 
@@ -26,8 +31,14 @@ def dedup_first(df: DataFrame, key: str, order: str, columns: list[str] | None =
     task.
     """
     cols = columns or [c for c in df.columns if c != key]
+    d = df.filter(F.col(key).isNotNull())
+    if all(isinstance(df.schema[c].dataType, _FIXED_WIDTH) for c in cols):
+        # fixed-width values: one min_by per column under the same ordering
+        # (strict comparison over the same row sequence → the same row) keeps
+        # a hash aggregate; a struct value would force a sort-based one
+        return d.groupBy(key).agg(*[F.min_by(c, F.col(order)).alias(c) for c in cols])
     best = F.min_by(F.struct(*cols), F.col(order)).alias("_r")
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, "_r.*")
+    return d.groupBy(key).agg(best).select(key, "_r.*")
 
 
 def order_delay(orders: DataFrame) -> DataFrame:

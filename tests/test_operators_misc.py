@@ -75,3 +75,13 @@ def test_rank_within_key_without_hot_keys_is_plain_window(spark):
     df = spark.createDataFrame([(1, 2), (1, 1), (2, 5)], "k long, a long")
     got = sorted(map(tuple, reshape.rank_within_key(df, "k", ["a"], "r").collect()))
     assert got == [(1, 1, 1), (1, 2, 2), (2, 5, 1)]
+
+
+def test_dedup_first_values_from_one_row_even_with_ties(spark):
+    from orderlens.operators import drivers
+    rows = [(k, o, float(k * 100 + i), k * 1000 + i) for k in range(20) for i, o in enumerate([3, 1, 1, 2, 1])]
+    df = spark.createDataFrame(rows, "k long, o long, a double, b long").repartition(7)
+    got = drivers.dedup_first(df, "k", "o").collect()
+    pairs = {(r[0], r[2], r[3]) for r in rows if r[1] == 1}
+    assert len(got) == 20 and all((g.k, g.a, g.b) in pairs for g in got)
+    assert all(g.o == 1 for g in got)
