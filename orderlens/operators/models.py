@@ -45,25 +45,32 @@ class GaussianNBModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         k = len(cls)
         mu, var = self.getOrDefault(self.means), self.getOrDefault(self.variances)
         d = len(mu) // k
-        x = vector_to_array(F.col(self.getOrDefault(self.featuresCol)))
+        tmp = "_nb_x"
+        x = F.col(tmp)
         lls = []
         for c in range(k):
-            m_c = F.array(*[F.lit(v) for v in mu[c * d:(c + 1) * d]])
-            v_c = F.array(*[F.lit(v) for v in var[c * d:(c + 1) * d]])
             const = self.getOrDefault(self.logPriors)[c] - 0.5 * sum(math.log(2 * math.pi * v)
                                                                      for v in var[c * d:(c + 1) * d])
-            quad = F.aggregate(F.arrays_zip(x.alias("x"), m_c.alias("m"), v_c.alias("v")), F.lit(0.0),
-                               lambda acc, e: acc + (e["x"] - e["m"]) * (e["x"] - e["m"]) / (2 * e["v"]))
+            # explicit per-slot terms with literal parameters: stays inside
+            # whole-stage codegen (a higher-order aggregate would not)
+            quad = F.lit(0.0)
+            for j in range(d):
+                diff = x.getItem(j) - F.lit(mu[c * d + j])
+                quad = quad + diff * diff * F.lit(1.0 / (2.0 * var[c * d + j]))
             lls.append(F.lit(const) - quad)
-        best = lls[0]
+        names = [f"_nb_ll{c}" for c in range(k)]
+        out = df.withColumn(tmp, vector_to_array(F.col(self.getOrDefault(self.featuresCol))))
+        out = out.withColumns(dict(zip(names, lls)))  # each log-likelihood computed once
+        ll = [F.col(n) for n in names]
+        best = ll[0]
         pred = F.lit(cls[0])
         for c in range(1, k):  # first class wins ties (argmax)
-            pred = F.when(lls[c] > best, F.lit(cls[c])).otherwise(pred)
-            best = F.greatest(best, lls[c])
-        mx = F.greatest(*lls) if k > 1 else lls[0]
-        z = sum((F.exp(ll - mx) for ll in lls), F.lit(0.0))
-        probs = F.array(*[F.exp(ll - mx) / z for ll in lls])
-        return df.withColumn("prediction", pred).withColumn("nb_probability", probs)
+            pred = F.when(ll[c] > best, F.lit(cls[c])).otherwise(pred)
+            best = F.greatest(best, ll[c])
+        mx = F.greatest(*ll) if k > 1 else ll[0]
+        z = sum((F.exp(v - mx) for v in ll), F.lit(0.0))
+        probs = F.array(*[F.exp(v - mx) / z for v in ll])
+        return out.withColumn("prediction", pred).withColumn("nb_probability", probs).drop(tmp, *names)
 
 
 class GaussianNB(Estimator, DefaultParamsReadable, DefaultParamsWritable):
