@@ -118,7 +118,7 @@ def _select(data: DataFrame, tasks: list[dict], collect_limit: int, buckets: int
             b = F.least(F.floor((x - F.lit(t["lo"])) / F.lit(t["hi"] - t["lo"]) * buckets), F.lit(buckets - 1))
             structs.append(F.when(_cond(t) & x.between(t["lo"], t["hi"]),
                                   F.struct(F.lit(i).alias("t"), b.cast("int").alias("b"), x.alias("x"))))
-        hits = data.select(F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("s"))
+        hits = data.select(F.explode(F.array(*structs)).alias("s")).filter(F.col("s").isNotNull())
         hist = (hits.groupBy(F.col("s.t").alias("t"), F.col("s.b").alias("b"))
                 .agg(F.count(F.lit(1)).alias("n"), F.min("s.x").alias("mn"), F.max("s.x").alias("mx")).collect())
         by_task: dict[int, list] = {}
