@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, packing
 from .substring_dedup import repeated_words
 
 
@@ -15,18 +16,36 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public vocabulary file."""
+    return importlib.import_module("public_tokenizers").path(name)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the text that they decode to."""
+    out = bpe.encode(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), decoded=True)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                      F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words repeated in 50-word windows of smaller documents removed."""
     out = repeated_words(_table(spark, sf_dir, "documents"), size=50)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 ids in sequences of at most 4096."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"),
+                                  end_id=2, length=4096)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over documents."""
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op9_substring_dedup,)}
+    f.__name__: f for f in (op1_bpe, op9_substring_dedup, op10_packing)}
 
 ORACLES: dict[str, str] = {}
