@@ -89,6 +89,13 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
+    @classmethod
+    def spans(cls, starts: np.ndarray, ends: np.ndarray) -> Words:
+        """Given spans, in order, as words (without their texts)."""
+        out = cls.__new__(cls)
+        out.starts, out.ends = starts, ends
+        return out
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values (xor-shift-multiply finaliser)."""

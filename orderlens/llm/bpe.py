@@ -37,7 +37,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 BYTE_MERGES = -1  # rank of single bytes
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """Printable stand-ins of the 256 bytes in vocabulary files."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -50,7 +50,7 @@ class Vocabulary:
     def __init__(self, path: str, cache_words: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = _byte_letters()
+        letters = byte_letters()
         ids = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = 1 + max([*ids.values(), *self.special.values()])

@@ -31,8 +31,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from orderlens.session import materialize
 
 from .arrays import text_slices
+from .bpe import byte_letters
 
-SLICE_ROWS = 20_000  # pieces of one length that are ranked together, about
+SLICE_ROWS = 5_000  # pieces of one length that are ranked together, about
 
 
 class _Encoder:
@@ -46,7 +47,7 @@ class _Encoder:
 
     MARKS = ".,!?;:|"
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -55,11 +56,19 @@ class _Encoder:
         self.cache_words = cache_words
         self.known: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        self.letters = {b: c for c, b in byte_letters().items()}
 
-    def _look_up(self, stems: set[str]) -> None:
+    def _look_up(self, stems: set[str], marks: set[str]) -> None:
+        """Ids of lower-case Latin-1 words by the merges alone, which is all
+        that is left to do for them; of everything else by the whole tokenizer."""
         if len(self.stems) > self.cache_words:
             self.stems.clear()
-        new = [s for s in stems if s not in self.stems]
+        tokenize = self.tokenizer.model.tokenize
+        for s in stems:
+            if s not in self.stems:
+                letters = s.encode().decode("latin-1").translate(self.letters)
+                self.stems[s] = array("I", [x.id for x in tokenize(letters)]).tobytes()
+        new = [s for s in marks if s not in self.stems]
         for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             self.stems[s] = array("I", e.ids).tobytes()
 
@@ -75,8 +84,9 @@ class _Encoder:
         parts = {}
         for w in {w for s in split for w in s if w not in known}:
             stem = w.rstrip(self.MARKS)
-            parts[w] = (stem, w[len(stem):]) if stem.isalpha() and max(stem) <= "\xff" else (w, "")
-        self._look_up({p for pair in parts.values() for p in pair})
+            plain = stem.isalpha() and max(stem) <= "\xff" and stem == stem.lower()
+            parts[w] = (stem, w[len(stem):]) if plain else ("", w)
+        self._look_up({s for s, _ in parts.values()}, {m for _, m in parts.values()})
         stems = self.stems
         for w, (stem, marks) in parts.items():
             known[w] = stems[stem] + stems[marks]

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, packing, quality, secret_scan, toxicity
 from .substring_dedup import repeated_words
 
 
@@ -28,6 +28,38 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text: base rules and inferred formats."""
+    docs = _table(spark, sf_dir, "documents")
+    out = secret_scan.scan(docs, secret_scan.learn(docs))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "inferred")
+    return out.select("doc_id", *map(count, secret_scan.KINDS[:3]),
+                      F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every text and the verdict of the fertility bands."""
+    measured = quality.measures(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return quality.judge(measured).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "band", "n_tokens", *quality.MEASURES)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a text is toxic; every fourth id is held out of learning."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    weights = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    out = toxicity.score(docs, weights)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words repeated in 50-word windows of smaller documents removed."""
     out = repeated_words(_table(spark, sf_dir, "documents"), size=50)
@@ -46,6 +78,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op9_substring_dedup, op10_packing)}
+    f.__name__: f for f in (op1_bpe, op3_secret_scan, op4_quality, op6_toxicity, op9_substring_dedup, op10_packing)}
 
 ORACLES: dict[str, str] = {}
