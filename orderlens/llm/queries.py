@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, secret_scan, toxicity
+from . import bpe, embedding_dedup, packing, quality, secret_scan, simhash, toxicity
 from .substring_dedup import repeated_words
 
 
@@ -28,6 +28,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label linked by cosine 0.93 or more."""
+    out = embedding_dedup.link(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text: base rules and inferred formats."""
     docs = _table(spark, sf_dir, "documents")
@@ -51,6 +57,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "band", "n_tokens", *quality.MEASURES)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 4-word shingles, linked at 4 or fewer differing bits."""
+    out = simhash.group(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4, seed=42)
+    return out.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability that a text is toxic; every fourth id is held out of learning."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -78,6 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op3_secret_scan, op4_quality, op6_toxicity, op9_substring_dedup, op10_packing)}
+    f.__name__: f for f in (op1_bpe, op2_embedding_dedup, op3_secret_scan, op4_quality, op5_simhash, op6_toxicity,
+                            op9_substring_dedup, op10_packing)}
 
 ORACLES: dict[str, str] = {}
