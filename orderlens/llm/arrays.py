@@ -178,3 +178,16 @@ def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, dtype=np.int64)
     np.cumsum(values, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def hash_at(data: np.ndarray, at: np.ndarray, size: int, which: int = 0, slice_bytes: int = 1 << 18) -> np.ndarray:
+    """64-bit hash of ``data[i:i + size]`` for every ``i`` of sorted ``at``."""
+    out = np.empty(len(at), dtype=np.uint64)
+    lo = 0
+    while lo < len(at):
+        base = int(at[lo])
+        hi = int(np.searchsorted(at, base + slice_bytes))
+        s = at[lo:hi] - base
+        out[lo:hi] = span_hash(_TABLE[which][data[base:base + int(s[-1]) + size]], s, s + size, which)
+        lo = hi
+    return out

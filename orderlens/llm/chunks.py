@@ -15,6 +15,7 @@ earlier chunk". Null ids sort first, as in Spark.
 
 from __future__ import annotations
 
+import gc
 import io
 from collections.abc import Callable, Iterator
 
@@ -196,3 +197,10 @@ def _write(table: pa.Table) -> bytes:
 def _rows(pieces: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(pa.BufferReader(b)).read_all()
                              for b in pieces.column("rows").to_pylist()])
+
+
+def forget_shuffles(spark) -> None:
+    """Let Spark remove shuffle files that no live frame needs: they go when
+    the driver's JVM finds their plans unreachable, so ask it to look."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, packing, quality, secret_scan, simhash, toxicity
+from . import bpe, embedding_dedup, packing, quality, secret_scan, simhash, suffix_dedup, toxicity
 from .substring_dedup import repeated_words
 
 
@@ -72,6 +72,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes repeated in 50-byte strings of smaller documents removed."""
+    out = suffix_dedup.repeated_bytes(_table(spark, sf_dir, "documents"), size=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words repeated in 50-word windows of smaller documents removed."""
     out = repeated_words(_table(spark, sf_dir, "documents"), size=50)
@@ -90,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_embedding_dedup, op3_secret_scan, op4_quality, op5_simhash, op6_toxicity,
+    f.__name__: f for f in (op1_bpe, op2_embedding_dedup, op3_secret_scan, op4_quality, op5_simhash, op6_toxicity, op7_suffix_dedup,
                             op9_substring_dedup, op10_packing)}
 
 ORACLES: dict[str, str] = {}
