@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, packing, quality, secret_scan, simhash, suffix_dedup, toxicity
+from . import bpe, embedding_dedup, packing, pitman_yor, quality, secret_scan, simhash, suffix_dedup, toxicity
 from .substring_dedup import repeated_words
 
 
@@ -78,6 +78,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text; every seventh id is held out of learning."""
+    return pitman_yor.score(_table(spark, sf_dir, "documents"), modulus=7, remainder=2)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words repeated in 50-word windows of smaller documents removed."""
     out = repeated_words(_table(spark, sf_dir, "documents"), size=50)
@@ -97,6 +102,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_embedding_dedup, op3_secret_scan, op4_quality, op5_simhash, op6_toxicity, op7_suffix_dedup,
-                            op9_substring_dedup, op10_packing)}
+                            op8_pitman_yor, op9_substring_dedup, op10_packing)}
 
 ORACLES: dict[str, str] = {}
