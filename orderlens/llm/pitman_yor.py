@@ -199,12 +199,11 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, doc_id: str = "
 
     def stats(answers: DataFrame) -> np.ndarray:
         rows = answers.where(F.col("chunk") == STATS).select("payload").collect()  # one for each shard
-        return np.array([np.frombuffer(r["payload"], np.int64) for r in rows], dtype=np.int64).reshape(len(rows), -1).sum(axis=0)
+        return sum((np.frombuffer(r["payload"], np.int64) for r in rows), np.zeros(4, np.int64))
 
     counted = answer(chunks.emit(count), "counts", add)
     forget_shuffles(spark)
     found = stats(counted)
-    found = found if len(found) else np.zeros(4, np.int64)
     totals = {"tokens": int(found[0]), "words": int(found[1]), "discount": discount(int(found[2]), int(found[3]))}
     sweeps: list[dict] = []
     answers = counted
@@ -236,7 +235,6 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, doc_id: str = "
         swept = answer(chunks.emit(seating, answers), f"sweep{number}", parent)
         forget_shuffles(spark)
         found = stats(swept)
-        found = found if len(found) else np.zeros(4, np.int64)
         sweeps.append({"customers": int(found[0]), "tables": int(found[1]),
                        "discount": discount(int(found[2]), int(found[3]))})
         answers = answers.unionByName(swept)

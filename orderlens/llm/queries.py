@@ -95,13 +95,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   end_id=2, length=4096)
 
 
+# corpus_pipeline is at the repository's top and imports this module for its vocabulary places
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over documents."""
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_embedding_dedup, op3_secret_scan, op4_quality, op5_simhash, op6_toxicity, op7_suffix_dedup,
-                            op8_pitman_yor, op9_substring_dedup, op10_packing)}
+    f.__name__: f for f in (
+        op1_bpe, op2_embedding_dedup, op3_secret_scan, op4_quality, op5_simhash, op6_toxicity, op7_suffix_dedup,
+        op8_pitman_yor, op9_substring_dedup, op10_packing, pipeline)}
 
 ORACLES: dict[str, str] = {}
