@@ -66,7 +66,7 @@ def seat(key: np.ndarray, customers: np.ndarray, new: np.ndarray, discount: floa
     while len(at):
         block = 1 if seated < ONE_BY_ONE else seated // 16
         come = np.minimum(customers[at] - seated, block)
-        p = new[at] / (new[at] + seated - discount * tables[at])
+        p = new[at] / (new[at] + seated + (come - 1) / 2 - discount * tables[at])
         draw = (mix(key[at] + (seed + np.uint64(seated))) >> np.uint64(11)) * 2.0 ** -53
         tables[at] += np.floor(come * p + draw)
         seated += block
