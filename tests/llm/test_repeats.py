@@ -264,7 +264,7 @@ def test_probabilities_sum_to_one():
 
 
 def test_seating():
-    key = np.arange(1000, dtype=np.uint64)
+    key = np.random.default_rng(5).integers(0, 2**63, 1000, dtype=np.uint64)  # keys are hashes
     customers = np.full(1000, 500)
     few, many = (pitman_yor.seat(key, customers, np.full(1000, w), 0.5, 1) for w in (0.01, 5.0))
     assert (few >= 1).all() and (many <= 500).all() and many.mean() > few.mean()
