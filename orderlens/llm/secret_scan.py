@@ -6,9 +6,9 @@ ones a probabilistic automaton is inferred for each kind by merging states of
 the prefix tree whose continuations differ by no more than chance (Hoeffding
 bounds), and one for ordinary long tokens. Every other token of ``least`` or
 more credential characters is a candidate and is scored by the likelihood of
-its format under the best kind against the ordinary one. It is a secret if
-that exceeds what ordinary tokens of the sample reach and what most labelled
-credentials reach.
+its format under the best kind against the ordinary one, by character. It is
+a secret if that exceeds what 99 of 100 ordinary tokens of the sample reach and
+what the lowest twentieth of labelled credentials reach.
 
 Defined results: null and empty texts have no spans; a kind with fewer than
 ``MIN_VALUES`` distinct values is not inferred; texts are scanned whole and
@@ -171,18 +171,19 @@ class Grammar:
         self.kinds = [Automaton(values[k]) for k in KINDS[:3] if len(values.get(k, [])) >= MIN_VALUES]
         self.memo: dict[str, float] = {}
         labelled = sorted(self.score(v) for k in KINDS[:3] if len(values.get(k, [])) >= MIN_VALUES for v in values[k])
-        plain = max(map(self.score, values.get(ORDINARY, [])), default=0.0)
-        self.limit = max(labelled[len(labelled) // 20], plain + 2.0) if labelled else math.inf
+        plain = sorted(map(self.score, values.get(ORDINARY, [])))  # a few may be secrets that no rule knows
+        least = plain[len(plain) * 99 // 100] + 0.1 if plain else 0.0
+        self.limit = max(labelled[len(labelled) // 20], least) if labelled else math.inf
         self.memo.clear()
 
     def score(self, token: str) -> float:
-        """Log likelihood ratio of the best kind against ordinary tokens."""
+        """Log likelihood ratio of the best kind against ordinary tokens, by character."""
         if not self.kinds:
             return -math.inf
         symbols = token.translate(_TO_CLASS)
         found = self.memo.get(symbols)
         if found is None:
-            found = max(k.score(symbols) for k in self.kinds) - self.ordinary.score(symbols)
+            found = (max(k.score(symbols) for k in self.kinds) - self.ordinary.score(symbols)) / max(1, len(symbols))
             if len(self.memo) < 100_000 and len(symbols) < 200:
                 self.memo[symbols] = found
         return found
