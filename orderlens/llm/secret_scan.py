@@ -8,7 +8,7 @@ bounds), and one for ordinary long tokens. Every other token of ``least`` or
 more credential characters is a candidate and is scored by the likelihood of
 its format under the best kind against the ordinary one, by character. It is
 a secret if that exceeds what 99 of 100 ordinary tokens of the sample reach and
-what the lowest twentieth of labelled credentials reach.
+what the lowest fiftieth of labelled credentials reach.
 
 Defined results: null and empty texts have no spans; a kind with fewer than
 ``MIN_VALUES`` distinct values is not inferred; texts are scanned whole and
@@ -173,7 +173,7 @@ class Grammar:
         labelled = sorted(self.score(v) for k in KINDS[:3] if len(values.get(k, [])) >= MIN_VALUES for v in values[k])
         plain = sorted(map(self.score, values.get(ORDINARY, [])))  # a few may be secrets that no rule knows
         least = plain[len(plain) * 99 // 100] + 0.1 if plain else 0.0
-        self.limit = max(labelled[len(labelled) // 20], least) if labelled else math.inf
+        self.limit = max(labelled[len(labelled) // 50], least) if labelled else math.inf
         self.memo.clear()
 
     def score(self, token: str) -> float:
