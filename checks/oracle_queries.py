@@ -170,12 +170,15 @@ CLU = ["total_items_price", "total_freight_value", "payment_value", "n_items", "
 MONEY = ["total_items_price", "total_freight_value", "payment_value"]
 
 
-def is_test(k: str = "order_id") -> str:
-    return f"((({k} % 2147483647) * 2654435761 + 42) % 4294967296) % 10000 < 2000"
+def hb(k: str, seed: int, buckets: int) -> str:
+    x = f"xor(({k} % 4294967296 + 4294967296) % 4294967296, {(seed * 2654435761 + 1013904223) % 2**32})"
+    for _ in range(2):
+        x = f"((xor({x}, {x} >> 16) * 73244475) % 4294967296)"
+    return f"(xor({x}, {x} >> 16) % {buckets})"
 
 
-def hb(k: str, seed: int, buckets: int) -> str:
-    return f"((({k} % 2147483647) * 2654435761 + {seed}) % 4294967296) % {buckets}"
+def is_test(k: str = "order_id") -> str:
+    return f"({hb(k, 42, 10000)} < 2000)"
 
 
 SUP = ("sup", "SELECT order_id, " + ", ".join(NUM + CAT)
@@ -238,6 +241,11 @@ add("variance_filter", model_sql("\nUNION ALL\n".join(
 add("train_test_split", model_sql(f"SELECT order_id, {is_test()} AS is_test FROM sup", extra=[SUP]))
 add("cv_folds", model_sql(f"SELECT order_id, CAST({hb('order_id', 7, 3)} AS INTEGER) AS fold FROM sup "
                           f"WHERE NOT ({is_test()})", extra=[SUP]))
+HASHED = ("hashed", f"SELECT order_id, label, {hb('order_id', 42, 4294967296)} AS h, {hb('order_id', 7, 4294967296)} AS f FROM sup")
+add("stratified_split", model_sql("""SELECT order_id, row_number() OVER (PARTITION BY label ORDER BY h, order_id)
+<= floor(0.2 * count(*) OVER (PARTITION BY label) + 0.5) AS is_test FROM hashed""", extra=[SUP, HASHED]))
+add("stratified_folds", model_sql("""SELECT order_id, CAST((row_number() OVER (PARTITION BY label ORDER BY f, order_id) - 1) % 3
+AS INTEGER) AS fold FROM hashed""", extra=[SUP, HASHED]))
 add("sample_n", model_sql(f"SELECT order_id, round(review_score, 6) AS review_score FROM md "
                           f"ORDER BY {hb('order_id', 42, 4294967296)}, order_id LIMIT 1000"))
 add("class_weights", model_sql(f"""SELECT label, n_c, round(CAST(n AS DOUBLE) / (k * n_c), 6) AS weight

@@ -17,6 +17,12 @@ __all__ = [
 ]
 
 MICROS_PER_DAY = 86_400_000_000
+HASH_FACTOR = 73_244_475  # odd, below 2^27
+
+
+def seed_mask(seed: int) -> int:
+    """32 bits that differ in many places for neighbouring seeds."""
+    return (seed * 2_654_435_761 + 1_013_904_223) % (1 << 32)
 
 
 def col_(c) -> Column:
@@ -94,14 +100,19 @@ def score_bucket(c, lo: int = 1, hi: int = 5) -> Column:
 
 
 def hash_bucket(key, seed: int = 42, buckets: int = 100) -> Column:
-    """Deterministic bucket of a non-negative integer key in [0, buckets).
+    """Deterministic bucket of an integer key in [0, buckets).
 
-    ``((key mod (2^31−1)) * 2654435761 + seed) mod 2^32 mod buckets`` — a
-    multiplicative hash that never overflows BIGINT, portable to any SQL
-    engine, and independent of partitioning (unlike ``rand``).
+    The seed is mixed in before two rounds of xor-shift and multiply modulo
+    2^32, so that other seeds give unrelated buckets. Every step is a
+    bijection of 32-bit numbers: different keys below 2^32 have different
+    hashes. Products stay inside BIGINT, the form is portable to any SQL
+    engine, and nothing depends on partitioning (unlike ``rand``).
     """
-    k = col_(key) % F.lit(2147483647)  # keeps the product inside BIGINT for any key
-    return ((k * F.lit(2654435761) + F.lit(seed)) % F.lit(4294967296)) % F.lit(buckets)
+    x = F.pmod(col_(key).cast("bigint"), F.lit(1 << 32)).bitwiseXOR(F.lit(seed_mask(seed)))
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(HASH_FACTOR)) % F.lit(1 << 32)
+    x = x.bitwiseXOR(F.shiftright(x, 16))
+    return x % F.lit(buckets)
 
 
 # Display symbols and class labels of a scored order.

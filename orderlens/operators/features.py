@@ -204,11 +204,11 @@ def pred_distribution(df: DataFrame, y: str = "label", pred: str = "prediction",
              F.col("_q")[2].alias("q3"), "max")
 
 
-def feature_defaults(df: DataFrame, numeric: list[str], categorical: list[str], max_values: int = 50,
+def feature_defaults(df: DataFrame, numeric: list[str], categorical: list[str], max_values: int | None = None,
                      accuracy: int | None = None) -> DataFrame:
     """Input defaults per feature: numeric → p1 (min), p99 (max), median
-    (value); categorical → up to ``max_values`` distinct non-null values in
-    ascending order (each a bounded top-k, never a full collect)."""
+    (value); categorical → all distinct non-null values, or the first
+    ``max_values`` in ascending order where the caller asks for so many."""
     if accuracy is None:
         q = global_quantiles(df, numeric, (0.01, 0.99, 0.5))
         rows = [(c, "numeric", *[None if v is None else float(v) for v in q[c]]) for c in numeric]
@@ -219,8 +219,9 @@ def feature_defaults(df: DataFrame, numeric: list[str], categorical: list[str],
         .select("*", F.lit(None).cast("string").alias("category"))
     frames = [num]
     for c in categorical:
-        top = df.select(F.col(c).cast("string").alias("category")).filter(F.col("category").isNotNull()) \
-                .distinct().orderBy("category").limit(max_values)
+        top = df.select(F.col(c).cast("string").alias("category")).filter(F.col("category").isNotNull()).distinct()
+        if max_values is not None:
+            top = top.orderBy("category").limit(max_values)
         frames.append(top.select(F.lit(c).alias("feature"), F.lit("categorical").alias("kind"),
                                  F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max"),
                                  F.lit(None).cast("double").alias("value"), "category"))

@@ -11,13 +11,16 @@ import itertools
 import math
 import random
 
+import numpy as np
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LinearSVC, LinearSVCModel,
+                                       LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel,
+                                       RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -25,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics as M
-from .prep import VarianceSelector, feature_names, preprocessor
-from .split import with_class_weights, with_folds
+from .prep import VarianceSelector, VarianceSelectorModel, feature_names, preprocessor
+from .split import sample_n, with_class_weights, with_stratified_folds
 
 
 # ---------------------------------------------------------------- Gaussian naive Bayes
@@ -149,10 +152,10 @@ def make_classifier(name: str, features: str = "features", label: str = "label",
 
 def classification_pipeline(name: str, numeric: list[str], categorical: list[str], n_rows: int | None = None,
                             weight: str | None = "weight", variance_threshold: float | None = None,
-                            stabilize: bool = False, **params) -> Pipeline:
+                            **params) -> Pipeline:
     """Preprocessor → (variance selector) → classifier. Inputs are min-max
-    scaled to [0, 1], so the reference's ±15/±20 stabiliser is a no-op and
-    only applied when asked."""
+    scaled to [0, 1], where a stabiliser clamping to ±15 changes nothing;
+    ``prep.Stabilizer`` is there for other inputs."""
     pre = preprocessor(numeric, categorical).getStages()
     feats = "features"
     stages = list(pre)
@@ -200,9 +203,9 @@ def predict(model: PipelineModel, df: DataFrame, keep: list[str] | None = None)
 
 def cross_validate(train: DataFrame, name: str, numeric: list[str], categorical: list[str], k: int = 3,
                    seed: int = 7, **params) -> DataFrame:
-    """k-fold CV: fit on the other folds, score the held-out fold, metrics
+    """k-fold CV on stratified folds: fit on the other folds, score the held-out fold, metrics
     per fold, then mean and population std per metric (long form)."""
-    data = with_folds(train, k, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
+    data = with_stratified_folds(train, k, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
     per_fold = []
     for f in range(k):
         m = train_classifier(data.filter(F.col("fold") != f), name, numeric, categorical, **params)
@@ -220,8 +223,9 @@ def cross_validate(train: DataFrame, name: str, numeric: list[str], categorical:
                .select(F.lit(name).alias("model"), "metric", "mean", "std")
 
 
-# Search spaces of the randomised searches (reference names;
-# None depth → the deepest tree MLlib grows, 30).
+# Search spaces of the randomised searches (None depth → the
+# deepest tree MLlib grows, 30). The L2 penalty of the boosted space is absent:
+# MLlib's boosted trees have none, and two names for one model waste draws.
 RF_GRID = {
     "n_estimators": [200, 300, 400],
     "max_depth": [None, 10, 20, 30],
@@ -236,7 +240,6 @@ GBT_GRID = {
     "subsample": [0.8, 1.0],
     "colsample_bytree": [0.7, 1.0],
     "min_child_weight": [1, 3, 5],
-    "reg_lambda": [1, 2, 5],
     "scale_pos_weight": [1, 3, 5],
 }
 
@@ -295,33 +298,46 @@ def _param_map(clf, name: str, p: dict) -> dict:
             m[clf.subsamplingRate] = v
         elif k in ("class_weight", "scale_pos_weight"):
             m[clf.weightCol] = _weight_name(None if v == 1 and k == "scale_pos_weight" else v)
-        # reg_lambda: no MLlib counterpart for trees, left out
     return m
 
 
+def bounded_rows(train: DataFrame, fit_rows: int | None, seed: int = 42) -> DataFrame:
+    """At most ``fit_rows`` labelled rows, those with the smallest seeded key
+    hashes; tree ensembles grow with the rows they are fitted on and live on
+    the driver, so fits are bounded by this parameter (None: all rows)."""
+    return train if fit_rows is None else sample_n(train, fit_rows, seed=seed)
+
+
 def random_search(train: DataFrame, name: str, numeric: list[str], categorical: list[str], grid: dict,
                   n_iter: int = 10, k: int = 3, seed: int = 42, parallelism: int = 2,
-                  metric: str = "accuracy") -> tuple[PipelineModel, DataFrame]:
-    """Seeded sample of a grid, k-fold ``CrossValidator`` on hash folds,
-    refit on all training rows. Class-weight choices are alternative
-    ``weightCol`` columns. Weighted recall (the reference's score) equals
-    accuracy, hence the default metric. Returns the best model and
-    (params, mean metric) rows."""
+                  metric: str = "accuracy", fit_rows: int | None = 20_000) -> tuple[PipelineModel, DataFrame]:
+    """Seeded sample of a grid, k stratified folds, refit of the best.
+
+    The preprocessor is fitted once and the classifiers are tuned on stored
+    vectors. Its scales and levels come from all training rows, so folds
+    share them. Class-weight choices are alternative ``weightCol`` columns.
+    Weighted recall equals accuracy, hence the default metric. At most
+    ``fit_rows`` labelled rows are used. Returns the best model (whole
+    pipeline) and (params, mean metric) rows."""
     params = sample_grid(grid, n_iter, seed)
     choices = [p.get("class_weight", p.get("scale_pos_weight")) for p in params]
     choices = [None if (c == 1 and "scale_pos_weight" in grid) else c for c in choices]
-    data = with_folds(_with_weight_columns(train, choices), k, seed=seed + 1).persist(StorageLevel.MEMORY_AND_DISK)
+    used = bounded_rows(train, fit_rows, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    pre = preprocessor(numeric, categorical).fit(used)
+    weights = sorted({_weight_name(c) for c in choices} | {"weight"})
+    data = with_stratified_folds(_with_weight_columns(pre.transform(used), choices), k, seed=seed + 1) \
+        .select("features", "label", "fold", *weights).persist(StorageLevel.MEMORY_AND_DISK)
     clf = make_classifier(name, weight="weight")
-    pipe = Pipeline(stages=preprocessor(numeric, categorical).getStages() + [clf])
     maps = [_param_map(clf, name, p) for p in params]
     ev = MulticlassClassificationEvaluator(metricName=metric, labelCol="label")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol="fold",
+    cv = CrossValidator(estimator=clf, estimatorParamMaps=maps, evaluator=ev, foldCol="fold",
                         parallelism=parallelism, seed=seed)
     model = cv.fit(data)
     data.unpersist()
+    used.unpersist()
     rows = [(str(p), float(s)) for p, s in zip(params, model.avgMetrics)]
     res = train.sparkSession.createDataFrame(rows, f"params string, mean_{metric} double")
-    return model.bestModel, res
+    return PipelineModel(stages=[*pre.stages, model.bestModel]), res
 
 
 # ---------------------------------------------------------------- regression
@@ -334,24 +350,29 @@ def regression_pipeline(numeric: list[str], categorical: list[str], ridge: bool
 
 
 # ---------------------------------------------------------------- importances
+# how much each slot of the feature vector counts, by type of fitted model
+SLOT_WEIGHTS = {
+    RandomForestClassificationModel: lambda m: m.featureImportances.toArray(),
+    GBTClassificationModel: lambda m: m.featureImportances.toArray(),
+    LogisticRegressionModel: lambda m: np.abs(m.coefficientMatrix.toArray()).mean(axis=0),
+    LinearSVCModel: lambda m: np.abs(m.coefficients.toArray()),
+    LinearRegressionModel: lambda m: np.abs(m.coefficients.toArray()),
+}
+
+
 def feature_importance(model: PipelineModel, scored_sample: DataFrame) -> DataFrame:
-    """(feature, importance): tree importances, else mean |coefficient|.
-    ``scored_sample`` is any frame transformed by the model (it carries the
-    vector's attribute metadata for the slot names)."""
-    last = model.stages[-1]
-    names = feature_names(scored_sample, "features")
-    sel = [s for s in model.stages if hasattr(s, "getOrDefault") and s.hasParam("indices")]
-    if sel:
-        names = [names[i] for i in sel[0].getOrDefault(sel[0].indices)]
-    if hasattr(last, "featureImportances"):
-        imp = list(last.featureImportances.toArray())
-    elif hasattr(last, "coefficients"):
-        imp = [abs(x) for x in last.coefficients.toArray()]
-    elif hasattr(last, "coefficientMatrix"):
-        mat = last.coefficientMatrix.toArray()
-        imp = list(abs(mat).mean(axis=0))
-    else:
-        return scored_sample.sparkSession.createDataFrame([], "feature string, importance double")
-    m = min(len(names), len(imp))
-    rows = [(names[i], float(imp[i])) for i in range(m)]  # bounded by the number of features
+    """(feature, importance) of every slot that the model reads.
+
+    ``scored_sample`` is any frame transformed by the model: the attributes
+    of its vector column name the slots. Models without slot weights (naive
+    Bayes) give no rows; names that don't fit the weights raise."""
+    fitted = model.stages[-1]
+    weigh = SLOT_WEIGHTS.get(type(fitted))
+    rows = []
+    if weigh is not None:
+        named = feature_names(scored_sample, "features")
+        for stage in model.stages:
+            if isinstance(stage, VarianceSelectorModel):
+                named = [named[i] for i in stage.getOrDefault(stage.indices)]
+        rows = [(n, float(w)) for n, w in zip(named, weigh(fitted), strict=True)]
     return scored_sample.sparkSession.createDataFrame(rows, "feature string, importance double")

@@ -258,12 +258,11 @@ class StandardScaler(Estimator, _ColsMixin):
 
 # ---------------------------------------------------------------- stabiliser
 class Stabilizer(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
-    """NaN / ±inf → 0 and clamp to ±bound, on numeric columns or a vector."""
+    """NaN / ±inf → 0 and clamp to ±bound, on numeric columns."""
     bound = Param(Params._dummy(), "bound", "absolute clamp", TypeConverters.toFloat)
-    vectorCol = Param(Params._dummy(), "vectorCol", "vector column to stabilise", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, inputCols=None, bound=15.0, vectorCol=None):
+    def __init__(self, *, inputCols=None, bound=15.0):
         super().__init__()
         self._setDefault(bound=15.0, inputCols=[])
         self._set(**self._input_kwargs)

@@ -8,6 +8,8 @@ switches to ``percentile_approx`` for high-cardinality values at scale
 
 from __future__ import annotations
 
+import math
+
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -170,31 +172,24 @@ def mean_ci_bootstrap(df: DataFrame, value: str, by: list[str], n_boot: int = 10
                       level: float = 0.95) -> DataFrame:
     """Bootstrap interval of the mean per group.
 
-    The data are first reduced to distinct (group, value) counts, so the
-    resampling works on the (small) value histogram rather than the rows: a
-    group's bootstrap weight for a value seen ``c`` times is a draw of the
-    total of ``c`` Poisson(1) weights (Poisson(c)), simulated with a
-    normal approximation ``max(0, round(c + √c·N(0,1)))`` for c > 30 and an
-    exact inverse-CDF draw otherwise. Replicates are a bounded ``sequence``
-    explode of the histogram, never of the rows.
+    The data are first reduced to distinct (group, value) counts, so that a
+    value seen ``c`` times weighs the total of ``c`` Poisson(1) draws in a
+    replicate, a Poisson(c) draw: c plus a deviation of √c, from a normal
+    draw by the Cornish–Fisher terms that give Poisson its skew, rounded; one
+    rule for every c. The draws hash (group, value, replicate, seed), so they
+    depend neither on partitions nor on recomputation. Meant for columns of
+    few values, such as scores: the histogram is exploded ``n_boot`` times.
     """
     v = F.col(value).cast("double")
     hist = df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(
         F.count(F.lit(1)).alias("_c"))
     rep = hist.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("_b"))
-    u = F.rand(seed)
-    # inverse CDF of Poisson(c) for small c: count k with cumulative < u, via 60 terms
+    # two uniform draws in (0, 1) from independent hashes; Box–Muller makes them one normal draw
+    u, v2 = ((F.pmod(F.xxhash64(F.lit(seed), F.lit(i), *by, "_v", "_b"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+             for i in (0, 1))
+    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v2)
     lam = F.col("_c").cast("double")
-    terms = F.aggregate(
-        F.sequence(F.lit(0), F.lit(80)),
-        F.struct(F.lit(0.0).alias("cdf"), F.exp(-lam).alias("p"), F.lit(0).alias("k")),
-        lambda acc, i: F.struct(
-            (acc["cdf"] + acc["p"]).alias("cdf"),
-            (acc["p"] * lam / (i + 1)).alias("p"),
-            (acc["k"] + F.when(acc["cdf"] + acc["p"] < F.col("_u"), 1).otherwise(0)).alias("k")))
-    normal = F.greatest(F.lit(0.0), F.round(lam + F.sqrt(lam) * F.randn(seed + 1)))
-    rep = rep.withColumn("_u", u)
-    w = F.when(F.col("_c") > 30, normal).otherwise(terms["k"].cast("double"))
+    w = F.greatest(F.lit(0.0), F.floor(lam + F.sqrt(lam) * z + (z * z - 1) / 6 + 0.5))
     reps = rep.withColumn("_w", w).groupBy(*by, "_b").agg(
         (F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_m"))
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2

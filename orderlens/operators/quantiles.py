@@ -7,8 +7,8 @@ rows. ``global_quantiles`` checks ``approx_count_distinct`` per column and
 
 * uses ``percentile`` when the column has at most ``max_exact_distinct``
   distinct values, else
-* finds the exact order statistics by distributed selection: every pass
-  is one aggregate that histograms the values inside the current bracket
+* finds the exact order statistics by distributed selection, one search
+  for each rank: every pass is one aggregate that histograms the values inside the current bracket
   (``buckets`` equal-width buckets, with the exact min / max per bucket),
   the bucket holding the target rank becomes the new bracket, and once a
   bracket holds at most ``collect_limit`` values those values are taken.
@@ -26,6 +26,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import finite_or_null
+
 
 def _interp(h: float, v0: float, v1: float) -> float:
     lo, hi = math.floor(h), math.ceil(h)
@@ -36,11 +38,12 @@ def _interp(h: float, v0: float, v1: float) -> float:
 
 def global_quantiles(df: DataFrame, columns: list[str], qs, max_exact_distinct: int = 1_000_000,
                      collect_limit: int = 10_000, buckets: int = 4096) -> dict[str, list]:
-    """{column: [quantile per q]} over non-null values (None when empty)."""
+    """{column: [quantile per q]} over finite values (None when empty);
+    NaN and infinities count as missing."""
     qs = list(qs)
     # the projected columns are read by several passes: materialise them once
     # (recomputable from lineage if an executor is lost)
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    df = df.select(*[finite_or_null(c).alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _global_quantiles(df, columns, qs, max_exact_distinct, collect_limit, buckets)
     finally:
@@ -70,30 +73,46 @@ def _global_quantiles(df, columns, qs, max_exact_distinct, collect_limit, bucket
         if not n:
             out[c] = [None] * len(qs)
             continue
+        out[c] = [None] * len(qs)
         for j, q in enumerate(qs):
-            h = q * (n - 1)
-            tasks.append({"col": c, "j": j, "h": h, "k0": math.floor(h), "k1": math.ceil(h),
-                          "lo": st[f"mn{i}"], "hi": st[f"mx{i}"], "below": 0, "cnt": n, "vals": None})
+            tasks += _rank_tasks({"col": c, "into": out[c], "j": j, "h": q * (n - 1)}, st[f"mn{i}"], st[f"mx{i}"], n)
     _select(df, tasks, collect_limit, buckets)
-    for c in big:
-        if c not in out:
-            out[c] = [None] * len(qs)
-    for t in tasks:
-        out[t["col"]][t["j"]] = _interp(t["h"], *t["vals"])
+    _fill(tasks)
     return out
 
 
+def _rank_tasks(quantile: dict, lo: float, hi: float, n: int) -> list[dict]:
+    """One search for each of the one or two ranks between which a quantile lies."""
+    h = quantile["h"]
+    return [{**quantile, "rank": k, "lo": lo, "hi": hi, "below": 0, "cnt": n, "value": None}
+            for k in sorted({math.floor(h), math.ceil(h)})]
+
+
+def _fill(tasks: list[dict]) -> None:
+    """Interpolate each quantile between the values found for its ranks."""
+    for low, high in zip(tasks, [*tasks[1:], None]):
+        if low["rank"] == math.floor(low["h"]):
+            pair = low if math.ceil(low["h"]) == low["rank"] else high
+            low["into"][low["j"]] = _interp(low["h"], low["value"], pair["value"])
+
+
 def _cond(t: dict):
     return t.get("where") if t.get("where") is not None else F.lit(True)
 
 
 def _select(data: DataFrame, tasks: list[dict], collect_limit: int, buckets: int) -> None:
+    """Find the value at each task's rank.
+
+    A bracket's least and greatest value always fall into different buckets,
+    so the one bucket that holds the rank has fewer values than the bracket
+    and every pass shrinks every bracket. (Both ends are halved before they
+    are subtracted, so that no difference overflows.)"""
     while True:
-        active = [t for t in tasks if t["vals"] is None]
+        active = [t for t in tasks if t["value"] is None]
         for t in active:
             if t["lo"] == t["hi"]:
-                t["vals"] = (t["lo"], t["lo"])
-        active = [t for t in active if t["vals"] is None]
+                t["value"] = t["lo"]
+        active = [t for t in active if t["value"] is None]
         if not active:
             return
         small = [(i, t) for i, t in enumerate(active) if t["cnt"] <= collect_limit]
@@ -107,15 +126,18 @@ def _select(data: DataFrame, tasks: list[dict], collect_limit: int, buckets: int
             for r in frame.collect():  # Σ cnt ≤ tasks × collect_limit values
                 got.setdefault(r["t"], []).append(r["x"])
             for i, t in small:
-                vals = sorted(got.get(i, []))
-                t["vals"] = (vals[t["k0"] - t["below"]], vals[t["k1"] - t["below"]])
-        refine = [(i, t) for i, t in enumerate(active) if t["vals"] is None]
+                t["value"] = sorted(got.get(i, []))[t["rank"] - t["below"]]
+        refine = [(i, t) for i, t in enumerate(active) if t["value"] is None]
         if not refine:
             continue
         structs = []
         for i, t in refine:
             x = F.col(t["col"])
-            b = F.least(F.floor((x - F.lit(t["lo"])) / F.lit(t["hi"] - t["lo"]) * buckets), F.lit(buckets - 1))
+            width = t["hi"] / 2 - t["lo"] / 2
+            # neighbouring doubles may halve to one: then the lower end has a bucket of its own
+            part = (x / 2 - F.lit(t["lo"] / 2)) / F.lit(width) * buckets if width > 0 else \
+                F.when(x > F.lit(t["lo"]), F.lit(float(buckets))).otherwise(F.lit(0.0))
+            b = F.when(x == F.lit(t["hi"]), F.lit(buckets - 1)).otherwise(F.least(F.floor(part), F.lit(buckets - 1)))
             structs.append(F.when(_cond(t) & x.between(t["lo"], t["hi"]),
                                   F.struct(F.lit(i).alias("t"), b.cast("int").alias("b"), x.alias("x"))))
         hits = data.select(F.explode(F.array(*structs)).alias("s")).filter(F.col("s").isNotNull())
@@ -125,20 +147,11 @@ def _select(data: DataFrame, tasks: list[dict], collect_limit: int, buckets: int
         for r in hist:
             by_task.setdefault(r["t"], []).append((r["b"], r["n"], r["mn"], r["mx"]))
         for i, t in refine:
-            rows = sorted(by_task[i])
-            r0, r1 = t["k0"] - t["below"], t["k1"] - t["below"]
-            cum, first, last, before = 0, None, None, 0
-            for b, n, mn, mx in rows:
-                if first is None and r0 < cum + n:
-                    first, before = (b, n, mn, mx), cum
-                if r1 < cum + n:
-                    last = (b, n, mn, mx)
+            for _, n, mn, mx in sorted(by_task[i]):
+                if t["rank"] - t["below"] < n:
+                    t["lo"], t["hi"], t["cnt"] = mn, mx, n
                     break
-                cum += n
-            span = [row for row in rows if first[0] <= row[0] <= last[0]]
-            t["lo"], t["hi"] = first[2], last[3]
-            t["below"] += before
-            t["cnt"] = sum(row[1] for row in span)
+                t["below"] += n
 
 
 def _key_match(by: list[str], key: tuple):
@@ -160,7 +173,7 @@ def grouped_quantiles(df: DataFrame, by: list[str], columns: list[str], qs, max_
     of the values) instead of bringing per-group results to the driver.
     """
     qs = list(qs)
-    df = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    df = df.select(*by, *[finite_or_null(c).alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _grouped_quantiles(df, by, columns, qs, max_exact_distinct, collect_limit, buckets, max_groups)
     finally:
@@ -191,10 +204,8 @@ def _grouped_quantiles(df, by, columns, qs, max_exact_distinct, collect_limit, b
                 exact_cols[c].append(key)
                 continue
             for j, q in enumerate(qs):
-                h = q * (n - 1)
-                tasks.append({"col": c, "j": j, "h": h, "k0": math.floor(h), "k1": math.ceil(h), "key": key,
-                              "where": _key_match(by, key), "lo": r[f"mn{i}"], "hi": r[f"mx{i}"],
-                              "below": 0, "cnt": n, "vals": None})
+                tasks += _rank_tasks({"col": c, "into": out[key][c], "j": j, "h": q * (n - 1),
+                                      "where": _key_match(by, key)}, r[f"mn{i}"], r[f"mx{i}"], n)
     pct = []
     for i, c in enumerate(columns):
         keys = exact_cols[c]
@@ -217,8 +228,7 @@ def _grouped_quantiles(df, by, columns, qs, max_exact_distinct, collect_limit, b
                     out[key][c] = list(r[f"q{i}"])
     if tasks:
         _select(df, tasks, collect_limit, buckets)
-        for t in tasks:
-            out[t["key"]][t["col"]][t["j"]] = _interp(t["h"], *t["vals"])
+        _fill(tasks)
     return out
 
 

@@ -7,7 +7,7 @@ executor loss and recomputation, and is reproducible in any SQL engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hash_bucket
@@ -38,6 +38,48 @@ def with_folds(df: DataFrame, k: int = 3, key: str = "order_id", seed: int = 7,
     return df.withColumn(out, hash_bucket(_key_col(df, key), seed, k).cast("int"))
 
 
+HASH_SLICES = 4096  # ranges of the hash that are numbered apart
+
+
+def _class_rank(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """``df`` with ``_rank``, a row's number from 0 among its class in hash
+    order, and ``_size``, its class's rows. Classes hold large shares of all
+    rows, so rows are numbered inside ranges of the hash (a function of the
+    key alone) and shifted by the counts of the ranges before."""
+    hashed = df.withColumn("_h", hash_bucket(_key_col(df, key), seed, 1 << 32))
+    hashed = hashed.withColumn("_slice", F.shiftright("_h", 32 - HASH_SLICES.bit_length() + 1))
+    counts = hashed.groupBy(F.col(label).alias("_class"), F.col("_slice").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("_class")
+    before = whole.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_class", "_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                           F.sum("_n").over(whole).alias("_size"))
+    own = F.row_number().over(Window.partitionBy(label, "_slice").orderBy("_h", key))
+    ranked = hashed.withColumn("_own", own)
+    return (ranked.join(counts, ranked[label].eqNullSafe(counts["_class"]) & (ranked["_slice"] == counts["_of"]))
+            .withColumn("_rank", F.col("_before") + F.col("_own") - 1)
+            .drop("_h", "_slice", "_class", "_of", "_before", "_own"))
+
+
+def with_stratified_split(df: DataFrame, label: str = "label", key: str = "order_id", test_size: float = 0.2,
+                          seed: int = 42, out: str = "is_test") -> DataFrame:
+    """Flag ``test_size`` of each class's rows (rounded) as test."""
+    r = _class_rank(df, label, key, seed)
+    return r.withColumn(out, F.col("_rank") < F.floor(F.lit(test_size) * F.col("_size") + 0.5)).drop("_rank", "_size")
+
+
+def stratified_split(df: DataFrame, label: str = "label", key: str = "order_id", test_size: float = 0.2,
+                     seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    s = with_stratified_split(df, label, key, test_size, seed, "_t")
+    return s.filter(~F.col("_t")).drop("_t"), s.filter(F.col("_t")).drop("_t")
+
+
+def with_stratified_folds(df: DataFrame, k: int = 3, label: str = "label", key: str = "order_id", seed: int = 7,
+                          out: str = "fold") -> DataFrame:
+    """Fold ids in [0, k) whose sizes differ by one row at most in each class."""
+    r = _class_rank(df, label, key, seed)
+    return r.withColumn(out, (F.col("_rank") % k).cast("int")).drop("_rank", "_size")
+
+
 def sample_n(df: DataFrame, n: int, key: str = "order_id", seed: int = 42, slack: float = 1.05) -> DataFrame:
     """Exactly ``min(n, count)`` rows: those with the ``n`` smallest seeded
     key hashes (ties by key).

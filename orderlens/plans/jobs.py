@@ -74,7 +74,7 @@ def eda_report(spark: SparkSession, source: str, out_dir: str, fmt: str = "csv",
 def classification_job(spark: SparkSession, table_path: str, out_dir: str, with_search: bool = True) -> dict:
     md = sinks.read_table(spark, table_path).dropna(how="any")
     xy = features.supervised_xy(md).persist(StorageLevel.MEMORY_AND_DISK)
-    tr, te = split.train_test_split(xy)
+    tr, te = split.stratified_split(xy)
     cv = segments.union_all([models.cross_validate(tr, n, NUM, CAT)
                              for n in ("naive_bayes", "logistic", "random_forest", "linear_svm")])
     sinks.write_metrics(cv, os.path.join(out_dir, "metrics", "cv_results"))

@@ -318,6 +318,16 @@ def q_cv_folds(spark, sf_dir):
     return split.with_folds(train_part(sup(spark, sf_dir)), 3).select("order_id", "fold")
 
 
+@query("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    return split.with_stratified_split(sup(spark, sf_dir)).select("order_id", "is_test")
+
+
+@query("stratified_folds")
+def q_stratified_folds(spark, sf_dir):
+    return split.with_stratified_folds(sup(spark, sf_dir), 3).select("order_id", "fold")
+
+
 @query("sample_n")
 def q_sample_n(spark, sf_dir):
     return split.sample_n(model_df(spark, sf_dir), 1000).select("order_id", "review_score")
@@ -552,14 +562,14 @@ def q_gbt(spark, sf_dir):
 
 @query("cross_validate")
 def q_cross_validate(spark, sf_dir):
-    tr, _ = split.train_test_split(cls_frame(spark, sf_dir))
+    tr, _ = split.stratified_split(cls_frame(spark, sf_dir))
     return segments.union_all([mdl.cross_validate(tr, n, NUM, CAT) for n in
                                ("naive_bayes", "logistic", "random_forest", "linear_svm")])
 
 
 @query("random_search")
 def q_random_search(spark, sf_dir):
-    tr, te = split.train_test_split(cls_frame(spark, sf_dir))
+    tr, te = split.stratified_split(cls_frame(spark, sf_dir))
     best, res = mdl.random_search(tr, "random_forest", NUM, CAT, mdl.RF_GRID, n_iter=10)
     return res
 
@@ -567,7 +577,7 @@ def q_random_search(spark, sf_dir):
 @query("holdout_metrics")
 def q_holdout_metrics(spark, sf_dir):
     x = cls_frame(spark, sf_dir)
-    tr, te = split.train_test_split(x)
+    tr, te = split.stratified_split(x)
     rows = []
     for i, n in enumerate(("naive_bayes", "logistic", "linear_svm", "random_forest")):
         p = mdl.predict(mdl.train_classifier(tr, n, NUM, CAT), te, keep=["label"])

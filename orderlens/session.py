@@ -49,14 +49,25 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (local tests) a fresh local folder is created and registered.
+    Reads ``spark.checkpoint.dir`` from the session. Where it is unset, a
+    local master (tests) gets a fresh local folder and a cluster an error:
+    executors could not share a folder of one machine.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="orderlens-ckpt-")
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getCheckpointDir()
+    if current and (not named or _plain(current).startswith(_plain(named).rstrip("/") + "/")):
+        return named or current  # already set: no new sub-folder for every call
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="orderlens-ckpt-")
+    spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def _plain(path: str) -> str:
+    """A path without ``file:`` and doubled slashes before it."""
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith(("file:", "/")) else path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -64,22 +75,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "tables", name)
 
 
-def scale_settings(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20,
-                   max_shuffle_partitions: int = 32768) -> dict:
+def scale_settings(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
     """Shuffle and scan sizing for an input of ``input_bytes`` on
     ``total_cores`` cores: enough shuffle partitions that each holds about
-    ``target_partition_bytes`` (at least 2 per core, capped so shuffle
-    metadata stays manageable) — AQE then coalesces small ones to
-    ``advisoryPartitionSizeInBytes`` and splits skewed ones; scan splits of
-    128 MB keep a task's input well inside executor memory.
-
-    At 100 TB on 1000 executors × 8 cores this gives 32768 shuffle
-    partitions (~3 GB of raw input per partition before the partial
-    aggregation that precedes every shuffle here).
+    ``target_partition_bytes`` (at least 2 per core) — AQE then coalesces
+    small ones to ``advisoryPartitionSizeInBytes`` and splits skewed ones;
+    scan splits of 128 MB keep a task's input well inside executor memory.
+    At 100 TB this gives 372,530 partitions of 256 MB; pass the bytes that
+    reach a shuffle, which partial aggregation makes far fewer.
     """
     parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
     return {
-        "spark.sql.shuffle.partitions": str(min(parts, max_shuffle_partitions)),
+        "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.files.maxPartitionBytes": str(128 << 20),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),

@@ -67,3 +67,15 @@ FILES = {
 OPTIONAL_FILES = {
     "product_translation": ("product_category_name_translation.csv", TRANSLATION),
 }
+
+# Tables with free text, where quoted fields may hold line breaks.
+FREE_TEXT_TABLES = ("order_reviews",)
+
+# Columns that no operator needs; a file may lack them.
+OPTIONAL_COLUMNS = (
+    "order_delivered_carrier_date", "review_comment_title", "review_comment_message", "review_answer_timestamp",
+    "customer_unique_id", "customer_zip_code_prefix", "product_name_lenght", "product_description_lenght",
+    "product_photos_qty", "product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm",
+    "seller_zip_code_prefix", "seller_city", "geolocation_zip_code_prefix", "geolocation_lat", "geolocation_lng",
+    "geolocation_city", "geolocation_state",
+)

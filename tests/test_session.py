@@ -24,7 +24,7 @@ def test_scale_settings_sizes_partitions():
     small = session.scale_settings(10 << 30, 16)
     big = session.scale_settings(100 * 10 ** 12, 8000)
     assert int(small["spark.sql.shuffle.partitions"]) == 40
-    assert int(big["spark.sql.shuffle.partitions"]) == 32768
+    assert int(big["spark.sql.shuffle.partitions"]) * (256 << 20) >= 100 * 10 ** 12
 
 
 def test_lazy_catalog_builds_on_access(spark):
