@@ -87,7 +87,7 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int,
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, "_text"):
+        for b in text_slices(batches, "_text", 1 << 20):
             column = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             doc, gram = features(Texts.of(column["_text"]), bits)
             both = np.unique(doc << bits | gram)
@@ -102,10 +102,9 @@ def fit(sample: DataFrame, bits: int, epochs: int = 3, alpha: float = 0.5, beta:
         l2: float = 1.0) -> Weights:
     """FTRL-proximal over ``sample``, in the order of its hashes, in one task.
 
-    The sample is bounded by ``labelled``; the task reads it as a stream.
+    The sample is bounded by ``labelled``; the task keeps its packed features.
     """
-    stream = (sample.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).repartition(1)
-              .sortWithinPartitions("_epoch", "_order"))
+    stream = sample.repartition(1).sortWithinPartitions("_order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)  # the last one is the intercept
@@ -114,15 +113,17 @@ def fit(sample: DataFrame, bits: int, epochs: int = 3, alpha: float = 0.5, beta:
         def weights(at):
             out = -(z[at] - np.sign(z[at]) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2)
             return np.where((np.abs(z[at]) > l1) | (at == 1 << bits), out, 0.0)
+        held = []
         for b in batches:
             column = {name: b.column(i).to_pylist() for i, name in enumerate(b.schema.names)}
-            for y, packed in zip(column["label"], column["grams"]):
-                at = np.concatenate((np.frombuffer(packed, np.uint32).astype(np.int64), first))
-                w = weights(at)
-                g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
-                root = np.sqrt(n[at])
-                n[at] += g * g
-                z[at] += g - (np.sqrt(n[at]) - root) / alpha * w
+            held += zip(column["label"], column["grams"])
+        for y, packed in held * epochs:
+            at = np.concatenate((np.frombuffer(packed, np.uint32).astype(np.int64), first))
+            w = weights(at)
+            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+            root = np.sqrt(n[at])
+            n[at] += g * g
+            z[at] += g - (np.sqrt(n[at]) - root) / alpha * w
         used = np.flatnonzero(n)
         w = weights(used)
         used, w = used[w != 0], w[w != 0]
@@ -142,7 +143,7 @@ def score(docs: DataFrame, weights: Weights, text: str = "text", into: str = "sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense, bits = weights.dense(), weights.bits
-        for b in text_slices(batches, text):
+        for b in text_slices(batches, text, 1 << 20):
             doc, gram = features(Texts.of(b.column(b.schema.get_field_index(text))), bits)
             some = dense[gram] != 0
             both = np.unique(doc[some] << bits | gram[some])
