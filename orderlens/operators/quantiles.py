@@ -31,7 +31,7 @@ from ..functions import finite_or_null
 
 def _interp(h: float, v0: float, v1: float) -> float:
     lo, hi = math.floor(h), math.ceil(h)
-    if lo == hi:
+    if lo == hi or v0 == v1:
         return v0
     return (hi - h) * v0 + (h - lo) * v1
 
