@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, embedding_dedup, packing, pitman_yor, quality, secret_scan, simhash, suffix_dedup, toxicity
+from .oracles import ORACLES  # noqa: F401 - registered with the queries
 from .substring_dedup import repeated_words
 
 
@@ -105,5 +106,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_bpe, op2_embedding_dedup, op3_secret_scan, op4_quality, op5_simhash, op6_toxicity, op7_suffix_dedup,
         op8_pitman_yor, op9_substring_dedup, op10_packing, pipeline)}
-
-ORACLES: dict[str, str] = {}
