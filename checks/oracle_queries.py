@@ -84,6 +84,11 @@ add("items_agg", with_views("""SELECT order_id, count(order_item_id) AS n_items,
   round(coalesce(sum(freight_value), 0.0), 6) AS total_freight_value,
   list(seller_id ORDER BY order_item_id) AS sellers_ids
 FROM v_order_items WHERE order_id IS NOT NULL GROUP BY order_id""", "v_order_items"))
+add("base_orders_lists", with_views("""SELECT o.order_id, l.product_ids, l.sellers_ids FROM v_orders o LEFT JOIN (
+  SELECT order_id, list(product_id ORDER BY order_item_id) AS product_ids,
+         list(seller_id ORDER BY order_item_id) AS sellers_ids
+  FROM v_order_items WHERE order_id IS NOT NULL GROUP BY order_id) l USING (order_id)
+WHERE o.order_status IS DISTINCT FROM 'canceled'""", "v_orders", "v_order_items"))
 add("payments_agg", with_views("""SELECT order_id, max(payment_sequential) AS payment_sequential,
   arg_min_null(payment_type, payment_sequential) AS payment_type,
   max(payment_installments) AS payment_installments, round(coalesce(sum(payment_value), 0.0), 6) AS payment_value
@@ -399,7 +404,7 @@ add("feature_defaults", model_sql("\nUNION ALL\n".join(
   CAST(NULL AS VARCHAR) AS category FROM md""" for c in NUM]
     + [f"""SELECT * FROM (SELECT DISTINCT '{c}' AS feature, 'categorical' AS kind, CAST(NULL AS DOUBLE) AS min,
   CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS value, CAST({c} AS VARCHAR) AS category FROM md
-  WHERE {c} IS NOT NULL ORDER BY category LIMIT 50)""" for c in CAT])))
+  WHERE {c} IS NOT NULL ORDER BY category)""" for c in CAT])))
 
 # The short-name replacements, in order (same table as the library's).
 SHORT = [("product_category_name_english", "cat"), ("product_category_name", "cat"), ("payment_type", "pay"),

@@ -318,6 +318,13 @@ def q_cv_folds(spark, sf_dir):
     return split.with_folds(train_part(sup(spark, sf_dir)), 3).select("order_id", "fold")
 
 
+@query("base_orders_lists")
+def q_base_orders_lists(spark, sf_dir):
+    """The list columns of the consolidated table."""
+    out = orders.base_orders(cat(spark, sf_dir), item_lists=True)
+    return out.select("order_id", "product_ids", "sellers_ids")
+
+
 @query("stratified_split")
 def q_stratified_split(spark, sf_dir):
     return split.with_stratified_split(sup(spark, sf_dir)).select("order_id", "is_test")
