@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.llm import packing, secret_scan, simhash, substring_dedup, toxicity
+from orderlens.llm.chunks import Chunks
 from orderlens.llm.queries import tokenizer
 from orderlens.session import scratch_path
 
@@ -76,5 +77,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (name, stage) in enumerate(STAGES):
         path = os.path.join(place, f"{number}-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        Chunks.release_all()
         docs = spark.read.parquet(path)
     return docs

@@ -82,8 +82,12 @@ class Chunks:
     ``frame`` has (chunk, n_bytes, rows): pieces of a chunk, each an Arrow
     stream with zstd. It is hash-partitioned by chunk, so grouping by chunk
     moves nothing. The lineage stays: a lost executor's part is read again.
+    The results of ``finish`` are lazy and read the stored chunks, so these
+    stay until ``release_all`` (or the end of the session).
     """
 
+    stored: list[DataFrame] = []
+
     def __init__(self, docs: DataFrame, doc_id: str, text: str, chunk_bytes: int):
         spark = docs.sparkSession
         size = docs.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).head()
@@ -100,6 +104,7 @@ class Chunks:
         packed = docs.mapInArrow(_packer(self.cuts, doc_id, text, 32 << 20), "chunk long, n_bytes long, rows binary")
         self.frame = packed.repartition(parts, "chunk").persist(StorageLevel.DISK_ONLY)
         self.frame.count()  # stored now, so that later plans know how it is partitioned
+        Chunks.stored.append(self.frame)
 
     def emit(self, make: Callable, answers: DataFrame | None = None) -> DataFrame:
         """(shard, chunk, payload) rows of ``make(chunk, table, answers)``."""
@@ -134,8 +139,11 @@ class Chunks:
         return (self.frame.groupBy("chunk").cogroup(answers.groupBy("chunk"))
                 .applyInArrow(both, spark_schema))
 
-    def release(self) -> None:
-        self.frame.unpersist()
+    @classmethod
+    def release_all(cls) -> None:
+        """Free the chunks of all results that have been written or read."""
+        while cls.stored:
+            cls.stored.pop().unpersist()
 
 
 def answer(payloads: DataFrame, kind: str, solve: Callable) -> DataFrame:
