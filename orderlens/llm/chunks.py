@@ -197,7 +197,7 @@ def ids_of(column) -> np.ndarray:
 
 def _write(table: pa.Table) -> bytes:
     sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 4))) as w:
         w.write_table(table)
     return sink.getvalue()
 

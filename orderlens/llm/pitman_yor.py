@@ -19,7 +19,8 @@ chunks with a pair seat it alike and its first chunk reports its tables. Only
 sums for each word are exchanged in a sweep. Scores average the predictive
 probabilities of the last sweeps.
 
-Counts cover all training documents. Tokens are identified by 64-bit hashes.
+Counts cover all training documents. Words are identified by 64-bit hashes,
+pairs by as many bits as leave about one in a million with another's.
 
 Defined results: a null or empty text is the end token alone; rows are
 documents of their own even where ids repeat; a row with a null id is not
@@ -78,10 +79,21 @@ def discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, where one of each is, and each key's number among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(keys), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], number
+
+
 class _Tokens:
     """A chunk's tokens as numbers of its distinct words and pairs."""
 
-    def __init__(self, table: pa.Table, doc_id: str, text: str, modulus: int, remainder: int):
+    def __init__(self, table: pa.Table, doc_id: str, text: str, modulus: int, remainder: int, bits: int = 64):
         self.column = table.column(doc_id)
         self.held_out = held_out(self.column.to_pylist(), modulus, remainder)
         texts = Texts.of(table.column(text))
@@ -91,13 +103,13 @@ class _Tokens:
         doc = np.repeat(np.arange(n), words.counts)
         token = np.full(len(words) + n, END, dtype=np.uint64)
         token[np.arange(len(words)) + doc] = word_hash(texts, words, lower=True)
-        self.words, self.token = np.unique(token, return_inverse=True)
+        self.words, _, self.token = _distinct(token)
         end = np.searchsorted(self.words, END)
         self.context = np.empty_like(self.token)
         self.context[1:] = self.token[:-1]
         self.context[self.offsets[:-1]] = end
         both = mix(self.words[self.context] * np.uint64(0x9E3779B97F4A7C15) + mix(token ^ np.uint64(0x5555)))
-        self.pairs, first, self.pair = np.unique(both, return_index=True, return_inverse=True)
+        self.pairs, first, self.pair = _distinct(both & ~np.uint64((1 << (64 - bits)) - 1))
         self.left, self.right = self.context[first], self.token[first]
         self.training = np.repeat(~self.held_out, np.diff(self.offsets))
 
@@ -130,7 +142,8 @@ class _Model:
         self.count, = _joined(tokens.words, got["counts"], shards, 0, 1)
         pairs, owner = _joined(tokens.pairs, got["counts"], shards, shards, 2)
         self.customers, self.owner = pairs, owner.astype(bool)
-        self.known = [_joined(tokens.words, got[f"sweep{i}"], shards, 0, 3) for i in range(len(sweeps))]
+        self.known = {i: _joined(tokens.words, got[f"sweep{i}"], shards, 0, 3)
+                      for i in range(len(sweeps)) if f"sweep{i}" in got}
 
     def state(self, sweep: int) -> tuple[np.ndarray, np.ndarray]:
         """Before a sweep: tables of each word's restaurant, and the parent's probabilities."""
@@ -168,15 +181,19 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, doc_id: str = "
     chunks = Chunks(docs.select(doc_id, text), doc_id, text, chunk_bytes)
     shards = int(max(2, chunks.n_bytes >> 23))
 
+    # pairs travel in so many leading bits that about one in a million meets another
+    bits = min(64, int(np.ceil(np.log2(max(2, chunks.n_bytes)))) + 18)
+
     def tokens(table):
-        return _Tokens(table, doc_id, text, modulus, remainder)
+        return _Tokens(table, doc_id, text, modulus, remainder, bits)
 
     def count(chunk, table, _):
         k = tokens(table)
         for base, keys, number in ((0, k.words, k.token), (shards, k.pairs, k.pair)):
             n = k.counts(number, len(keys))
             for s, part in _parts(keys, shards):
-                yield base + s, pack_parts(pack_sorted(keys[part]), pack_array(n[part]))
+                short = keys[part] >> np.uint64(64 - bits) if base else keys[part]
+                yield base + s, pack_parts(pack_sorted(short), pack_array(n[part]))
 
     def add(shard, owners, payloads):
         parts = [unpack_parts(p) for p in payloads]
@@ -206,7 +223,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, doc_id: str = "
     found = stats(counted)
     totals = {"tokens": int(found[0]), "words": int(found[1]), "discount": discount(int(found[2]), int(found[3]))}
     sweeps: list[dict] = []
-    answers = counted
+    answers = swept = counted
     for number in range(burn_in + samples):
         before = list(sweeps)
         guess = before[-1] if before else {"tables": totals["words"], "discount": 0.5}
@@ -232,12 +249,13 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, doc_id: str = "
             for chunk, *columns in zip(owners, *(np.split(c[inverse], cuts) for c in (of_context, of_word, own))):
                 yield chunk, pack_parts(*map(pack_array, columns))
 
-        swept = answer(chunks.emit(seating, answers), f"sweep{number}", parent)
+        answers = answers.unionByName(swept) if number else counted
+        swept = answer(chunks.emit(seating, counted.unionByName(swept) if number else counted), f"sweep{number}", parent)
         forget_shuffles(spark)
         found = stats(swept)
         sweeps.append({"customers": int(found[0]), "tables": int(found[1]),
                        "discount": discount(int(found[2]), int(found[3]))})
-        answers = answers.unionByName(swept)
+    answers = answers.unionByName(swept)
 
     schema = T.StructType([docs.schema[doc_id], T.StructField("held_out", T.BooleanType()),
                            *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")),
