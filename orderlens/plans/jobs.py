@@ -62,9 +62,9 @@ def eda_report(spark: SparkSession, source: str, out_dir: str, fmt: str = "csv",
         "delay_by_score": profile.describe(drivers.delay_by_score_rows(r, o), "delivery_delay_days", ["review_score"]),
         "corr_delay_score": drivers.corr_delay_score(r, o),
         "review_by_late_flag": drivers.review_by_late_flag(r, o),
-        "categories_most_negative_top": drivers.worst_categories(r, data["order_items"], data["products"],
+        "worst_categories": drivers.worst_categories(r, data["order_items"], data["products"],
                                                                  top_n=top_n),
-        "states_most_negative_top": drivers.worst_states(r, o, data["customers"], top_n=top_n),
+        "worst_states": drivers.worst_states(r, o, data["customers"], top_n=top_n),
     }
     for name, df in out.items():  # all bounded results
         sinks.export_csv(df, os.path.join(out_dir, name), single_file=True)

@@ -10,7 +10,7 @@ def test_jobs_end_to_end(spark, tmp_dir):
     path = jobs.build_modelling_table(spark, SF_SMALL, tmp_dir, fmt="derived", csv_copy=True)
     assert spark.read.parquet(path).count() > 0
     jobs.eda_report(spark, SF_SMALL, os.path.join(tmp_dir, "eda"), fmt="derived")
-    assert os.path.isdir(os.path.join(tmp_dir, "eda", "categories_most_negative_top"))
+    assert os.path.isdir(os.path.join(tmp_dir, "eda", "worst_categories"))
     res = jobs.classification_job(spark, path, os.path.join(tmp_dir, "cls"), with_search=False)
     assert set(res["holdout"]) == {"naive_bayes", "logistic", "linear_svm", "random_forest", "gbt"}
     assert os.path.isdir(os.path.join(tmp_dir, "cls", "models", "best_accuracy"))
