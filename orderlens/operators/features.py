@@ -191,6 +191,8 @@ def pred_distribution(df: DataFrame, y: str = "label", pred: str = "prediction",
     """Distribution of clipped predictions per rounded true score:
     n, min, quartiles, max (the table behind a violin plot)."""
     r = residual_frame(df, y, pred)
+    if accuracy is None:  # quartiles take passes of their own: run what is upstream once
+        r = materialize(r.select("y_true_bucket", "y_pred"))
     base = [F.count("y_pred").alias("n"), F.min("y_pred").alias("min"), F.max("y_pred").alias("max")]
     small = _small_quantile_frame(r, ["y_true_bucket"], ["y_pred"], (0.25, 0.5, 0.75), ("q1", "median", "q3")) \
         if accuracy is None else None
@@ -217,12 +219,15 @@ def feature_defaults(df: DataFrame, numeric: list[str], categorical: list[str],
         rows = [(c, "numeric", *(r[c] or [None, None, None])) for c in numeric]
     num = df.sparkSession.createDataFrame(rows, "feature string, kind string, min double, max double, value double") \
         .select("*", F.lit(None).cast("string").alias("category"))
-    frames = [num]
-    for c in categorical:
-        top = df.select(F.col(c).cast("string").alias("category")).filter(F.col("category").isNotNull()).distinct()
-        if max_values is not None:
-            top = top.orderBy("category").limit(max_values)
-        frames.append(top.select(F.lit(c).alias("feature"), F.lit("categorical").alias("kind"),
-                                 F.lit(None).cast("double").alias("min"), F.lit(None).cast("double").alias("max"),
-                                 F.lit(None).cast("double").alias("value"), "category"))
-    return reduce(DataFrame.unionByName, frames)
+    if not categorical:
+        return num
+    # all categorical columns in one scan
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category"))
+                                for c in categorical))).alias("p")
+    found = df.select(pairs).select("p.*").filter(F.col("category").isNotNull()).distinct()
+    if max_values is not None:
+        found = reduce(DataFrame.unionByName, [found.filter(F.col("feature") == c).orderBy("category").limit(max_values)
+                                               for c in categorical])
+    none = F.lit(None).cast("double")
+    return num.unionByName(found.select("feature", F.lit("categorical").alias("kind"), none.alias("min"),
+                                        none.alias("max"), none.alias("value"), "category"))

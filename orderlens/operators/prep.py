@@ -92,8 +92,7 @@ class ModeImputerModel(Model, _ColsMixin):
 
 class ModeImputer(Estimator, _ColsMixin):
     """Fill NULLs with the most frequent value (smallest value on ties).
-    One grouped count per column (partial aggregation), top-1 by
-    ``TakeOrderedAndProject``."""
+    One scan and one grouped count (partial aggregation) for all columns."""
 
     @keyword_only
     def __init__(self, *, inputCols=None, outputCols=None):
@@ -102,12 +101,9 @@ class ModeImputer(Estimator, _ColsMixin):
 
     def _fit(self, df: DataFrame) -> ModeImputerModel:
         cols = self.getInputCols()
-        counts = [df.filter(F.col(c).isNotNull())
-                  .groupBy(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-                  for i, c in enumerate(cols)]
-        u = counts[0]
-        for x in counts[1:]:
-            u = u.unionByName(x)
+        pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v"))
+                                    for i, c in enumerate(cols)))).alias("p")
+        u = df.select(pairs).select("p.*").filter(F.col("v").isNotNull()).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
         # one job: per column the value with the highest count, smallest value on ties
         best = u.groupBy("i").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v")).collect()
         found = {r["i"]: r["v"] for r in best}

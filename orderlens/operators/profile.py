@@ -9,7 +9,6 @@ switches to ``percentile_approx`` for high-cardinality values at scale
 from __future__ import annotations
 
 import math
-
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import col_
+from ..session import materialize
 
 
 def _small_quantile_frame(df: DataFrame, by: list[str], columns: list[str], qs, names):
@@ -108,6 +108,9 @@ def describe(df: DataFrame, value: str, by: list[str] | None = None, digits: int
             F.min(v).alias("min"), F.max(v).alias("max")]
     tail = [r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"), r(F.col("min")).alias("min")]
     qn = ("p25", "p50", "p75")
+    if accuracy is None:  # quartiles take passes of their own: run what is upstream once
+        df = materialize(df.select(*by, v.alias(value)))
+        v = F.col(value)
     if accuracy is None and by:
         small = _small_quantile_frame(df, by, [value], (0.25, 0.5, 0.75), qn)
         if small is not None:
@@ -137,7 +140,7 @@ def box_stats(df: DataFrame, value: str, by: list[str], whisker: float = 1.5,
     and takes conditional min / max / count in a single aggregate.
     """
     v = F.col(value).cast("double")
-    data = df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull())
+    data = materialize(df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull()))
     small = _small_quantile_frame(data, by, ["_v"], (0.25, 0.5, 0.75), ("q1", "median", "q3")) \
         if accuracy is None else None
     if small is not None:
