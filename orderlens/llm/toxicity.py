@@ -104,7 +104,7 @@ def fit(sample: DataFrame, bits: int, epochs: int = 3, alpha: float = 0.5, beta:
 
     The sample is bounded by ``labelled``; the task keeps its packed features.
     """
-    stream = sample.repartition(1).sortWithinPartitions("_order")
+    stream = sample.repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)  # the last one is the intercept
@@ -116,8 +116,9 @@ def fit(sample: DataFrame, bits: int, epochs: int = 3, alpha: float = 0.5, beta:
         held = []
         for b in batches:
             column = {name: b.column(i).to_pylist() for i, name in enumerate(b.schema.names)}
-            held += zip(column["label"], column["grams"])
-        for y, packed in held * epochs:
+            held += zip(column["_order"], column["label"], column["grams"])
+        held.sort()
+        for _, y, packed in held * epochs:
             at = np.concatenate((np.frombuffer(packed, np.uint32).astype(np.int64), first))
             w = weights(at)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
