@@ -108,7 +108,8 @@ class _Tokens:
         self.context = np.empty_like(self.token)
         self.context[1:] = self.token[:-1]
         self.context[self.offsets[:-1]] = end
-        both = mix(self.words[self.context] * np.uint64(0x9E3779B97F4A7C15) + mix(token ^ np.uint64(0x5555)))
+        left, right = self.words * np.uint64(0x9E3779B97F4A7C15), mix(self.words ^ np.uint64(0x5555))
+        both = mix(left[self.context] + right[self.token])
         self.pairs, first, self.pair = _distinct(both & ~np.uint64((1 << (64 - bits)) - 1))
         self.left, self.right = self.context[first], self.token[first]
         self.training = np.repeat(~self.held_out, np.diff(self.offsets))
