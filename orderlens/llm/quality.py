@@ -1,20 +1,24 @@
-"""Quality rules: tokeniser fertility within bands for each language.
+"""Quality rules: tokeniser fertility within limits for each language.
 
 Every text gets counts of words, lines and repeats, and is tokenised word by
 word with a public vocabulary that falls back to bytes. Three measures tell
 how well the text fits that vocabulary: characters per token, the share of
 byte tokens, and the entropy of its tokens (in bits, divided by the entropy
-of as many different ones). Bands of each measure reach a number of quartile
-distances beyond the quartiles (and at least ``SLACK``); they are taken for
-every language from all documents that pass the base rules, by exact counts
-of the rounded measures. A text outside a band of its language is rejected.
-
-Bands are kept for the languages named in ``languages`` and, for all others,
+of as many different ones). That entropy falls with a text's length, so it is
+judged by its distance from the line that all documents of the same band give
+over the logarithm of their tokens. Each measure has one limit, on the side
+where texts don't fit: few characters per token, many byte tokens, little
+entropy for the length. It lies a number of quartile distances (and at least
+``SLACK``) beyond the quartile on that side; quartiles are taken for every
+language from all documents that pass the base rules, by exact counts of the
+rounded measures. A text beyond a limit of its language is rejected.
+
+Limits are kept for the languages named in ``languages`` and, for all others,
 for the script that most letters of the text belong to, so their number is
 bounded whatever the column holds.
 
 Defined results: a null or empty text has no words and fails the base rules;
-a document with fewer than ``MIN_TOKENS`` tokens is not judged by bands, nor
+a document with fewer than ``MIN_TOKENS`` tokens is not judged by limits, nor
 is a group of fewer than ``MIN_GROUP`` documents; rows are judged each for
 itself, so repeated rows and extra columns don't matter.
 """
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -39,9 +43,10 @@ from .arrays import IS_BLANK, Texts, Words, covered, per_text, span_hash, text_s
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pt")
 MIN_TOKENS, MIN_GROUP = 50, 30
 MEASURES = ("chars_per_token", "byte_share", "entropy")
-STEPS = (0.01, 0.001, 0.001)  # to which the measures are rounded for the quartiles
-SLACK = (0.1, 0.05, 0.05)  # least distance of a band's ends from the quartiles
-MOST = 5000  # steps; a larger measure counts as this for the quartiles
+STEPS = (0.01, 0.001, 0.001)  # to which the measures are rounded
+SIDES = (-1, 1, -1)  # limits lie at the low (-1) or the high end
+SLACK = (0.1, 0.02, 0.03)  # least distance of a limit from the quartile
+MOST = 5000  # steps; a measure further from 0 counts as this
 # fixed values: the symbols that the contract counts
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -148,12 +153,31 @@ def measures(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
     return docs.mapInArrow(run, schema)
 
 
-def bands(judged: DataFrame, distances: float) -> DataFrame:
-    """(band, and low and high of each measure): a row for each band."""
-    each = judged.select("band", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.least(
-        F.round(F.col(m) / s).cast("long"), F.lit(MOST)).alias("step")) for m, s in zip(MEASURES, STEPS)))).alias("x"))
+def _over_length(measured: DataFrame, judged: Column) -> DataFrame:
+    """``measured`` with ``_expected``: the entropy that its band's documents have at its length."""
+    x = F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))
+    mine = measured.where(judged).select("band", x.alias("x"), "entropy")
+    slope = F.coalesce(F.covar_pop("x", "entropy") / F.nullif(F.var_pop("x"), F.lit(0.0)), F.lit(0.0))
+    lines = mine.groupBy("band").agg(slope.alias("slope"), F.avg("x").alias("x"), F.avg("entropy").alias("y"))
+    # rounded, so that the order of additions doesn't decide; a row for each named language or script
+    lines = lines.select("band", F.round("slope", 6).alias("_slope"),
+                         F.round(F.col("y") - F.round("slope", 6) * F.col("x"), 6).alias("_start"))
+    out = measured.join(F.broadcast(lines), "band", "left")
+    return out.withColumn("_expected", F.col("_start") + F.col("_slope") * x).drop("_start", "_slope")
+
+
+def _steps() -> list[Column]:
+    """The measures as judged, in whole steps."""
+    judged = (F.col(MEASURES[0]), F.col(MEASURES[1]), F.col(MEASURES[2]) - F.col("_expected"))
+    return [F.greatest(F.least(F.round(m / s).cast("long"), F.lit(MOST)), F.lit(-MOST)) for m, s in zip(judged, STEPS)]
+
+
+def limits(judged: DataFrame, distances: float) -> DataFrame:
+    """(band, and the limit of each measure in steps): a row for each band."""
+    each = judged.select("band", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), x.alias("step"))
+                                                     for m, x in zip(MEASURES, _steps())))).alias("x"))
     counts = each.groupBy("band", "x.measure", "x.step").agg(F.count(F.lit(1)).alias("n"))
-    # from here on at most MOST rows for each measure of each band
+    # from here on at most 2 * MOST rows for each measure of each band
     whole = Window.partitionBy("band", "measure")
     upto = whole.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.select("*", F.sum("n").over(upto).alias("upto"), F.sum("n").over(whole).alias("all"))
@@ -161,22 +185,22 @@ def bands(judged: DataFrame, distances: float) -> DataFrame:
     ends = counts.where(F.col("all") >= MIN_GROUP).groupBy("band", "measure").agg(
         quartile[0].alias("low"), quartile[1].alias("high"))
     out = []
-    for m, step, slack in zip(MEASURES, STEPS, SLACK):
-        reach = F.greatest((F.col("high") - F.col("low")) * step * distances, F.lit(slack))
-        for name, end in (("low", F.col("low") * step - reach), ("high", F.col("high") * step + reach)):
-            out.append(F.max(F.when(F.col("measure") == m, end)).alias(f"_{name}_{m}"))
+    for m, step, side, slack in zip(MEASURES, STEPS, SIDES, SLACK):
+        reach = F.greatest((F.col("high") - F.col("low")) * distances, F.lit(round(slack / step)))
+        end = F.col("low") - reach if side < 0 else F.col("high") + reach
+        out.append(F.max(F.when(F.col("measure") == m, end)).alias(f"_{m}"))
     return ends.groupBy("band").agg(*out)
 
 
 def judge(measured: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, distances: float = 3.0) -> DataFrame:
-    """``measured`` with ``base_failed`` and ``kept``: the base rules, then the bands of all documents."""
+    """``measured`` with ``base_failed`` and ``kept``: the base rules, then the limits from all documents."""
     measured = materialize(measured.withColumn("base_failed", (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))))
     judged = ~F.col("base_failed") & (F.col("n_tokens") >= MIN_TOKENS)
-    inside = F.lit(True)
-    for m in MEASURES:
-        inside &= F.col(m).between(F.col(f"_low_{m}"), F.col(f"_high_{m}"))
+    whole = _over_length(measured, judged)
     # a row for each named language or script: a fixed number
-    out = measured.join(F.broadcast(bands(measured.where(judged), distances)), "band", "left")
-    outside = judged & F.coalesce(~inside, F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~outside).select(*measured.columns, "kept")
+    out = whole.join(F.broadcast(limits(whole.where(judged), distances)), "band", "left")
+    beyond = F.lit(False)
+    for m, x, side in zip(MEASURES, _steps(), SIDES):
+        beyond |= F.coalesce(x < F.col(f"_{m}") if side < 0 else x > F.col(f"_{m}"), F.lit(False))
+    return out.withColumn("kept", ~F.col("base_failed") & ~(judged & beyond)).select(*measured.columns, "kept")

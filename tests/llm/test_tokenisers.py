@@ -144,3 +144,23 @@ def test_quality_rejects_what_doesnt_fit_its_language(spark):
     rows = quality.judge(quality.measures(spark.createDataFrame(good + bad, "doc_id long, text string, lang string"), PIECES)).collect()
     assert {r.doc_id for r in rows if not r.kept and not r.base_failed} == {100}
     assert next(r.byte_share for r in rows if r.doc_id == 100) > 0.5
+
+
+def test_quality_measures_decide(spark):
+    """Little entropy for its length, few characters a token and byte tokens each reject a text of any length."""
+    vocabulary = [w for k in range(40) for w in random.Random(k).sample(
+        "the of a house river stone and was green walking there small garden evening water people story".split(), 9)]
+
+    few = "the of river stone walking garden".split()  # as long as the others
+
+    def text(seed, n, of):
+        return " ".join(random.Random(seed).choices(of, k=n))
+    rows = [(i, text(i, 60 + 13 * (i % 90), vocabulary), "en") for i in range(900)]
+    rows += [(1000 + i, text(i, 60 + 13 * (i % 90), few), "en") for i in range(0, 90, 6)]
+    rows += [(2000, " ".join(random.Random(k).choice("qzxjkvwy") * 2 + random.Random(-k).choice("qzxjkvwy") for k in range(200)), "en"),
+             (3000, text(1, 200, vocabulary) + " ሀሐᎠⰀ" * 3, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = quality.judge(quality.measures(docs, PIECES), max_repeat_percent=100).collect()
+    lost = {r.doc_id for r in out if not r.kept}
+    assert lost >= {1000 + i for i in range(0, 90, 6)} | {2000, 3000}
+    assert len([i for i in lost if i < 1000]) < 20
