@@ -7,8 +7,15 @@ the prefix tree whose continuations differ by no more than chance (Hoeffding
 bounds), and one for ordinary long tokens. Every other token of ``least`` or
 more credential characters is a candidate and is scored by the likelihood of
 its format under the best kind against the ordinary one, by character. It is
-a secret if that exceeds what 99 of 100 ordinary tokens of the sample reach and
-what the lowest fiftieth of labelled credentials reach.
+a secret if that exceeds what the lowest fiftieth of all labelled credentials
+of the corpus reach (cut to ``least`` characters, as short as a candidate may
+be), and at least ``MARGIN``.
+
+Unlabelled secrets are among the tokens that the ordinary automaton is inferred
+from. Those that a kind explains as well as its own values stay out, and then,
+in rounds, those that would be secrets, so a common format without a rule
+doesn't count as ordinary. If that would be more than half of the sample, the
+labelled values look like ordinary text and all tokens are kept in.
 
 Defined results: null and empty texts have no spans; a kind with fewer than
 ``MIN_VALUES`` distinct values is not inferred; texts are scanned whole and
@@ -19,11 +26,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -37,6 +46,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs [0-9a-f]+ of 24 characters or more
 KINDS = ("assign", "access", "hex", "inferred")
 MIN_VALUES = 20
+MARGIN, ROUNDS = 0.1, 5
+STEP, MOST = 0.01, 5000  # to which scores of labelled credentials are rounded, and their most steps
 ORDINARY = "ordinary"
 
 _CLASSES = {**{c: "0" for c in "0123456789"}, **{c: "a" for c in "abcdef"}, **{c: "g" for c in "ghijklmnopqrstuvwxyz"},
@@ -153,29 +164,60 @@ class Automaton:
             self.unseen.append(math.log(0.1 / total))
         del self.count, self.final, self.next, self.settled
 
-    def score(self, symbols: str) -> float:
-        """Log likelihood of a format."""
+    def score(self, symbols: str, ended: bool = True) -> float:
+        """Log likelihood of a format, or of all that start with it."""
         q, total = 0, 0.0
         for c in symbols:
             step = self.steps[q].get(c)
             q, p = step if step else (0, self.unseen[q])
             total += p
-        return total + self.ends[q]
+        return total + self.ends[q] if ended else total
+
+
+def limit_of(steps: dict[int, int]) -> float:
+    """The score that all but the lowest fiftieth reach, from counts of steps."""
+    left = sum(steps.values()) // 50
+    for step in sorted(steps):
+        left -= steps[step]
+        if left < 0:
+            return max(step * STEP, MARGIN)
+    return math.inf
 
 
 class Grammar:
     """The kinds' automata, the ordinary one and the score above which a token is a secret."""
 
-    def __init__(self, values: dict[str, list[str]]):
-        self.ordinary = Automaton(values.get(ORDINARY, []))
-        self.kinds = [Automaton(values[k]) for k in KINDS[:3] if len(values.get(k, [])) >= MIN_VALUES]
+    def __init__(self, values: dict[str, list[str]], least: int = 16):
+        labelled = [values[k] for k in KINDS[:3] if len(values.get(k, [])) >= MIN_VALUES]
+        self.kinds = [Automaton(v) for v in labelled]
         self.memo: dict[str, float] = {}
-        labelled = sorted(self.score(v) for k in KINDS[:3] if len(values.get(k, [])) >= MIN_VALUES for v in values[k])
-        plain = sorted(map(self.score, values.get(ORDINARY, [])))  # a few may be secrets that no rule knows
-        least = plain[len(plain) * 99 // 100] + 0.1 if plain else 0.0
-        self.limit = max(labelled[len(labelled) // 50], least) if labelled else math.inf
+        plain = values.get(ORDINARY, [])
+        kept = self._unlike(plain, labelled)
+        for _ in range(ROUNDS):
+            self.ordinary = Automaton(kept)
+            self.memo.clear()
+            self.limit = limit_of(Counter(self.step(v, least) for own in labelled for v in own))
+            next_ = [v for v in kept if self.score(v) <= self.limit]
+            if len(next_) == len(kept) or 2 * len(next_) < len(plain):
+                break
+            kept = next_
         self.memo.clear()
 
+    def _unlike(self, plain: list[str], labelled: list[list[str]]) -> list[str]:
+        """The tokens that no kind explains as it does its own values."""
+        out = plain
+        for kind, own in zip(self.kinds, labelled):
+            def by_character(v, kind=kind):
+                return kind.score(v.translate(_TO_CLASS), False) / max(1, len(v))
+            usual = sorted(map(by_character, own))
+            cut = len(usual) // 50
+            out = [v for v in out if not usual[cut] <= by_character(v) <= usual[-1 - cut]]
+        return out if 2 * len(out) >= len(plain) else plain
+
+    def step(self, value: str, least: int) -> int:
+        """A labelled credential's score, as short as a candidate may be, in steps."""
+        return max(-MOST, min(MOST, math.floor(self.score(value[:least]) / STEP)))
+
     def score(self, token: str) -> float:
         """Log likelihood ratio of the best kind against ordinary tokens, by character."""
         if not self.kinds:
@@ -229,9 +271,27 @@ def _sample(docs: DataFrame, text: str, size: int, least: int, longest: int) ->
             for k in (*KINDS[:3], ORDINARY)}
 
 
+def _limit(docs: DataFrame, text: str, grammar: Grammar, least: int, kinds: set[int]) -> float:
+    """The limit from the labelled credentials of all rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = Counter(grammar.step(v, least) for b in text_slices(batches, text) for t in b.column(0).to_pylist()
+                        for _, k, _, v in base_spans(t or "") if k in kinds)
+        if steps:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*steps.items())], names=["step", "n"])
+    # at most 2 * MOST + 1 rows
+    counts = docs.select(text).mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n"))
+    return limit_of({r["step"]: r["n"] for r in counts.collect()})
+
+
 def learn(docs: DataFrame, text: str = "text", sample_values: int = 1000, least: int = 16, longest: int = 128) -> Grammar:
-    """Automata from at most ``sample_values`` distinct values of each kind."""
-    return Grammar(_sample(docs, text, sample_values, least, longest))
+    """Automata from at most ``sample_values`` distinct values of each kind, the limit from all rows."""
+    values = _sample(docs, text, sample_values, least, longest)
+    grammar = Grammar(values, least)
+    if grammar.kinds:
+        inferred = {i for i, k in enumerate(KINDS[:3]) if len(values[k]) >= MIN_VALUES}
+        grammar.limit = _limit(docs, text, grammar, least, inferred)
+        grammar.memo.clear()
+    return grammar
 
 
 def scan(docs: DataFrame, grammar: Grammar, doc_id: str = "doc_id", text: str = "text", least: int = 16) -> DataFrame:

@@ -113,6 +113,26 @@ def test_inferred_formats(spark, edge, empty):
     assert out.schema == edge.schema and Counter((x.doc_id, x.text) for x in out.collect()) == Counter(edge_texts())
 
 
+def test_common_format_without_a_rule(spark):
+    """One in ten long tokens is a 22-digit hex key that no base rule finds."""
+    r = random.Random(9)
+
+    def hexes(n):
+        return "".join(r.choice("0123456789abcdef") for _ in range(n))
+    bare = {i: hexes(22) for i in range(0, 600, 10)}
+    other = [f"{r.randrange(10**15, 10**16)}" if i % 2 else "".join(r.choices("aeinorstuhl", k=18)) for i in range(600)]
+    rows = [(i, f"{words(i, 15)} {bare.get(i, other[i])} {words(i + 900, 5)}") for i in range(600)]
+    rows += [(1000 + i, f'{words(2000 + i, 15)} token = "{hexes(40)}"') for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grammar = secret_scan.learn(docs)
+    text = dict(rows)
+    found = {(x.doc_id, text[x.doc_id][s.start:s.end]) for x in secret_scan.scan(docs, grammar).collect()
+             for s in x.spans if s.kind == "inferred"}
+    assert found <= set(bare.items()) and len(found) >= 0.95 * len(bare)
+    clean = {x.doc_id: x.text for x in secret_scan.redact(docs, grammar).collect()}
+    assert all(value not in clean[i] for i, value in found)
+
+
 def test_secret_query(spark):
     docs = {x.doc_id: x.text for x in spark.read.parquet(SF_SMALL + "/documents.parquet").collect()}
     rows = op3_secret_scan(spark, SF_SMALL).collect()
