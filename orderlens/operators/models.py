@@ -313,17 +313,19 @@ def random_search(train: DataFrame, name: str, numeric: list[str], categorical:
                   metric: str = "accuracy", fit_rows: int | None = 20_000) -> tuple[PipelineModel, DataFrame]:
     """Seeded sample of a grid, k stratified folds, refit of the best.
 
-    The preprocessor is fitted once and the classifiers are tuned on stored
-    vectors. Its scales and levels come from all training rows, so folds
-    share them. Class-weight choices are alternative ``weightCol`` columns.
-    Weighted recall equals accuracy, hence the default metric. At most
-    ``fit_rows`` labelled rows are used. Returns the best model (whole
-    pipeline) and (params, mean metric) rows."""
+    The preprocessor is fitted once, on all training rows, and the classifiers
+    are tuned on stored vectors: its medians, clip quantiles, scales and
+    levels are those of the whole ``train``, so folds share them. Only the
+    classifiers are bounded: they see at most ``fit_rows`` labelled rows.
+    Class-weight choices are alternative ``weightCol`` columns. Weighted
+    recall equals accuracy, hence the default metric. Returns the best model
+    (whole pipeline) and (params, mean metric) rows."""
     params = sample_grid(grid, n_iter, seed)
     choices = [p.get("class_weight", p.get("scale_pos_weight")) for p in params]
     choices = [None if (c == 1 and "scale_pos_weight" in grid) else c for c in choices]
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    pre = preprocessor(numeric, categorical).fit(train)
     used = bounded_rows(train, fit_rows, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    pre = preprocessor(numeric, categorical).fit(used)
     weights = sorted({_weight_name(c) for c in choices} | {"weight"})
     data = with_stratified_folds(_with_weight_columns(pre.transform(used), choices), k, seed=seed + 1) \
         .select("features", "label", "fold", *weights).persist(StorageLevel.MEMORY_AND_DISK)
@@ -335,6 +337,7 @@ def random_search(train: DataFrame, name: str, numeric: list[str], categorical:
     model = cv.fit(data)
     data.unpersist()
     used.unpersist()
+    train.unpersist()
     rows = [(str(p), float(s)) for p, s in zip(params, model.avgMetrics)]
     res = train.sparkSession.createDataFrame(rows, f"params string, mean_{metric} double")
     return PipelineModel(stages=[*pre.stages, model.bestModel]), res

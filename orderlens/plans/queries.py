@@ -577,7 +577,7 @@ def q_cross_validate(spark, sf_dir):
 @query("random_search")
 def q_random_search(spark, sf_dir):
     tr, te = split.stratified_split(cls_frame(spark, sf_dir))
-    best, res = mdl.random_search(tr, "random_forest", NUM, CAT, mdl.RF_GRID, n_iter=10, parallelism=4, fit_rows=2000)
+    best, res = mdl.random_search(tr, "random_forest", NUM, CAT, mdl.RF_GRID, n_iter=10, parallelism=4)
     return res
 
 

@@ -81,3 +81,17 @@ def test_worst_categories_threshold_exercised(spark):
     assert 0 < len(rows) <= 10 and all(r.n_reviews >= 2200 for r in rows)
     pct = [r.pct_bad for r in rows]
     assert pct == sorted(pct, reverse=True)
+
+
+def test_search_bounds_rows_not_statistics(spark):
+    """A level and a value that only one row has are known, however few rows the classifier sees."""
+    rows = [(i, float(i % 50), "rare" if i == 777 else f"c{i % 3}", float(i % 2)) for i in range(1, 1001)]
+    train = spark.createDataFrame([(i, 1e6 if i == 778 else x, c, y) for i, x, c, y in rows],
+                                  "order_id long, x double, c string, label double")
+    assert not models.bounded_rows(train, 60).where("order_id IN (777, 778)").count()
+    best, res = models.random_search(train, "random_forest", ["x"], ["c"], {"n_estimators": [2], "max_depth": [2]},
+                                     n_iter=1, fit_rows=60)
+    whole = models.preprocessor(["x"], ["c"]).fit(train).transform(train).orderBy("order_id")
+    found = best.transform(train).orderBy("order_id")
+    assert res.count() == 1
+    assert [r.features for r in found.select("features").collect()] == [r.features for r in whole.select("features").collect()]
