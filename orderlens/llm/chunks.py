@@ -9,8 +9,11 @@ each, and an answer is one bit or one number per key in the chunk's own key
 order, which the chunk can derive again. A key that is frequent in a chunk
 travels once, so a hot key costs one entry a chunk.
 
-Chunks are ranges of doc_id: "in a smaller document" across chunks is "in an
-earlier chunk". Null ids sort first, as in Spark.
+Chunks are ranges of doc_id with at most ``chunk_bytes`` of text (and
+``ROW_BYTES`` a row), by exact sums of bytes for each id, unless one text is
+longer. An id (null is one) with more than that is a range of its own, dealt
+to several chunks of one group. "In a smaller document" across chunks is "in
+a chunk of an earlier group". Null ids sort first, as in Spark.
 """
 
 from __future__ import annotations
@@ -21,14 +24,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.session import materialize
 
 NULL_ID = np.iinfo(np.int64).min
+ROW_BYTES = 16  # that a row counts beside its text
 
 
 def pack_array(values: np.ndarray) -> bytes:
@@ -93,15 +98,14 @@ class Chunks:
         size = docs.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).head()
         self.n_bytes, self.n_rows = int(size[0] or 0), int(size[1])
         self.doc_id, self.text, self.schema = doc_id, text, docs.schema
-        self.count = max(1, -(-self.n_bytes // chunk_bytes))
-        cuts = []
-        if self.count > 1:
-            steps = [i / self.count for i in range(1, self.count)]
-            cuts = sorted(set(docs.approxQuantile(doc_id, steps, 0.1 / self.count)))
-        self.cuts = np.array(cuts, dtype=np.float64)
-        self.count = len(cuts) + 1
+        ranges = _ranges(docs, doc_id, text, self.n_bytes + ROW_BYTES * self.n_rows, chunk_bytes)
+        self.cuts = np.array([first for first, _ in ranges[1:]], dtype=np.int64)
+        # chunks of each range; half full, as rows of one id are dealt by hash
+        dealt = np.array([1 if n <= chunk_bytes else -(-2 * n // chunk_bytes) for _, n in ranges], dtype=np.int64)
+        self.groups = np.repeat(np.arange(len(ranges)), dealt)  # of each chunk
+        self.count = len(self.groups)
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(self.count, 100_000))
-        packed = docs.mapInArrow(_packer(self.cuts, doc_id, text, 32 << 20), "chunk long, n_bytes long, rows binary")
+        packed = docs.mapInArrow(_packer(self.cuts, dealt, doc_id, text, 32 << 20), "chunk long, n_bytes long, rows binary")
         self.frame = packed.repartition(parts, "chunk").persist(StorageLevel.DISK_ONLY)
         self.frame.count()  # stored now, so that later plans know how it is partitioned
         Chunks.stored.append(self.frame)
@@ -163,9 +167,65 @@ def answer(payloads: DataFrame, kind: str, solve: Callable) -> DataFrame:
         run, "chunk long, kind string, shard long, payload binary"))
 
 
-def _packer(cuts: np.ndarray, doc_id: str, text: str, flush: int):
+def earlier_group(order: np.ndarray, new: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Whether an equal key has an earlier group, for keys whose stable
+    ``order`` has a new key at ``new``; ``groups`` don't fall."""
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    out = np.zeros(len(order), dtype=bool)
+    out[order] = groups[order] > groups[order][first]
+    return out
+
+
+def _ranges(docs: DataFrame, doc_id: str, text: str, n_bytes: int, chunk_bytes: int) -> list[tuple[int, int]]:
+    """(first id, bytes) of each range of ids, in order: as many as there are chunks."""
+    if n_bytes <= chunk_bytes:
+        return [(NULL_ID, n_bytes)]
+    sizes = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"),
+                        (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("n"))
+    sizes = sizes.groupBy("id").agg(F.sum("n").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, first, size = [], None, 0
+        for b in batches:
+            ids, total = np.asarray(b.column(0)), np.cumsum(np.asarray(b.column(1)))
+            i, before = 0, 0
+            while i < len(ids):
+                j = max(i, int(np.searchsorted(total, before + chunk_bytes - size, "right")))
+                if first is None:
+                    first, j = int(ids[i]), max(j, i + 1)
+                if j > i:
+                    size, before, i = size + int(total[j - 1]) - before, int(total[j - 1]), j
+                if i < len(ids):  # the next id has no room
+                    out.append((first, size))
+                    first, size = None, 0
+        if first is not None:
+            out.append((first, size))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["id", "n"])
+    parts = max(4, n_bytes // chunk_bytes // 32)
+    found = sizes.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(run, "id long, n long").collect()
+    ranges: list[tuple[int, int]] = []
+    for first, n in sorted((r["id"], r["n"]) for r in found):
+        if ranges and ranges[-1][1] + n <= chunk_bytes:  # at the borders of partitions
+            ranges[-1] = (ranges[-1][0], ranges[-1][1] + n)
+        else:
+            ranges.append((first, n))
+    return ranges
+
+
+def _packer(cuts: np.ndarray, dealt: np.ndarray, doc_id: str, text: str, flush: int):
+    base = np.cumsum(dealt) - dealt
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
+        copies: dict[tuple[int, int], int] = {}
+        part = TaskContext.get().partitionId()
+
+        def place(r, value):
+            """A chunk of a range that has several: by the text, its copies in turn, whatever the order of rows."""
+            h = xxhash.xxh64_intdigest((value or "").encode())
+            copies[r, h] = n = copies.get((r, h), -1) + 1
+            return base[r] + (h + n + 7919 * part) % int(dealt[r])
 
         def out():
             chunks = sorted(held)
@@ -177,6 +237,10 @@ def _packer(cuts: np.ndarray, doc_id: str, text: str, flush: int):
             if batch.num_rows == 0:
                 continue
             chunk = np.searchsorted(cuts, ids_of(batch.column(batch.schema.get_field_index(doc_id))), "right")
+            several = np.flatnonzero(dealt[chunk] > 1)
+            values = batch.column(batch.schema.get_field_index(text)).take(pa.array(several)).to_pylist()
+            ranges, chunk = chunk, base[chunk]
+            chunk[several] = [place(int(r), v) for r, v in zip(ranges[several], values)]
             order = np.argsort(chunk, kind="stable")
             bounds = np.flatnonzero(np.diff(chunk[order])) + 1
             for rows in np.split(order, bounds):

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .arrays import Texts, Words, covered, mix, per_text, span_hash, windows, word_hash
-from .chunks import (Chunks, answer, ids_of, pack_array, pack_bits, pack_parts, pack_sorted, unpack_array,
+from .chunks import (Chunks, answer, earlier_group, ids_of, pack_array, pack_bits, pack_parts, pack_sorted, unpack_array,
                      unpack_bits, unpack_parts, unpack_sorted)
 
 FULL = 255  # counters saturate here; a full counter always counts as repeated
@@ -69,6 +69,7 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     source = docs if replace else docs.select(doc_id, text)
     chunks = Chunks(source, doc_id, text, chunk_bytes)
+    groups = chunks.groups
     # fewer windows than blanks; a row of counters is a small multiple of that
     bits = min(60, max(16, math.ceil(math.log2(max(2, chunks.n_bytes / 5 * counters_per_window)))))
     shard_bits = max(0, bits - 25) if bits > 28 else min(3, bits - 16)
@@ -120,9 +121,10 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         sizes = [len(h) for h in h0]
         h0, h1 = np.concatenate(h0), np.concatenate([unpack_array(k, np.uint64) for _, k in keys])
         order = np.lexsort((h1, h0))  # stable: equal windows stay in the order of chunks
-        again = np.zeros(len(order), dtype=bool)
+        new = np.ones(len(order), dtype=bool)
         a, b = order[1:], order[:-1]
-        again[a] = (h0[a] == h0[b]) & (h1[a] == h1[b])
+        new[1:] = (h0[a] != h0[b]) | (h1[a] != h1[b])
+        again = earlier_group(order, new, np.repeat(groups[owners], sizes))
         for chunk, bits_ in zip(owners, np.split(again, np.cumsum(sizes)[:-1])):
             yield chunk, pack_bits(bits_)
 

@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from orderlens.session import materialize
 
 from .arrays import Texts, hash_at, per_text
-from .chunks import (Chunks, answer, forget_shuffles, ids_of, pack_array, pack_bits, pack_parts, pack_sorted,
+from .chunks import (Chunks, answer, earlier_group, forget_shuffles, ids_of, pack_array, pack_bits, pack_parts, pack_sorted,
                      unpack_array, unpack_bits, unpack_parts, unpack_sorted)
 
 # fixed values: a perfect difference cover; the differences of COVER are all residues modulo PERIOD
@@ -158,6 +158,7 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError(f"strings must have {PERIOD + 2 * PREFIX} bytes or more")
     spark = docs.sparkSession
     chunks = Chunks(docs.select(doc_id, text), doc_id, text, chunk_bytes)
+    groups = chunks.groups
     short = size - PERIOD + 1
     # enough bits that few different sample strings look equal
     bits = min(64, max(32, int(np.ceil(np.log2(max(2, chunks.n_bytes)))) + 7))
@@ -209,14 +210,13 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cuts = [] if one else _cuts(chunks, doc_id, text, size, buckets * shards)
 
     def solve(shard, owners, payloads):
-        """In an earlier chunk or not, for each string of each chunk."""
+        """In an earlier group of chunks or not, for each string of each chunk."""
         keys = [unpack_parts(p) for p in payloads]
         major = [unpack_sorted(p) for p, _ in keys]
-        sizes = np.cumsum([len(p) for p in major])[:-1]
+        sizes = [len(p) for p in major]
         order, new = _ordered(np.concatenate(major), np.concatenate([unpack_array(t, np.uint64) for _, t in keys]), "stable")
-        earlier = np.zeros(len(order), dtype=bool)  # equal strings stay in the order of chunks
-        earlier[order] = ~new
-        for chunk, found in zip(owners, np.split(earlier, sizes)):
+        earlier = earlier_group(order, new, np.repeat(groups[owners], sizes))  # equal strings stay in the order of chunks
+        for chunk, found in zip(owners, np.split(earlier, np.cumsum(sizes)[:-1])):
             yield chunk, pack_bits(found)
 
     def bucket(number):

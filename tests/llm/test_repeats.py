@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from orderlens.llm import embedding_dedup, pitman_yor, simhash, substring_dedup, suffix_dedup
-from orderlens.llm.chunks import pack_array, pack_parts
+from orderlens.llm.chunks import Chunks, pack_array, pack_parts
 from orderlens.llm.queries import op2_embedding_dedup, op5_simhash, op7_suffix_dedup, op8_pitman_yor, op9_substring_dedup
 from tests.conftest import SF_SMALL
 from tests.llm.conftest import components, edge_texts, words
@@ -272,3 +273,21 @@ def test_seating():
     assert (pitman_yor.seat(key, np.ones(1000, dtype=int), np.ones(1000), 0.5, 1) == 1).all()
     exact = sum(5.0 / (5.0 + j) for j in range(1, 500))  # expected new tables with no discount
     assert abs(pitman_yor.seat(key, customers, np.full(1000, 5.0), 0.0, 3).mean() - 1 - exact) < 0.5
+
+
+def test_chunks_are_bounded_in_bytes(spark):
+    """Long documents side by side, a third of the rows without an id and many with one id."""
+    passage = words(77, 60)
+    texts = [(i, words(i, 5)) for i in range(900)] + [(900 + i, words(5000 + i, 400)) for i in range(60)]
+    texts += [(None, f"{passage} {words(7000 + i, 10)}") for i in range(300)]
+    texts += [(950, f"{words(8000 + i // 2, 60)} {passage}") for i in range(200)] + [(2000 + i, passage) for i in range(5)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    chunks = Chunks(docs, "doc_id", "text", 20_000)
+    assert max(r.n for r in chunks.frame.groupBy("chunk").agg(F.sum("n_bytes").alias("n")).collect()) <= 40_000
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.repeated_words(
+        docs, chunk_bytes=20_000).collect()) == plain_words(texts, 50)
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.repeated_bytes(
+        docs, chunk_bytes=20_000).collect()) == plain_bytes(texts, 50)
+    whole, parts = (Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in pitman_yor.score(
+        docs, chunk_bytes=n).collect()) for n in (4 << 20, 20_000))
+    assert whole == parts
