@@ -75,7 +75,8 @@ class _Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = []
         for t in texts:
-            if max(t, default="") <= "\xff":
+            # added tokens are looked for before the tokenizer changes the case
+            if max(t, default="") <= "\xff" and "<|" not in t:
                 t = t.lower()
             split.append(t.replace("\n", " ").split(" "))
         if len(self.known) > self.cache_words:

@@ -73,6 +73,13 @@ def test_word_ids_equal_the_library():
             assert ids == np.array(theirs.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), ascii(text)
 
 
+def test_added_tokens_keep_their_case():
+    ours, theirs = packing._Encoder(WORDS), library(WORDS)
+    for text in ("The <|ENDOFTEXT|> end", "a<|EndOfText|>B", "An <|endoftext|> End <|STARTOFTEXT|>.", "x <| Y |> z"):
+        ids, = ours.encode([text])
+        assert ids == np.array(theirs.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_patterns_hold_all_lengths(seed):
     r = random.Random(seed)
