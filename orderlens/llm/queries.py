@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, packing, pitman_yor, quality, secret_scan, simhash, suffix_dedup, toxicity
+from . import (bpe, centroids, embedding_dedup, hard_negatives, license_scan, packing, pitman_yor, quality, secret_scan,
+               simhash, suffix_dedup, toxicity)
 from .oracles import ORACLES  # noqa: F401 - registered with the queries
 from .substring_dedup import repeated_words
 
@@ -96,6 +97,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   end_id=2, length=4096)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases of every text, and the notices that its lines hold."""
+    out = license_scan.label(_table(spark, sf_dir, "documents"), threshold=0.9, run=3)
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word",
+                      *(F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")), "score")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of another label that score 30 to 90 percent of an anchor's positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), every=100, positives=5,
+                               negatives=10, least=30, most=90, scale=256)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after ten rounds, with the clusters' inertia and centroids."""
+    found, centres = centroids.cluster(_table(spark, sf_dir, "embeddings"), k=8, dims=64, scale=1024, rounds=10, seed=3)
+    texts = F.array(*(F.lit(",".join(map(str, c))) for c in centres.tolist())).cast("array<string>")
+    return centroids.with_inertia(found).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2(F.get(texts, F.col("cluster")), 256).alias("centroid_sha256"))
+
+
 # corpus_pipeline is at the repository's top and imports this module for its vocabulary places
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over documents."""
@@ -105,4 +129,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_bpe, op2_embedding_dedup, op3_secret_scan, op4_quality, op5_simhash, op6_toxicity, op7_suffix_dedup,
-        op8_pitman_yor, op9_substring_dedup, op10_packing, pipeline)}
+        op8_pitman_yor, op9_substring_dedup, op10_packing, op11_license_scan, op12_hard_negatives, op13_centroids,
+        pipeline)}
