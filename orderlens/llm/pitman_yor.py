@@ -156,11 +156,17 @@ class _Model:
         return tables, ((customers - s["discount"] * own) + (STRENGTH + s["discount"] * s["tables"]) / (t["words"] + 1)
                         ) / (STRENGTH + s["customers"])
 
-    def seats(self, sweep: int) -> np.ndarray:
-        """Tables of each of the chunk's pairs in a sweep."""
+    def seats(self, sweep: int, owned: bool = False) -> np.ndarray:
+        """Tables of each of the chunk's pairs in a sweep (none, where another chunk reports it, if ``owned``)."""
         k, d = self.k, self.totals["discount"]
         tables, parent = self.state(sweep)
-        return seat(k.pairs, self.customers, (STRENGTH + d * tables[k.left]) * parent[k.right], d, sweep)
+        new = (STRENGTH + d * tables[k.left]) * parent[k.right]
+        if not owned:
+            return seat(k.pairs, self.customers, new, d, sweep)
+        mine = np.flatnonzero(self.owner)
+        out = np.zeros(len(k.pairs))
+        out[mine] = seat(k.pairs[mine], self.customers[mine], new[mine], d, sweep)
+        return out
 
     def probabilities(self, sweep: int) -> np.ndarray:
         """Predictive probability of each of the chunk's pairs after a sweep."""
@@ -180,7 +186,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, doc_id: str = "
     """
     spark = docs.sparkSession
     chunks = Chunks(docs.select(doc_id, text), doc_id, text, chunk_bytes)
-    shards = int(max(2, chunks.n_bytes >> 23))
+    shards = int(max(2, chunks.n_bytes >> 25))  # 32 MB of text each: a message is large enough to be worth its own
 
     # pairs travel in so many leading bits that about one in a million meets another
     bits = min(64, int(np.ceil(np.log2(max(2, chunks.n_bytes)))) + 18)
@@ -232,7 +238,7 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, doc_id: str = "
         def seating(chunk, table, got, before=before, number=number):
             k = tokens(table)
             model = _Model(k, got, shards, before, totals)
-            mine = model.seats(number) * model.owner
+            mine = model.seats(number, owned=True)
             of_context, of_word = (np.bincount(x, mine, len(k.words)).astype(np.int64) for x in (k.left, k.right))
             for s, part in _parts(k.words, shards):
                 yield s, pack_parts(pack_sorted(k.words[part]), pack_array(of_context[part]), pack_array(of_word[part]))
