@@ -162,7 +162,7 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     short = size - PERIOD + 1
     # enough bits that few different sample strings look equal
     bits = min(64, max(32, int(np.ceil(np.log2(max(2, chunks.n_bytes)))) + 7))
-    shards = shards or max(4, chunks.n_bytes >> 24)
+    shards = shards or max(4, chunks.n_bytes >> 25)
 
     def names(b: _Bytes):
         at = b.samples(short)
