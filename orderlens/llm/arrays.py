@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 # fixed values: the word separators of the operators' contracts (ASCII blanks)
 BLANKS = b" \t\n\v\f\r"
@@ -20,6 +21,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _U64 = np.uint64
+LONG_WORD = 64  # bytes beyond which a polynomial modulo 2**64 is no safe hash
 # two odd multipliers and byte tables: independent 64-bit hashes 0 and 1
 _BASE = (_U64(0x9E3779B97F4A7C17), _U64(0xC2B2AE3D27D4EB4B))
 _TABLE = tuple(np.random.default_rng(s).integers(1, 2**63, 256, dtype=np.uint64) * _U64(2) + _U64(1)
@@ -131,7 +133,8 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
 
 
 def word_hash(texts: Texts, words: Words, which: int = 0, lower: bool = False, slice_bytes: int = 1 << 18) -> np.ndarray:
-    """64-bit hash of every word's bytes (A-Z as a-z if ``lower``)."""
+    """64-bit hash of every word's bytes (A-Z as a-z if ``lower``): a polynomial
+    for the usual ones, XXH64 for those of more than LONG_WORD bytes."""
     table = _TABLE[which][LOWER] if lower else _TABLE[which]
     out = np.empty(len(words), dtype=np.uint64)
     lo = 0
@@ -142,6 +145,9 @@ def word_hash(texts: Texts, words: Words, which: int = 0, lower: bool = False, s
         h = span_hash(table[texts.data[base:base + int(e[-1])]], s, e, which)
         out[lo:hi] = mix(h + (e - s).astype(np.uint64))
         lo = hi
+    for i in np.flatnonzero(words.ends - words.starts > LONG_WORD).tolist():
+        word = texts.data[words.starts[i]:words.ends[i]]
+        out[i] = xxhash.xxh64_intdigest((LOWER[word] if lower else word).tobytes(), seed=which)
     return out
 
 

@@ -94,7 +94,8 @@ def link(rows: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", embed
     """(vec_id, n_links, component_id): vectors linked directly, and the smallest id that links reach."""
     vectors = materialize(_clean(rows, vec_id, embedding, label))
     classes = materialize(vectors.where("vector is not null").groupBy(label, "vector")
-                          .agg(F.min(vec_id).cast("long").alias("node"), F.count(F.lit(1)).alias("copies"))
+                          .agg(F.min(vec_id).cast("long").alias("least"), F.count(F.lit(1)).alias("copies"))
+                          .withColumn("node", F.monotonically_increasing_id())
                           .withColumn("key", F.xxhash64(F.col(label).cast("string"), F.octet_length("vector"))))
     members = block_pairs(classes.select("key", F.col(label).alias("label"), "vector", "node", "copies"),
                           "key", "node", block_rows)
@@ -113,9 +114,12 @@ def link(rows: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", embed
 
     found = materialize(members.groupBy("key", "label", "lo", "hi").applyInArrow(tile, "node long, root long, n long"))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    # the smallest id of a component's vectors
+    groups = groups.join(classes.select("node", "least"), "node")
+    groups = groups.join(groups.groupBy("component").agg(F.min("least").alias("smallest")), "component").select("node", "smallest")
     named = (classes.join(found.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(groups, "node", "left")
              .select(label, "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                     F.coalesce("component", "node").alias("component_id")))
+                     F.coalesce("smallest", "least").alias("component_id")))
     # equal vectors may be very many; the join splits them where they are
     return vectors.join(named, [label, "vector"], "left").select(
         vec_id, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -135,7 +135,7 @@ def patterns(histogram: dict[int, int], length: int) -> list[tuple[int, list[tup
     """(count, [(piece length, times), ...]): packs of at most ``length``.
 
     Lengths go from the longest down; each goes to the packs with the most
-    room, and new packs open only where none has room.
+    room, and new packs open only where none has room. Fuller packs come first.
     """
     groups: list[tuple[int, int, list]] = []  # (-room, number, [count, pattern])
     number, done = 0, []
@@ -158,19 +158,21 @@ def patterns(histogram: dict[int, int], length: int) -> list[tuple[int, list[tup
                 heapq.heappush(groups, (t * size - length, number, (count, [(size, t)])))
         while groups and groups[0][0] == 0:
             done.append(heapq.heappop(groups)[2])
-    return done + [g[2] for g in groups]
+    return sorted(done + [g[2] for g in groups], key=lambda g: (-sum(size * times for size, times in g[1]), g[1], g[0]))
 
 
 def _ranked(pieces: DataFrame, order: list[str], n_rows: int) -> DataFrame:
     """``pieces`` with ``_rank``, their number from 0 among those of equal length."""
     slices = max(1, -(-n_rows // SLICE_ROWS))
-    pieces = pieces.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
+    # equal rows are dealt by their number in the stored table
+    pieces = pieces.withColumn("_row", F.monotonically_increasing_id())
+    pieces = pieces.withColumn("_slice", F.pmod(F.xxhash64(*order, "_row"), F.lit(slices)))
     counts = pieces.groupBy("length", "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("length", "_slice").orderBy(*order))
+    own = F.row_number().over(Window.partitionBy("length", "_slice").orderBy(*order, "_row"))
     return (pieces.withColumn("_own", own).join(counts, ["length", "_slice"])
-            .withColumn("_rank", F.col("_before") + F.col("_own") - 1).drop("_slice", "_own", "_before"))
+            .withColumn("_rank", F.col("_before") + F.col("_own") - 1).drop("_slice", "_own", "_before", "_row"))
 
 
 def pack(pieces: DataFrame, length: int, order: list[str]) -> DataFrame:

@@ -5,7 +5,8 @@ corpus, are the labelled credentials; from a bounded sample of the distinct
 ones a probabilistic automaton is inferred for each kind by merging states of
 the prefix tree whose continuations differ by no more than chance (Hoeffding
 bounds), and one for ordinary long tokens. Every other token of ``least`` or
-more credential characters is a candidate and is scored by the likelihood of
+more credential characters is a candidate, whole, also where it reaches beyond
+a base match that it touches, and is scored by the likelihood of
 its format under the best kind against the ordinary one, by character. It is
 a secret if that exceeds what the lowest fiftieth of all labelled credentials
 of the corpus reach (cut to ``least`` characters, as short as a candidate may
@@ -66,12 +67,27 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return out
 
 
-def candidates(text: str, spans: list[tuple[int, int, int, str]], least: int) -> list[tuple[int, int]]:
-    """Runs of credential characters that touch no base span."""
-    found = re.finditer(r"[A-Za-z0-9+/_.=-]{%d,}" % least, text)
-    if not spans:
-        return [m.span() for m in found]
-    return [m.span() for m in found if not any(m.start() < e and s < m.end() for s, _, e, _ in spans)]
+def candidates(text: str, spans: list[tuple[int, int, int, str]], least: int, touching: bool = False) -> list[tuple[int, int]]:
+    """Runs of credential characters that touch no base span, and with
+    ``touching`` also those that reach beyond the base spans they touch.
+
+    Both lists are in order: one walk through the two."""
+    out, k, reached = [], 0, 0  # spans before k begin before the run ends; the furthest of them ends at reached
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]{%d,}" % least, text):
+        a, b = m.span()
+        inside = a if reached <= a else min(reached, b)  # the run is covered from its start to here
+        touched = reached > a
+        while k < len(spans) and spans[k][0] < b:
+            s, _, e, _ = spans[k]
+            if e > a:
+                touched = True
+                if s <= inside:
+                    inside = max(inside, e)
+            reached = max(reached, e)
+            k += 1
+        if not touched or (touching and inside < b):
+            out.append((a, b))
+    return out
 
 
 class Automaton:
@@ -235,7 +251,7 @@ class Grammar:
         base = base_spans(text)
         out = [s[:3] for s in base]
         if self.kinds:
-            more = [(a, 3, b) for a, b in candidates(text, base, least) if self.score(text[a:b]) > self.limit]
+            more = [(a, 3, b) for a, b in candidates(text, base, least, True) if self.score(text[a:b]) > self.limit]
             if more:
                 out = sorted(out + more)
         return out

@@ -153,13 +153,21 @@ def links(classes: DataFrame, n_classes: int, max_bits: int = 4, block_rows: int
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _of_one_id(marked: DataFrame, classes: DataFrame, doc_id: str) -> DataFrame:
+    """(a, b): links between the fingerprints of rows that share an id."""
+    several = marked.groupBy(doc_id).agg(F.min("fingerprint").alias("lo"), F.max("fingerprint").alias("hi")).where("lo < hi")
+    pairs = marked.join(several.select(doc_id, "lo"), doc_id).where("fingerprint <> lo").select("fingerprint", "lo").distinct()
+    lo = classes.select(F.col("fingerprint").alias("lo"), F.col("node").alias("b"))
+    return pairs.join(classes.select("fingerprint", F.col("node").alias("a")), "fingerprint").join(lo, "lo").select("a", "b")
+
+
 def group(docs: DataFrame, shingle: int = 4, max_bits: int = 4, seed: int = 42, doc_id: str = "doc_id",
           text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): the smallest id that links reach."""
     marked = materialize(fingerprints(docs, shingle, seed, doc_id, text))
     classes = materialize(marked.where(F.col(doc_id).isNotNull()).groupBy("fingerprint")
                           .agg(F.min(doc_id).cast("long").alias("node")))
-    found = components(links(classes, classes.count(), max_bits))
+    found = components(links(classes, classes.count(), max_bits).unionByName(_of_one_id(marked, classes, doc_id)))
     # rows with one fingerprint may be very many; the join splits them where they are
     named = classes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
     return marked.join(named, "fingerprint", "left").select(

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -208,3 +209,42 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], columns).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def plain_candidates(text, spans, least, touching):
+    """Every run against every span."""
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_.=-]{%d,}" % least, text):
+        hit = [(s, e) for s, _, e, _ in spans if s < m.end() and e > m.start()]
+        open_ = [k for k in range(*m.span()) if not any(s <= k < e for s, e in hit)]
+        if not hit or (touching and open_):
+            out.append(m.span())
+    return out
+
+
+def test_candidates_equal_every_pair():
+    r = random.Random(8)
+    for _ in range(500):
+        text = "".join(r.choice(["token=", "abcdef0123", "AKIA" + "Z9" * 9, " ", "é", "zz", "0123456789abcdef" * 2, "=", "password: "])
+                       for _ in range(r.randint(0, 25)))
+        spans = secret_scan.base_spans(text)
+        for touching in (False, True):
+            assert secret_scan.candidates(text, spans, 8, touching) == plain_candidates(text, spans, 8, touching), text
+
+
+def test_a_key_dump_takes_linear_time():
+    text = " ".join(f"token={i:024x} k{i:020d}" for i in range(100_000))
+    began = time.process_time()
+    spans = secret_scan.base_spans(text)
+    assert len(secret_scan.candidates(text, spans, 16, True)) == 100_000
+    assert time.process_time() - began < 20
+
+
+def test_a_key_around_a_base_span_is_masked_whole(spark):
+    texts = [t for t in secret_texts() if t] + ["key A" + "b7" * 9 + "0123456789abcdef01234567" + "d9" * 6 + "Z end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    grammar = secret_scan.learn(docs)
+    grammar.limit = -10.0  # any candidate counts, so that the span itself is seen
+    assert grammar.spans(texts[-1], 16)[0][:2] == (4, 3)
+    found = {r.doc_id: r.text for r in secret_scan.redact(docs, grammar).collect()}
+    assert found[len(texts) - 1] == "key [secret] end"

@@ -291,3 +291,34 @@ def test_chunks_are_bounded_in_bytes(spark):
     whole, parts = (Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in pitman_yor.score(
         docs, chunk_bytes=n).collect()) for n in (4 << 20, 20_000))
     assert whole == parts
+
+
+def balanced(n, flip=False):
+    """A word of ``n`` letters, the parities of the bits of 0 .. n - 1: sums modulo 2**64 can't tell it from its complement."""
+    return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 512, 1024, 4096])
+def test_long_balanced_words_differ(spark, n):
+    same = words(9, 49)
+    texts = [(1, f"{same} {balanced(n)}"), (2, f"{same} {balanced(n, True)}"), (3, f"{same} {balanced(n)}")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    for size in (4 << 20, 64):
+        got = {r.doc_id: r.n_removed for r in substring_dedup.repeated_words(docs, chunk_bytes=size).collect()}
+        assert got == {1: 0, 2: 0, 3: 50}
+
+
+def test_vectors_that_share_an_id(spark):
+    rows = [(7, [1.0, 0.0], 0), (7, [0.0, 1.0], 0), (8, [1.0, 0.01], 0), (9, [0.01, 1.0], 0), (3, [0.011, 1.0], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.link(frame).collect())
+    assert got == [(3, 2, 3), (7, 1, 7), (7, 2, 3), (8, 1, 7), (9, 2, 3)]
+
+
+def test_texts_that_share_an_id_are_one_document(spark):
+    a, b, c = words(21, 60), words(22, 60), words(23, 60)
+    rows = [(3, a), (5, b), (5, a), (9, b), (11, c), (None, b), (12, None), (12, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted((r.doc_id is None, r.doc_id, r.component_id) for r in simhash.group(docs).collect())
+    assert [(i, g) for _, i, g in got] == [(3, 3), (5, 3), (5, 3), (9, 3), (11, 11), (12, 11), (12, 11), (None, None)]
+    assert sorted(r.doc_id for r in simhash.keep_first(docs).where("doc_id is not null").collect()) == [3, 11]
