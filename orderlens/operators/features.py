@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import clip, col_, finite_or_null, log1p_nonneg, nan_inf_to_zero, score_bucket
 from ..session import materialize
-from .profile import _join_groups, _quantiles, _small_quantile_frame, box_stats
-from .quantiles import global_quantiles
+from .profile import _join_groups, _quantiles, box_stats
+from .quantiles import global_quantiles, grouped_quantiles
 
 # Feature lists of the supervised and clustering tasks.
 NUMERIC_FEATURES = ["total_items_price", "total_freight_value", "payment_installments", "payment_value",
@@ -49,8 +49,7 @@ def supervised_xy(df: DataFrame, target: str = "review_binary", key: str = "orde
 def quantile_bounds(df: DataFrame, columns: list[str], lower: float = 0.01, upper: float = 0.99,
                     accuracy: int | None = None) -> dict[str, tuple]:
     """{column: (lower quantile, upper quantile)} over non-null values.
-    Exact by default (size-checked: ``percentile`` or distributed
-    selection, see ``operators.quantiles``); ``accuracy`` → approximate."""
+    Exact by default (``operators.quantiles``); ``accuracy`` → approximate."""
     if accuracy is not None:
         row = df.agg(*[_quantiles(c, (lower, upper), accuracy).alias(c) for c in columns]).first()
         return {c: tuple(row[c]) if row[c] is not None else (None, None) for c in columns}
@@ -194,9 +193,8 @@ def pred_distribution(df: DataFrame, y: str = "label", pred: str = "prediction",
     if accuracy is None:  # quartiles take passes of their own: run what is upstream once
         r = materialize(r.select("y_true_bucket", "y_pred"))
     base = [F.count("y_pred").alias("n"), F.min("y_pred").alias("min"), F.max("y_pred").alias("max")]
-    small = _small_quantile_frame(r, ["y_true_bucket"], ["y_pred"], (0.25, 0.5, 0.75), ("q1", "median", "q3")) \
-        if accuracy is None else None
-    if small is not None:
+    if accuracy is None:
+        small = grouped_quantiles(r, ["y_true_bucket"], ["y_pred"], (0.25, 0.5, 0.75), ("q1", "median", "q3"))
         out = _join_groups(r.groupBy("y_true_bucket").agg(*base), small, ["y_true_bucket"])
         return out.select("y_true_bucket", "n", "min", F.col("y_pred__q1").alias("q1"),
                           F.col("y_pred__median").alias("median"), F.col("y_pred__q3").alias("q3"), "max")

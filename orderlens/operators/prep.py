@@ -13,7 +13,9 @@ import math
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, Transformer
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clip, nan_inf_to_zero
 from .profile import _quantiles
-from .quantiles import global_quantiles
+from .quantiles import code_rows, global_quantiles, order_number, quantile_ranks, values_at_ranks
 
 
 class _ColsMixin(HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
@@ -345,6 +347,97 @@ def preprocessor(numeric: list[str], categorical: list[str], features_col: str =
     return Pipeline(stages=stages)
 
 
+def imputed_bounds(n: int, missing: int, values: dict[int, float], qs: tuple[float, float]) -> tuple[float, list[float]]:
+    """Median of ``n`` sorted values and, once ``missing`` copies of it are added, the quantiles ``qs``.
+
+    ``values`` has the values at the ranks of :func:`imputed_ranks`: a rank of the longer list is one of the
+    shorter below the median, is the median itself, or is one of the shorter ``missing`` places earlier."""
+    def between(h, at):
+        lo, hi = at(math.floor(h)), at(math.ceil(h))
+        return lo if lo == hi else (math.ceil(h) - h) * lo + (h - math.floor(h)) * hi
+    if not n:
+        return math.nan, [math.nan] * len(qs)
+    median = between(0.5 * (n - 1), values.__getitem__)
+
+    def at(k):
+        if k < n and values[k] < median:
+            return values[k]
+        return values[k - missing] if k >= missing and values[k - missing] > median else median
+    return median, [between(q * (n + missing - 1), at) for q in qs]
+
+
+def imputed_ranks(n: int, missing: int, qs: tuple[float, float]) -> list[int]:
+    """The ranks of ``n`` values that :func:`imputed_bounds` needs."""
+    out = {math.floor(0.5 * (n - 1)), math.ceil(0.5 * (n - 1))}
+    for q in qs:
+        h = q * (n + missing - 1)
+        out |= {k - less for k in (math.floor(h), math.ceil(h)) for less in (0, missing) if 0 <= k - less < n}
+    return sorted(out) if n else []
+
+
+def fit_preprocessors(df: DataFrame, numeric: list[str], categorical: list[str], fold: str | None = None, folds: int = 0,
+                      lower: float = 0.01, upper: float = 0.99, features_col: str = "features") -> list[PipelineModel]:
+    """The fitted :func:`preprocessor` of the rows outside each fold, and last of all rows.
+
+    The statistics of a training set are those of all rows minus its own fold's: category counts are taken
+    once by (fold, column, value), numbers once by (fold, column, digits), for all folds together, and the
+    medians and clip bounds of all columns come from one selection. Without ``fold`` there is one model.
+    What reaches the driver: category levels, and about ten values for each fold and numeric column."""
+    spark, qs = df.sparkSession, (lower, upper)
+    of = F.col(fold).cast("int") if fold else F.lit(0)
+    models, count = folds + 1 if fold else 1, folds if fold else 0
+    rows = df.select(of.alias("_f"), *numeric, *(F.col(c).cast("string").alias(c) for c in categorical)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        values = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(categorical)),
+                                   *(F.struct(F.lit(len(categorical) + i).alias("i"), F.when(F.col(c).isNull() | F.isnan(c), "0").otherwise("1").alias("v"))
+                                     for i, c in enumerate(numeric)))).alias("p")
+        counts: dict[tuple[int, int], dict] = {}
+        for r in rows.select("_f", values).groupBy("_f", "p.i", "p.v").agg(F.count(F.lit(1)).alias("n")).collect():
+            for m in range(models):
+                if not fold or r["_f"] != m:  # the last model has all rows
+                    of_m = counts.setdefault((m, r["i"]), {})
+                    of_m[r["v"]] = of_m.get(r["v"], 0) + r["n"]
+        ends = []
+        for m in range(models):
+            for i in range(len(numeric)):
+                seen = counts.get((m, len(categorical) + i), {})
+                ends.append((m, i, seen.get("1", 0), seen.get("0", 0)))
+        wanted = spark.createDataFrame([(m, i, k) for m, i, n, missing in ends for k in imputed_ranks(n, missing, qs)] or [(-1, -1, -1)],
+                                       "_g int, _c int, _k long").select("_g", "_c", F.lit(0).alias("_j"), F.lit(0.0).alias("_h"), "_k")
+        at: dict[tuple[int, int], dict[int, float]] = {}
+        if numeric:
+            stored = code_rows(rows, F.col("_f"), numeric).where(F.col("_code").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+            got = values_at_ranks(stored, lambda totals: wanted.join(totals.select("_g", "_c"), ["_g", "_c"]), count or None)
+            for r in got.select("_g", "_c", "_k", order_number(F.col("_code")).alias("x")).collect():
+                at.setdefault((r["_g"], r["_c"]), {})[r["_k"]] = r["x"]
+            stored.unpersist()
+        bounds = {(m, i): imputed_bounds(n, missing, at.get((m, i), {}), qs) for m, i, n, missing in ends}
+    finally:
+        rows.unpersist()
+
+    def levels(m, i):
+        return {v: n for v, n in counts.get((m, i), {}).items() if v is not None}
+    num_out, cat_in = [f"{c}__num" for c in numeric], [f"{c}__cat" for c in categorical]
+    out = []
+    for m in range(models):
+        stages = [MedianImputerModel()._set(inputCols=numeric, outputCols=num_out, medians=[bounds[m, i][0] for i in range(len(numeric))]),
+                  ClipScalerModel()._set(inputCols=num_out, outputCols=num_out, lows=[bounds[m, i][1][0] for i in range(len(numeric))],
+                                         highs=[bounds[m, i][1][1] for i in range(len(numeric))])]
+        known = [c for i, c in enumerate(cat_in) if levels(m, i)]  # a column without values has no slots
+        if known:
+            modes = [min(seen, key=lambda v: (-seen[v], v)) if (seen := levels(m, i)) else "\0" for i in range(len(categorical))]
+            imputer = ModeImputerModel()._set(inputCols=categorical, outputCols=cat_in, modes=modes)
+            _, encoder = one_hot_stages(known)
+            indexers = [StringIndexerModel.from_labels(sorted(levels(m, i)), c, f"{c}__idx", "keep")
+                        for i, c in enumerate(cat_in) if c in known]
+            stages += [imputer, *indexers]
+            # sizes are in the indexers' column attributes: no row is read
+            stages.append(encoder.fit(PipelineModel(stages=[imputer, *indexers]).transform(df.select(*categorical).limit(0))))
+        stages.append(VectorAssembler(inputCols=num_out + [f"{c}__oh" for c in known], outputCol=features_col, handleInvalid="keep"))
+        out.append(PipelineModel(stages=stages))
+    return out
+
+
 def feature_names(df: DataFrame, features_col: str = "features") -> list[str]:
     """Slot names of an assembled vector from its ML attribute metadata
     (numeric ``x__num`` → ``num__x``, one-hot ``c__cat__oh`` + value →

@@ -1,9 +1,8 @@
 """Profiling and descriptive statistics.
 
-Every statistic is one aggregate pass; quantiles are exact ``percentile``
-(linear interpolation, like numpy) unless ``accuracy`` is given, which
-switches to ``percentile_approx`` for high-cardinality values at scale
-(exact percentile keeps a value→count map per group).
+Every statistic is one aggregate pass; quantiles are exact (linear
+interpolation, like numpy) by radix selection, see ``operators.quantiles``,
+unless ``accuracy`` is given, which switches to ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -17,17 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import col_
 from ..session import materialize
-
-
-def _small_quantile_frame(df: DataFrame, by: list[str], columns: list[str], qs, names):
-    """Per-group exact quantiles as a small frame (bounded groups), or None
-    when the groups are unbounded (use the lazy aggregate then)."""
-    from .quantiles import grouped_quantiles, quantile_frame
-    res = grouped_quantiles(df, by, columns, qs)
-    if res is None:
-        return None
-    types = {b: df.schema[b].dataType for b in by}
-    return F.broadcast(quantile_frame(df.sparkSession, by, types, res, columns, names))  # ≤ max_groups rows
+from .quantiles import global_quantiles, grouped_quantiles
 
 
 def _join_groups(left: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
@@ -112,13 +101,10 @@ def describe(df: DataFrame, value: str, by: list[str] | None = None, digits: int
         df = materialize(df.select(*by, v.alias(value)))
         v = F.col(value)
     if accuracy is None and by:
-        small = _small_quantile_frame(df, by, [value], (0.25, 0.5, 0.75), qn)
-        if small is not None:
-            agg = _join_groups(df.groupBy(*by).agg(*base), small, by)
-            return agg.select(*by, "count", *tail, *[r(F.col(f"{value}__{n}")).alias(n) for n in qn],
-                              r(F.col("max")).alias("max"))
-    if accuracy is None and not by:
-        from .quantiles import global_quantiles
+        agg = _join_groups(df.groupBy(*by).agg(*base), grouped_quantiles(df, by, [value], (0.25, 0.5, 0.75), qn), by)
+        return agg.select(*by, "count", *tail, *[r(F.col(f"{value}__{n}")).alias(n) for n in qn],
+                          r(F.col("max")).alias("max"))
+    if accuracy is None:
         qv = global_quantiles(df, [value], (0.25, 0.5, 0.75))[value]
         agg = df.agg(*base)
         return agg.select("count", *tail, *[r(F.lit(x).cast("double")).alias(n) for x, n in zip(qv, qn)],
@@ -135,15 +121,14 @@ def box_stats(df: DataFrame, value: str, by: list[str], whisker: float = 1.5,
     """Box-plot statistics per group: quartiles, whiskers at the most
     extreme datum within ``whisker``·IQR of the box, outlier count.
 
-    Pass 1 finds the exact quartiles per group (size-checked selection, see
-    ``operators.quantiles``); pass 2 joins them back (one row per group)
+    The exact quartiles of each group come first (``operators.quantiles``);
+    then one pass joins them back (one row per group)
     and takes conditional min / max / count in a single aggregate.
     """
     v = F.col(value).cast("double")
     data = materialize(df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull()))
-    small = _small_quantile_frame(data, by, ["_v"], (0.25, 0.5, 0.75), ("q1", "median", "q3")) \
-        if accuracy is None else None
-    if small is not None:
+    if accuracy is None:
+        small = grouped_quantiles(data, by, ["_v"], (0.25, 0.5, 0.75), ("q1", "median", "q3"))
         q = small.select(*by, F.col("_v__q1").alias("q1"), F.col("_v__median").alias("median"),
                          F.col("_v__q3").alias("q3"))
     else:
@@ -151,7 +136,7 @@ def box_stats(df: DataFrame, value: str, by: list[str], whisker: float = 1.5,
         q = q.select(*by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     q = q.withColumn("lo_fence", F.col("q1") - whisker * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + whisker * (F.col("q3") - F.col("q1")))
-    j = data.join(q, by, "inner")
+    j = _join_groups(data, q, by)
     inside = (F.col("_v") >= F.col("lo_fence")) & (F.col("_v") <= F.col("hi_fence"))
     return j.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),

@@ -1,243 +1,154 @@
-"""Exact global quantiles that scale.
-
-Spark's exact ``percentile`` keeps a value → count map and merges it in one
-task for a global aggregate: fine for columns with few distinct values
-(days, scores, counts), not for continuous money columns over billions of
-rows. ``global_quantiles`` checks ``approx_count_distinct`` per column and
-
-* uses ``percentile`` when the column has at most ``max_exact_distinct``
-  distinct values, else
-* finds the exact order statistics by distributed selection, one search
-  for each rank: every pass is one aggregate that histograms the values inside the current bracket
-  (``buckets`` equal-width buckets, with the exact min / max per bucket),
-  the bucket holding the target rank becomes the new bracket, and once a
-  bracket holds at most ``collect_limit`` values those values are taken.
-
-Only bucket counts (≤ tasks × buckets rows) and bounded brackets reach the
-driver. Interpolation matches ``percentile`` (linear between the values at
-ranks floor and ceil of q·(n − 1)).
+"""Exact quantiles by radix selection.
+
+A double has a 64-bit code that sorts as the number does. The value at a rank
+is found digit by digit, 16 bits at a time: count the values of a (group,
+column) by their next digit, take the digit inside which the rank falls, and
+go on among the values that share all digits so far; a rank is found once the
+values that are left are equal, after four digits at the latest. One count of
+the rows for each digit serves every rank of every column and group together;
+groups are a grouping column, so there may be any number of them, of any size,
+and of them only the number of open prefixes reaches the driver. What is counted
+is combined before it moves (65,536 digits for each group, column and open
+prefix at most), a window adds up one group's digits. There is one path:
+constant, skewed and continuous columns differ only in how many digits occur.
+
+Interpolation matches ``percentile`` (linear between the values at ranks floor
+and ceil of q * (n - 1)). NaN and infinities count as missing; -0.0 is 0.0;
+a group without values has NULL quantiles. NULL group keys are a group.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finite_or_null
-
-
-def _interp(h: float, v0: float, v1: float) -> float:
-    lo, hi = math.floor(h), math.ceil(h)
-    if lo == hi or v0 == v1:
-        return v0
-    return (hi - h) * v0 + (h - lo) * v1
-
-
-def global_quantiles(df: DataFrame, columns: list[str], qs, max_exact_distinct: int = 1_000_000,
-                     collect_limit: int = 10_000, buckets: int = 4096) -> dict[str, list]:
-    """{column: [quantile per q]} over finite values (None when empty);
-    NaN and infinities count as missing."""
+from ..session import materialize
+
+DIGIT = 16
+PASSES = 64 // DIGIT
+BROADCAST_ROWS = 100_000  # open prefixes, some 30 bytes and the group's key each
+
+
+def order_code(x: Column) -> Column:
+    """The long that sorts like a finite double: exponent and mantissa, negated for negative numbers.
+
+    Scaling by a power of two is exact, so no bit is lost."""
+    a = F.abs(x)
+    power = F.floor(F.log2(a)).cast("int")  # off by one at most, next to powers of two
+    power = F.when(a < F.pow(F.lit(2.0), power), power - 1).when(a >= F.pow(F.lit(2.0), power + 1), power + 1).otherwise(power)
+    usual = (power + 1023).cast("long") * (1 << 52) + ((a / F.pow(F.lit(2.0), power) - 1) * float(1 << 52)).cast("long")
+    tiny = (a * 2.0 ** 537 * 2.0 ** 537).cast("long")  # subnormal numbers
+    code = F.when(a == 0, F.lit(0).cast("long")).when(a < 2.0 ** -1022, tiny).otherwise(usual)
+    return F.when(x < 0, -code).otherwise(code)
+
+
+def order_number(code: Column) -> Column:
+    """The double that has this code."""
+    a = F.abs(code)
+    exponent, mantissa = F.shiftright(a, 52).cast("int"), a.bitwiseAND(F.lit((1 << 52) - 1)).cast("double")
+    usual = (mantissa / float(1 << 52) + 1) * F.pow(F.lit(2.0), exponent - 1023)
+    x = F.when(exponent == 0, mantissa * 2.0 ** -537 * 2.0 ** -537).otherwise(usual)
+    return F.when(code < 0, -x).otherwise(x)
+
+
+def _counted(rows: DataFrame, number: int, open_: DataFrame | None) -> DataFrame:
+    """(_g, _c, _prefix, _next, _n, _lo, _hi): values by their next digit, and the codes between which they lie."""
+    prefix = F.lit(0).cast("long") if number == 1 else F.shiftright("_code", 64 - DIGIT * (number - 1))
+    out = rows.select("_g", "_c", "_code", prefix.alias("_prefix"), F.shiftright("_code", 64 - DIGIT * number).alias("_next"))
+    if open_ is not None:
+        out = out.join(open_, ["_g", "_c", "_prefix"], "left_semi")
+    return out.groupBy("_g", "_c", "_prefix", "_next").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_code").alias("_lo"), F.max("_code").alias("_hi"))
+
+
+def quantile_ranks(totals: DataFrame, qs: list[float]) -> DataFrame:
+    """(_g, _c, _j, _h, _k) from (_g, _c, _total): the one or two ranks between which each quantile lies."""
+    h = [F.lit(float(q)) * (F.col("_total") - 1) for q in qs]
+    wanted = F.explode(F.array_distinct(F.array(*(F.struct(F.lit(j).alias("j"), x.alias("h"), side(x).cast("long").alias("k"))
+                                                  for j, x in enumerate(h) for side in (F.floor, F.ceil))))).alias("w")
+    return totals.select("_g", "_c", wanted).select("_g", "_c", F.col("w.j").alias("_j"), F.col("w.h").alias("_h"), F.col("w.k").alias("_k"))
+
+
+def values_at_ranks(rows: DataFrame, ranks: Callable[[DataFrame], DataFrame], folds: int | None = None) -> DataFrame:
+    """(_g, _c, _j, _h, _k, _code) of ``rows`` (_g, _c, _code), for the ranks (_g, _c, _j, _h, _k) of (_g, _c, _total).
+
+    With ``folds`` the groups of the rows are folds 0 .. folds - 1, and those of the result all rows outside
+    one fold, and under the number ``folds`` all rows: counts are taken once for each fold and added up, so
+    no row is counted for several results."""
+    def outside(g: str, among: int) -> Column:
+        return F.explode(F.filter(F.array(*map(F.lit, range(among))), lambda x: x != F.col(g)))
+
+    found, state, open_ = [], None, None
+    for number in range(1, PASSES + 1):
+        counted = _counted(rows, number, open_)
+        if folds is not None:
+            counted = counted.withColumn("_g", outside("_g", folds + 1)).groupBy("_g", "_c", "_prefix", "_next").agg(
+                F.sum("_n").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+        if state is None:
+            counted = materialize(counted)  # read for the totals and for the digits
+            state = ranks(counted.groupBy("_g", "_c").agg(F.sum("_n").alias("_total")))
+            state = state.select("*", F.col("_k").alias("_left"), F.lit(0).cast("long").alias("_prefix"))
+        before = Window.partitionBy("_g", "_c", "_prefix").orderBy("_next")
+        upto = counted.withColumn("_upto", F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        inside = (F.col("_left") < F.col("_upto")) & (F.col("_left") >= F.col("_upto") - F.col("_n"))
+        state = materialize(state.join(upto, ["_g", "_c", "_prefix"]).where(inside).select(
+            "_g", "_c", "_j", "_h", "_k", F.col("_next").alias("_prefix"),
+            (F.col("_left") - F.col("_upto") + F.col("_n")).alias("_left"), "_lo", "_hi"))
+        # a digit whose values are all equal is done, whatever digits are left
+        found.append(state.where("_lo = _hi").select("_g", "_c", "_j", "_h", "_k", F.col("_lo").alias("_code")))
+        state = state.where("_lo < _hi").drop("_lo", "_hi")
+        open_ = state.select("_g", "_c", "_prefix")
+        if folds is not None:
+            open_ = open_.withColumn("_g", outside("_g", folds))
+        open_ = open_.distinct()
+        many = open_.count()
+        if not many:
+            break
+        if many <= BROADCAST_ROWS:  # else joined by exchanging both sides
+            open_ = F.broadcast(open_)
+    return reduce(DataFrame.unionByName, found)
+
+
+def code_rows(df: DataFrame, group: Column, columns: list[str]) -> DataFrame:
+    """(_g, _c, _code): the code of every column's value (null where missing), ``_c`` its number."""
+    values = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), finite_or_null(c).cast("double").alias("x"))
+                                 for i, c in enumerate(columns)))).alias("v")
+    return df.select(group.alias("_g"), values).select("_g", F.col("v.c").alias("_c"), order_code(F.col("v.x")).alias("_code"))
+
+
+def grouped_quantiles(df: DataFrame, by: list[str], columns: list[str], qs, names: list[str] | None = None) -> DataFrame:
+    """One row for each group: ``by`` and a column ``<column>__<name>`` for each column and quantile, stored."""
     qs = list(qs)
-    # the projected columns are read by several passes: materialise them once
-    # (recomputable from lineage if an executor is lost)
-    df = df.select(*[finite_or_null(c).alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    names = names or [f"q{j}" for j in range(len(qs))]
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
+    rows = code_rows(df, group, columns)
+    # codes are read by every pass: computed once, recomputable from lineage
+    stored = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _global_quantiles(df, columns, qs, max_exact_distinct, collect_limit, buckets)
+        rows = stored.where(F.col("_code").isNotNull())
+        found = values_at_ranks(rows, lambda totals: quantile_ranks(totals, qs)).groupBy("_g", "_c", "_j").agg(
+            F.first("_h").alias("_h"), order_number(F.min("_code")).alias("_lo"), order_number(F.max("_code")).alias("_hi"))
+        between = (F.ceil("_h") - F.col("_h")) * F.col("_lo") + (F.col("_h") - F.floor("_h")) * F.col("_hi")
+        found = found.withColumn("_q", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between))
+
+        def one(i, j):
+            return F.max(F.when((F.col("_c") == i) & (F.col("_j") == j), F.col("_q"))).alias(f"{columns[i]}__{names[j]}")
+        wide = found.groupBy("_g").agg(*(one(i, j) for i in range(len(columns)) for j in range(len(qs))))
+        if by:
+            # a group without any value has its row as well
+            wide = stored.select("_g").distinct().join(wide, "_g", "left")
+        return materialize(wide.select(*(F.col(f"_g.{b}").alias(b) for b in by), *(c for c in wide.columns if c != "_g")))
     finally:
-        df.unpersist()
-
-
-def _global_quantiles(df, columns, qs, max_exact_distinct, collect_limit, buckets):
-    aggs = []
-    for i, c in enumerate(columns):
-        x = F.col(c)
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
-                 F.approx_count_distinct(x).alias(f"d{i}")]
-    st = df.agg(*aggs).first()
-    out: dict[str, list] = {}
-    small = [c for i, c in enumerate(columns) if st[f"d{i}"] <= max_exact_distinct]
-    if small:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), qs).alias(f"q{i}") for i, c in enumerate(small)]).first()
-        for i, c in enumerate(small):
-            out[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(qs)
-    big = [c for c in columns if c not in out]
-    if not big:
-        return out
-    tasks = []
-    for c in big:
-        i = columns.index(c)
-        n = st[f"n{i}"]
-        if not n:
-            out[c] = [None] * len(qs)
-            continue
-        out[c] = [None] * len(qs)
-        for j, q in enumerate(qs):
-            tasks += _rank_tasks({"col": c, "into": out[c], "j": j, "h": q * (n - 1)}, st[f"mn{i}"], st[f"mx{i}"], n)
-    _select(df, tasks, collect_limit, buckets)
-    _fill(tasks)
-    return out
-
-
-def _rank_tasks(quantile: dict, lo: float, hi: float, n: int) -> list[dict]:
-    """One search for each of the one or two ranks between which a quantile lies."""
-    h = quantile["h"]
-    return [{**quantile, "rank": k, "lo": lo, "hi": hi, "below": 0, "cnt": n, "value": None}
-            for k in sorted({math.floor(h), math.ceil(h)})]
-
-
-def _fill(tasks: list[dict]) -> None:
-    """Interpolate each quantile between the values found for its ranks."""
-    for low, high in zip(tasks, [*tasks[1:], None]):
-        if low["rank"] == math.floor(low["h"]):
-            pair = low if math.ceil(low["h"]) == low["rank"] else high
-            low["into"][low["j"]] = _interp(low["h"], low["value"], pair["value"])
-
-
-def _cond(t: dict):
-    return t.get("where") if t.get("where") is not None else F.lit(True)
-
-
-def _select(data: DataFrame, tasks: list[dict], collect_limit: int, buckets: int) -> None:
-    """Find the value at each task's rank.
-
-    A bracket's least and greatest value always fall into different buckets,
-    so the one bucket that holds the rank has fewer values than the bracket
-    and every pass shrinks every bracket. (Both ends are halved before they
-    are subtracted, so that no difference overflows.)"""
-    while True:
-        active = [t for t in tasks if t["value"] is None]
-        for t in active:
-            if t["lo"] == t["hi"]:
-                t["value"] = t["lo"]
-        active = [t for t in active if t["value"] is None]
-        if not active:
-            return
-        small = [(i, t) for i, t in enumerate(active) if t["cnt"] <= collect_limit]
-        if small:
-            parts = [data.filter(_cond(t) & F.col(t["col"]).between(t["lo"], t["hi"]))
-                     .select(F.lit(i).alias("t"), F.col(t["col"]).alias("x")) for i, t in small]
-            got: dict[int, list] = {}
-            frame = parts[0]
-            for p in parts[1:]:
-                frame = frame.unionByName(p)
-            for r in frame.collect():  # Σ cnt ≤ tasks × collect_limit values
-                got.setdefault(r["t"], []).append(r["x"])
-            for i, t in small:
-                t["value"] = sorted(got.get(i, []))[t["rank"] - t["below"]]
-        refine = [(i, t) for i, t in enumerate(active) if t["value"] is None]
-        if not refine:
-            continue
-        structs = []
-        for i, t in refine:
-            x = F.col(t["col"])
-            width = t["hi"] / 2 - t["lo"] / 2
-            # neighbouring doubles may halve to one: then the lower end has a bucket of its own
-            part = (x / 2 - F.lit(t["lo"] / 2)) / F.lit(width) * buckets if width > 0 else \
-                F.when(x > F.lit(t["lo"]), F.lit(float(buckets))).otherwise(F.lit(0.0))
-            b = F.when(x == F.lit(t["hi"]), F.lit(buckets - 1)).otherwise(F.least(F.floor(part), F.lit(buckets - 1)))
-            structs.append(F.when(_cond(t) & x.between(t["lo"], t["hi"]),
-                                  F.struct(F.lit(i).alias("t"), b.cast("int").alias("b"), x.alias("x"))))
-        hits = data.select(F.explode(F.array(*structs)).alias("s")).filter(F.col("s").isNotNull())
-        hist = (hits.groupBy(F.col("s.t").alias("t"), F.col("s.b").alias("b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("s.x").alias("mn"), F.max("s.x").alias("mx")).collect())
-        by_task: dict[int, list] = {}
-        for r in hist:
-            by_task.setdefault(r["t"], []).append((r["b"], r["n"], r["mn"], r["mx"]))
-        for i, t in refine:
-            for _, n, mn, mx in sorted(by_task[i]):
-                if t["rank"] - t["below"] < n:
-                    t["lo"], t["hi"], t["cnt"] = mn, mx, n
-                    break
-                t["below"] += n
-
-
-def _key_match(by: list[str], key: tuple):
-    cond = F.lit(True)
-    for c, v in zip(by, key):
-        cond = cond & F.col(c).eqNullSafe(F.lit(v))
-    return cond
-
-
-def grouped_quantiles(df: DataFrame, by: list[str], columns: list[str], qs, max_exact_distinct: int = 1_000_000,
-                      collect_limit: int = 10_000, buckets: int = 4096, max_groups: int = 256) -> dict:
-    """{group key tuple: {column: [quantile per q]}} over non-null values.
-
-    Same size check as :func:`global_quantiles`, per (group, column):
-    small ones use ``percentile`` (the value map of a large group is
-    masked out with NULLs), large ones distributed selection. Returns None
-    when there are more than ``max_groups`` groups: the caller then keeps a
-    lazy grouped ``percentile`` (many groups → each map holds a small share
-    of the values) instead of bringing per-group results to the driver.
-    """
+        stored.unpersist()
+
+
+def global_quantiles(df: DataFrame, columns: list[str], qs) -> dict[str, list]:
+    """{column: [quantile for each q]} over the finite values (None without any): one row reaches the driver."""
     qs = list(qs)
-    df = df.select(*by, *[finite_or_null(c).alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _grouped_quantiles(df, by, columns, qs, max_exact_distinct, collect_limit, buckets, max_groups)
-    finally:
-        df.unpersist()
-
-
-def _grouped_quantiles(df, by, columns, qs, max_exact_distinct, collect_limit, buckets, max_groups):
-    aggs = []
-    for i, c in enumerate(columns):
-        x = F.col(c)
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
-                 F.approx_count_distinct(x).alias(f"d{i}")]
-    stats = df.groupBy(*by).agg(*aggs).limit(max_groups + 1).collect()
-    if len(stats) > max_groups:
-        return None  # unbounded number of groups: callers aggregate lazily with percentile
-    many = False
-    out: dict = {}
-    tasks = []
-    exact_cols: dict[str, list] = {c: [] for c in columns}
-    for r in stats:
-        key = tuple(r[b] for b in by)
-        out[key] = {c: [None] * len(qs) for c in columns}
-        for i, c in enumerate(columns):
-            n = r[f"n{i}"]
-            if not n:
-                continue
-            if many or r[f"d{i}"] <= max_exact_distinct:
-                exact_cols[c].append(key)
-                continue
-            for j, q in enumerate(qs):
-                tasks += _rank_tasks({"col": c, "into": out[key][c], "j": j, "h": q * (n - 1),
-                                      "where": _key_match(by, key)}, r[f"mn{i}"], r[f"mx{i}"], n)
-    pct = []
-    for i, c in enumerate(columns):
-        keys = exact_cols[c]
-        if not keys:
-            continue
-        x = F.col(c).cast("double")
-        if not many and len(keys) < len(stats):
-            mask = F.lit(False)
-            for k in keys:
-                mask = mask | _key_match(by, k)
-            x = F.when(mask, x)
-        pct.append(F.percentile(x, qs).alias(f"q{i}"))
-    if pct:
-        for r in df.groupBy(*by).agg(*pct).collect():
-            key = tuple(r[b] for b in by)
-            if key not in out:
-                continue
-            for i, c in enumerate(columns):
-                if f"q{i}" in r.asDict() and key in exact_cols[c] and r[f"q{i}"] is not None:
-                    out[key][c] = list(r[f"q{i}"])
-    if tasks:
-        _select(df, tasks, collect_limit, buckets)
-        _fill(tasks)
-    return out
-
-
-def quantile_frame(spark, by: list[str], by_types: dict, result: dict, columns: list[str], names: list[str]):
-    """A small DataFrame (one row per group) from a grouped result:
-    ``by`` columns + one column per (column, quantile name)."""
-    from pyspark.sql import types as T
-    fields = [T.StructField(b, by_types[b], True) for b in by]
-    fields += [T.StructField(f"{c}__{n}", T.DoubleType(), True) for c in columns for n in names]
-    rows = [tuple(k) + tuple(None if v is None else float(v) for c in columns for v in vals[c])
-            for k, vals in result.items()]
-    return spark.createDataFrame(rows, T.StructType(fields))
+    row = grouped_quantiles(df, [], columns, qs).first()
+    return {c: [None if row is None else row[f"{c}__q{j}"] for j in range(len(qs))] for c in columns}

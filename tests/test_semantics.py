@@ -151,7 +151,7 @@ def test_distributed_selection_equals_percentile(spark):
     rows = [(float((i * 7919) % 1000) / 7.0,) for i in range(3000)] + [(None,)]
     df = spark.createDataFrame(rows, "x double")
     qs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
-    sel = global_quantiles(df, ["x"], qs, max_exact_distinct=0, collect_limit=50, buckets=8)["x"]
+    sel = global_quantiles(df, ["x"], qs)["x"]
     ref = list(df.agg(F.percentile("x", qs)).first()[0])
     assert sel == ref
 
@@ -180,9 +180,9 @@ def test_grouped_selection_equals_percentile(spark):
     rows = [(i % 3, float((i * 7919) % 1000) / 7.0) for i in range(3000)] + [(1, None)]
     df = spark.createDataFrame(rows, "g int, x double")
     qs = [0.01, 0.25, 0.5, 0.99]
-    sel = grouped_quantiles(df, ["g"], ["x"], qs, max_exact_distinct=0, collect_limit=40, buckets=8)
+    sel = grouped_quantiles(df, ["g"], ["x"], qs)
     ref = {r.g: list(r.q) for r in df.groupBy("g").agg(F.percentile("x", qs).alias("q")).collect()}
-    assert {k[0]: v["x"] for k, v in sel.items()} == ref
+    assert {r[0]: list(r[1:]) for r in sel.collect()} == ref
 
 
 def test_clip_scaler_equals_clipper_then_minmax(spark):
