@@ -7,28 +7,26 @@ parameters (bounded by classes × features) ever reach the driver.
 
 from __future__ import annotations
 
-import itertools
 import math
 import random
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LinearSVC, LinearSVCModel,
-                                       LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel,
-                                       RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics as M
-from .prep import VarianceSelector, VarianceSelectorModel, feature_names, preprocessor
+from . import trees
+from .prep import VarianceSelector, VarianceSelectorModel, feature_names, fit_preprocessors
 from .split import sample_n, with_class_weights, with_stratified_folds
 
 
@@ -116,6 +114,22 @@ class GaussianNB(Estimator, DefaultParamsReadable, DefaultParamsWritable):
 
 
 # ---------------------------------------------------------------- model zoo
+# A forest's tree without a depth of its own grows to this one: 2**17 nodes a tree at most.
+DEEPEST = 16
+
+
+def forest_of(params: dict) -> trees.Forest:
+    depth = params.get("max_depth")
+    return trees.Forest(params.get("n_estimators", 200), DEEPEST if depth is None else min(depth, DEEPEST),
+                        params.get("min_samples_leaf", 1), params.get("max_features", "sqrt"), params.get("seed", 42))
+
+
+def boost_of(params: dict) -> trees.Boost:
+    return trees.Boost(params.get("n_estimators", 300), params.get("learning_rate", 0.1), params.get("max_depth", 6),
+                       params.get("subsample", 0.8), params.get("colsample_bytree", 0.8), params.get("min_child_weight", 1),
+                       params.get("reg_lambda", 1.0), params.get("scale_pos_weight", 1.0), params.get("seed", 42))
+
+
 CLASSIFIERS = ("naive_bayes", "logistic", "linear_svm", "random_forest", "gbt")
 
 
@@ -134,36 +148,22 @@ def make_classifier(name: str, features: str = "features", label: str = "label",
         return LinearSVC(featuresCol=features, labelCol=label, regParam=1.0 / (c * max(n_rows or 1, 1)),
                          maxIter=params.get("max_iter", 100), standardization=False, **w)
     if name == "random_forest":
-        depth = params.get("max_depth")  # None = grow fully: MLlib's deepest tree, 30
-        return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=params.get("n_estimators", 200),
-                                      maxDepth=30 if depth is None else min(depth, 30),
-                                      featureSubsetStrategy=params.get("max_features", "sqrt"),
-                                      minInstancesPerNode=params.get("min_samples_leaf", 1),
-                                      seed=params.get("seed", 42), **w)
+        return trees.RandomForest(forest_of(params), features, label, weight, params.get("key", "order_id"))
     if name == "gbt":
-        col = params.get("colsample_bytree", 0.8)
-        return GBTClassifier(featuresCol=features, labelCol=label, maxIter=params.get("n_estimators", 300),
-                             stepSize=params.get("learning_rate", 0.1), maxDepth=params.get("max_depth", 6),
-                             subsamplingRate=params.get("subsample", 0.8),
-                             featureSubsetStrategy="all" if col >= 1.0 else str(col),
-                             seed=params.get("seed", 42), **w)
+        return trees.BoostedTrees(boost_of(params), features, label, weight, params.get("key", "order_id"))
     raise ValueError(f"unknown classifier {name!r}")
 
 
-def classification_pipeline(name: str, numeric: list[str], categorical: list[str], n_rows: int | None = None,
-                            weight: str | None = "weight", variance_threshold: float | None = None,
-                            **params) -> Pipeline:
-    """Preprocessor → (variance selector) → classifier. Inputs are min-max
-    scaled to [0, 1], where a stabiliser clamping to ±15 changes nothing;
-    ``prep.Stabilizer`` is there for other inputs."""
-    pre = preprocessor(numeric, categorical).getStages()
-    feats = "features"
-    stages = list(pre)
+def classifier_stages(name: str, n_rows: int | None = None, weight: str | None = "weight", variance_threshold: float | None = None,
+                      **params) -> list:
+    """(variance selector) → classifier, after the preprocessor. Its vectors are min-max scaled to [0, 1],
+    where a stabiliser clamping to ±15 changes nothing; ``prep.Stabilizer`` is there for other inputs."""
+    stages, feats = [], "features"
     if variance_threshold is not None:
         stages.append(VarianceSelector(featuresCol="features", outputCol="selected", threshold=variance_threshold))
         feats = "selected"
     stages.append(make_classifier(name, feats, "label", weight, n_rows, **params))
-    return Pipeline(stages=stages)
+    return stages
 
 
 # the reference balances class weights for these two only
@@ -171,23 +171,20 @@ BALANCED_BY_DEFAULT = ("logistic", "linear_svm")
 
 
 def train_classifier(train: DataFrame, name: str, numeric: list[str], categorical: list[str],
-                     balanced: bool | None = None, **params) -> PipelineModel:
-    """Fit one classifier on a supervised frame (``label`` + features).
-    Balanced class weights by default for logistic regression and the
-    linear SVM, none for naive Bayes and the tree ensembles (as the
-    reference); ``balanced`` overrides."""
+                     balanced: bool | None = None, pre: PipelineModel | None = None, **params) -> PipelineModel:
+    """Fit one classifier on a supervised frame (``label`` + features), with the preprocessor ``pre`` where it is
+    fitted already. Balanced class weights by default for logistic regression and the linear SVM, none for naive
+    Bayes and the tree ensembles (as the reference); ``balanced`` overrides."""
     use_w = (name in BALANCED_BY_DEFAULT) if balanced is None else (balanced and name != "naive_bayes")
     # every estimator stage scans the input: persist it once (recomputable
     # from lineage if an executor is lost)
     base = train.persist(StorageLevel.MEMORY_AND_DISK)
-    data = with_class_weights(base, "label") if use_w else base
+    pre = pre or fit_preprocessors(base, numeric, categorical)[-1]
+    data = pre.transform(with_class_weights(base, "label") if use_w else base)
     n = data.count() if name == "linear_svm" else None
-    vt = 1e-4 if name == "naive_bayes" else None
-    pipe = classification_pipeline(name, numeric, categorical, n_rows=n, weight="weight" if use_w else None,
-                                   variance_threshold=vt, **params)
-    model = pipe.fit(data)
+    model = Pipeline(stages=classifier_stages(name, n, "weight" if use_w else None, 1e-4 if name == "naive_bayes" else None, **params)).fit(data)
     base.unpersist()
-    return model
+    return PipelineModel(stages=[*pre.stages, *model.stages])
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -196,36 +193,45 @@ def predict(model: PipelineModel, df: DataFrame, keep: list[str] | None = None)
     cols = [c for c in (keep or []) if c in out.columns] + ["prediction"]
     if "probability" in out.columns:
         cols.append(vector_to_array("probability").alias("probability"))
-    elif "nb_probability" in out.columns:
-        cols.append(F.col("nb_probability").alias("probability"))
+    for own in ("nb_probability", "tree_probability"):
+        if own in out.columns:
+            cols.append(F.col(own).alias("probability"))
     return out.select(*cols)
 
 
+def folded(train: DataFrame, numeric: list[str], categorical: list[str], k: int = 3,
+           seed: int = 7) -> tuple[DataFrame, list[PipelineModel]]:
+    """The rows with stratified folds, stored, and the preprocessor of each fold's training rows (and last of all rows)."""
+    data = with_stratified_folds(train, k, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
+    return data, fit_preprocessors(data, numeric, categorical, "fold", k)
+
+
 def cross_validate(train: DataFrame, name: str, numeric: list[str], categorical: list[str], k: int = 3,
-                   seed: int = 7, **params) -> DataFrame:
+                   seed: int = 7, folds: tuple[DataFrame, list[PipelineModel]] | None = None, **params) -> DataFrame:
     """k-fold CV on stratified folds: fit on the other folds, score the held-out fold, metrics
-    per fold, then mean and population std per metric (long form)."""
-    data = with_stratified_folds(train, k, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
+    per fold, then mean and population std per metric (long form). The folds' preprocessors come
+    from one set of statistics (``prep.fit_preprocessors``), pass ``folds`` to share it: a pair
+    (frame with a ``fold`` column, fitted preprocessors)."""
+    data, pre = folds or folded(train, numeric, categorical, k, seed)
     per_fold = []
     for f in range(k):
-        m = train_classifier(data.filter(F.col("fold") != f), name, numeric, categorical, **params)
+        m = train_classifier(data.filter(F.col("fold") != f), name, numeric, categorical, pre=pre[f], **params)
         p = predict(m, data.filter(F.col("fold") == f), keep=["label"])
         row = M.metrics_dict(M.confusion_counts(p))
         per_fold.append((f, float(row["accuracy"]), float(row["f1_weighted"]), float(row["precision_weighted"]),
                          float(row["recall_weighted"])))
-    data.unpersist()
+    if folds is None:
+        data.unpersist()
     spark = train.sparkSession
-    folds = spark.createDataFrame(per_fold, "fold int, accuracy double, f1_weighted double, "
+    scores = spark.createDataFrame(per_fold, "fold int, accuracy double, f1_weighted double, "
                                             "precision_weighted double, recall_weighted double")
     cols = ["accuracy", "f1_weighted", "precision_weighted", "recall_weighted"]
-    long = folds.unpivot(["fold"], cols, "metric", "value")
+    long = scores.unpivot(["fold"], cols, "metric", "value")
     return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")) \
                .select(F.lit(name).alias("model"), "metric", "mean", "std")
 
 
-# Search spaces of the randomised searches (None depth → the
-# deepest tree MLlib grows, 30). The L2 penalty of the boosted space is absent:
-# MLlib's boosted trees have none, and two names for one model waste draws.
+# Search spaces of the randomised searches (no depth: DEEPEST).
 RF_GRID = {
     "n_estimators": [200, 300, 400],
     "max_depth": [None, 10, 20, 30],
@@ -240,123 +246,108 @@ GBT_GRID = {
     "subsample": [0.8, 1.0],
     "colsample_bytree": [0.7, 1.0],
     "min_child_weight": [1, 3, 5],
+    "reg_lambda": [1, 2, 5],
     "scale_pos_weight": [1, 3, 5],
 }
 
 
 def sample_grid(grid: dict, n_iter: int, seed: int = 42) -> list[dict]:
     """``n_iter`` distinct parameter combinations drawn with a seed."""
-    combos = [dict(zip(grid, vals)) for vals in itertools.product(*grid.values())]
-    rnd = random.Random(seed)
-    return rnd.sample(combos, min(n_iter, len(combos)))
+    sizes = [len(v) for v in grid.values()]
+    out = []
+    for number in random.Random(seed).sample(range(math.prod(sizes)), min(n_iter, math.prod(sizes))):
+        combo = {}
+        for name, values in grid.items():
+            number, at = divmod(number, len(values))
+            combo[name] = values[at]
+        out.append(combo)
+    return out
 
 
-def _weight_name(choice) -> str:
+def row_weights(choice, y: np.ndarray) -> np.ndarray:
+    """Weights of rows with labels ``y`` for a class-weight choice: none, balanced, or one for each class."""
     if choice is None:
-        return "w_none"
+        return np.ones(len(y))
     if choice == "balanced":
-        return "weight"
-    if isinstance(choice, dict):
-        return "w_" + "_".join(f"{k}x{v}" for k, v in sorted(choice.items()))
-    return f"w_pos{choice}"  # scale_pos_weight
-
-
-def _with_weight_columns(df: DataFrame, choices: list) -> DataFrame:
-    """One weight column per class-weight choice of the grid (a search over
-    ``weightCol`` values), all literal projections."""
-    out = with_class_weights(df, "label", "weight")
-    for ch in choices:
-        name = _weight_name(ch)
-        if name in out.columns:
-            continue
-        if ch is None:
-            out = out.withColumn(name, F.lit(1.0))
-        elif isinstance(ch, dict):
-            m = F.create_map(*[x for k, v in ch.items() for x in (F.lit(float(k)), F.lit(float(v)))])
-            out = out.withColumn(name, F.coalesce(m[F.col("label").cast("double")], F.lit(1.0)))
-        else:
-            out = out.withColumn(name, F.when(F.col("label") == 1, F.lit(float(ch))).otherwise(F.lit(1.0)))
-    return out
-
-
-def _param_map(clf, name: str, p: dict) -> dict:
-    m = {}
-    for k, v in p.items():
-        if k == "n_estimators":
-            m[clf.numTrees if name == "random_forest" else clf.maxIter] = v
-        elif k == "max_depth":
-            m[clf.maxDepth] = 30 if v is None else min(v, 30)
-        elif k == "min_samples_leaf" or k == "min_child_weight":
-            m[clf.minInstancesPerNode] = v
-        elif k == "max_features":
-            m[clf.featureSubsetStrategy] = v if isinstance(v, str) else str(v)
-        elif k == "colsample_bytree":
-            m[clf.featureSubsetStrategy] = "all" if v >= 1.0 else str(v)
-        elif k == "learning_rate":
-            m[clf.stepSize] = v
-        elif k == "subsample":
-            m[clf.subsamplingRate] = v
-        elif k in ("class_weight", "scale_pos_weight"):
-            m[clf.weightCol] = _weight_name(None if v == 1 and k == "scale_pos_weight" else v)
-    return m
+        classes, at, n = np.unique(y, return_inverse=True, return_counts=True)
+        return (len(y) / (len(classes) * n))[at]
+    return np.array([float(choice.get(int(v), 1.0)) for v in y.tolist()])
 
 
 def bounded_rows(train: DataFrame, fit_rows: int | None, seed: int = 42) -> DataFrame:
     """At most ``fit_rows`` labelled rows, those with the smallest seeded key
-    hashes; tree ensembles grow with the rows they are fitted on and live on
-    the driver, so fits are bounded by this parameter (None: all rows)."""
+    hashes (None: all rows)."""
     return train if fit_rows is None else sample_n(train, fit_rows, seed=seed)
 
 
 def random_search(train: DataFrame, name: str, numeric: list[str], categorical: list[str], grid: dict,
-                  n_iter: int = 10, k: int = 3, seed: int = 42, parallelism: int = 2,
-                  metric: str = "accuracy", fit_rows: int | None = 20_000) -> tuple[PipelineModel, DataFrame]:
-    """Seeded sample of a grid, k stratified folds, refit of the best.
-
-    The preprocessor is fitted once, on all training rows, and the classifiers
-    are tuned on stored vectors: its medians, clip quantiles, scales and
-    levels are those of the whole ``train``, so folds share them. Only the
-    classifiers are bounded: they see at most ``fit_rows`` labelled rows.
-    Class-weight choices are alternative ``weightCol`` columns. Weighted
-    recall equals accuracy, hence the default metric. Returns the best model
-    (whole pipeline) and (params, mean metric) rows."""
+                  n_iter: int = 10, k: int = 3, seed: int = 42, fit_rows: int = 20_000, key: str = "order_id") -> tuple[PipelineModel, DataFrame]:
+    """Seeded sample of a grid for a tree ensemble, k stratified folds, refit of the best on all rows.
+
+    Draws are compared on at most ``fit_rows`` labelled rows, those with the smallest key hashes. Each
+    (draw, fold) is one task: it gets the binned rows of its fold's preprocessor, fits on the rows of the
+    other folds and counts the hits on its own; medians, bounds, levels and cuts are those of the training
+    rows alone. The best draw is fitted anew on the whole ``train``. Returns that model (whole pipeline)
+    and (params, mean_accuracy) rows; weighted recall equals accuracy."""
     params = sample_grid(grid, n_iter, seed)
-    choices = [p.get("class_weight", p.get("scale_pos_weight")) for p in params]
-    choices = [None if (c == 1 and "scale_pos_weight" in grid) else c for c in choices]
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    pre = preprocessor(numeric, categorical).fit(train)
-    used = bounded_rows(train, fit_rows, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    weights = sorted({_weight_name(c) for c in choices} | {"weight"})
-    data = with_stratified_folds(_with_weight_columns(pre.transform(used), choices), k, seed=seed + 1) \
-        .select("features", "label", "fold", *weights).persist(StorageLevel.MEMORY_AND_DISK)
-    clf = make_classifier(name, weight="weight")
-    maps = [_param_map(clf, name, p) for p in params]
-    ev = MulticlassClassificationEvaluator(metricName=metric, labelCol="label")
-    cv = CrossValidator(estimator=clf, estimatorParamMaps=maps, evaluator=ev, foldCol="fold",
-                        parallelism=parallelism, seed=seed)
-    model = cv.fit(data)
+    data, pre = folded(bounded_rows(train, fit_rows, seed), numeric, categorical, k, seed + 1)
+    layouts, packed = [], []
+    for f in range(k):
+        vectors = pre[f].transform(data)
+        layouts.append(trees.layout_of(vectors.where(F.col("fold") != f), "features"))
+        packed.append(trees.pack(vectors, layouts[f], "features", "label", None, key, "fold").withColumn("of", F.lit(f)))
+    draws = F.explode(F.array(*(F.lit(i) for i in range(len(params))))).alias("draw")
+    rows = reduce(DataFrame.unionByName, packed).select("*", draws)
+
+    def one(table: pa.Table) -> pa.Table:
+        f, i = table.column("of")[0].as_py(), table.column("draw")[0].as_py()
+        block = trees.unpack(table.to_pylist(), len(layouts[f].cuts))
+        hits, n = hits_of(name, params[i], block.rows(block.fold != f), block.rows(block.fold == f), layouts[f])
+        return pa.table({"draw": pa.array([i], pa.int32()), "hits": [hits], "n": [n]})
+    found = rows.groupBy("of", "draw").applyInArrow(one, "draw int, hits long, n long")
+    # one row for each draw
+    scores = {r["draw"]: r["s"] for r in found.groupBy("draw").agg(F.avg(F.col("hits") / F.col("n")).alias("s")).collect()}
     data.unpersist()
-    used.unpersist()
-    train.unpersist()
-    rows = [(str(p), float(s)) for p, s in zip(params, model.avgMetrics)]
-    res = train.sparkSession.createDataFrame(rows, f"params string, mean_{metric} double")
-    return PipelineModel(stages=[*pre.stages, model.bestModel]), res
+    best = params[max(scores, key=lambda i: (scores[i], -i))]
+    weights = best.get("class_weight")
+    fitted = train if weights is None or weights == "balanced" else train.withColumn(
+        "weight", F.coalesce(*(F.when(F.col("label") == c, float(w)) for c, w in weights.items()), F.lit(1.0)))
+    if isinstance(weights, dict):
+        pre_all = fit_preprocessors(fitted, numeric, categorical)[-1]
+        last = make_classifier(name, weight="weight", **best).fit(pre_all.transform(fitted))
+        model = PipelineModel(stages=[*pre_all.stages, last])
+    else:
+        model = train_classifier(fitted, name, numeric, categorical, balanced=weights == "balanced", **best)
+    table = [(str(p), float(scores[i])) for i, p in enumerate(params)]
+    return model, train.sparkSession.createDataFrame(table, "params string, mean_accuracy double")
+
+
+def hits_of(name: str, params: dict, train: trees.Block, test: trees.Block, layout: trees.Layout) -> tuple[int, int]:
+    """How many of the test rows a draw's model gets right."""
+    train.w = row_weights(params.get("class_weight"), train.y)
+    if name == "gbt":
+        grown, start = trees.boost_rows(train, layout, boost_of(params))
+        positive = trees.margins(test, grown, start) > 0
+    else:
+        grown = trees.forest_rows(train, layout, forest_of(params))
+        positive = sum(t.value[t.nodes(test.codes)] for t in grown) > 0.5 * len(grown)
+    return int((positive == (test.y == 1)).sum()), len(test.y)
 
 
 # ---------------------------------------------------------------- regression
-def regression_pipeline(numeric: list[str], categorical: list[str], ridge: bool = False,
-                        alpha: float = 0.001) -> Pipeline:
+def train_regression(train: DataFrame, numeric: list[str], categorical: list[str], ridge: bool = False,
+                     alpha: float = 0.001) -> PipelineModel:
     """Preprocessor → least squares (no penalty) or ridge (L2 ``alpha``)."""
+    pre = fit_preprocessors(train, numeric, categorical)[-1]
     reg = LinearRegression(featuresCol="features", labelCol="label", regParam=alpha if ridge else 0.0,
                            elasticNetParam=0.0, standardization=False, solver="normal")
-    return Pipeline(stages=preprocessor(numeric, categorical).getStages() + [reg])
+    return PipelineModel(stages=[*pre.stages, reg.fit(pre.transform(train))])
 
 
 # ---------------------------------------------------------------- importances
 # how much each slot of the feature vector counts, by type of fitted model
 SLOT_WEIGHTS = {
-    RandomForestClassificationModel: lambda m: m.featureImportances.toArray(),
-    GBTClassificationModel: lambda m: m.featureImportances.toArray(),
+    trees.TreeModel: lambda m: m.importances(),
     LogisticRegressionModel: lambda m: np.abs(m.coefficientMatrix.toArray()).mean(axis=0),
     LinearSVCModel: lambda m: np.abs(m.coefficients.toArray()),
     LinearRegressionModel: lambda m: np.abs(m.coefficients.toArray()),

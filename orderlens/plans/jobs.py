@@ -75,7 +75,8 @@ def classification_job(spark: SparkSession, table_path: str, out_dir: str, with_
     md = sinks.read_table(spark, table_path).dropna(how="any")
     xy = features.supervised_xy(md).persist(StorageLevel.MEMORY_AND_DISK)
     tr, te = split.stratified_split(xy)
-    cv = segments.union_all([models.cross_validate(tr, n, NUM, CAT)
+    folds = models.folded(tr, NUM, CAT)
+    cv = segments.union_all([models.cross_validate(tr, n, NUM, CAT, folds=folds)
                              for n in ("naive_bayes", "logistic", "random_forest", "linear_svm")])
     sinks.write_metrics(cv, os.path.join(out_dir, "metrics", "cv_results"))
     fitted = {n: models.train_classifier(tr, n, NUM, CAT) for n in ("naive_bayes", "logistic", "linear_svm")}
@@ -139,7 +140,7 @@ def regression_job(spark: SparkSession, table_path: str, out_dir: str) -> dict:
     tr, te = split.train_test_split(xy)
     results = {}
     for name, ridge in (("linear_regression", False), ("ridge_regression", True)):
-        m = models.regression_pipeline(NUM, CAT, ridge=ridge).fit(tr)
+        m = models.train_regression(tr, NUM, CAT, ridge=ridge)
         pred = m.transform(te).select("order_id", "label", "prediction").persist(StorageLevel.MEMORY_AND_DISK)
         r = metrics.regression_metrics(pred).first().asDict()
         r["parity"] = metrics.parity_metrics(pred).first().asDict()

@@ -534,7 +534,7 @@ def q_preprocess_vector(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
     x = cls_frame(spark, sf_dir)
     tr, _ = split.train_test_split(x)
-    m = prep.preprocessor(NUM, CAT).fit(tr)
+    m = prep.fit_preprocessors(tr, NUM, CAT)[-1]
     return m.transform(x).select("order_id", "label", F.transform(vector_to_array("features"),
                                                                   lambda v: F.round(v, 6)).alias("features"))
 
@@ -570,15 +570,21 @@ def q_gbt(spark, sf_dir):
 @query("cross_validate")
 def q_cross_validate(spark, sf_dir):
     tr, _ = split.stratified_split(cls_frame(spark, sf_dir))
-    return segments.union_all([mdl.cross_validate(tr, n, NUM, CAT) for n in
+    folds = mdl.folded(tr, NUM, CAT)
+    return segments.union_all([mdl.cross_validate(tr, n, NUM, CAT, folds=folds) for n in
                                ("naive_bayes", "logistic", "random_forest", "linear_svm")])
 
 
 @query("random_search")
 def q_random_search(spark, sf_dir):
     tr, te = split.stratified_split(cls_frame(spark, sf_dir))
-    best, res = mdl.random_search(tr, "random_forest", NUM, CAT, mdl.RF_GRID, n_iter=10, parallelism=4)
-    return res
+    return mdl.random_search(tr, "random_forest", NUM, CAT, mdl.RF_GRID, n_iter=10)[1]
+
+
+@query("random_search_gbt")
+def q_random_search_gbt(spark, sf_dir):
+    tr, _ = split.stratified_split(cls_frame(spark, sf_dir))
+    return mdl.random_search(tr, "gbt", NUM, CAT, mdl.GBT_GRID, n_iter=12)[1]
 
 
 @query("holdout_metrics")
@@ -611,7 +617,7 @@ def _fit_reg(spark, sf_dir, ridge):
     x = reg_frame(spark, sf_dir)
     tr, te = split.train_test_split(x)
     tr = tr.persist(StorageLevel.MEMORY_AND_DISK)  # every estimator stage scans it
-    m = mdl.regression_pipeline(NUM, CAT, ridge=ridge).fit(tr)
+    m = mdl.train_regression(tr, NUM, CAT, ridge=ridge)
     tr.unpersist()
     return m.transform(te).select("order_id", "label", "prediction")
 

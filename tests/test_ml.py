@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from orderlens.operators import features, metrics, models, segments, split
+from orderlens.operators import features, metrics, models, prep, segments, split
 from orderlens.operators import orders
 from orderlens.sources import sinks
 from orderlens.sources.derived import derived_catalog
@@ -91,7 +91,7 @@ def test_search_bounds_rows_not_statistics(spark):
     assert not models.bounded_rows(train, 60).where("order_id IN (777, 778)").count()
     best, res = models.random_search(train, "random_forest", ["x"], ["c"], {"n_estimators": [2], "max_depth": [2]},
                                      n_iter=1, fit_rows=60)
-    whole = models.preprocessor(["x"], ["c"]).fit(train).transform(train).orderBy("order_id")
+    whole = prep.preprocessor(["x"], ["c"]).fit(train).transform(train).orderBy("order_id")
     found = best.transform(train).orderBy("order_id")
     assert res.count() == 1
     assert [r.features for r in found.select("features").collect()] == [r.features for r in whole.select("features").collect()]
