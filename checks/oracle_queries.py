@@ -101,7 +101,11 @@ FROM v_products p LEFT JOIN v_translation t ON p.product_category_name = t.produ
 add("base_orders", with_views("SELECT * REPLACE (" + ", ".join(
     r6(c) for c in ["review_score", "total_items_price", "total_freight_value", "payment_value"]) + ") FROM base",
     *BASE_VIEWS, extra=BASE_CTES))
-add("model_dataset", model_sql(f"{ROUND_MD} FROM md"))
+add("model_dataset", model_sql(f"""{ROUND_MD}, product_ids, sellers_ids FROM md LEFT JOIN (
+  SELECT order_id AS of_order, list(product_id ORDER BY order_item_id) AS product_ids,
+         list(seller_id ORDER BY order_item_id) AS sellers_ids
+  FROM v_order_items WHERE order_id IS NOT NULL GROUP BY order_id) l ON md.order_id = l.of_order""".replace(
+    "SELECT * REPLACE", "SELECT md.* REPLACE")))
 
 # ---------------------------------------------------------------- EDA
 add("score_distribution", with_views("""SELECT review_score, n_reviews,
@@ -376,9 +380,45 @@ ON d.{by} = q.{by} GROUP BY d.{by}"""
 
 add("residuals_by_score", model_sql(box_sql("res", "residual", "y_true_bucket").replace(
     "SELECT d.y_true_bucket,", "SELECT CAST(d.y_true_bucket AS INTEGER) AS y_true_bucket,"), extra=[RR, RES]))
-add("density_2d", model_sql("""SELECT CAST(least(floor((least(greatest(y_true, 1.0), 5.0) - 1.0) * 30 / 4.0), 29) AS INTEGER) AS ix,
-  CAST(least(floor((least(greatest(y_pred, 1.0), 5.0) - 1.0) * 30 / 4.0), 29) AS INTEGER) AS iy, count(*) AS n
-FROM res WHERE y_true IS NOT NULL AND y_pred IS NOT NULL GROUP BY 1, 2""", extra=[RR, RES]))
+
+
+def hex_sql(x: str, y: str, columns: int, rows: int) -> str:
+    return model_sql(f"""SELECT lattice, ix, iy, round((ix + lattice * 0.5::DOUBLE) * wide + x0, 6) AS x,
+  round((iy + lattice * 0.5::DOUBLE) * high + y0, 6) AS y, count(*) AS n
+FROM (SELECT CASE WHEN near < far THEN 0 ELSE 1 END AS lattice, wide, high, x0, y0,
+  CAST(CASE WHEN near < far THEN round_even(u, 0) ELSE floor(u) END AS INTEGER) AS ix,
+  CAST(CASE WHEN near < far THEN round_even(v, 0) ELSE floor(v) END AS INTEGER) AS iy
+  FROM (SELECT *, pow(u - round_even(u, 0), 2) + 3 * pow(v - round_even(v, 0), 2) AS near,
+          pow(u - floor(u) - 0.5::DOUBLE, 2) + 3 * pow(v - floor(v) - 0.5::DOUBLE, 2) AS far
+        FROM (SELECT ({x} - x0) / wide AS u, ({y} - y0) / high AS v, wide, high, x0, y0 FROM res, e
+              WHERE {x} IS NOT NULL AND {y} IS NOT NULL)))
+GROUP BY ALL""", extra=[RR, RES, ("ext", f"""SELECT min({x}) AS x0, max({x}) AS x1, min({y}) AS y0, max({y}) AS y1 FROM res
+WHERE {x} IS NOT NULL AND {y} IS NOT NULL"""), ("e", f"""SELECT
+  CASE WHEN x1 > x0 THEN x0 ELSE x0 - 0.5 END AS x0, CASE WHEN x1 > x0 THEN (x1 - x0) / {columns} ELSE 1.0 / {columns} END AS wide,
+  CASE WHEN y1 > y0 THEN y0 ELSE y0 - 0.5 END AS y0, CASE WHEN y1 > y0 THEN (y1 - y0) / {rows} ELSE 1.0 / {rows} END AS high
+FROM ext""")])
+
+
+add("density_2d", hex_sql("y_true", "y_pred", 30, 17))
+add("density_residual", hex_sql("y_pred", "residual", 35, 20))
+add("pred_histogram", model_sql("""SELECT y_true_bucket, bin, round(1.0::DOUBLE + bin * 0.2::DOUBLE, 6) AS bin_left,
+  round(1.0::DOUBLE + (bin + 1) * 0.2::DOUBLE, 6) AS bin_right, count(*) AS n
+FROM (SELECT y_true_bucket, CAST(least(floor((y_pred - 1.0) / 0.2::DOUBLE), 19) AS INTEGER) AS bin FROM res
+      WHERE y_true_bucket IS NOT NULL AND y_pred IS NOT NULL) GROUP BY 1, 2""", extra=[RR, RES]))
+add("pred_density", model_sql("""SELECT size.y_true_bucket, CAST(point AS INTEGER) AS point, round(lo + point * step, 6) AS x,
+  round(CASE WHEN h > 0 THEN sum(w * exp(-0.5 * pow((point - i) * step / h, 2))) / (n * h * sqrt(2 * pi())) END, 6) AS density
+FROM (SELECT *, unnest(range(0, CASE WHEN step > 0 THEN 101 ELSE 1 END)) AS point FROM size) size JOIN weight USING (y_true_bucket)
+GROUP BY size.y_true_bucket, point, lo, step, n, h""", extra=[RR, RES, ("size", """SELECT y_true_bucket, count(*) AS n, min(y_pred) AS lo,
+  (max(y_pred) - min(y_pred)) / 100 AS step, stddev_samp(y_pred) * pow(count(*), -0.2) AS h FROM res
+WHERE y_true_bucket IS NOT NULL AND y_pred IS NOT NULL GROUP BY 1"""), ("pos", """SELECT y_true_bucket,
+  CASE WHEN step > 0 THEN (y_pred - lo) / step ELSE 0.0 END AS p FROM res JOIN size USING (y_true_bucket) WHERE y_pred IS NOT NULL"""),
+  ("weight", """SELECT y_true_bucket, i, sum(w) AS w FROM (
+  SELECT y_true_bucket, least(floor(p), 99) AS i, 1 - (p - least(floor(p), 99)) AS w FROM pos
+  UNION ALL SELECT y_true_bucket, least(floor(p), 99) + 1, p - least(floor(p), 99) FROM pos) GROUP BY 1, 2 HAVING sum(w) > 0""")]))
+add("stabilize", model_sql("SELECT order_id, " + ", ".join(
+    f"CASE WHEN {c} IS NOT NULL THEN round(least(greatest(CASE WHEN isfinite(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE)"
+    f" ELSE 0.0 END, -15.0), 15.0), 6) END"
+    f" AS {c}" for c in NUM) + " FROM md"))
 add("pred_distribution", model_sql("""SELECT y_true_bucket, count(y_pred) AS n, round(min(y_pred), 6) AS min,
   round(quantile_cont(y_pred, 0.25), 6) AS q1, round(quantile_cont(y_pred, 0.5), 6) AS median,
   round(quantile_cont(y_pred, 0.75), 6) AS q3, round(max(y_pred), 6) AS max FROM res GROUP BY y_true_bucket""",
@@ -388,6 +428,47 @@ add("stars", model_sql("""SELECT order_id, round(p, 6) AS prediction,
   repeat('★', CAST(least(greatest(round_even(p, 0), 1.0), 5.0) AS INTEGER))
     || repeat('☆', 5 - CAST(least(greatest(round_even(p, 0), 1.0), 5.0) AS INTEGER)) AS stars FROM rr""", extra=[RR]))
 
+
+
+# ---------------------------------------------------------------- bootstrap
+def boot_sql(rep: str, key: str, mean: str, seed: int = 42) -> list[tuple[str, str]]:
+    """CTE ``weighed``: the rows of ``rep`` with a Poisson draw ``w`` of ``mean`` at ``key``."""
+    return [("drawn", f"""SELECT *, ({hb(key, seed, 4294967296)} + 0.5::DOUBLE) / 4294967296 AS u1,
+  ({hb(key, seed + 1, 4294967296)} + 0.5::DOUBLE) / 4294967296 AS u2, CAST({mean} AS DOUBLE) AS lam FROM {rep}"""),
+            ("pois", """SELECT lam, sum(p) OVER (PARTITION BY lam ORDER BY k) AS f FROM (
+  SELECT lam, k, exp(-lam + k * ln(lam) - lgamma(k + 1)) AS p FROM (SELECT DISTINCT lam FROM drawn WHERE lam <= 64), range(0, 300) t(k))"""),
+            ("steps", "SELECT lam, list(f ORDER BY f) AS f FROM pois GROUP BY lam"),
+            ("weighed", """SELECT drawn.*, CASE WHEN drawn.lam <= 64 THEN CAST(len(list_filter(steps.f, lambda x: x <= u1)) AS DOUBLE)
+  ELSE greatest(0.0, floor(drawn.lam + sqrt(drawn.lam) * sqrt(-2 * ln(u1)) * cos(2 * pi() * u2)
+       + (pow(sqrt(-2 * ln(u1)) * cos(2 * pi() * u2), 2) - 1) / 6 + 0.5)) END AS w
+FROM drawn LEFT JOIN steps ON drawn.lam = steps.lam""")]
+
+
+add("mean_ci_bootstrap", with_views("""SELECT delayed, n, round(mean, 6) AS mean, round(ci[1], 6) AS ci_low, round(ci[2], 6) AS ci_high FROM (
+  SELECT coalesce(d > 0, false) AS delayed, count(s) AS n, avg(s) AS mean FROM ro GROUP BY 1) JOIN (
+  SELECT delayed, quantile_cont(m, [0.025, 0.975]) AS ci FROM (
+    SELECT delayed, b, sum(w * v) / sum(w) AS m FROM weighed GROUP BY 1, 2) GROUP BY 1) USING (delayed)""", "v_orders", "v_order_reviews",
+    extra=[RO, ("hist", """SELECT delayed, v, c, row_number() OVER (PARTITION BY delayed ORDER BY v) AS i FROM (
+  SELECT coalesce(d > 0, false) AS delayed, s AS v, count(*) AS c FROM ro WHERE s IS NOT NULL GROUP BY 1, 2)"""),
+           ("rep", "SELECT *, unnest(range(0, 1000)) AS b FROM hist"), *boot_sql("rep", "(i * 1000 + b)", "c")]))
+add("mean_ci_bags", model_sql("""SELECT payment_type, n, round(mean, 6) AS mean, round(low, 6) AS ci_low, round(high, 6) AS ci_high FROM (
+  SELECT payment_type, count(payment_value) AS n, avg(payment_value) AS mean FROM md GROUP BY 1) a JOIN (
+  SELECT payment_type AS pt, avg(ci[1]) AS low, avg(ci[2]) AS high FROM (
+    SELECT payment_type, bag, quantile_cont(m, [0.025, 0.975]) AS ci FROM (
+      SELECT payment_type, bag, b, sum(w * v) / sum(w) AS m FROM weighed GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1) c
+  ON a.payment_type IS NOT DISTINCT FROM c.pt""", extra=[
+    ("vals", "SELECT order_id, payment_type, payment_value AS v FROM md WHERE payment_value IS NOT NULL"),
+    ("sized", "SELECT *, count(*) OVER (PARTITION BY payment_type) AS n FROM vals"),
+    ("bagged", "\nUNION ALL\n".join(f"SELECT *, {j} AS bag FROM sized WHERE {hb('order_id', 142 + j, 4294967296)} < pow(n, -0.4) * 4294967296"
+                                     for j in range(10))),
+    ("held", "SELECT *, count(*) OVER (PARTITION BY payment_type, bag) AS size FROM bagged"),
+    ("rep", "SELECT *, unnest(range(0, 100)) AS b FROM held"),
+    *boot_sql("rep", f"({hb('order_id', 49, 4294967296)} + bag * 1000003 + b * 7919)", "CAST(n AS DOUBLE) / size")]))
+add("load_catalog_csv", with_views("""SELECT o.order_id, customer_id, order_status, order_purchase_timestamp,
+  order_delivered_customer_date, order_estimated_delivery_date, n_reviews, sum_score
+FROM v_orders o LEFT JOIN (SELECT order_id, count(review_id) AS n_reviews, CAST(sum(review_score) AS BIGINT) AS sum_score
+  FROM v_order_reviews GROUP BY order_id) r ON o.order_id = r.order_id""", "v_orders", "v_order_reviews"))
+
 # ---------------------------------------------------------------- descriptive
 add("mean_ci", with_views("""SELECT delayed, n, round(mean, 6) AS mean,
   round(mean - 1.959963984540054 * std / sqrt(n), 6) AS ci_low, round(mean + 1.959963984540054 * std / sqrt(n), 6) AS ci_high
@@ -440,14 +521,6 @@ add("cluster_ranking", model_sql("""SELECT cluster, round(avg(review_score), 6)
   round((SELECT avg(review_score) FROM rcl WHERE cluster IS NOT NULL AND review_score IS NOT NULL), 6) AS global_mean
 FROM rcl WHERE cluster IS NOT NULL AND review_score IS NOT NULL GROUP BY cluster""", extra=[RCL]))
 
-add("density_residual", model_sql("""SELECT
-  CASE WHEN e.x1 = e.x0 THEN 0 ELSE CAST(least(floor((least(greatest(y_pred, e.x0), e.x1) - e.x0) * 35 / (e.x1 - e.x0)), 34) AS INTEGER) END AS ix,
-  CASE WHEN e.y1 = e.y0 THEN 0 ELSE CAST(least(floor((least(greatest(residual, e.y0), e.y1) - e.y0) * 35 / (e.y1 - e.y0)), 34) AS INTEGER) END AS iy,
-  count(*) AS n
-FROM res, (SELECT min(y_pred) AS x0, max(y_pred) AS x1, min(residual) AS y0, max(residual) AS y1 FROM res
-           WHERE y_pred IS NOT NULL AND residual IS NOT NULL) e
-WHERE y_pred IS NOT NULL AND residual IS NOT NULL GROUP BY 1, 2""", extra=[RR, RES]))
-
 # ---------------------------------------------------------------- the column transformer (operator 88)
 CX = ("cx", "SELECT order_id, CAST(review_binary AS INTEGER) AS label, "
       + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUM) + ", " + ", ".join(CAT)

@@ -149,10 +149,13 @@ def worst_states(reviews: DataFrame, orders: DataFrame, customers: DataFrame,
     return top_k(st, [F.asc("mean_score"), F.asc("customer_state")], top_n)
 
 
-def overall_bad_rate_states(reviews: DataFrame, orders: DataFrame) -> DataFrame:
-    """% bad over reviews ⟕ orders ⟕ customers (one row per review when keys are unique)."""
-    j = _review_totals(reviews).join(orders.select("order_id").groupBy("order_id")
-                                     .agg(F.count(F.lit(1)).alias("_no")), "order_id", "left")
+def overall_bad_rate_states(reviews: DataFrame, orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """% bad over reviews ⟕ orders ⟕ customers: a review counts once for each row that its order and the
+    order's customer have there, and once without any."""
+    held = customers.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_nc"))
+    per = orders.select("order_id", "customer_id").join(held, "customer_id", "left").groupBy("order_id").agg(
+        F.sum(F.greatest(F.coalesce("_nc", F.lit(0)), F.lit(1))).alias("_no"))
+    j = _review_totals(reviews).join(per, "order_id", "left")
     w = F.greatest(F.coalesce(F.col("_no"), F.lit(0)), F.lit(1))
     return j.agg((F.sum(F.col("_br") * w) * 100.0 / F.sum(F.col("_nr") * w)).alias("pct_bad"),
                  F.sum(F.col("_nr") * w).alias("n_rows"))

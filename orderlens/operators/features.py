@@ -7,6 +7,7 @@ codegen'd projection with no join.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -162,27 +163,68 @@ def residuals_by_score(df: DataFrame, y: str = "label", pred: str = "prediction"
     return box_stats(residual_frame(df, y, pred), "residual", ["y_true_bucket"])
 
 
-def density_2d(df: DataFrame, x: str, y: str, lo: float = 1.0, hi: float = 5.0, gridsize: int = 30,
-               data_extent: bool = False) -> DataFrame:
-    """Counts on a gridsize × gridsize grid (the table behind a hexbin).
-
-    The grid spans [lo, hi]² (values clipped into it), or with
-    ``data_extent`` each axis spans its own data min..max (one aggregate).
-    Empty cells are absent."""
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    if data_extent:
-        e = d.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-        ranges = {x: (e[0], e[1]), y: (e[2], e[3])}
-    else:
-        ranges = {x: (lo, hi), y: (lo, hi)}
-
-    def cell(c):
-        a, b = ranges[c]
-        if a is None or b is None or b == a:
-            return F.lit(0)
-        v = clip(c, a, b)
-        return F.least(F.floor((v - a) * gridsize / (b - a)), F.lit(gridsize - 1)).cast("int")
-    return d.groupBy(cell(x).alias("ix"), cell(y).alias("iy")).agg(F.count(F.lit(1)).alias("n"))
+def hexagons(df: DataFrame, x: str, y: str, gridsize: int = 30) -> DataFrame:
+    """Counts by hexagon over the data's extent: (lattice, ix, iy, x, y, n), empty ones absent.
+
+    Hexagon centres are two offset lattices of ``gridsize`` columns and gridsize / sqrt(3) rows; a point belongs
+    to the nearer of its nearest centres of each (in units in which the hexagons are regular). One aggregate for
+    the extent, one for the counts, of at most twice as many hexagons as the lattice has points."""
+    d = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    e = d.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    columns, rows = gridsize, int(gridsize / math.sqrt(3))
+    (x0, wide), (y0, high) = (_lattice(e[0], e[1], columns), _lattice(e[2], e[3], rows))
+    at = d.select(((F.col("x") - x0) / wide).alias("u"), ((F.col("y") - y0) / high).alias("v"))
+    whole, half = [(F.bround(c), F.floor(c)) for c in (F.col("u"), F.col("v"))], 0.5
+    near = F.pow(F.col("u") - whole[0][0], F.lit(2.0)) + 3 * F.pow(F.col("v") - whole[1][0], F.lit(2.0))
+    far = F.pow(F.col("u") - whole[0][1] - half, F.lit(2.0)) + 3 * F.pow(F.col("v") - whole[1][1] - half, F.lit(2.0))
+    first = near < far
+    cell = at.select(F.when(first, 0).otherwise(1).alias("lattice"), F.when(first, whole[0][0]).otherwise(whole[0][1]).cast("int").alias("ix"),
+                     F.when(first, whole[1][0]).otherwise(whole[1][1]).cast("int").alias("iy"))
+    shift = F.col("lattice") * half
+    return cell.groupBy("lattice", "ix", "iy").agg(F.count(F.lit(1)).alias("n")).select(
+        "lattice", "ix", "iy", ((F.col("ix") + shift) * wide + x0).alias("x"), ((F.col("iy") + shift) * high + y0).alias("y"), "n")
+
+
+def _lattice(lo, hi, cells: int) -> tuple[float, float]:
+    """(origin, spacing) of one axis; an axis of one value has a width of its own."""
+    lo, hi = (0.0, 0.0) if lo is None else (lo, hi)
+    return (lo, (hi - lo) / cells) if hi > lo else (lo - 0.5, 1.0 / cells)
+
+
+def pred_histogram(df: DataFrame, y: str = "label", pred: str = "prediction", lo: float = 1.0, hi: float = 5.0, bins: int = 20) -> DataFrame:
+    """Counts of clipped predictions by rounded true score and bin: (y_true_bucket, bin, bin_left, bin_right, n)."""
+    r = residual_frame(df, y, pred, lo, hi).dropna(subset=["y_true_bucket", "y_pred"])
+    width = (hi - lo) / bins
+    b = F.least(F.floor((F.col("y_pred") - lo) / width), F.lit(bins - 1)).cast("int")
+    return r.groupBy("y_true_bucket", b.alias("bin")).agg(F.count(F.lit(1)).alias("n")).select(
+        "y_true_bucket", "bin", (F.lit(lo) + F.col("bin") * width).alias("bin_left"), (F.lit(lo) + (F.col("bin") + 1) * width).alias("bin_right"), "n")
+
+
+def pred_density(df: DataFrame, y: str = "label", pred: str = "prediction", points: int = 101) -> DataFrame:
+    """Gaussian kernel density of clipped predictions by rounded true score: (y_true_bucket, point, x, density).
+
+    Each score has a grid of ``points`` over the extent of its predictions (not beyond it) and the bandwidth
+    std * n**(-1/5). A value's weight is shared linearly by its two neighbouring grid points, so that one aggregate
+    leaves at most ``points`` weights a score, and the density is their convolution with the kernel. A score
+    whose predictions are all equal has one point and no density."""
+    r = residual_frame(df, y, pred).dropna(subset=["y_true_bucket", "y_pred"]).select("y_true_bucket", "y_pred")
+    r = materialize(r)  # read for the extents and for the weights
+    size = r.groupBy("y_true_bucket").agg(F.count(F.lit(1)).alias("n"), F.min("y_pred").alias("lo"), F.max("y_pred").alias("hi"),
+                                          F.stddev_samp("y_pred").alias("s"))
+    size = size.select("y_true_bucket", "n", "lo", ((F.col("hi") - F.col("lo")) / (points - 1)).alias("step"),
+                       (F.col("s") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h")).withColumn("h", F.when(F.col("h") > 0, F.col("h")))
+    place = F.when(F.col("step") > 0, (F.col("y_pred") - F.col("lo")) / F.col("step")).otherwise(0.0)
+    at = r.join(size, "y_true_bucket").select("y_true_bucket", place.alias("p")).withColumn("i", F.least(F.floor("p"), F.lit(points - 2)).cast("int"))
+    share = F.explode(F.array(F.struct(F.col("i").alias("i"), (1 - (F.col("p") - F.col("i"))).alias("w")),
+                              F.struct((F.col("i") + 1).alias("i"), (F.col("p") - F.col("i")).alias("w")))).alias("g")
+    weights = at.select("y_true_bucket", share).groupBy("y_true_bucket", F.col("g.i").alias("i")).agg(F.sum("g.w").alias("w")).where("w > 0")
+    last = F.when(F.col("step") > 0, points - 1).otherwise(0)
+    grid = size.select("*", F.explode(F.sequence(F.lit(0), last)).alias("point"))
+    away = (F.col("point") - F.col("i")) * F.col("step") / F.col("h")
+    kernel = F.sum(F.col("w") * F.exp(-0.5 * away * away))
+    return grid.join(weights, "y_true_bucket").groupBy("y_true_bucket", "point", "lo", "step", "n", "h").agg(kernel.alias("k")).select(
+        "y_true_bucket", "point", (F.col("lo") + F.col("point") * F.col("step")).alias("x"),
+        F.when(F.col("h") > 0, F.col("k") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def pred_distribution(df: DataFrame, y: str = "label", pred: str = "prediction",

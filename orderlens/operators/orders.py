@@ -137,7 +137,8 @@ def require_score(df: DataFrame, score: str = "review_score") -> DataFrame:
 
 def model_dataset(data: dict[str, DataFrame], drop_canceled_orders: bool = True,
                   item_lists: bool = False) -> DataFrame:
-    """The modelling table: base → time features → rows with a score → targets."""
+    """The modelling table: base → time features → rows with a score → targets. ``item_lists`` adds each order's
+    product and seller ids (the written table has them; analyses that don't read them leave them out)."""
     return (base_orders(data, drop_canceled_orders, item_lists)
             .transform(add_time_features)
             .transform(require_score)

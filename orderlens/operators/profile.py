@@ -8,13 +8,14 @@ unless ``accuracy`` is given, which switches to ``percentile_approx``.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import col_
+from ..functions import col_, hash_bucket
 from ..session import materialize
 from .quantiles import global_quantiles, grouped_quantiles
 
@@ -156,34 +157,90 @@ def mean_ci(df: DataFrame, value: str, by: list[str] | None = None, z: float = 1
     return a.select(*by, "n", "mean", (F.col("mean") - half).alias("ci_low"), (F.col("mean") + half).alias("ci_high"))
 
 
+EXACT_MEAN = 64  # up to which a Poisson draw inverts its distribution
+MOST_DRAWN = 200  # that a draw of such a mean gives (more has a chance below 1e-40)
+
+
+def _replicates(rows: DataFrame, key: Callable[[Column], Column], n_boot: int, seed: int) -> DataFrame:
+    """``rows`` for each replicate ``_b``, with two uniform draws in (0, 1) that hash ``key(_b)``."""
+    def one(b):
+        u, v = ((hash_bucket(key(b), s, 1 << 32) + 0.5) / float(1 << 32) for s in (seed, seed + 1))
+        return F.struct(b.alias("b"), u.alias("u"), v.alias("v"))
+    rep = rows.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), one)).alias("_r"))
+    return rep.select(*rows.columns, F.col("_r.b").alias("_b"), F.col("_r.u").alias("_u"), F.col("_r.v").alias("_v2"))
+
+
+def _with_poisson(rep: DataFrame, means: DataFrame) -> DataFrame:
+    """``rep`` with a Poisson draw ``_w`` of mean ``_mean``: up to ``EXACT_MEAN`` the inverse of the distribution at
+    ``_u``, beyond it a normal draw with the Cornish-Fisher term for Poisson's skew, rounded. ``means`` has a row
+    for each mean that occurs."""
+    mean = F.col("_mean")
+
+    def step(s, k):
+        p = s["p"] * mean / k
+        return F.struct(p.alias("p"), (s["upto"] + p).alias("upto"), F.concat(s["f"], F.array(s["upto"] + p)).alias("f"))
+    zero = F.exp(-mean)
+    start = F.struct(zero.alias("p"), zero.alias("upto"), F.array(zero).alias("f"))
+    steps = means.where(mean <= EXACT_MEAN).distinct().select(
+        mean.alias("_of"), F.aggregate(F.sequence(F.lit(1), F.lit(MOST_DRAWN)), start, step)["f"].alias("_f"))
+    u, v = F.col("_u"), F.col("_v2")
+    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+    large = F.greatest(F.lit(0.0), F.floor(mean + F.sqrt(mean) * z + (z * z - 1) / 6 + 0.5))
+    small = F.size(F.filter("_f", lambda f: f <= u)).cast("double")
+    return rep.join(steps, F.col("_mean") == F.col("_of"), "left").withColumn("_w", F.when(mean <= EXACT_MEAN, small).otherwise(large)).drop("_of", "_f")
+
+
 def mean_ci_bootstrap(df: DataFrame, value: str, by: list[str], n_boot: int = 1000, seed: int = 42,
                       level: float = 0.95) -> DataFrame:
-    """Bootstrap interval of the mean per group.
-
-    The data are first reduced to distinct (group, value) counts, so that a
-    value seen ``c`` times weighs the total of ``c`` Poisson(1) draws in a
-    replicate, a Poisson(c) draw: c plus a deviation of √c, from a normal
-    draw by the Cornish–Fisher terms that give Poisson its skew, rounded; one
-    rule for every c. The draws hash (group, value, replicate, seed), so they
-    depend neither on partitions nor on recomputation. Meant for columns of
-    few values, such as scores: the histogram is exploded ``n_boot`` times.
+    """Bootstrap interval of the mean per group, for columns of few values, such as scores.
+
+    The data are first reduced to distinct (group, value) counts: in a replicate a value seen ``c`` times weighs
+    the total of ``c`` Poisson(1) draws, a Poisson(c) draw. Draws hash (the value's place among its group's values,
+    replicate, seed), so they depend neither on partitions nor on recomputation. The counts are exploded ``n_boot``
+    times; for columns of many values see :func:`mean_ci_bags`.
     """
     v = F.col(value).cast("double")
     hist = df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(
         F.count(F.lit(1)).alias("_c"))
-    rep = hist.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("_b"))
-    # two uniform draws in (0, 1) from independent hashes; Box–Muller makes them one normal draw
-    u, v2 = ((F.pmod(F.xxhash64(F.lit(seed), F.lit(i), *by, "_v", "_b"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-             for i in (0, 1))
-    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v2)
-    lam = F.col("_c").cast("double")
-    w = F.greatest(F.lit(0.0), F.floor(lam + F.sqrt(lam) * z + (z * z - 1) / 6 + 0.5))
-    reps = rep.withColumn("_w", w).groupBy(*by, "_b").agg(
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("_v"))
+    hist = materialize(hist.select(*by, "_v", F.col("_c").cast("double").alias("_mean"), place.alias("_i")))
+    rep = _replicates(hist, lambda b: F.col("_i") * n_boot + b, n_boot, seed)
+    reps = _with_poisson(rep, hist.select("_mean")).groupBy(*by, "_b").agg(
         (F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_m"))
+    return _with_interval(df, value, by, reps, [], level)
+
+
+def _with_interval(df: DataFrame, value: str, by: list[str], reps: DataFrame, bags: list[str], level: float) -> DataFrame:
+    """n and mean of the data, and the replicates' interval (averaged over bags)."""
+    v = F.col(value).cast("double")
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
-    ci = reps.groupBy(*by).agg(F.percentile("_m", [lo, hi]).alias("_ci"))
-    point = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"))
-    return point.join(ci, by).select(*by, "n", "mean", F.col("_ci")[0].alias("ci_low"), F.col("_ci")[1].alias("ci_high"))
+    ci = reps.groupBy(*by, *bags).agg(F.percentile("_m", [lo, hi]).alias("_ci"))  # as many values as replicates
+    ci = ci.groupBy(*by).agg(F.avg(F.col("_ci")[0]).alias("ci_low"), F.avg(F.col("_ci")[1]).alias("ci_high"))
+    return _join_groups(df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean")), ci, by).where(F.col("ci_low").isNotNull())
+
+
+def mean_ci_bags(df: DataFrame, value: str, by: list[str], key: str, bags: int = 10, power: float = 0.6, n_boot: int = 100,
+                 seed: int = 42, level: float = 0.95) -> DataFrame:
+    """Interval of the mean per group by bags of little bootstraps, for columns of many values.
+
+    Each of ``bags`` bags has about n**power of a group's n rows, drawn by hashes of the key; a replicate weighs a
+    bag's rows by Poisson(n / rows of the bag) draws, so that it stands for all n, and the bags' intervals are
+    averaged. Only the bags' rows, bags * n**power of them, are exploded ``n_boot`` times.
+    """
+    v = F.col(value).cast("double")
+    rows = df.select(*by, F.col(key).alias("_key"), v.alias("_v")).filter(F.col("_v").isNotNull())
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.pow(F.col("_n"), F.lit(power - 1.0))
+    taken = F.filter(F.array(*(F.when(hash_bucket("_key", seed + 100 + j, 1 << 32) < share * float(1 << 32), j) for j in range(bags))),
+                     lambda x: x.isNotNull())
+    drawn = _join_groups(rows, sizes, by).select(*by, "_key", "_v", "_n", F.explode(taken).alias("_bag"))
+    held = drawn.groupBy(*by, "_bag").agg(F.count(F.lit(1)).alias("_size"))
+    drawn = _join_groups(drawn, held, [*by, "_bag"]).select(*by, "_bag", "_key", "_v", (F.col("_n") / F.col("_size")).alias("_mean"))
+    drawn = materialize(drawn.withColumn("_key", hash_bucket("_key", seed + 7, 1 << 32)))
+    rep = _replicates(drawn, lambda b: F.col("_key") + F.col("_bag") * 1_000_003 + b.cast("long") * 7_919, n_boot, seed)
+    reps = _with_poisson(rep, drawn.select("_mean")).groupBy(*by, "_bag", "_b").agg(
+        (F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_m"))
+    return _with_interval(df, value, by, reps, ["_bag"], level)
 
 
 def score_distribution(reviews: DataFrame, score: str = "review_score") -> DataFrame:

@@ -38,7 +38,7 @@ def load(spark: SparkSession, source: str, fmt: str = "csv") -> dict[str, DataFr
 def build_modelling_table(spark: SparkSession, source: str, out_dir: str, fmt: str = "csv",
                           drop_canceled: bool = True, csv_copy: bool = False) -> str:
     data = load(spark, source, fmt)
-    md = orders.model_dataset(data, drop_canceled)
+    md = orders.model_dataset(data, drop_canceled, item_lists=True)
     missing = profile.missing_columns(md, NUM + CAT)
     if missing:
         warnings.warn(f"expected features absent: {missing}")
@@ -104,6 +104,10 @@ def classification_job(spark: SparkSession, table_path: str, out_dir: str, with_
     best_rec = reshape.arg_best(mrows, "recall_0").first()["model"]
     sinks.save_model(fitted[best_acc], os.path.join(out_dir, "models", "best_accuracy"))
     sinks.save_model(fitted[best_rec], os.path.join(out_dir, "models", "best_recall_0"))
+    sinks.write_json_dict(spark, {"best_model": best_acc, "accuracy": summary[best_acc]["accuracy"]},
+                          os.path.join(out_dir, "models", "best_accuracy.json"))
+    sinks.write_json_dict(spark, {"best_model_recall": best_rec, "recall_class_0": summary[best_rec]["recall_0"]},
+                          os.path.join(out_dir, "models", "best_recall_0.json"))
     for name in (best_acc,):
         m = fitted[name]
         imp = models.feature_importance(m, m.transform(tr.limit(1))).withColumn(
@@ -149,8 +153,11 @@ def regression_job(spark: SparkSession, table_path: str, out_dir: str) -> dict:
         sinks.export_csv(features.residual_bins(pred), base + "_residual_bins", True)
         sinks.export_csv(features.residuals_by_score(pred), base + "_residuals_by_score", True)
         sinks.export_csv(features.pred_distribution(pred), base + "_pred_distribution", True)
-        sinks.export_csv(features.density_2d(features.residual_frame(pred), "y_true", "y_pred"),
-                         base + "_density", True)
+        sinks.export_csv(features.pred_density(pred), base + "_pred_density", True)
+        sinks.export_csv(features.pred_histogram(pred), base + "_pred_histogram", True)
+        resid = features.residual_frame(pred)
+        sinks.export_csv(features.hexagons(resid, "y_true", "y_pred"), base + "_hexagons", True)
+        sinks.export_csv(features.hexagons(resid, "y_pred", "residual", 35), base + "_residual_hexagons", True)
         sinks.save_model(m, os.path.join(out_dir, "models", name))
         pred.unpersist()
     best = min(results, key=lambda n: (results[n]["rmse"], n))
@@ -175,9 +182,28 @@ def score_batch(model_path: str, candidates: DataFrame, key: str = "order_id") -
     return out
 
 
+CHAMPIONS = {"best_accuracy": "best_accuracy", "best_recall_0": "best_recall_0"}
+
+
+def score_champions(models_dir: str, regression: str, candidates: DataFrame, key: str = "order_id") -> DataFrame:
+    """Candidates scored by the chosen models: the class (and its label) of the most accurate classifier and of the
+    one with the best recall of class 0, and the clamped score and stars of the regression model named. The models
+    read the candidates one after the other, row by row: nothing is joined or exchanged."""
+    from ..functions import class_label, score_bucket, stars
+    out = candidates
+    for name in CHAMPIONS:
+        m = sinks.load_model(os.path.join(models_dir, name))
+        scored = m.transform(out)
+        out = scored.select(*out.columns, F.col("prediction").alias(name), class_label("prediction").alias(f"{name}_label"))
+    m = sinks.load_model(os.path.join(models_dir, regression))
+    scored = m.transform(out).select(key, *(c for n in CHAMPIONS for c in (n, f"{n}_label")), "prediction")
+    return scored.select(key, *(c for n in CHAMPIONS for c in (n, f"{n}_label")), features.clip("prediction", 1.0, 5.0).alias("score"),
+                         score_bucket("prediction").alias("stars_n"), stars("prediction").alias("stars"))
+
+
 def _is_classifier(model) -> bool:
     last = model.stages[-1].__class__.__name__
-    return "Classif" in last or last in ("LinearSVCModel", "GaussianNBModel", "LogisticRegressionModel")
+    return "Classif" in last or last in ("LinearSVCModel", "GaussianNBModel", "LogisticRegressionModel", "TreeModel")
 
 
 def main(argv: list[str]) -> None:

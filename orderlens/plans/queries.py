@@ -56,6 +56,29 @@ def q_load_catalog(spark, sf_dir):
     return cat(spark, sf_dir)["orders"]
 
 
+@query("load_catalog_csv")
+def q_load_catalog_csv(spark, sf_dir):
+    """The orders of the catalogue written as CSV files under their public names and loaded back by header name,
+    without the optional translation file."""
+    import os
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources import catalog, schemas, sinks
+    place = scratch_path(spark, f"csv-{uuid.uuid4().hex}")
+    tables = cat(spark, sf_dir)
+    for name, (file, schema) in schemas.FILES.items():
+        have = tables[name]
+        columns = [F.col(f.name) if f.name in have.columns else F.lit(None).cast("string").alias(f.name) for f in schema.fields]
+        sinks.export_csv(have.select(*columns), os.path.join(place, file))
+    loaded = catalog.load_catalog(spark, place)
+    reviews = loaded["order_reviews"].groupBy("order_id").agg(F.count("review_id").alias("n_reviews"), F.sum("review_score").alias("sum_score"))
+    return loaded["orders"].select(
+        F.col("order_id").cast("long").alias("order_id"), F.col("customer_id").cast("long").alias("customer_id"), "order_status",
+        "order_purchase_timestamp", "order_delivered_customer_date", "order_estimated_delivery_date").join(
+        reviews.withColumn("order_id", F.col("order_id").cast("long")), "order_id", "left")
+
+
 DATE_COLS = ["order_purchase_timestamp", "order_approved_at", "order_delivered_customer_date",
              "order_estimated_delivery_date"]
 
@@ -147,7 +170,7 @@ def q_base_orders(spark, sf_dir):
 
 @query("model_dataset")
 def q_model_dataset(spark, sf_dir):
-    return rnd(model_df(spark, sf_dir))
+    return rnd(orders.model_dataset(cat(spark, sf_dir), item_lists=True))
 
 
 # ---------------------------------------------------------------- EDA
@@ -220,7 +243,7 @@ def q_overall_bad_rate(spark, sf_dir):
     c = cat(spark, sf_dir)
     a = drivers.overall_bad_rate_categories(c["order_reviews"], c["order_items"]).select(
         F.lit("categories").alias("scope"), "pct_bad", "n_rows")
-    b = drivers.overall_bad_rate_states(c["order_reviews"], c["orders"]).select(
+    b = drivers.overall_bad_rate_states(c["order_reviews"], c["orders"], c["customers"]).select(
         F.lit("states").alias("scope"), "pct_bad", "n_rows")
     return rnd(a.unionByName(b))
 
@@ -439,13 +462,28 @@ def q_residuals_by_score(spark, sf_dir):
 @query("density_2d")
 def q_density_2d(spark, sf_dir):
     r = feat.residual_frame(rule_reg(spark, sf_dir))
-    return feat.density_2d(r, "y_true", "y_pred")
+    return rnd(feat.hexagons(r, "y_true", "y_pred"))
 
 
 @query("density_residual")
 def q_density_residual(spark, sf_dir):
     r = feat.residual_frame(rule_reg(spark, sf_dir))
-    return feat.density_2d(r, "y_pred", "residual", gridsize=35, data_extent=True)
+    return rnd(feat.hexagons(r, "y_pred", "residual", gridsize=35))
+
+
+@query("pred_density")
+def q_pred_density(spark, sf_dir):
+    return rnd(feat.pred_density(rule_reg(spark, sf_dir)))
+
+
+@query("pred_histogram")
+def q_pred_histogram(spark, sf_dir):
+    return rnd(feat.pred_histogram(rule_reg(spark, sf_dir)))
+
+
+@query("stabilize")
+def q_stabilize(spark, sf_dir):
+    return rnd(feat.stabilize(model_df(spark, sf_dir).select("order_id", *NUM), NUM))
 
 
 @query("pred_distribution")
@@ -581,6 +619,30 @@ def q_random_search(spark, sf_dir):
     return mdl.random_search(tr, "random_forest", NUM, CAT, mdl.RF_GRID, n_iter=10)[1]
 
 
+@query("batch_score_champions")
+def q_batch_score_champions(spark, sf_dir):
+    """The classifiers with the best accuracy and the best recall of class 0 on held-out orders, and the better
+    regression, stored, loaded and applied to every order."""
+    import os
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources import sinks
+    from .jobs import score_champions
+    tr, te = split.stratified_split(cls_frame(spark, sf_dir))
+    fitted = {n: mdl.train_classifier(tr, n, NUM, CAT) for n in ("naive_bayes", "logistic", "linear_svm")}
+    found = {n: met.metrics_dict(met.confusion_counts(mdl.predict(m, te, keep=["label"]))) for n, m in fitted.items()}
+    place = scratch_path(spark, f"models/champions-{uuid.uuid4().hex}")
+    for name, metric in (("best_accuracy", "accuracy"), ("best_recall_0", "recall_0")):
+        sinks.save_model(fitted[max(found, key=lambda n: (found[n][metric], n))], os.path.join(place, name))  # noqa: B023
+    rt, rh = split.train_test_split(reg_frame(spark, sf_dir))
+    regs = {n: mdl.train_regression(rt, NUM, CAT, ridge=n == "ridge_regression") for n in ("linear_regression", "ridge_regression")}
+    rmse = {n: met.regression_metrics(m.transform(rh).select("label", "prediction")).first()["rmse"] for n, m in regs.items()}
+    best = min(rmse, key=lambda n: (rmse[n], n))
+    sinks.save_model(regs[best], os.path.join(place, best))
+    return score_champions(place, best, model_df(spark, sf_dir))
+
+
 @query("random_search_gbt")
 def q_random_search_gbt(spark, sf_dir):
     tr, _ = split.stratified_split(cls_frame(spark, sf_dir))
@@ -691,4 +753,10 @@ def q_mean_ci_bootstrap(spark, sf_dir):
     c = cat(spark, sf_dir)
     ro = drivers.reviews_with_delay(c["order_reviews"], c["orders"]).withColumn(
         "delayed", late_flag("delivery_delay_days"))
-    return profile.mean_ci_bootstrap(ro, "review_score", ["delayed"], n_boot=1000)
+    return rnd(profile.mean_ci_bootstrap(ro, "review_score", ["delayed"], n_boot=1000))
+
+
+@query("mean_ci_bags")
+def q_mean_ci_bags(spark, sf_dir):
+    md = model_df(spark, sf_dir).select("order_id", "payment_type", "payment_value")
+    return rnd(profile.mean_ci_bags(md, "payment_value", ["payment_type"], "order_id"))
