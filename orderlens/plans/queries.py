@@ -760,3 +760,61 @@ def q_mean_ci_bootstrap(spark, sf_dir):
 def q_mean_ci_bags(spark, sf_dir):
     md = model_df(spark, sf_dir).select("order_id", "payment_type", "payment_value")
     return rnd(profile.mean_ci_bags(md, "payment_value", ["payment_type"], "order_id"))
+
+
+# ---------------------------------------------------------------- what fitted results must satisfy
+
+
+@query("kmeans_check")
+def q_kmeans_check(spark, sf_dir):
+    """Rows away from their nearest centre, centres away from their rows' mean, and the inertia added up."""
+    md, cf, model, cost, mapping = _kmeans(spark, sf_dir)
+    scored = model.transform(cf)
+    cols, centres = model.stages[-1].getOrDefault("inputCols"), model.stages[-1].clusterCenters()
+
+    def away(c):
+        return sum((F.pow(F.col(x) - float(v), F.lit(2.0)) for x, v in zip(cols, c)), F.lit(0.0))
+    far = F.array(*map(away, centres))
+    own = F.get(far, F.col("_cluster"))
+    total = scored.select((own > F.array_min(far) + 1e-9).cast("long").alias("m"), own.alias("d")).agg(F.sum("m"), F.sum("d"), F.count("d")).first()
+    means = scored.groupBy("_cluster").agg(*(F.avg(c) for c in cols)).collect()
+    gap = max(abs(m - v) for r in means for m, v in zip(r[1:], centres[r["_cluster"]]))
+    return spark.createDataFrame([(total[2], len(means), total[0], bool(gap < 0.011), bool(abs(total[1] - cost) < 1e-6 * cost))],
+                                 "n_rows long, n_clusters int, n_misplaced long, centres_are_means boolean, inertia_adds_up boolean")
+
+
+@query("regression_check")
+def q_regression_check(spark, sf_dir):
+    """Whether the gradient of (penalised) least squares is zero over the training rows of both fits."""
+    from pyspark.ml.functions import vector_to_array
+    tr, _ = split.train_test_split(reg_frame(spark, sf_dir))
+    rows = []
+    for name, alpha in (("linear_regression", 0.0), ("ridge_regression", 1.0)):
+        m = mdl.train_regression(tr, NUM, CAT, ridge=alpha > 0)
+        r = (F.col("label") - F.col("prediction")).alias("r")
+        scored = m.transform(tr).select(r, vector_to_array("features").alias("x"))
+        n, mean = scored.agg(F.count("r"), F.avg("r")).first()
+        grad = scored.select("r", F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.avg(F.col("r") * F.col("v")).alias("g")).collect()
+        w = m.stages[-1].coefficients.toArray()
+        rows.append((name, n, abs(mean) < 1e-6 and all(abs(g["g"] * n - alpha * w[g["j"]]) < 1e-3 for g in grad)))
+    return spark.createDataFrame(rows, "model string, n_train long, gradient_is_zero boolean")
+
+
+@query("classifier_check")
+def q_classifier_check(spark, sf_dir):
+    """Held-out rows that each classifier scored, and whether its probabilities are ones that fit its class."""
+    tr, te = split.train_test_split(cls_frame(spark, sf_dir))
+    out = []
+    for name, params in (("naive_bayes", {}), ("logistic", {}), ("random_forest", {"n_estimators": 40}), ("gbt", {"n_estimators": 40})):
+        p = mdl.predict(mdl.train_classifier(tr, name, NUM, CAT, **params), te, keep=["label"])
+        one = F.col("probability")[1]
+        fits = (F.abs(F.col("probability")[0] + one - 1) < 1e-9) & one.between(0, 1) & ((F.col("prediction") == 1) == (one > F.col("probability")[0]))
+        out.append(p.agg(F.count(F.lit(1)).alias("n_test"), F.sum(F.col("label").cast("long")).alias("n_positive"), F.every(fits).alias("probabilities_fit"))
+                   .select(F.lit(name).alias("model"), "*"))
+    return segments.union_all(out)
+
+
+@query("importance_check")
+def q_importance_check(spark, sf_dir):
+    """Features that have an importance, and their sum."""
+    return _importances(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_features"), F.round(F.sum("importance"), 6).alias("total"))
