@@ -62,16 +62,22 @@ def seat(key: np.ndarray, customers: np.ndarray, new: np.ndarray, discount: floa
     """
     tables = np.minimum(customers, 1).astype(np.float64)
     seed = mix(np.array([sweep], dtype=np.uint64))
-    at = np.flatnonzero(customers > 1)
-    seated = 1
-    while len(at):
+    # most customers first, so that those still seating are the first ``m``
+    order = np.flatnonzero(customers > 1)
+    order = order[np.argsort(-customers[order])]
+    c, k, new, t = customers[order], key[order] + seed, new[order], np.ones(len(order))
+    seated, m = 1, len(order)
+    while m:
         block = 1 if seated < ONE_BY_ONE else seated // 16
-        come = np.minimum(customers[at] - seated, block)
-        p = new[at] / (new[at] + seated + (come - 1) / 2 - discount * tables[at])
-        draw = (mix(key[at] + (seed + np.uint64(seated))) >> np.uint64(11)) * 2.0 ** -53
-        tables[at] += np.floor(come * p + draw)
+        draw = (mix(k[:m] + np.uint64(seated)) >> np.uint64(11)) * 2.0 ** -53
+        if block == 1:
+            t[:m] += np.floor(new[:m] / (new[:m] + seated - discount * t[:m]) + draw)
+        else:
+            come = np.minimum(c[:m] - seated, block)
+            t[:m] += np.floor(come * (new[:m] / (new[:m] + seated + (come - 1) / 2 - discount * t[:m])) + draw)
         seated += block
-        at = at[customers[at] > seated]
+        m = int(np.searchsorted(-c, -seated))
+    tables[order] = t
     return np.minimum(tables, customers)
 
 
