@@ -151,6 +151,14 @@ def word_hash(texts: Texts, words: Words, which: int = 0, lower: bool = False, s
     return out
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct integers in order (a sort; ``np.unique`` hashes 64-bit integers and takes far longer)."""
+    values = np.sort(values)
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
 def windows(words: Words, size: int) -> np.ndarray:
     """Index of the first word of every run of ``size`` words of one text."""
     n = np.maximum(words.counts - size + 1, 0)

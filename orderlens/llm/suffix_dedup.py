@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from orderlens.session import materialize
 
-from .arrays import Texts, hash_at, per_text
+from .arrays import Texts, distinct, hash_at, per_text
 from .chunks import (Chunks, answer, earlier_group, forget_shuffles, ids_of, pack_array, pack_bits, pack_parts, pack_sorted,
                      unpack_array, unpack_bits, unpack_parts, unpack_sorted)
 
@@ -175,14 +175,14 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return [(s, slice(a, b)) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
 
     def sample(chunk, table, _):
-        key = np.unique(names(_Bytes(table, doc_id, text))[1])
+        key = distinct(names(_Bytes(table, doc_id, text))[1])
         for s, part in pieces(key):
             yield s, pack_sorted(key[part])
 
     def again(shard, owners, payloads):
         keys = [unpack_sorted(p) for p in payloads]
         every = np.sort(np.concatenate(keys))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])  # a chunk has each key once
+        twice = distinct(every[1:][every[1:] == every[:-1]])  # a chunk has each key once
         for chunk, key in zip(owners, keys):
             yield chunk, pack_bits(_among(key, twice))
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .arrays import Texts, Words, mix, ranges, text_slices, word_hash
+from .arrays import Texts, Words, distinct, mix, ranges, text_slices, word_hash
 
 _WORD_BREAK = np.ones(256, dtype=bool)
 _WORD_BREAK[128:] = False
@@ -90,7 +90,7 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int,
         for b in text_slices(batches, "_text", 1 << 20):
             column = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             doc, gram = features(Texts.of(column["_text"]), bits)
-            both = np.unique(doc << bits | gram)
+            both = distinct(doc << bits | gram)
             parts = np.split((both & ((1 << bits) - 1)).astype(np.uint32),
                              np.searchsorted(both >> bits, np.arange(1, b.num_rows)))
             yield pa.RecordBatch.from_arrays([column["_order"], column["_label"], pa.array(
@@ -147,7 +147,7 @@ def score(docs: DataFrame, weights: Weights, text: str = "text", into: str = "sc
         for b in text_slices(batches, text, 1 << 20):
             doc, gram = features(Texts.of(b.column(b.schema.get_field_index(text))), bits)
             some = dense[gram] != 0
-            both = np.unique(doc[some] << bits | gram[some])
+            both = distinct(doc[some] << bits | gram[some])
             total = weights.intercept + np.bincount(both >> bits, dense[both & ((1 << bits) - 1)], b.num_rows)
             p = 1 / (1 + np.exp(-np.clip(total, -700, 700)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], schema=arrow)
