@@ -11,8 +11,14 @@ substring  words repeated in 50-word windows of smaller documents go
 secrets    secrets are masked
 packing    texts become pieces of at most 4096 ids in sequences of 4096
 
-Null ids and texts pass through the first four; an emptied text stays, as a
-document without words. ``n_chars``, where there is one, follows the text.
+Defined results: null ids and texts pass through the first four; an emptied
+text stays, as a document without words. Rows with equal ids are one document
+for SimHash and for substrings (they don't remove each other's words), and
+documents of their own for the rest; repeated rows stay, as a group keeps all
+rows of its smallest id. Empty tables give empty tables; texts of any length
+are whole. Further columns pass through, whatever their names, but ``n_chars``,
+where there is one, follows the text. The last stage returns pieces: positions,
+lengths and checksums of the ids, not the ids themselves.
 """
 
 from __future__ import annotations
