@@ -336,12 +336,12 @@ def hits_of(name: str, params: dict, train: trees.Block, test: trees.Block, layo
 
 # ---------------------------------------------------------------- regression
 def train_regression(train: DataFrame, numeric: list[str], categorical: list[str], ridge: bool = False,
-                     alpha: float = 1.0) -> PipelineModel:
-    """Preprocessor → least squares, or ridge with a penalty of ``alpha`` on the sum of squares: the minimum of
-    |y - Xw - b|^2 + alpha |w|^2. (The solver takes its penalty for mean squares of labels of unit deviation.)"""
+                     alpha: float = 0.001) -> PipelineModel:
+    """Preprocessor → least squares, or ridge: the minimum of mean((y - Xw - b)^2) / 2 + alpha |w|^2 / 2.
+    (The solver takes its penalty for labels of unit deviation.)"""
     pre = fit_preprocessors(train, numeric, categorical)[-1]
-    n, std = train.agg(F.count("label"), F.stddev_pop("label")).first()
-    reg = LinearRegression(featuresCol="features", labelCol="label", regParam=alpha * (std or 0.0) / max(n, 1) if ridge else 0.0,
+    std = train.agg(F.stddev_pop("label")).first()[0]
+    reg = LinearRegression(featuresCol="features", labelCol="label", regParam=alpha * (std or 0.0) if ridge else 0.0,
                            elasticNetParam=0.0, standardization=False, solver="normal")
     return PipelineModel(stages=[*pre.stages, reg.fit(pre.transform(train))])
 
