@@ -102,11 +102,11 @@ def _encoder(path: str) -> _Encoder:
 
 def cut(docs: DataFrame, path: str, end_id: int, length: int, doc_id: str = "doc_id", text: str = "text",
         with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): pieces of at most ``length`` ids."""
+    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): pieces of at most ``length`` ids (``ids`` an array of int)."""
     docs = docs.select(doc_id, text)
     long = T.LongType()
     schema = T.StructType([docs.schema[doc_id], *(T.StructField(n, long) for n in (
-        "start", "length", "ids_crc32", "doc_tokens")), *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
+        "start", "length", "ids_crc32", "doc_tokens")), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
     arrow = to_arrow_schema(schema)
     last = int(end_id).to_bytes(4, "little")
 
@@ -124,9 +124,14 @@ def cut(docs: DataFrame, path: str, end_id: int, length: int, doc_id: str = "doc
                     lengths.append(len(piece) // 4)
                     crcs.append(zlib.crc32(piece))
                     totals.append(n)
-                    parts.append(piece if with_ids else None)
+                    if with_ids:
+                        parts.append(piece)
             out = [b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (
-                starts, lengths, crcs, totals))] + ([pa.array(parts, pa.binary())] if with_ids else [])
+                starts, lengths, crcs, totals))]
+            if with_ids:
+                values = np.frombuffer(b"".join(parts), dtype="<i4")
+                at = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+                out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values), type=arrow.field("ids").type))
             yield pa.RecordBatch.from_arrays(out, schema=arrow)
     return docs.mapInArrow(run, schema)
 

@@ -8,11 +8,12 @@ from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from orderlens.llm import secret_scan, toxicity
 from orderlens.llm.arrays import Texts, text_slices
-from orderlens.llm.queries import op3_secret_scan, op6_toxicity
+from orderlens.llm.queries import op3_secret_scan, op6_toxicity, tokenizer
 from tests.conftest import SF_MID, SF_SMALL
 from tests.llm.conftest import edge_texts, words
 
@@ -198,7 +199,14 @@ def test_pipeline_stages(spark, tmp_path, empty):
     before, after, _ = seen["secrets"]
     assert all("[secret]" in after[500 + i] and "token" not in after[500 + i].split("[secret]")[1] for i in range(30))
     assert all(after[i] == before[i] for i in range(150))
-    pieces = [(x.doc_id, x.start, x.length) for x in docs.collect()]
+    rows = docs.collect()
+    library = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    for x in rows:
+        ids = [*library.encode(after[x.doc_id] or "", add_special_tokens=False).ids, 2]
+        assert len(ids) == x.doc_tokens and list(x.ids) == ids[x.start:x.start + x.length]
+    pieces = [(x.doc_id, x.start, x.length) for x in rows]
     assert {p[0] for p in pieces} == after.keys()
     assert sorted(pieces, key=str) == sorted([(x.doc_id, x.start, x.length) for x in corpus_pipeline.run(
         spark, str(tmp_path)).collect()], key=str)
