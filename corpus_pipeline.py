@@ -17,8 +17,9 @@ for SimHash and for substrings (they don't remove each other's words), and
 documents of their own for the rest; repeated rows stay, as a group keeps all
 rows of its smallest id. Empty tables give empty tables; texts of any length
 are whole. Further columns pass through, whatever their names, but ``n_chars``,
-where there is one, follows the text. The last stage returns pieces: positions,
-lengths and checksums of the ids, not the ids themselves.
+where there is one, follows the text. The last stage returns pieces: their
+places, lengths, checksums and ids (an array of int), ready to be laid out by
+``sequence_id`` and ``offset``.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), end_id=2, length=4096)
+    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), end_id=2, length=4096, with_ids=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("simhash", drop_near_copies), ("substring", cut_repeats),
