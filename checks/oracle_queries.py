@@ -588,5 +588,7 @@ add("regression_check", model_sql(f"""SELECT model, count(*) AS n_train, true AS
 FROM md, (VALUES ('linear_regression'), ('ridge_regression')) v(model) WHERE NOT ({is_test()}) GROUP BY model"""))
 add("classifier_check", model_sql(f"""SELECT model, count(*) AS n_test, CAST(sum(label) AS BIGINT) AS n_positive, true AS probabilities_fit
 FROM cx, (VALUES ('naive_bayes'), ('logistic'), ('random_forest'), ('gbt')) v(model) WHERE {is_test()} GROUP BY model""", extra=[CX]))
+add("svm_certificate", model_sql(f"SELECT count(*) AS n_train, true AS objective_is_loss, true AS gap_is_small FROM cx WHERE NOT ({is_test()})",
+                                 extra=[CX]))
 add("importance_check", model_sql(f"SELECT {len(NUM)} + " + " + ".join(f"count(DISTINCT {c})" for c in CAT)
                                   + " AS n_features, 1.0::DOUBLE AS total FROM ctr", extra=[CX, CTR]))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics as M
-from . import trees
+from . import svm, trees
 from .prep import VarianceSelector, VarianceSelectorModel, feature_names, fit_preprocessors
 from .split import sample_n, with_class_weights, with_stratified_folds
 
@@ -134,7 +134,7 @@ CLASSIFIERS = ("naive_bayes", "logistic", "linear_svm", "random_forest", "gbt")
 
 
 def make_classifier(name: str, features: str = "features", label: str = "label", weight: str | None = "weight",
-                    n_rows: int | None = None, **params):
+                    **params):
     """An MLlib (or own) classifier configured like the reference's choice."""
     w = {"weightCol": weight} if weight else {}
     if name == "naive_bayes":
@@ -144,9 +144,8 @@ def make_classifier(name: str, features: str = "features", label: str = "label",
                                   elasticNetParam=0.0, standardization=False, maxIter=params.get("max_iter", 100),
                                   tol=1e-3, **w)
     if name == "linear_svm":
-        c = params.get("C", 1.0)
-        return LinearSVC(featuresCol=features, labelCol=label, regParam=1.0 / (c * max(n_rows or 1, 1)),
-                         maxIter=params.get("max_iter", 100), standardization=False, **w)
+        return svm.LinearSVM(featuresCol=features, labelCol=label, weightCol=weight or "", cost=float(params.get("C", 1.0)),
+                             interceptScale=float(params.get("intercept_scale", 1.0)), maxRounds=params.get("max_rounds", 60))
     if name == "random_forest":
         return trees.RandomForest(forest_of(params), features, label, weight, params.get("key", "order_id"))
     if name == "gbt":
@@ -154,7 +153,7 @@ def make_classifier(name: str, features: str = "features", label: str = "label",
     raise ValueError(f"unknown classifier {name!r}")
 
 
-def classifier_stages(name: str, n_rows: int | None = None, weight: str | None = "weight", variance_threshold: float | None = None,
+def classifier_stages(name: str, weight: str | None = "weight", variance_threshold: float | None = None,
                       **params) -> list:
     """(variance selector) → classifier, after the preprocessor. Its vectors are min-max scaled to [0, 1],
     where a stabiliser clamping to ±15 changes nothing; ``prep.Stabilizer`` is there for other inputs."""
@@ -162,7 +161,7 @@ def classifier_stages(name: str, n_rows: int | None = None, weight: str | None =
     if variance_threshold is not None:
         stages.append(VarianceSelector(featuresCol="features", outputCol="selected", threshold=variance_threshold))
         feats = "selected"
-    stages.append(make_classifier(name, feats, "label", weight, n_rows, **params))
+    stages.append(make_classifier(name, feats, "label", weight, **params))
     return stages
 
 
@@ -181,8 +180,7 @@ def train_classifier(train: DataFrame, name: str, numeric: list[str], categorica
     base = train.persist(StorageLevel.MEMORY_AND_DISK)
     pre = pre or fit_preprocessors(base, numeric, categorical)[-1]
     data = pre.transform(with_class_weights(base, "label") if use_w else base)
-    n = data.count() if name == "linear_svm" else None
-    model = Pipeline(stages=classifier_stages(name, n, "weight" if use_w else None, 1e-4 if name == "naive_bayes" else None, **params)).fit(data)
+    model = Pipeline(stages=classifier_stages(name, "weight" if use_w else None, 1e-4 if name == "naive_bayes" else None, **params)).fit(data)
     base.unpersist()
     return PipelineModel(stages=[*pre.stages, *model.stages])
 
@@ -351,7 +349,7 @@ def train_regression(train: DataFrame, numeric: list[str], categorical: list[str
 SLOT_WEIGHTS = {
     trees.TreeModel: lambda m: m.importances(),
     LogisticRegressionModel: lambda m: np.abs(m.coefficientMatrix.toArray()).mean(axis=0),
-    LinearSVCModel: lambda m: np.abs(m.coefficients.toArray()),
+    svm.LinearSVMModel: lambda m: np.abs(m.getOrDefault(m.weights)),
     LinearRegressionModel: lambda m: np.abs(m.coefficients.toArray()),
 }
 

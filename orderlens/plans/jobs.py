@@ -203,7 +203,7 @@ def score_champions(models_dir: str, regression: str, candidates: DataFrame, key
 
 def _is_classifier(model) -> bool:
     last = model.stages[-1].__class__.__name__
-    return "Classif" in last or last in ("LinearSVCModel", "GaussianNBModel", "LogisticRegressionModel", "TreeModel")
+    return "Classif" in last or last in ("LinearSVMModel", "GaussianNBModel", "LogisticRegressionModel", "TreeModel")
 
 
 def main(argv: list[str]) -> None:

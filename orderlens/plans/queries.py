@@ -814,6 +814,23 @@ def q_classifier_check(spark, sf_dir):
     return segments.union_all(out)
 
 
+@query("svm_certificate")
+def q_svm_certificate(spark, sf_dir):
+    """Whether the linear SVM's loss, summed anew over the training rows, is what the fit says, and its dual bound within
+    a thousandth of it."""
+    tr, _ = split.train_test_split(cls_frame(spark, sf_dir))
+    m = mdl.train_classifier(tr, "linear_svm", NUM, CAT)
+    fitted = m.stages[-1]
+    w = [*fitted.getOrDefault(fitted.weights), fitted.getOrDefault(fitted.intercept)]
+    p, bound = fitted.getOrDefault(fitted.objective), fitted.getOrDefault(fitted.bound)
+    y = F.when(F.col("label") == 1, 1.0).otherwise(-1.0)
+    hinge = F.col("weight") * F.greatest(F.lit(0.0), 1 - y * F.col("svm_margin"))
+    objective = F.lit(sum(v * v for v in w) / 2) + F.sum(hinge)
+    return m.transform(split.with_class_weights(tr, "label")).agg(
+        F.count(F.lit(1)).alias("n_train"), (F.abs(objective - p) < 1e-6 * p).alias("objective_is_loss"),
+        ((F.lit(bound) <= objective) & (objective - bound <= 1.0001e-3 * objective)).alias("gap_is_small"))
+
+
 @query("importance_check")
 def q_importance_check(spark, sf_dir):
     """Features that have an importance, and their sum."""
