@@ -181,8 +181,17 @@ def _ranked(pieces: DataFrame, order: list[str], n_rows: int) -> DataFrame:
 
 
 def pack(pieces: DataFrame, length: int, order: list[str]) -> DataFrame:
-    """``pieces`` with their place: ``sequence_id`` and ``offset``."""
+    """``pieces`` with their place: ``sequence_id`` and ``offset``.
+
+    Only ``length`` and ``order`` are ranked and pass through Python; further
+    columns, such as a piece's ids, meet their place by the row's number.
+    """
     pieces = materialize(pieces)
+    whole, narrow = pieces, list(dict.fromkeys(["length", *order]))
+    apart = set(pieces.columns) - {*narrow, "doc_tokens"}
+    if apart:
+        whole = pieces.withColumn("_place", F.monotonically_increasing_id())
+        pieces = whole.select(*narrow, "_place")
     histogram = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}
     first, at_sequence, places = dict.fromkeys(histogram, 0), 0, []
     for count, pattern in patterns(histogram, length):
@@ -209,7 +218,11 @@ def pack(pieces: DataFrame, length: int, order: list[str]) -> DataFrame:
             sequence, offset = place[:, 3] + k // place[:, 2], place[:, 4] + k % place[:, 2] * size
             columns = [b.column(b.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], schema=arrow)
-    return ranked.mapInArrow(run, schema)
+    placed = ranked.mapInArrow(run, schema)
+    if not apart:
+        return placed
+    return (whole.join(placed.select("_place", "sequence_id", "offset"), "_place")
+            .select(*(c for c in whole.columns if c != "_place"), "sequence_id", "offset"))
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, length: int = 4096, doc_id: str = "doc_id",
