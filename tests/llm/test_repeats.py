@@ -209,8 +209,16 @@ def test_quantisation_bound_never_drops_a_link():
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     cosine = unit @ unit.T
     for threshold in (0.5, 0.8, 0.93):
-        linked, _ = embedding_dedup._tile(x, np.zeros(40), False, np.ones(40, dtype=int), threshold, rows=7, pairs=5)
+        codes, one = embedding_dedup._codes(embedding_dedup._units(x)), np.ones(40, dtype=int)
+        sure, open_ = embedding_dedup._coded_tile(codes, np.zeros(40), False, one, threshold, rows=7)
+        # the open rows meet again in any order
+        some = r.permutation(np.flatnonzero(open_))
+        rest = embedding_dedup._open_tile(x[some], tuple(c[some] for c in codes), np.zeros(len(some)), False, one[some],
+                                          threshold, rows=7, pairs=5)
+        linked = sure.linked.copy()
+        linked[some] += rest.linked
         assert (linked == (cosine >= threshold).sum(axis=1) - 1).all()
+        assert 0 < sure.linked.sum() and 0 < rest.linked.sum()
 
 
 def plain_base(texts):
