@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from orderlens.session import materialize
+
 from .arrays import Texts, Words, distinct, mix, ranges, text_slices, word_hash
 
 _WORD_BREAK = np.ones(256, dtype=bool)
@@ -100,43 +102,51 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int,
 
 def fit(sample: DataFrame, bits: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0,
         l2: float = 1.0) -> Weights:
-    """FTRL-proximal over ``sample``, in the order of its hashes, in one task.
+    """FTRL-proximal over ``sample``, in the order of its hashes.
 
-    The sample is bounded by ``labelled``; the task keeps its packed features.
+    The sample, bounded in rows by ``labelled``, is sorted once into one
+    stored partition. An epoch is one task that streams through it and holds
+    a batch of rows, however long their texts, and the state: two numbers for
+    each of the 2**``bits`` coordinates, handed on from epoch to epoch.
     """
-    stream = sample.repartition(1)
+    stream = materialize(sample.repartition(1).sortWithinPartitions("_order", "label", "grams"))
+    size = (1 << bits) + 1  # the last one is the intercept
+    state = np.zeros(size), np.zeros(size)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)  # the last one is the intercept
+    def epoch(z: np.ndarray, n: np.ndarray):
         first = np.array([1 << bits])
 
-        def weights(at):
-            out = -(z[at] - np.sign(z[at]) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2)
-            return np.where((np.abs(z[at]) > l1) | (at == 1 << bits), out, 0.0)
-        held = []
-        for b in batches:
-            column = {name: b.column(i).to_pylist() for i, name in enumerate(b.schema.names)}
-            held += zip(column["_order"], column["label"], column["grams"])
-        held.sort()
-        for _, y, packed in held * epochs:
-            at = np.concatenate((np.frombuffer(packed, np.uint32).astype(np.int64), first))
-            w = weights(at)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
-            root = np.sqrt(n[at])
-            n[at] += g * g
-            z[at] += g - (np.sqrt(n[at]) - root) / alpha * w
-        used = np.flatnonzero(n)
-        w = weights(used)
-        used, w = used[w != 0], w[w != 0]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(w, pa.float64())], names=["at", "w"])
-
-    rows = stream.mapInArrow(run, "at long, w double").collect()  # the weights that L1 leaves
-    found = {r["at"]: r["w"] for r in rows}
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            z_, n_ = z.copy(), n.copy()
+            for b in batches:
+                y_at, grams_at = (b.schema.get_field_index(c) for c in ("label", "grams"))
+                for y, packed in zip(b.column(y_at).to_pylist(), b.column(grams_at)):
+                    at = np.concatenate((np.frombuffer(packed.as_buffer(), np.uint32).astype(np.int64), first))
+                    w = _weights(z_, n_, at, alpha, beta, l1, l2)
+                    g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+                    root = np.sqrt(n_[at])
+                    n_[at] += g * g
+                    z_[at] += g - (np.sqrt(n_[at]) - root) / alpha * w
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (z_, n_)], names=["z", "n"])
+        return run
+    for _ in range(epochs):
+        after = stream.mapInArrow(epoch(*state), "z binary, n binary").collect()  # one row of 2**bits numbers each
+        if after:
+            state = tuple(np.frombuffer(after[0][c], np.float64) for c in ("z", "n"))
+    used = np.flatnonzero(state[1])
+    w = _weights(*state, used, alpha, beta, l1, l2)
+    found = dict(zip(used[w != 0].tolist(), w[w != 0].tolist()))
     intercept = found.pop(1 << bits, 0.0)
     at = np.array(sorted(found), dtype=np.int64)
     return Weights(bits, at, np.array([found[i] for i in at.tolist()]), intercept)
 
 
+def _weights(z: np.ndarray, n: np.ndarray, at: np.ndarray, alpha: float, beta: float, l1: float, l2: float) -> np.ndarray:
+    """Weights of the coordinates ``at``; the intercept, the last one, is not thinned by ``l1``."""
+    out = -(z[at] - np.sign(z[at]) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2)
+    return np.where((np.abs(z[at]) > l1) | (at == len(z) - 1), out, 0.0)
+
+
 def score(docs: DataFrame, weights: Weights, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with the probability of the label as column ``into``."""
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
