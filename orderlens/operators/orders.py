@@ -101,7 +101,12 @@ def base_orders(data: dict[str, DataFrame], drop_canceled_orders: bool = True,
         # translate the (small) product dimension first: the order-level table
         # then takes one join on the product key instead of two shuffles
         products = products.join(data["product_translation"], "product_category_name", "left")
-    df = df.join(products, "first_product_id", "left").drop("first_product_id")
+    # orders without an item have no product: a second key, 0 for all products, deals them to many
+    # tasks instead of the one of NULL (it is computed on both sides, as the optimizer drops constants)
+    spread = F.when(F.col("first_product_id").isNull(), F.xxhash64(key)).otherwise(F.lit(0))
+    df = (df.withColumn("_spread", spread)
+          .join(products.withColumn("_spread", F.pmod(F.xxhash64("first_product_id"), F.lit(1))),
+                ["first_product_id", "_spread"], "left").drop("first_product_id", "_spread"))
     lead = [c for c in orders.columns] + [c for c in ("review_score", "review_count", "n_items", "product_ids",
                                                       "total_items_price", "total_freight_value", "sellers_ids",
                                                       "payment_sequential", "payment_type", "payment_installments",

@@ -72,3 +72,33 @@ def test_category_stats_equal_fanout_under_skew(spark, skewed):
                 (F.avg(F.when(F.col("review_score") <= 2, 1.0).otherwise(0.0)) * 100).alias("p")))
     slow = {x.product_category_name: (x.n, round(x.m, 9), round(x.p, 9)) for x in fan.collect()}
     assert fast == slow
+
+
+def test_orders_without_items_are_dealt_to_many_tasks(spark):
+    """No product is no key of its own: a table mostly of item-less orders still spreads over the join's partitions."""
+    data = {
+        "orders": spark.range(4000).selectExpr("cast(id as string) order_id", "cast(id % 7 as string) customer_id",
+                                               "'delivered' order_status"),
+        "order_items": spark.range(40).selectExpr("cast(id as string) order_id", "1 order_item_id", "cast(id % 3 as string) product_id",
+                                                  "'s' seller_id", "1.0D price", "0.5D freight_value"),
+        "order_reviews": spark.range(4000).selectExpr("cast(id as string) order_id", "cast(id as string) review_id", "5 review_score"),
+        "payments": spark.range(4000).selectExpr("cast(id as string) order_id", "1 payment_sequential", "'card' payment_type",
+                                                 "1 payment_installments", "2.0D payment_value"),
+        "customers": spark.range(7).selectExpr("cast(id as string) customer_id", "'SP' customer_state"),
+        "products": spark.range(3).selectExpr("cast(id as string) product_id", "concat('c', id) product_category_name"),
+    }
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        rows = orders.base_orders(data).withColumn("_task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 4000
+    assert {r.order_id: r.product_category_name for r in rows if r.product_category_name} == {
+        str(i): f"c{i % 3}" for i in range(40)}
+    sizes = {}
+    for r in rows:
+        sizes[r._task] = sizes.get(r._task, 0) + 1
+    assert len(sizes) == 8 and max(sizes.values()) < 1000
