@@ -95,13 +95,13 @@ class _Encoder:
 
 
 @functools.cache
-def _encoder(path: str) -> _Encoder:
+def _encoder(path: str, cache_words: int) -> _Encoder:
     """Loaded once in each Python worker."""
-    return _Encoder(path)
+    return _Encoder(path, cache_words)
 
 
 def cut(docs: DataFrame, path: str, end_id: int, length: int, doc_id: str = "doc_id", text: str = "text",
-        with_ids: bool = False) -> DataFrame:
+        with_ids: bool = False, cache_words: int = 600_000) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): pieces of at most ``length`` ids (``ids`` an array of int)."""
     docs = docs.select(doc_id, text)
     long = T.LongType()
@@ -111,7 +111,7 @@ def cut(docs: DataFrame, path: str, end_id: int, length: int, doc_id: str = "doc
     last = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = _encoder(path, cache_words)
         for b in text_slices(batches, text, 1 << 20):
             rows, starts, lengths, crcs, totals, parts = [], [], [], [], [], []
             for i, ids in enumerate(encoder.encode([t or "" for t in b.column(1).to_pylist()])):
@@ -226,6 +226,9 @@ def pack(pieces: DataFrame, length: int, order: list[str]) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, length: int = 4096, doc_id: str = "doc_id",
-                   text: str = "text", with_ids: bool = False) -> DataFrame:
-    """The pieces of all documents with their places."""
-    return pack(cut(docs, path, end_id, length, doc_id, text, with_ids), length, [doc_id, "start", "ids_crc32"])
+                   text: str = "text", with_ids: bool = False, cache_words: int = 600_000) -> DataFrame:
+    """The pieces of all documents with their places.
+
+    A Python worker keeps the ids of about ``cache_words`` words and as many stems (some 250 bytes each)."""
+    pieces = cut(docs, path, end_id, length, doc_id, text, with_ids, cache_words)
+    return pack(pieces, length, [doc_id, "start", "ids_crc32"])
