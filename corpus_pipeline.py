@@ -67,7 +67,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), end_id=2, length=4096, with_ids=True)
+    # the workers serve other stages too, so they keep fewer words than a job of its own would
+    return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), end_id=2, length=4096, with_ids=True,
+                                  cache_words=150_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("simhash", drop_near_copies), ("substring", cut_repeats),
