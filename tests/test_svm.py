@@ -94,3 +94,12 @@ def test_odd_inputs(spark):
     extra = frame(spark, [*rows, (rows[0][0], None, 1.0), (rows[1][0], 1 - rows[1][1], 0.0), (rows[2][0], 1 - rows[2][1], None)])
     b = svm.solve(extra, weight="weight", rounds=30, gap=1e-4)
     assert b[2] <= a[1] * (1 + 1e-9) and a[2] <= b[1] * (1 + 1e-9)
+
+
+def test_many_blocks_reach_a_small_gap(spark, monkeypatch):
+    rows = data(1200, 4)
+    monkeypatch.setattr(svm, "BLOCK_VALUES", 5 * 100)
+    w, p, d, done = svm.solve(frame(spark, rows), weight="weight", gap=1e-4, rounds=60)
+    margins = np.array([[*r[0], 1.0] for r in rows]) @ w * [2 * r[1] - 1 for r in rows]
+    assert p == pytest.approx(w @ w / 2 + sum(r[2] * max(0.0, 1 - m) for r, m in zip(rows, margins)))
+    assert done < 60 and d <= p and p - d <= 1e-4 * p
