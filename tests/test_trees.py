@@ -155,3 +155,88 @@ def test_models_learn_score_and_survive_storage(spark, tmp_path):
     assert feature_importance is not None
     with pytest.raises(ValueError):
         trees.RandomForest().fit(df.limit(0))
+
+
+def ends(forest, codes):
+    return [t.value[t.nodes(codes)].tolist() for t in forest]
+
+
+def test_forest_grows_small_nodes_in_one_task(spark, monkeypatch):
+    """Levels of large nodes are jobs, what is under the others grows in one; blocks and numbers on the way change nothing."""
+    rows = [(*r[:3], 1.0) for r in data(900, 5)]
+    df = frame(spark, rows, 4)
+    lay = trees.layout_of(df)
+    whole = block(rows)
+    whole.key = np.array(trees.blocks_of(df.coalesce(1).orderBy("order_id"), lay, "features", "label", None, "order_id").collect()[0].key)
+    how = Forest(7, 9, 2, "sqrt")
+    sc = spark.sparkContext
+
+    def jobs(name, *args):
+        sc.setJobGroup(name, name)
+        found = trees.forest_blocks(*args)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        return found, len(sc.statusTracker().getJobIdsForGroup(name))
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 250)
+    four = trees.blocks_of(df, lay, "features", "label", None, "order_id")
+    found, n = jobs("small-forest", four, lay, how)
+    assert n <= 3  # the rows' number, the trees
+    # the stand-in rows have the codes of layout(); cuts that no value reaches are left out of lay
+    assert ends(found, lay.codes(np.array([r[1] for r in rows]))) == ends(trees.forest_rows(
+        Block(lay.codes(np.array([r[1] for r in rows])), whole.y, np.ones(900), whole.key, whole.fold), lay, how), lay.codes(np.array([r[1] for r in rows])))
+    monkeypatch.setattr(trees, "SMALL_ROWS", 120)
+    codes = lay.codes(np.array([r[1] for r in rows]))
+    cut, n = jobs("cut-forest", four, lay, how)
+    assert n <= 3 + 8
+    one = sc.parallelize([Block(codes, whole.y, np.ones(900), whole.key, whole.fold)], 1)
+    assert ends(cut, codes) == ends(trees.forest_blocks(one, lay, how), codes)
+    monkeypatch.setattr(trees, "ON_THE_WAY", 2000)  # two trees at once
+    assert ends(cut, codes) == ends(trees.forest_blocks(one, lay, how), codes)
+    for t, tree in enumerate(cut):
+        times = trees.poisson(whole.key, how.seed, t)
+        at = tree.nodes(codes)
+        count, positive = (np.bincount(at, v, len(tree.slot)) for v in (times, times * whole.y))
+        leaves = np.flatnonzero(count)
+        assert (tree.slot[at] < 0).all() and count[leaves].min() >= 2 and np.allclose(tree.value[leaves], positive[leaves] / count[leaves])
+    # where a node may split at every slot, no draw depends on how it is reached
+    every = Forest(3, 9, 1, "all")
+    assert ends(trees.forest_blocks(four, lay, every), codes) == ends(trees.forest_rows(one.first(), lay, every), codes)
+
+
+class Held:
+    """Blocks held here in place of Spark."""
+
+    def __init__(self, items):
+        self.items = items
+
+    def map(self, f):
+        return Held([f(x) for x in self.items])
+
+    def reduce(self, f):
+        out = self.items[0]
+        for x in self.items[1:]:
+            out = f(out, x)
+        return out
+
+    treeReduce = reduce
+
+    def persist(self, *_):
+        return self
+
+    def unpersist(self):
+        return self
+
+    def checkpoint(self):
+        pass
+
+    def count(self):
+        return len(self.items)
+
+
+def test_no_level_goes_through_earlier_trees(monkeypatch):
+    rows = data()
+    some, margins, how = [], trees.margins, Boost(12, 0.3, 3, 0.8, 0.75, 1.0, 1.0)
+    monkeypatch.setattr(trees, "margins", lambda b, later, start: some.append(len(later)) or margins(b, later, start))
+    found, _ = trees.boost_blocks(Held([block(rows[:250]), block(rows[250:])]), layout(), how)
+    assert max(some) == 1 and sum(some) == 2 * 11
+    same, _ = trees.boost_rows(block(rows), layout(), how)
+    assert all(a.slot.tolist() == b.slot.tolist() and np.allclose(a.value, b.value) for a, b in zip(found, same))
