@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -105,40 +106,35 @@ def fit(sample: DataFrame, bits: int, epochs: int = 3, alpha: float = 0.5, beta:
     """FTRL-proximal over ``sample``, in the order of its hashes.
 
     The sample, bounded in rows by ``labelled``, is sorted once into one
-    stored partition. An epoch is one task that streams through it and holds
+    stored partition. One task streams through it ``epochs`` times and holds
     a batch of rows, however long their texts, and the state: two numbers for
-    each of the 2**``bits`` coordinates, handed on from epoch to epoch.
+    each of the 2**``bits`` coordinates. Only the weights that aren't zero
+    reach the driver.
     """
-    stream = materialize(sample.repartition(1).sortWithinPartitions("_order", "label", "grams"))
+    stored = materialize(sample.repartition(1).sortWithinPartitions("_order", "label", "grams"))
+    stream = reduce(DataFrame.union, [stored] * epochs, stored.where(F.lit(False))).coalesce(1)
     size = (1 << bits) + 1  # the last one is the intercept
-    state = np.zeros(size), np.zeros(size)
-
-    def epoch(z: np.ndarray, n: np.ndarray):
-        first = np.array([1 << bits])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            z_, n_ = z.copy(), n.copy()
-            for b in batches:
-                y_at, grams_at = (b.schema.get_field_index(c) for c in ("label", "grams"))
-                for y, packed in zip(b.column(y_at).to_pylist(), b.column(grams_at)):
-                    at = np.concatenate((np.frombuffer(packed.as_buffer(), np.uint32).astype(np.int64), first))
-                    w = _weights(z_, n_, at, alpha, beta, l1, l2)
-                    g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
-                    root = np.sqrt(n_[at])
-                    n_[at] += g * g
-                    z_[at] += g - (np.sqrt(n_[at]) - root) / alpha * w
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (z_, n_)], names=["z", "n"])
-        return run
-    for _ in range(epochs):
-        after = stream.mapInArrow(epoch(*state), "z binary, n binary").collect()  # one row of 2**bits numbers each
-        if after:
-            state = tuple(np.frombuffer(after[0][c], np.float64) for c in ("z", "n"))
-    used = np.flatnonzero(state[1])
-    w = _weights(*state, used, alpha, beta, l1, l2)
-    found = dict(zip(used[w != 0].tolist(), w[w != 0].tolist()))
-    intercept = found.pop(1 << bits, 0.0)
-    at = np.array(sorted(found), dtype=np.int64)
-    return Weights(bits, at, np.array([found[i] for i in at.tolist()]), intercept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, n, first = np.zeros(size), np.zeros(size), np.array([1 << bits])
+        for b in batches:
+            y_at, grams_at = (b.schema.get_field_index(c) for c in ("label", "grams"))
+            for y, packed in zip(b.column(y_at).to_pylist(), b.column(grams_at)):
+                at = np.concatenate((np.frombuffer(packed.as_buffer(), np.uint32).astype(np.int64), first))
+                w = _weights(z, n, at, alpha, beta, l1, l2)
+                g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+                root = np.sqrt(n[at])
+                n[at] += g * g
+                z[at] += g - (np.sqrt(n[at]) - root) / alpha * w
+        used = np.flatnonzero(n)
+        w = _weights(z, n, used, alpha, beta, l1, l2)
+        yield pa.RecordBatch.from_arrays([pa.array([x[w != 0].tobytes()], pa.binary()) for x in (used, w)],
+                                         names=["features", "weights"])
+    found = stream.mapInArrow(run, "features binary, weights binary").collect()  # at most one row
+    at = np.frombuffer(found[0]["features"], np.int64) if found else np.zeros(0, np.int64)
+    w = np.frombuffer(found[0]["weights"], np.float64) if found else np.zeros(0)
+    own = at < 1 << bits
+    return Weights(bits, at[own], w[own], float(w[~own].sum()))
 
 
 def _weights(z: np.ndarray, n: np.ndarray, at: np.ndarray, alpha: float, beta: float, l1: float, l2: float) -> np.ndarray:

@@ -34,6 +34,31 @@ def test_toxicity_learns_planted_words(spark):
     assert np.mean(caught) > 0.95 and np.mean([scored[i] >= 0.3 for i, _ in rows if i % 5]) < 0.05
 
 
+def test_toxicity_sends_the_driver_only_weights(spark, monkeypatch):
+    """Rows in any order and partitions; the state of the fit, two numbers for each of 2**bits coordinates, stays in its task."""
+    r, bits, sent = np.random.default_rng(3), 18, []
+    rows = [(i, i % 2, np.unique(np.append(r.integers(0, 1 << bits, 40), i % 2)).astype(np.uint32)) for i in range(300)]
+    sample = spark.createDataFrame([(i, y, bytearray(at.tobytes())) for i, y, at in rows[::-1]],
+                                   "_order long, label int, grams binary").repartition(5)
+    collect = type(sample).collect
+    monkeypatch.setattr(type(sample), "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    got = toxicity.fit(sample, bits)
+    assert sent and sum(len(value) for rows_ in sent for row in rows_ for value in row) < 1 << bits
+    z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
+    for _, y, grams in rows * 3:
+        at = np.append(grams.astype(np.int64), 1 << bits)
+        w = toxicity._weights(z, n, at, 0.5, 1.0, 4.0, 1.0)
+        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+        root = np.sqrt(n[at])
+        n[at] += g * g
+        z[at] += g - (np.sqrt(n[at]) - root) / 0.5 * w
+    used = np.flatnonzero(n)
+    w = toxicity._weights(z, n, used, 0.5, 1.0, 4.0, 1.0)
+    assert 0 < len(got.features) and got.features.tolist() == used[w != 0][:-1].tolist()
+    assert got.values.tolist() == w[w != 0][:-1].tolist() and got.intercept == w[-1] != 0
+    assert got.features.dtype == np.int64
+
+
 def test_toxicity_edges(spark, edge, empty):
     labels = spark.createDataFrame([(i, i % 2) for i in range(16)], "doc_id long, toxic int")
     weights = toxicity.train(edge, labels, usable())
