@@ -30,6 +30,14 @@ def _join_groups(left: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
     return left.join(r, cond, "left").drop(*[f"_k_{b}" for b in by])
 
 
+BROADCAST_ROWS = 10_000  # rows of results, of some KB at most, that travel to the rows they are joined to
+
+
+def _few(stored: DataFrame) -> DataFrame:
+    """A ``stored`` result, broadcast unless it has many rows, so that what it is joined to stays where it is."""
+    return F.broadcast(stored) if stored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else stored
+
+
 def _quantiles(c, qs, accuracy=None):
     c = col_(c).cast("double")
     if accuracy is None:
@@ -163,11 +171,9 @@ MOST_DRAWN = 200  # that a draw of such a mean gives (more has a chance below 1e
 
 def _replicates(rows: DataFrame, key: Callable[[Column], Column], n_boot: int, seed: int) -> DataFrame:
     """``rows`` for each replicate ``_b``, with two uniform draws in (0, 1) that hash ``key(_b)``."""
-    def one(b):
-        u, v = ((hash_bucket(key(b), s, 1 << 32) + 0.5) / float(1 << 32) for s in (seed, seed + 1))
-        return F.struct(b.alias("b"), u.alias("u"), v.alias("v"))
-    rep = rows.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), one)).alias("_r"))
-    return rep.select(*rows.columns, F.col("_r.b").alias("_b"), F.col("_r.u").alias("_u"), F.col("_r.v").alias("_v2"))
+    rep = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("_b"))
+    u, v = ((hash_bucket(key(F.col("_b")), s, 1 << 32) + 0.5) / float(1 << 32) for s in (seed, seed + 1))
+    return rep.select("*", u.alias("_u"), v.alias("_v2"))
 
 
 def _with_poisson(rep: DataFrame, means: DataFrame) -> DataFrame:
@@ -181,7 +187,8 @@ def _with_poisson(rep: DataFrame, means: DataFrame) -> DataFrame:
         return F.struct(p.alias("p"), (s["upto"] + p).alias("upto"), F.concat(s["f"], F.array(s["upto"] + p)).alias("f"))
     zero = F.exp(-mean)
     start = F.struct(zero.alias("p"), zero.alias("upto"), F.array(zero).alias("f"))
-    steps = means.where(mean <= EXACT_MEAN).distinct().select(
+    exact = materialize(means.where(mean <= EXACT_MEAN).distinct())
+    steps = _few(exact).select(
         mean.alias("_of"), F.aggregate(F.sequence(F.lit(1), F.lit(MOST_DRAWN)), start, step)["f"].alias("_f"))
     u, v = F.col("_u"), F.col("_v2")
     z = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
@@ -227,20 +234,20 @@ def mean_ci_bags(df: DataFrame, value: str, by: list[str], key: str, bags: int =
     bag's rows by Poisson(n / rows of the bag) draws, so that it stands for all n, and the bags' intervals are
     averaged. Only the bags' rows, bags * n**power of them, are exploded ``n_boot`` times.
     """
-    v = F.col(value).cast("double")
-    rows = df.select(*by, F.col(key).alias("_key"), v.alias("_v")).filter(F.col("_v").isNotNull())
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    # what is upstream runs once, for the groups' sizes and for the bags
+    rows = materialize(df.select(*by, F.col(key).alias("_key"), F.col(value).cast("double").alias("_v")))
+    sizes = materialize(rows.where(F.col("_v").isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
     share = F.pow(F.col("_n"), F.lit(power - 1.0))
-    taken = F.filter(F.array(*(F.when(hash_bucket("_key", seed + 100 + j, 1 << 32) < share * float(1 << 32), j) for j in range(bags))),
-                     lambda x: x.isNotNull())
-    drawn = _join_groups(rows, sizes, by).select(*by, "_key", "_v", "_n", F.explode(taken).alias("_bag"))
-    held = drawn.groupBy(*by, "_bag").agg(F.count(F.lit(1)).alias("_size"))
-    drawn = _join_groups(drawn, held, [*by, "_bag"]).select(*by, "_bag", "_key", "_v", (F.col("_n") / F.col("_size")).alias("_mean"))
-    drawn = materialize(drawn.withColumn("_key", hash_bucket("_key", seed + 7, 1 << 32)))
+    taken = F.array(*(F.when(hash_bucket("_key", seed + 100 + j, 1 << 32) < share * float(1 << 32), j) for j in range(bags)))
+    drawn = _join_groups(rows.where(F.col("_v").isNotNull()), _few(sizes), by).select(*by, "_key", "_v", "_n", taken.alias("_bags"))
+    drawn = materialize(drawn.select(*by, "_key", "_v", "_n", F.explode("_bags").alias("_bag")).where(F.col("_bag").isNotNull()))
+    held = materialize(drawn.groupBy(*by, "_bag").agg(F.count(F.lit(1)).alias("_size")))
+    drawn = _join_groups(drawn, _few(held), [*by, "_bag"]).select(*by, "_bag", "_key", "_v", (F.col("_n") / F.col("_size")).alias("_mean"))
+    drawn = drawn.withColumn("_key", hash_bucket("_key", seed + 7, 1 << 32))
     rep = _replicates(drawn, lambda b: F.col("_key") + F.col("_bag") * 1_000_003 + b.cast("long") * 7_919, n_boot, seed)
     reps = _with_poisson(rep, drawn.select("_mean")).groupBy(*by, "_bag", "_b").agg(
         (F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_m"))
-    return _with_interval(df, value, by, reps, ["_bag"], level)
+    return _with_interval(rows, "_v", by, reps, ["_bag"], level)
 
 
 def score_distribution(reviews: DataFrame, score: str = "review_score") -> DataFrame:

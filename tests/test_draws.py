@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from orderlens.functions import hash_bucket
 from orderlens.operators import features, profile
 
 
@@ -76,3 +77,37 @@ def test_a_review_counts_for_each_row_of_its_customer(spark):
     customers = spark.createDataFrame([(7, "a"), (7, "b"), (9, "c")], "customer_id long, customer_state string")
     row = drivers.overall_bad_rate_states(reviews, orders, customers).first()
     assert row["n_rows"] == 4 and row["pct_bad"] == 50.0
+
+
+def test_bags_read_their_rows_once(spark):
+    """What is upstream runs once, whatever the number of groups, null ones too; bags and draws stay as their hashes say."""
+    r = np.random.default_rng(4)
+    rows = [(i, [None, "a", "b"][i % 3], float(v)) for i, v in enumerate(r.lognormal(size=600))] + [(7, "a", None), (None, "b", 1.0), (8, "none", None)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    df = spark.createDataFrame(rows, "id long, g string, v double").mapInArrow(counted, "id long, g string, v double")
+    got = {c["g"]: c for c in profile.mean_ci_bags(df, "v", ["g"], "id", bags=2, n_boot=5).collect()}
+    assert seen.value == len(rows)
+
+    assert set(got) == {None, "a", "b"}
+    for g, row in got.items():
+        own = [(i, v) for i, h, v in rows if h == g and v is not None]
+        assert row["n"] == len(own) and math.isclose(row["mean"], sum(v for _, v in own) / len(own))
+    keys = spark.createDataFrame([(i, v) for i, h, v in rows if h == "a" and v is not None], "id long, v double")
+    lows = []
+    for bag in range(2):
+        taken = keys.where(hash_bucket("id", 142 + bag, 1 << 32) < 200 ** -0.4 * 2 ** 32).select(hash_bucket("id", 49, 1 << 32), "v").collect()
+        mean, means = 200 / len(taken), []
+        steps = np.cumsum([math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(201)])
+        draws = spark.createDataFrame([(b, i, k + bag * 1_000_003 + b * 7_919) for b in range(5) for i, (k, _) in enumerate(taken)],
+                                      "b int, i int, k long").select("b", "i", hash_bucket("k", 42, 1 << 32).alias("h")).collect()
+        drawn = {(d["b"], d["i"]): int((steps <= (d["h"] + 0.5) / 2 ** 32).sum()) for d in draws}
+        for b in range(5):
+            w = [drawn[b, i] for i in range(len(taken))]
+            means.append(sum(x * v for x, (_, v) in zip(w, taken)) / sum(w))
+        lows.append(np.quantile(means, 0.025))
+    assert math.isclose(got["a"]["ci_low"], np.mean(lows), rel_tol=1e-9)
