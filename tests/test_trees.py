@@ -240,3 +240,52 @@ def test_no_level_goes_through_earlier_trees(monkeypatch):
     assert max(some) == 1 and sum(some) == 2 * 11
     same, _ = trees.boost_rows(block(rows), layout(), how)
     assert all(a.slot.tolist() == b.slot.tolist() and np.allclose(a.value, b.value) for a, b in zip(found, same))
+
+
+def wide(n=3000, seed=2, weights=(1.0,)):
+    """Two numbers and two groups of one-hot slots, some rows without one; the layout and a block."""
+    r = np.random.default_rng(seed)
+    lay = Layout([np.arange(31.0), np.arange(5.0), *[np.array([0.5])] * 40])
+    codes = np.zeros((n, 42), dtype=np.uint8)
+    codes[:, 0], codes[:, 1] = r.integers(0, 32, n), r.integers(0, 6, n)
+    for low, many in ((2, 10), (12, 30)):
+        some = np.flatnonzero(r.random(n) < 0.9)
+        codes[some, low + r.integers(0, many, len(some))] = 1
+    y = (codes[:, 0] + 9 * codes[:, 3] + r.integers(0, 12, n) > 20).astype(float)
+    return lay, Block(codes, y, r.choice(weights, n), r.integers(0, 2 ** 63, n).astype(np.uint64), np.zeros(n, np.int32))
+
+
+@pytest.mark.parametrize("weights,at_once", [((1.0,), 1 << 17), ((1.0,), 50), ((0.5, 1.7), 1 << 17), ((0.5, 1.7), 50)])
+def test_splits_of_the_allowed_slots_are_the_best(monkeypatch, weights, at_once):
+    monkeypatch.setattr(trees, "ROWS_AT_ONCE", at_once)
+    lay, b = wide(weights=weights)
+    how, node = Forest(1, 6, 2, 0.3), np.sort(np.arange(3000) % 7)
+    part = trees.drawn(b, trees.Part.of(b, lay), None, how, 0, trees.Tree.stump(), np.zeros(1, np.int64))
+    own = np.flatnonzero(trees.poisson(b.key, how.seed, 0))
+    times, node = trees.poisson(b.key, how.seed, 0)[own], node[own]
+    allowed = how.allowed(0, np.arange(7), 42)
+    (gain, counter, left, right), total = trees.node_splits(part, np.bincount(node), lay, how, allowed)
+    sums = np.zeros((3, 7, lay.size + 1))
+    for c, v in enumerate((times * b.w[own] * b.y[own], times * b.w[own], times)):
+        for slot in range(42):
+            np.add.at(sums[c], (node, lay.offsets[slot] + b.codes[own, slot]), v)
+        sums[c, :, -1] = np.bincount(node, v)
+    want = trees.best_splits(sums, lay, how.gain, allowed)
+    assert np.allclose(gain, want[0]) and np.allclose(total, sums[:, :, -1])
+    assert counter.tolist() == want[1].tolist() and np.allclose(left, want[2]) and np.allclose(right, want[3])
+
+
+def test_boosting_reads_small_rows():
+    """Each level's job reads every row: it has the codes of numbers and the few one-hot slots present, not all slots."""
+    import pickle
+    lay, b = wide()
+    lean = trees.Lean.of(b, lay)
+    b.present(lay)
+    assert len(pickle.dumps(lean)) < len(pickle.dumps(b)) / 3
+    assert (lean.columns() == b.codes.T).all()
+    for tree in trees.forest_rows(b, lay, Forest(3, 7, 1, "sqrt")):
+        assert (tree.ends(lean.columns()) == tree.nodes(b.codes)).all()
+        inner = np.flatnonzero(tree.slot >= 0)
+        leaves = np.flatnonzero(tree.slot < 0)
+        inside = np.stack(list(trees.inside_of(lean.columns(), tree, leaves)))
+        assert len(inner) and (leaves[inside.argmax(axis=0)] == tree.nodes(b.codes)).all() and (inside.sum(axis=0) == 1).all()
