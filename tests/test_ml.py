@@ -1,6 +1,7 @@
 """Model sanity: persistence, quality band, scaler invariant, search."""
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,39 @@ def test_search_bounds_rows_not_statistics(spark):
     found = best.transform(train).orderBy("order_id")
     assert res.count() == 1
     assert [r.features for r in found.select("features").collect()] == [r.features for r in whole.select("features").collect()]
+
+
+def searched(spark, n, parts=3):
+    rows = [(i, float(i % 50), "rare" if i == 777 else f"c{i % 3}", float((i % 50 > 20) != (i % 7 == 0))) for i in range(1, n + 1)]
+    return spark.createDataFrame(rows, "order_id long, x double, c string, label double").repartition(parts)
+
+
+@pytest.mark.parametrize("name,grid", [("random_forest", {"n_estimators": [3], "max_depth": [4], "class_weight": ["balanced", {0: 2, 1: 1}]}),
+                                       ("gbt", {"n_estimators": [2], "max_depth": [2], "subsample": [0.8]})])
+def test_search_compares_draws_on_all_rows(spark, monkeypatch, name, grid):
+    """No row is left out by default, and it makes no difference whether a draw is fitted in one task or a job a level."""
+    from orderlens.operators import trees
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 150)
+    monkeypatch.setattr(models, "sample_n", lambda *_, **__: pytest.fail("rows are sampled"))
+    of, seen = models.hits_of, []
+    monkeypatch.setattr(models, "hits_of", lambda *a: seen.append((list(of(*a)), a)) or seen[-1][0])
+    _, table = models.random_search(searched(spark, 400), name, ["x"], ["c"], grid, n_iter=2, k=2)
+    (found, (_, params, blocks, layouts)), = seen
+    assert [sum(n for i, _, n in found if i == draw) for draw in range(len(params))] == [400] * table.count()
+    if name == "gbt":
+        monkeypatch.setattr(trees, "ONE_TASK_ROWS", 0)
+        assert sorted(of(name, params, blocks, layouts)) == sorted(found)
+    # the plain way: a draw's model over one block of the other fold's rows
+    for f, layout in enumerate(layouts):
+        held = blocks[f].collect()
+        whole = trees.Block(*(np.concatenate([getattr(b, c) for b in held]) for c in ("codes", "y", "w", "key", "fold")))
+        for draw, own in enumerate(params):
+            rows, test = whole.rows(whole.fold != f), whole.rows(whole.fold == f)
+            weights = models.weights_of(own.get("class_weight"), {y: int((rows.y == y).sum()) for y in (0.0, 1.0)})
+            rows.w = np.array([weights[y] for y in rows.y.tolist()])
+            if name == "gbt":
+                grown, start = trees.boost_rows(rows, layout, models.boost_of(own))
+                positive = trees.margins(test, grown, start) > 0
+            else:
+                positive = sum(t.value[t.nodes(test.codes)] for t in trees.forest_rows(rows, layout, models.forest_of(own))) > 1.5
+            assert (draw, int((positive == (test.y == 1)).sum()), len(test.y)) in found
