@@ -103,3 +103,13 @@ def test_many_blocks_reach_a_small_gap(spark, monkeypatch):
     margins = np.array([[*r[0], 1.0] for r in rows]) @ w * [2 * r[1] - 1 for r in rows]
     assert p == pytest.approx(w @ w / 2 + sum(r[2] * max(0.0, 1 - m) for r, m in zip(rows, margins)))
     assert done < 60 and d <= p and p - d <= 1e-4 * p
+
+
+def test_blocks_are_stored_without_their_zeros(spark):
+    r = random.Random(3)
+    rows = [([r.random()] + [float(k == i % 60) for k in range(60)], i % 2, 1.0) for i in range(500)]
+    blocks, n = svm._blocks(frame(spark, rows), "features", "label", "weight", 1.0, 62)
+    (one,) = blocks.collect()
+    assert n == 1 and len(one.x) < one.bytes / 8
+    x = svm.vectors(one.asDict(), 500)
+    assert sorted(x.tolist()) == sorted([*v, 1.0] for v, _, _ in rows)
